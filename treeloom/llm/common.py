@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one step of a Python worker holds; a single longer text is a step of its own.
 STEP_BYTES = 1 << 20
@@ -39,8 +41,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of batch whose column holds about limit bytes each, so that memory follows the limit, not the batch."""
+    values = batch.column(column)
+    is_list = pa.types.is_list(values.type)
+    sizes = pa.compute.multiply(pa.compute.list_value_length(values), 8) if is_list else pa.compute.binary_length(values)
     start, held = 0, 0
-    for at, n in enumerate(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()):
+    for at, n in enumerate(pa.compute.fill_null(sizes, 0).to_pylist()):
         if at > start and held + n > limit:
             yield batch.slice(start, at - start)
             start, held = at, 0
@@ -49,19 +54,29 @@ def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterat
         yield batch.slice(start)
 
 
+def fields(df: DataFrame, keep: Sequence[str], more: str) -> StructType:
+    """The named columns of df, then those of a DDL string."""
+    return StructType([df.schema[n] for n in keep] + StructType.fromDDL(more).fields)
+
+
 def column_of(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, np.ndarray) and values.ndim == 2:
         flat = pa.array(values.ravel(), type=kind.value_type)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], type=pa.int32()), flat, type=kind)
-    return values if isinstance(values, pa.Array) else pa.array(values, type=kind)
+    if isinstance(values, pa.Array):
+        return values if values.type == kind else values.cast(kind)
+    return pa.array(values, type=kind)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, Iterable]], schema: str, column: str = "text") -> DataFrame:
-    """df.mapInArrow(), a step of bounded size at a time; fn returns the columns of schema."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+def ragged(flat: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    """A list column: row i holds flat[bounds[i]:bounds[i + 1]]."""
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, Iterable]], schema: str | StructType, column: str = "text") -> DataFrame:
+    """df.mapInArrow(), a step of bounded size at a time; fn returns the columns of schema."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,7 +92,5 @@ def bounded_sample(df: DataFrame, by: str, key: str, most: int) -> DataFrame:
 
     The rank limit is applied before the shuffle (WindowGroupLimit), so a hot value of `by` sends `most` rows a task.
     """
-    from pyspark.sql import Window
-
     at = Window.partitionBy(by).orderBy(F.xxhash64(key), key)
     return df.withColumn("_rank", F.row_number().over(at)).filter(F.col("_rank") <= most).drop("_rank")

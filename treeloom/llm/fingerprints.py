@@ -18,9 +18,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from . import common
 
@@ -131,8 +134,6 @@ def with_next(docs: DataFrame, cells: int) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def cell(id_):
-        import pandas as pd
-
         at = np.searchsorted(cuts, id_.to_numpy(), side="left")
         return pd.Series([[x] for x in at.tolist()])
 
@@ -143,8 +144,6 @@ def with_next(docs: DataFrame, cells: int) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def cells_of(id_):
-        import pandas as pd
-
         id_ = id_.to_numpy()
         at = np.searchsorted(cuts, id_, side="left")
         place = np.minimum(np.searchsorted(keys, id_), len(keys) - 1)
@@ -160,9 +159,6 @@ SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint strin
 
 def compare_with_next(docs: DataFrame, cells: int | None = None) -> DataFrame:
     """For each row: its fingerprint, that of its edited text, and its likeness to that and to the next document's."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
     cells = cells or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = with_next(docs, cells)

@@ -12,6 +12,7 @@ counts as an empty text in the fold; all other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cache
 
 import numpy as np
@@ -108,10 +109,9 @@ def fit(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_chars: int
     return langs, unit(np.array([unit(profiles(by[x])).sum(axis=0) for x in langs], np.float32)) if langs else np.zeros((0, DIM), np.float32)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: str = "doc_id bigint", text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """Columns of keep, then lang_pred and score, for every row of docs."""
     langs, prototypes = model
-    names = [x.split()[0] for x in keep.split(", ")]
 
     def score(part):
         texts = [t or "" for t in part.column(text).to_pylist()]
@@ -123,6 +123,6 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: str = "d
             cosines = unit(rows[some]) @ prototypes.T
             best[some] = cosines.argmax(axis=1)
             cosine[some] = cosines.max(axis=1).clip(0, 1)
-        return {n: part.column(n) for n in names} | {"lang_pred": [langs[b] if s else "und" for b, s in zip(best, some, strict=True)], "score": cosine}
+        return {n: part.column(n) for n in keep} | {"lang_pred": [langs[b] if s else "und" for b, s in zip(best, some, strict=True)], "score": cosine}
 
-    return common.map_batches(docs.select(*dict.fromkeys([*names, text])), score, f"{keep}, lang_pred string, score double", text)
+    return common.map_batches(docs.select(*dict.fromkeys([*keep, text])), score, common.fields(docs, keep, "lang_pred string, score double"), text)

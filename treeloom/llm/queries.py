@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, neardup, secrets, toxicity
+from . import decontamination, extraction, fingerprints, language, linededup, neardup, pieces, secrets, sharding, toxicity
 from .common import table
 
+#: Bytes of a shard's texts.
+SHARD_BYTES = 1 << 20
+
+
+def tokenizer() -> bytes:
+    """The SentencePiece model file, read on the driver; TREELOOM_TOKENIZER names another."""
+    return Path(os.environ.get("TREELOOM_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")).read_bytes()
+
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -36,6 +47,29 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_document_fingerprints, op3_minhash_near_dedup, op4_toxicity, op5_language_id)}
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(table(spark, sf_dir, "documents"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer())
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_secret_scan, op2_document_fingerprints, op3_minhash_near_dedup, op4_toxicity, op5_language_id, op6_html_extraction, op7_sharding, op8_decontamination, op9_line_dedup, op10_sentencepiece)
+}
 
 ORACLES: dict[str, str] = {}

@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -180,13 +181,12 @@ def ratio(value: str, model: dict[str, Automaton]) -> float:
     return max((model[k].log_likelihood(value) for k in KINDS if k in model), default=-math.inf) - other
 
 
-def scan(docs: DataFrame, model: dict[str, Automaton], keep: str = "doc_id bigint", text: str = "text", margin: float = MARGIN) -> DataFrame:
+def scan(docs: DataFrame, model: dict[str, Automaton], keep: Sequence[str] = ("doc_id",), text: str = "text", margin: float = MARGIN) -> DataFrame:
     """Columns of keep, then n_assign, n_access, n_hex, n_format, base_sha256, spans (kind:start:end, code points)."""
-    names = [x.split()[0] for x in keep.split(", ")]
     counts = [f"n_{k}" for k in KINDS]
 
     def run(part):
-        out = {n: part.column(n) for n in names} | {c: [] for c in [*counts, "base_sha256", "spans"]}
+        out = {n: part.column(n) for n in keep} | {c: [] for c in [*counts, "base_sha256", "spans"]}
         for t in part.column(text).to_pylist():
             t = t or ""
             base = base_spans(t)
@@ -198,4 +198,4 @@ def scan(docs: DataFrame, model: dict[str, Automaton], keep: str = "doc_id bigin
                 out[c].append(sum(k == i for _, k, _ in every))
         return out
 
-    return common.map_batches(docs.select(*dict.fromkeys([*names, text])), run, f"{keep}, {', '.join(f'{c} bigint' for c in counts)}, base_sha256 string, spans string", text)
+    return common.map_batches(docs.select(*dict.fromkeys([*keep, text])), run, common.fields(docs, keep, f"{', '.join(f'{c} bigint' for c in counts)}, base_sha256 string, spans string"), text)

@@ -58,7 +58,7 @@ def shingle_sets(texts: list[str | None]) -> tuple[list[np.ndarray], list[bytes]
             digests.append(b"")
             continue
         k = min(n, WORDS)
-        h = np.full(n - k + 1, np.uint64(k) * ODD, np.uint64)
+        h = np.full(n - k + 1, np.uint64(k * int(ODD) % 2**64), np.uint64)
         for j in range(k):
             h += w[j : n - k + 1 + j] * weights[j]
         sets.append(np.unique(mix(h)))

@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, neardup
+from . import decontamination, language, linededup, neardup, pieces
+from .common import table
+from .queries import tokenizer
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in which no language is found (no text, or no letter)."""
     model = language.fit(docs.filter(~language.fold_is(F.col("doc_id"), 3, 1)))
-    kept = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-    return language.predict(docs, model, kept).filter("lang_pred <> 'und'").select(docs.columns)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # whatever the columns are called
+    found = language.predict(plain, model, plain.columns, f"c{docs.columns.index('text')}")
+    return found.filter("lang_pred <> 'und'").select(plain.columns).toDF(*docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Cut lines that stand, alike but for two edits, earlier in the corpus; texts that lose every line go."""
+    return linededup.without_lines(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +30,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Drop documents that hold a window of a benchmark item. Documents without doc_id stay."""
+    out = decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
+    return docs.join(out, "doc_id", "left_anti").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return pieces.encode(docs, tokenizer())

@@ -15,6 +15,7 @@ kinds every score is 0; repeated rows get equal scores; other columns are ignore
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -185,14 +186,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sa
     return train([r[1] for r in rows], y, weight)
 
 
-def score(docs: DataFrame, model: Model | None, keep: str = "doc_id bigint", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model | None, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
     """Columns of keep, then score, n_toxic (expected toxic tokens) and spans (start:end of tokens at one half or more)."""
-    names = [x.split()[0] for x in keep.split(", ")]
     known: dict[str, float] = {}
 
     def run(part):
         texts = [t or "" for t in part.column(text).to_pylist()]
-        kept = {n: part.column(n) for n in names}
+        kept = {n: part.column(n) for n in keep}
         if model is None:
             return kept | {"score": [0.0] * len(texts), "n_toxic": [0.0] * len(texts), "spans": [""] * len(texts)}
         words = [WORD.findall(t) for t in texts]
@@ -206,4 +206,4 @@ def score(docs: DataFrame, model: Model | None, keep: str = "doc_id bigint", tex
             spans.append(",".join(f"{found[i][0]}:{found[i][1]}" for i in hot))
         return kept | {"score": 1 / (1 + np.exp(-np.clip(about @ model.head, -30, 30))), "n_toxic": np.expm1(about[:, 1]), "spans": spans}
 
-    return common.map_batches(docs.select(*dict.fromkeys([*names, text])), run, f"{keep}, score double, n_toxic double, spans string", text)
+    return common.map_batches(docs.select(*dict.fromkeys([*keep, text])), run, common.fields(docs, keep, "score double, n_toxic double, spans string"), text)
