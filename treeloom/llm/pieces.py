@@ -31,7 +31,7 @@ from . import common
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-MEMO = 150_000
+MEMO = 400_000
 INFINITE = np.int64(1) << 40
 
 
@@ -169,7 +169,12 @@ class Transducer:
             final[node] = i if whole[i] else -1
         self.n, self.pairs, self.edges, self.follow = n, Hashed(pairs), Hashed(edges), Hashed(dict.fromkeys(follow, 1))
         self.final = np.array(final)
-        self.units = re.compile(" *[^ \n]+| +|\n") if not any("\n" in t for t in normal) else re.compile(" *[^ ]+| +")
+        # every path has a bound between a letter and what follows no letter in any piece: units end there, so that the memo knows more
+        letter = "[A-Za-zÀ-ÖØ-öø-ʯЀ-ҁҊ-ӿ]"
+        joined = {t[i + 1] for t in normal for i in range(len(t) - 1) if re.match(letter, t[i])}
+        tails = "".join(c for c in "!\"#$%&()*+,./:;<=>?@[\\]^`{|}~" if c not in joined)
+        letters = rf" *{letter}+(?=[{re.escape(tails)}])|" if tails else ""
+        self.units = re.compile(letters + " *[^ \n]+| +|\n") if not any("\n" in t for t in normal) else re.compile(letters + " *[^ ]+| +")
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def may_follow(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
