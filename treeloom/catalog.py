@@ -1,6 +1,9 @@
-"""Named queries and the SQL each must agree with."""
+"""Named queries over the driver's tables, and the SQL that each must agree with."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import corpus, history, shape, trees
+
+PARTS = (trees, shape, history, corpus)
+QUERIES: dict = {k: f for p in PARTS for k, f in p.QUERIES.items()}
+ORACLES: dict[str, str] = {k: s for p in PARTS for k, s in p.ORACLES.items()}
