@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 MIN_CHARS, EDITS = 32, 2
+#: Letters that are counted: a pair whose counts are further apart than its edits allow is none.
+LETTERS = " etaonirshdlcm"
+#: Size of the bitmap that keeps lines without a candidate out of a shuffle: 8 MB, whatever the input.
+BITMAP_BITS = 26
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -37,58 +41,118 @@ def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return short * i + F.greatest(longer, F.lit(0)), short + (longer >= 0).cast("int")
 
 
-def keys(line: str, length: str, edits: int) -> tuple[Column, Column]:
-    """Of a line: keys of its own segments, and of the substrings to look up."""
-    own, look = [], []
+def keys(line: str, length: str, edits: int) -> Column:
+    """Keys of a line: of its own edits + 1 segments, then of the other substrings to look up."""
+    own, other = [], []
     for i in range(edits + 1):
-        start, size = segment(F.col(length), i, edits)
-        own.append(F.xxhash64(F.col(length), F.lit(i), F.substring(F.col(line), start + 1, size)))
         for less in range(edits + 1):
             start, size = segment(F.col(length) - less, i, edits)
             for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
-                look.append(F.xxhash64(F.col(length) - less, F.lit(i), F.substring(F.col(line), start + 1 + shift, size)))
-    return F.array(*own), F.array(*look)
+                key = F.xxhash64(F.col(length) - less, F.lit(i), F.substring(F.col(line), start + 1 + shift, size))
+                (other if less or shift else own).append(key)
+    return F.array(*own, *other)
 
 
-def with_distance(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
-    """pairs whose columns a and b are at most `edits` apart, with that distance as column `edits`.
+def letter_counts(line: str, length: str) -> Column:
+    """Length and how often each of LETTERS stands in a line, modulo 16, four bits each, the length on top.
 
-    r holds, for each number of edits e, the diagonals on which the automaton can be after j characters of b with e
-    edits; bit d stands for j + d - edits characters of a. x has the diagonals whose next characters are equal.
+    An edit moves the counts by two at most.
+    """
+    out = F.shiftleft((F.col(length) % 16).cast("bigint"), 4 * len(LETTERS))
+    for i, c in enumerate(LETTERS):
+        n = (F.octet_length(line) - F.octet_length(F.replace(F.col(line), F.lit(c), F.lit("")))) % 16
+        out = out.bitwiseOR(F.shiftleft(n.cast("bigint"), 4 * i))
+    return out
+
+
+def letters_apart(a: Column, b: Column) -> Column:
+    """By how much two such counts differ at least."""
+    out = F.lit(0)
+    for i in range(len(LETTERS)):
+        x, y = (F.shiftrightunsigned(c, 4 * i).bitwiseAND(15) for c in (a, b))
+        out = out + F.least(F.abs(x - y), 16 - F.abs(x - y))
+    return out
+
+
+def may_be_near(a: Column, b: Column, a_letters: Column, b_letters: Column, edits: int) -> Column:
+    """Do the counts allow so few edits? Of two lines of one length, which look each other up, one order only."""
+    same_length = F.shiftrightunsigned(a_letters, 4 * len(LETTERS)) == F.shiftrightunsigned(b_letters, 4 * len(LETTERS))
+    return (a != b) & (~same_length | (a < b)) & (letters_apart(a_letters, b_letters) <= 2 * edits)
+
+
+def held_bits(keys: DataFrame, key: str) -> DataFrame:
+    """A bitmap of hashes of a key, as at most 2048 rows of 4 KB: (bucket, bits)."""
+    return keys.select(_bit(key).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+
+
+def may_be_held(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
+    """rows without (most of) those whose key is not among the keys of a bitmap, found before any shuffle."""
+    at = F.bitmap_bit_position(_bit(key))
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    near = rows.withColumn("bucket", F.bitmap_bucket_number(_bit(key))).join(F.broadcast(bits), "bucket")
+    return near.filter(byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (at % 8 + 1).cast("int"))) != 0).select(*rows.columns)
+
+
+def _bit(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(1 << BITMAP_BITS)) + 1
+
+
+def differing_parts(a: str, b: str) -> Column:
+    """struct(x, y): code points of columns a and b without what both begin and end with.
+
+    The common prefix, then suffix, grows by powers of two from the largest that fits. transform() over one element
+    names a value, so that it is computed once.
+    """
+    grow = "aggregate(transform(sequence(0, cast(log2(1 + {most}) AS int)), e -> shiftleft(1, cast(log2(1 + {most}) AS int) - e)), 0, (n, w) -> IF(n + w <= {most} AND {equal}, n + w, n))"
+    prefix = grow.format(most=f"least(length({a}), length({b}))", equal=f"substring({a}, n + 1, w) = substring({b}, n + 1, w)")
+    suffix = grow.format(most="least(length(s.x), length(s.y))", equal="substring(s.x, length(s.x) - n - w + 1, w) = substring(s.y, length(s.y) - n - w + 1, w)")
+    points = "IF(length(s.{0}) = q, cast(array() AS array<int>), transform(split(substring(s.{0}, 1, length(s.{0}) - q), ''), c -> ascii(c)))"
+    parts = f"struct({points.format('x')} AS x, {points.format('y')} AS y)"
+    return F.expr(f"get(transform(array({prefix}), p -> get(transform(array(struct(substring({a}, p + 1) AS x, substring({b}, p + 1) AS y)), s -> get(transform(array({suffix}), q -> {parts}), 0)), 0)), 0)")
+
+
+def with_distance(pairs: DataFrame, edits: int) -> DataFrame:
+    """pairs whose columns x and y (arrays of code points) are at most `edits` apart, with that distance as `edits`.
+
+    r holds, for each number of edits e, the diagonals on which the automaton can be after j characters of y with e
+    edits; bit d stands for j + d - edits characters of x. v has the diagonals whose next characters are equal. With
+    no diagonal left, nothing more is computed.
     """
     width = 2 * edits + 1
     begin = ", ".join(str(sum(1 << (edits + d) for d in range(e + 1))) for e in range(edits + 1))
-    equal = " + ".join(f"coalesce(cast(get(p, j + {d - edits - 1}) = get(t, j - 1) AS int), 0) * {1 << d}" for d in range(width))
-    steps = ["r[0] & x"]
+    equal = " + ".join(f"coalesce(cast(get(x, j + {d - edits - 1}) = c AS int), 0) * {1 << d}" for d in range(width))
+    steps = ["r[0] & v"]
     for e in range(1, edits + 1):
-        steps.append(f"((r[{e}] & x) | r[{e - 1}] | shiftright(r[{e - 1}], 1) | shiftleft({steps[-1]}, 1)) & {(1 << width) - 1}")
-    run = f"aggregate(sequence(1, size(t)), array({begin}), (r, j) -> aggregate(array({equal}), r, (r, x) -> array({', '.join(steps)})))"
-    end = f"shiftleft(1, size(p) - size(t) + {edits})"
+        steps.append(f"((r[{e}] & v) | r[{e - 1}] | shiftright(r[{e - 1}], 1) | shiftleft({steps[-1]}, 1)) & {(1 << width) - 1}")
+    step = f"aggregate(array(get(y, j - 1)), r, (r, c) -> aggregate(array({equal}), r, (r, v) -> array({', '.join(steps)})))"
+    run = f"aggregate(slice(sequence(0, size(y)), 2, size(y)), array({begin}), (r, j) -> IF(r[{edits}] = 0, r, {step}))"
+    end = f"shiftleft(1, size(x) - size(y) + {edits})"
     found = "CASE " + " ".join(f"WHEN (r[{e}] & {end}) <> 0 THEN {e}" for e in range(edits + 1)) + " END"
-    split = pairs.withColumn("p", F.split(a, "")).withColumn("t", F.split(b, "")).filter(F.abs(F.size("p") - F.size("t")) <= edits)
-    return split.withColumn("r", F.expr(run)).withColumn("edits", F.expr(found)).filter("edits is not null").drop("p", "t", "r")
+    alike = pairs.filter(F.abs(F.size("x") - F.size("y")) <= edits)
+    return alike.withColumn("r", F.expr(run)).withColumn("edits", F.expr(found)).filter("edits is not null").drop("r")
 
 
 def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
-    """Distinct lines (h1, h2, length, first: where each stands first), and pairs (a, b, edits) of near ones as (h1, h2)."""
+    """Distinct lines (h1, h2, first: where each stands first), and pairs (a, b, edits) of near ones as (h1, h2)."""
     lines = lines_of(docs.filter("doc_id is not null")).withColumn("length", F.length("line")).filter(F.col("length") >= min_chars)
-    own, look = keys("line", "length", edits)
-    hashed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "length", F.struct("doc_id", "line_no").alias("at"), F.concat(own, look).alias("keys"))
+    hashed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct("doc_id", "line_no").alias("at"), "line", "length")
+    distinct = materialize(hashed.groupBy("h1", "h2").agg(F.min("at").alias("first")))
     # the keys are equal in all rows of a line, so any will do; aggregated before the shuffle, however often a line stands
-    distinct = materialize(hashed.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.first("length").alias("length"), F.first("keys").alias("keys")))
-    posted = distinct.select("h1", F.posexplode("keys").alias("k", "key"))
-    index = posted.filter(F.col("k") <= edits).select("key", F.col("h1").alias("a"))
-    probe = posted.filter(F.col("k") > edits).select("key", F.col("h1").alias("b"))
-    meet = index.join(probe, "key").filter("a <> b")
+    posted = hashed.select("h1", "h2", letter_counts("line", "length").alias("letters"), keys("line", "length", edits).alias("keys"))
+    posted = posted.groupBy("h1", "h2").agg(F.first("letters").alias("letters"), F.first("keys").alias("keys"))
+    index = posted.select(F.col("h1").alias("a"), F.col("letters").alias("a_letters"), F.explode(F.slice("keys", 1, edits + 1)).alias("a_key"))
+    probe = posted.select(F.col("h1").alias("b"), F.col("letters").alias("b_letters"), F.explode("keys").alias("b_key"))
+    # the counts are compared within the join, so that lines that share a segment alone are never written out as pairs
+    meet = index.join(probe, (F.col("a_key") == F.col("b_key")) & may_be_near(*(F.col(c) for c in ("a", "b", "a_letters", "b_letters")), edits))
     pairs = materialize(meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct().join(distinct.select("h1", "h2", "first"), "h1")
-    places = needed.select(F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "h1", "h2")
-    texts = lines_of(docs.join(places.select("doc_id").distinct(), "doc_id", "left_semi"))
-    texts = materialize(texts.join(places, ["doc_id", "line_no"]).filter(F.xxhash64("line") == F.col("h1")).select("h1", "h2", "line").distinct())
+    needed = materialize(pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct())
+    texts = may_be_held(hashed.select("h1", "h2", "line"), "h1", held_bits(needed, "h1")).dropDuplicates(["h1", "h2"])
+    texts = materialize(texts.join(needed, "h1"))  # a semi-join would be moved below the bitmap, and shuffle every line
     side = lambda x: texts.select(F.col("h1").alias(x), F.struct("h1", "h2").alias(f"{x}_id"), F.col("line").alias(f"{x}_line"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    near = with_distance(both, "a_line", "b_line", edits)
-    return distinct.drop("keys"), materialize(near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "edits"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a_id", "b_id", differing_parts("a_line", "b_line").alias("parts"))
+    # written first: the automaton reads its arrays once for each character
+    near = with_distance(materialize(both.select("a_id", "b_id", "parts.x", "parts.y")), edits)
+    return distinct, materialize(near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "edits"))
 
 
 def judged_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
@@ -98,7 +162,8 @@ def judged_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS
     ends = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = ends.join(where.select(F.col("id").alias("b"), F.col("first").alias("other")), "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"), F.count("*").alias("links"))
     linked = others.select("id.h1", "id.h2", "other", "links")
-    known = distinct.select("h1", "h2", "first").join(linked, ["h1", "h2"], "left").withColumn("first", F.least("first", "other"))
+    # written, so that both sides of the next join are plain exchanges, of which a very common line's can be split
+    known = materialize(distinct.join(linked, ["h1", "h2"], "left").select("h1", "h2", "links", F.least("first", "other").alias("first")))
     lines = lines_of(docs.filter("doc_id is not null")).filter(F.length("line") >= min_chars)
     stands = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     return stands.join(known, ["h1", "h2"]).select("doc_id", "line_no", F.coalesce("links", F.lit(0)).alias("links"), (F.struct("doc_id", "line_no") > F.col("first")).alias("goes"))
