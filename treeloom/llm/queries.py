@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, extraction, fingerprints, language, linededup, neardup, pieces, secrets, sharding, toxicity
+from . import decontamination, extraction, fingerprints, language, linededup, neardup, oracles, pieces, secrets, sharding, toxicity
 from .common import table
 
 #: Bytes of a shard's texts.
@@ -72,4 +72,9 @@ QUERIES = {
     for f in (op1_secret_scan, op2_document_fingerprints, op3_minhash_near_dedup, op4_toxicity, op5_language_id, op6_html_extraction, op7_sharding, op8_decontamination, op9_line_dedup, op10_sentencepiece)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_minhash_near_dedup": oracles.NEAR_DEDUP,
+    "op7_sharding": oracles.SHARDING.format(limit=SHARD_BYTES),
+    "op8_decontamination": oracles.DECONTAMINATION,
+    "op9_line_dedup": oracles.LINE_DEDUP.format(chars=linededup.MIN_CHARS, edits=linededup.EDITS),
+}
