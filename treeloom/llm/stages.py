@@ -11,8 +11,10 @@ from .queries import tokenizer
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which no language is found (no text, or no letter)."""
+    """Drop documents in which no language is found (no text, or no letter). Where none is labelled, letters decide."""
     model = language.fit(docs.filter(~language.fold_is(F.col("doc_id"), 3, 1)))
+    if not model[0]:
+        return docs.filter(F.regexp_like("text", F.lit(r"\p{L}")))
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # whatever the columns are called
     found = language.predict(plain, model, plain.columns, f"c{docs.columns.index('text')}")
     return found.filter("lang_pred <> 'und'").select(plain.columns).toDF(*docs.columns)
