@@ -25,7 +25,10 @@ def sessions(events: DataFrame, gap: str = DEBOUNCE, lateness: str | None = None
     """(keys, first, last, n) of events (ts) with no pause of more than a gap: what one rebuild answers. For streams,
     lateness is how long a late event is waited for."""
     rows = events.withWatermark("ts", lateness) if lateness else events
-    return rows.groupBy(*keys, F.session_window("ts", gap)).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n")).drop("session_window")
+    # a stream's sessions need a key, and not a constant: those are taken out of the plan
+    by = keys or (F.when(F.col("ts").isNotNull(), 0).alias("_all"),)
+    found = rows.groupBy(*by, F.session_window("ts", gap)).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
+    return found.drop("session_window", "_all")
 
 
 def batches(events: DataFrame, gap: str, *keys: str) -> DataFrame:
