@@ -90,7 +90,12 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, Iterable
 def bounded_sample(df: DataFrame, by: str, key: str, most: int) -> DataFrame:
     """Per value of `by` the `most` rows with the smallest hash of `key`: the same rows in every run, at any size.
 
-    The rank limit is applied before the shuffle (WindowGroupLimit), so a hot value of `by` sends `most` rows a task.
+    Rows are counted first; only those under the hash that about 4 * most rows of a value lie under are then ranked,
+    so that what is shuffled and ranked does not grow with the table. `by` has few values (classes, languages).
     """
-    at = Window.partitionBy(by).orderBy(F.xxhash64(key), key)
-    return df.withColumn("_rank", F.row_number().over(at)).filter(F.col("_rank") <= most).drop("_rank")
+    hashed = F.xxhash64(key)
+    shares = {r[0]: min(1.0, (4.0 * most + 64) / r[1]) for r in df.groupBy(by).agg(F.count("*")).collect() if r[0] is not None}
+    share = F.create_map([F.lit(x) for pair in shares.items() for x in pair])[F.col(by)] if shares else F.lit(0.0)
+    under = F.pmod(hashed, F.lit(1 << 30)) < share * float(1 << 30)
+    at = Window.partitionBy(by).orderBy(hashed, key)
+    return df.filter(under).withColumn("_rank", F.row_number().over(at)).filter(F.col("_rank") <= most).drop("_rank")
