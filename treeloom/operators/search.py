@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import Term, byte_span, fold, lines, tokenize
-from .tree import file_of
+from .tree import dense_ids, file_of
 
 MAX_CONTEXT = 50
 #: Order of the kinds in a result.
@@ -22,13 +22,16 @@ ORDER = ("symbol", "file", "path", "content")
 
 @dataclass(frozen=True)
 class Limits:
-    file: int = 30
-    path: int = 30
-    content: int = 100
-    symbol: int = 30
+    """How many hits of each kind are listed; None lists all."""
+
+    file: int | None = 30
+    path: int | None = 30
+    content: int | None = 100
+    symbol: int | None = 30
 
 
 TERMINAL = Limits(50, 50, 2000, 200)
+ALL = Limits(None, None, None, None)
 
 
 @dataclass(frozen=True)
@@ -127,6 +130,10 @@ def hits(ix: Index, query: str, limits: Limits = Limits()) -> tuple[DataFrame |
     for kind, rows in found.items():
         limit = getattr(limits, kind)
         rows = rows.select("file_id", "path", "line", "text", "start", "end", "doc")
+        if limit is None:  # every hit, numbered without one task for all
+            numbered = dense_ids(rows, *ranking(kind), name="pos", start=1)
+            parts.append(numbered.select(F.lit(kind).alias("kind"), F.col("pos").cast("int").alias("pos"), F.lit(0).cast("bigint").alias("more"), "file_id", "path", "line", "text", "start", "end"))
+            continue
         top = rows.orderBy(*ranking(kind)).limit(limit)  # top-k: no task sorts all
         total = rows.agg(F.greatest(F.count("*") - limit, F.lit(0)).alias("more"))
         pos = F.row_number().over(Window.partitionBy("more").orderBy(*ranking(kind)))

@@ -60,22 +60,19 @@ def hits(spark, sf_dir, text: str, limits: search.Limits) -> DataFrame:
     return found
 
 
-ALL = search.Limits(10**9, 10**9, 10**9, 10**9)
-
-
 @query(docs_sql(f"SELECT file_id, line, {HIT.format(x='text', n='the')} FROM lines WHERE contains(lower(text), 'the')"))
 def search_content(spark, sf_dir):
-    return hits(spark, sf_dir, "content:The", ALL).select("file_id", "line", "start")
+    return hits(spark, sf_dir, "content:The", search.ALL).select("file_id", "line", "start")
 
 
 @query(docs_sql(f"SELECT file_id, line, {HIT.format(x='text', n='ing the')} FROM lines WHERE contains(lower(text), 'ing the') AND contains(lower(text), 'tion')"))
 def search_multi_term(spark, sf_dir):
-    return hits(spark, sf_dir, 'content:"ing the" content:tion', ALL).select("file_id", "line", "start")
+    return hits(spark, sf_dir, 'content:"ing the" content:tion', search.ALL).select("file_id", "line", "start")
 
 
 @query(docs_sql(f"SELECT file_id, line, {HIT.format(x='text', n='la')} FROM lines WHERE contains(lower(text), 'la') AND contains(path, 'fr/') AND contains(name, '7')"))
 def search_tag_filter(spark, sf_dir):
-    return hits(spark, sf_dir, "content:la path:fr/ file:7", ALL).filter("kind = 'content'").select("file_id", "line", "start")
+    return hits(spark, sf_dir, "content:la path:fr/ file:7", search.ALL).filter("kind = 'content'").select("file_id", "line", "start")
 
 
 @query(docs_sql("""SELECT kind, CAST(pos AS INT) AS pos, CAST(greatest(n - k, 0) AS BIGINT) AS more, file_id FROM (
@@ -88,7 +85,7 @@ def search_topk_more(spark, sf_dir):
 @query(docs_sql("""SELECT 'file' AS kind, file_id FROM files WHERE contains(name, 'doc_1') UNION ALL
   SELECT 'path', file_id FROM files WHERE contains(path, 'doc_1') AND NOT (contains(name, 'doc_1') AND strpos(path, 'doc_1') - 1 >= length(path) - length(name)) UNION ALL SELECT 'content', file_id FROM lines WHERE contains(lower(text), 'doc_1')"""))
 def search_path_suppress(spark, sf_dir):
-    return hits(spark, sf_dir, "doc_1", ALL).select("kind", "file_id")
+    return hits(spark, sf_dir, "doc_1", search.ALL).select("kind", "file_id")
 
 
 @query(docs_sql("""SELECT file_id, CAST(min(lo) AS INT) AS first_line, CAST(max(hi) AS INT) AS last_line, count(*) AS marks FROM (
@@ -96,7 +93,7 @@ def search_path_suppress(spark, sf_dir):
       SELECT h.file_id, h.line, greatest(h.line - 1, 0) AS lo, least(h.line + 1, n - 1) AS hi FROM lines h JOIN (SELECT file_id, count(*) AS n FROM lines GROUP BY file_id) USING (file_id) WHERE contains(lower(h.text), 'tionth')))) GROUP BY file_id, run"""))
 def excerpts_merge(spark, sf_dir):
     ix = search.index(files(spark, sf_dir))
-    found, context = search.hits(ix, "content:tionth context:1", ALL)
+    found, context = search.hits(ix, "content:tionth context:1", search.ALL)
     out = search.excerpts(ix, found, context)
     return out.select("file_id", "first_line", (F.col("first_line") + F.size("text") - 1).alias("last_line"), F.size("matched").cast("bigint").alias("marks"))
 
