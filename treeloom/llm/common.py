@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -15,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Bytes of text that one step of a Python worker holds; a single longer text is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,6 +69,14 @@ def column_of(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, type=kind)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on, and what one stage took would count against the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def ragged(flat: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
     """A list column: row i holds flat[bounds[i]:bounds[i + 1]]."""
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
@@ -83,6 +92,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, Iterable
             for part in steps(batch, column):
                 out = fn(part)
                 yield pa.RecordBatch.from_arrays([column_of(out[f.name], f.type) for f in arrow], schema=arrow)
+            give_back()
 
     return df.mapInArrow(run, schema)
 

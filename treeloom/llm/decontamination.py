@@ -202,21 +202,22 @@ def item_blocks(items: DataFrame) -> list[DataFrame]:
 SEARCHED = "row bigint, doc_id bigint, n_words bigint, starts array<bigint>, ends array<bigint>, items array<string>"
 
 
-def search_block(index: DataFrame, plan: Plan) -> DataFrame:
-    """For every row of the index the spans [start, end) of occurrences and the items that they belong to."""
+def occurrences(plan: Plan, part) -> dict:
+    """Columns of SEARCHED for a batch of the index."""
+    terms, places, base = postings(part)
+    phrase, start = plan.exact(terms, places)
+    doc = np.searchsorted(base, start, side="right") - 1
+    order = np.argsort(doc, kind="stable")
+    phrase, start, doc = phrase[order], start[order] - base[doc[order]], doc[order]
+    bounds = np.searchsorted(doc, np.arange(part.num_rows + 1))
+    items = [sorted({x for p in np.unique(phrase[a:b]).tolist() for x in plan.phrases.items[p]}) if b > a else [] for a, b in zip(bounds[:-1], bounds[1:])]
+    kept = {n: part.column(n) for n in ("row", "doc_id", "n_words")}
+    return kept | {"starts": common.ragged(start, bounds), "ends": common.ragged(start + plan.phrases.lengths[phrase], bounds), "items": items}
 
-    def run(part):
-        terms, places, base = postings(part)
-        phrase, start = plan.exact(terms, places)
-        doc = np.searchsorted(base, start, side="right") - 1
-        order = np.argsort(doc, kind="stable")
-        phrase, start, doc = phrase[order], start[order] - base[doc[order]], doc[order]
-        bounds = np.searchsorted(doc, np.arange(part.num_rows + 1))
-        items = [sorted({x for p in np.unique(phrase[a:b]).tolist() for x in plan.phrases.items[p]}) if b > a else [] for a, b in zip(bounds[:-1], bounds[1:])]
-        kept = {n: part.column(n) for n in ("row", "doc_id", "n_words")}
-        return kept | {"starts": common.ragged(start, bounds), "ends": common.ragged(start + plan.phrases.lengths[phrase], bounds), "items": items}
 
-    return common.map_batches(index, run, SEARCHED, "positions")
+def search_block(index: DataFrame, plan: Plan) -> DataFrame:
+    """For every row of the index the spans [start, end) of occurrences and the items that they belong to."""
+    return common.map_batches(index, lambda part: occurrences(plan, part), SEARCHED, "positions")
 
 
 def covered(starts: np.ndarray, ends: np.ndarray) -> int:
@@ -228,26 +229,35 @@ def covered(starts: np.ndarray, ends: np.ndarray) -> int:
     return int((ends - np.maximum(starts, np.concatenate(([0], ends[:-1])))).clip(0).sum())
 
 
-def search(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """SEARCHED, for every row of docs, over all items."""
+def planned(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, list[Plan]]:
+    """The index of docs, and a plan for each block of items."""
     blocks = item_blocks(items)
-    index, found = None, []
+    index, plans = None, []
     for block in blocks:
         phrases = Phrases.of(sorted((tuple(r) for r in block.collect()), key=lambda r: (r[0] or "", r[1])))
         vocabulary = phrases.vocabulary()
         if index is None:
             index = build_index(docs, vocabulary if len(blocks) == 1 else None)
-        found.append(search_block(index, Plan(phrases, vocabulary, corpus_counts(index, vocabulary))))
+        plans.append(Plan(phrases, vocabulary, corpus_counts(index, vocabulary)))
+    return index, plans
+
+
+def search(index: DataFrame, plans: list[Plan]) -> DataFrame:
+    """SEARCHED, for every row of the index, over all blocks; each block gives one row for each row of the index."""
+    found = [search_block(index, plan) for plan in plans]
     if len(found) == 1:
         return found[0]
-    # each block gives one row for each row of the index
     merged = reduce(DataFrame.unionByName, found).groupBy("row", "doc_id", "n_words")
     return merged.agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends")), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs."""
-    return digests(search(docs, items))
+    index, plans = planned(docs, items)
+    if len(plans) == 1:  # found and summed up in one step: a task then needs one Python worker
+        return common.map_batches(index, lambda part: digest(occurrences(plans[0], part)), DIGEST, "positions")
+    found = search(index, plans)
+    return common.map_batches(found, lambda part: digest({n: part.column(n) for n in part.schema.names}), DIGEST, "starts")
 
 
 def proximity(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
@@ -265,17 +275,17 @@ def proximity(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
     return common.map_batches(index, run, "doc_id bigint, items array<string>, position bigint", "positions")
 
 
-def digests(found: DataFrame) -> DataFrame:
-    def run(part):
-        hits = [covered(np.array(s, np.int64), np.array(e, np.int64)) for s, e in zip(part.column("starts").to_pylist(), part.column("ends").to_pylist(), strict=True)]
-        items = part.column("items").to_pylist()
-        return {
-            "doc_id": part.column("doc_id"),
-            "n_words": part.column("n_words"),
-            "n_hit": hits,
-            "n_items": [len(x) for x in items],
-            "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items],
-            "contaminated": [h > 0 for h in hits],
-        }
+DIGEST = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+
 
-    return common.map_batches(found, run, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean", "starts")
+def digest(found: dict) -> dict:
+    hits = [covered(np.array(s, np.int64), np.array(e, np.int64)) for s, e in zip(found["starts"].to_pylist(), found["ends"].to_pylist(), strict=True)]
+    items = found["items"] if isinstance(found["items"], list) else found["items"].to_pylist()
+    return {
+        "doc_id": found["doc_id"],
+        "n_words": found["n_words"],
+        "n_hit": hits,
+        "n_items": [len(x) for x in items],
+        "items_sha256": [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items],
+        "contaminated": [h > 0 for h in hits],
+    }

@@ -166,7 +166,7 @@ def compare_with_next(docs: DataFrame, cells: int | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row that has not met its next: (cell, follows, doc_id, text, fingerprint)
         for batch in batches:
-            for part in common.steps(batch, "text", common.STEP_BYTES // 2):
+            for part in common.steps(batch, "text", common.STEP_BYTES):
                 rows = list(zip(*(part.column(c).to_pylist() for c in ("cell", "follows", "doc_id", "text")), strict=True))
                 rows = [(*r, m) for r, m in zip(rows, fingerprint([r[3] for r in rows]), strict=True)]
                 chain = ([held] if held else []) + rows

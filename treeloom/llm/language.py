@@ -24,7 +24,7 @@ from . import common
 DIM = 1024
 #: Bounds of the training sample: texts a language, characters a text.
 SAMPLE_TEXTS, SAMPLE_CHARS = 400, 20_000
-BLOCK = 4096
+BLOCK = 2048
 
 
 @cache

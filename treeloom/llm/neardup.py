@@ -160,6 +160,7 @@ def links(classes: DataFrame, docs: DataFrame) -> DataFrame:
                             yield close()
                         at, group = (key, pair), []
                     group.append(row)
+            common.give_back()
         if len(group) > 1:
             yield close()
 

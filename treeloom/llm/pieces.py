@@ -31,7 +31,7 @@ from . import common
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-MEMO = 400_000
+MEMO = 200_000
 INFINITE = np.int64(1) << 40
 
 
