@@ -166,5 +166,5 @@ def diff_entity_status(spark, sf_dir):
 
 
 #: Their SQL agrees at the smallest scale, but at the next one it meets a fault inside DuckDB 2.0 that takes down every
-#: later query of the same connection; so it is kept for tests and not among the oracles.
+#: later query of the same connection; so it is kept here and is not among the oracles.
 FRAGILE = {name: ORACLES.pop(name) for name in ("diff_union_ids", "diff_ref_status", "diff_entity_status")}
