@@ -267,6 +267,42 @@ def test_line_join_agrees_with_brute_force(spark):
         assert got == expected
 
 
+def test_lines_of_every_length_are_compared(spark):
+    rng = random.Random(12)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    def changed(line):
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(line) + 1)
+            line = line[:k] + rng.choice(["", "a", "é", "bé"]) + line[k + rng.randint(0, 1) :]
+        return line
+
+    base = ["".join(rng.choice("aéb c") for _ in range(n)) for n in (1, 2, 9, 15, 16, 17, 18, 30, 31, 32, 33, 34, 40)]
+    texts = {i: "\n".join([changed(rng.choice(base)) for _ in range(5)] + ["", "All rights reserved."][: i % 3]) for i in range(60)}
+    firsts, expected = {}, {}
+    for i, t in texts.items():
+        for k, line in enumerate(t.split("\n")):
+            firsts.setdefault(line, (i, k))
+    allowed = lambda x, y: min(2, min(len(x), len(y)) // 16)
+    for i, t in texts.items():
+        lines = [(k, x) for k, x in enumerate(t.split("\n")) if x]
+        near = {k: [f for y, f in firsts.items() if y and y != x and distance(x, y) <= allowed(x, y)] for k, x in lines}
+        gone = [k for k, x in lines if (i, k) > min([firsts[x], *near[k]])]
+        expected[i] = (len(lines), sum(map(len, near.values())), ",".join(map(str, gone)))
+    assert sum(links for _, links, _ in expected.values()) > 100
+    got = {r.doc_id: (r.n_compared, r.n_links, r.dropped) for r in linededup.line_report(docs(spark, texts)).collect()}
+    assert got == expected
+    cut = linededup.without_lines(docs(spark, {1: "own\nAll rights reserved.", 2: "other\nAll rights reserved."}))
+    assert {r.doc_id: r.text for r in cut.collect()} == {1: "own\nAll rights reserved.", 2: "other"}
+
+
 def test_lines_that_go_are_cut(spark):
     long = "a line that is long enough to be compared with others"
     out = linededup.without_lines(docs(spark, {1: f"{long}\nshort", 2: f"{long}!\nown line of the second document, long too", 3: long, 4: None}).withColumn("n_chars", F.lit(9).cast("bigint")))

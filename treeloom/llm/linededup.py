@@ -1,11 +1,13 @@
 """Line dedup by a segment-partition edit join, with DataFrame operations only.
 
-Lines of at least MIN_CHARS code points are compared; two are near if at most EDITS insertions, deletions and
-substitutions part them. A line is cut into EDITS + 1 segments of even length; by the pigeonhole principle a near
-line, at most EDITS shorter, has one of them intact. Each distinct line is indexed under (length, segment number,
-segment) and probes, for its own and each shorter length, the substrings that can be that segment (those whose shift
-leaves enough edits on both sides). What meets is verified by the universal Levenshtein automaton: bit vectors of the
-2 * EDITS + 1 diagonals around the main one, one for each number of edits, advanced a character at a time.
+All lines but empty ones are compared. Two are near if few enough insertions, deletions and substitutions part them:
+EDITS where the shorter has MIN_CHARS code points or more, and in proportion, rounded down, where it has fewer (one
+from 16, none under 16, where equal lines alone meet, by their hash). A line that allows e edits is cut into e + 1
+segments of even length; by the pigeonhole principle a near line, at most e longer, has one of them intact. Each
+distinct line is indexed under (length, segment number, segment) and probes, for its own and each shorter length, the
+substrings that can be that segment (those whose shift leaves enough edits on both sides). What meets is verified by
+the universal Levenshtein automaton: bit vectors of the 2 * EDITS + 1 diagonals around the main one, one for each
+number of edits, advanced a character at a time.
 
 A line goes if an equal line, or a near one, stands earlier (by doc_id, then line number); each line is compared with
 all others, not only with those that stay.
@@ -41,16 +43,32 @@ def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
     return short * i + F.greatest(longer, F.lit(0)), short + (longer >= 0).cast("int")
 
 
-def keys(line: str, length: str, edits: int) -> Column:
-    """Keys of a line: of its own edits + 1 segments, then of the other substrings to look up."""
+def allowed(length: Column, min_chars: int, edits: int) -> Column:
+    """Edits that may part a line of this length from one as long or longer."""
+    return F.least(F.lit(edits), F.floor(length * edits / min_chars).cast("int"))
+
+
+def segment_keys(line: str, length: str, edits: int) -> tuple[list[tuple[int, Column]], list[tuple[int, Column]]]:
+    """Keys of a line, each with how much shorter what it meets is: of its own edits + 1 segments, of others to look up."""
     own, other = [], []
     for i in range(edits + 1):
         for less in range(edits + 1):
             start, size = segment(F.col(length) - less, i, edits)
             for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
                 key = F.xxhash64(F.col(length) - less, F.lit(i), F.substring(F.col(line), start + 1 + shift, size))
-                (other if less or shift else own).append(key)
-    return F.array(*own, *other)
+                (other if less or shift else own).append((less, key))
+    return own, other
+
+
+def keys(line: str, length: str, min_chars: int, edits: int) -> Column:
+    """Keys of a line: edits + 1 of its own segments, then of the other substrings to look up; null where it has fewer."""
+    tiers = [(e, *segment_keys(line, length, e)) for e in range(1, edits + 1)]
+    held = lambda e, pair: F.when(allowed(F.col(length) - pair[0], min_chars, edits) == e, pair[1])
+    own = [F.coalesce(*(held(e, mine[i]) for e, mine, _ in tiers if i <= e)) for i in range(edits + 1)]
+    other = [held(e, pair) for e, _, more in tiers for pair in more]
+    every = [key for part in tiers[-1][1:] for _, key in part]
+    # from a length on, all that a line meets allows all edits, and no key needs a condition
+    return F.when(F.col(length) >= min_chars + edits, F.array(*every)).otherwise(F.array(*own, *other))
 
 
 def letter_counts(line: str, length: str) -> Column:
@@ -134,11 +152,12 @@ def with_distance(pairs: DataFrame, edits: int) -> DataFrame:
 
 def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
     """Distinct lines (h1, h2, first: where each stands first), and pairs (a, b, edits) of near ones as (h1, h2)."""
-    lines = lines_of(docs.filter("doc_id is not null")).withColumn("length", F.length("line")).filter(F.col("length") >= min_chars)
+    lines = lines_of(docs.filter("doc_id is not null")).withColumn("length", F.length("line")).filter("length > 0")
     hashed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct("doc_id", "line_no").alias("at"), "line", "length")
     distinct = materialize(hashed.groupBy("h1", "h2").agg(F.min("at").alias("first")))
     # the keys are equal in all rows of a line, so any will do; aggregated before the shuffle, however often a line stands
-    posted = hashed.select("h1", "h2", letter_counts("line", "length").alias("letters"), keys("line", "length", edits).alias("keys"))
+    joined = hashed.filter(allowed(F.col("length"), min_chars, edits) > 0)
+    posted = joined.select("h1", "h2", letter_counts("line", "length").alias("letters"), keys("line", "length", min_chars, edits).alias("keys"))
     posted = posted.groupBy("h1", "h2").agg(F.first("letters").alias("letters"), F.first("keys").alias("keys"))
     index = posted.select(F.col("h1").alias("a"), F.col("letters").alias("a_letters"), F.explode(F.slice("keys", 1, edits + 1)).alias("a_key"))
     probe = posted.select(F.col("h1").alias("b"), F.col("letters").alias("b_letters"), F.explode("keys").alias("b_key"))
@@ -146,12 +165,13 @@ def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS)
     meet = index.join(probe, (F.col("a_key") == F.col("b_key")) & may_be_near(*(F.col(c) for c in ("a", "b", "a_letters", "b_letters")), edits))
     pairs = materialize(meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     needed = materialize(pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct())
-    texts = may_be_held(hashed.select("h1", "h2", "line"), "h1", held_bits(needed, "h1")).dropDuplicates(["h1", "h2"])
+    texts = may_be_held(joined.select("h1", "h2", "line"), "h1", held_bits(needed, "h1")).dropDuplicates(["h1", "h2"])
     texts = materialize(texts.join(needed, "h1"))  # a semi-join would be moved below the bitmap, and shuffle every line
     side = lambda x: texts.select(F.col("h1").alias(x), F.struct("h1", "h2").alias(f"{x}_id"), F.col("line").alias(f"{x}_line"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a_id", "b_id", differing_parts("a_line", "b_line").alias("parts"))
+    may = allowed(F.least(F.length("a_line"), F.length("b_line")), min_chars, edits)
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a_id", "b_id", may.alias("may"), differing_parts("a_line", "b_line").alias("parts"))
     # written first: the automaton reads its arrays once for each character
-    near = with_distance(materialize(both.select("a_id", "b_id", "parts.x", "parts.y")), edits)
+    near = with_distance(materialize(both.select("a_id", "b_id", "may", "parts.x", "parts.y")), edits).filter("edits <= may")
     return distinct, materialize(near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "edits"))
 
 
@@ -164,7 +184,7 @@ def judged_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS
     linked = others.select("id.h1", "id.h2", "other", "links")
     # written, so that both sides of the next join are plain exchanges, of which a very common line's can be split
     known = materialize(distinct.join(linked, ["h1", "h2"], "left").select("h1", "h2", "links", F.least("first", "other").alias("first")))
-    lines = lines_of(docs.filter("doc_id is not null")).filter(F.length("line") >= min_chars)
+    lines = lines_of(docs.filter("doc_id is not null")).filter(F.length("line") > 0)
     stands = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     return stands.join(known, ["h1", "h2"]).select("doc_id", "line_no", F.coalesce("links", F.lit(0)).alias("links"), (F.struct("doc_id", "line_no") > F.col("first")).alias("goes"))
 
