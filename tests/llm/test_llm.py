@@ -330,6 +330,21 @@ def test_shingles_are_those_of_the_words():
     assert len(sets[2]) == 1 and not np.array_equal(sets[2], sets[3]) and len(sets[4]) == 0
 
 
+def test_stages_judge_each_row(spark, prose, tmp_path):
+    item, a, b, c = prose(12), prose(60), prose(60), prose(60)
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), "doc_id bigint, text string")
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    leaked = f"{a} {item} {b}"
+    got = pairs(stages.without_benchmark(spark, rows((None, leaked), (None, a), (3, leaked), (3, b), (4, c), (4, c)), str(tmp_path)))
+    assert got == sorted([(None, a), (3, b), (4, c), (4, c)], key=str)
+    got = pairs(stages.one_of_each_group(spark, rows((None, a), (None, a), (9, b), (2, b), (2, b), (None, b), (5, c), (5, prose(3)), (None, None)), ""))
+    assert [x for x in got if x[1] in (a, b, c)] == sorted([(None, a), (2, b), (5, c)], key=str) and len(got) == 5
+    got = pairs(stages.without_repeated_lines(spark, rows((None, f"{a}\nnew"), (7, a), (7, a), (None, "new\nown"), (7, f"{b}\n{a}")), ""))
+    assert sorted(t for i, t in got if i == 7) == sorted([a, b]) and len(got) in (3, 4)
+    assert sorted("\n".join(t for i, t in got if i is None).split("\n")) == ["new", "own"]
+
+
 def test_pipeline_decides_stage_by_stage(spark, prose, tmp_path):
     a, b, item = prose(80), prose(80), prose(12)
     texts = {1: a, 2: "\n".join(["new start of some length, to be kept as it is", a]), 3: b, 4: "123 456", 5: f"{prose(30)} {item} {prose(30)}", 6: prose(3), 7: " ".join([*b.split()[:40], "changed", *b.split()[41:]])}

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -36,6 +36,20 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Key of a row within a stage, whatever its doc_id.
+ROW = "_row"
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """docs, written, with a key that is each row's own."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def order_of(row: str) -> list[Column]:
+    """By which rows come first: by doc_id, those without one last, then by their key."""
+    return [F.isnull("doc_id").alias("without"), F.col("doc_id"), F.col(row)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

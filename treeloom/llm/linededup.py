@@ -12,9 +12,10 @@ number of edits, advanced a character at a time.
 A line goes if an equal line, or a near one, stands earlier (by doc_id, then line number); each line is compared with
 all others, not only with those that stay.
 
-Defined cases: null is an empty text, of one empty line; documents without doc_id are neither compared nor cut; rows
-that repeat a doc_id are one document, whose equal lines of equal number do not exclude each other; other columns
-are ignored.
+Defined cases: null is an empty text, of one empty line; other columns are ignored. In line_report() documents without
+doc_id are not compared, and rows that repeat a doc_id are one document, whose equal lines of equal number do not
+exclude each other. without_lines() judges each row by itself: rows of one doc_id stand one after the other, those
+without doc_id last.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import ROW, materialize, order_of, with_row_key
 
 MIN_CHARS, EDITS = 32, 2
 #: Letters that are counted: a pair whose counts are further apart than its edits allow is none.
@@ -31,8 +32,14 @@ LETTERS = " etaonirshdlcm"
 BITMAP_BITS = 26
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
+def lines_of(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc (what is judged as one: a row if its key is named, else a doc_id), at (where a line stands), line_no, line."""
+    if row is None:
+        docs, doc, order = docs.filter("doc_id is not null"), F.col("doc_id"), [F.col("doc_id")]
+    else:
+        doc, order = F.col(row), order_of(row)
+    lines = docs.select(doc.alias("doc"), F.struct(*order).alias("order"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
+    return lines.filter(F.length("line") > 0).select("doc", F.struct("order.*", "line_no").alias("at"), "line_no", "line")
 
 
 def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -150,10 +157,10 @@ def with_distance(pairs: DataFrame, edits: int) -> DataFrame:
     return alike.withColumn("r", F.expr(run)).withColumn("edits", F.expr(found)).filter("edits is not null").drop("r")
 
 
-def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
+def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Distinct lines (h1, h2, first: where each stands first), and pairs (a, b, edits) of near ones as (h1, h2)."""
-    lines = lines_of(docs.filter("doc_id is not null")).withColumn("length", F.length("line")).filter("length > 0")
-    hashed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct("doc_id", "line_no").alias("at"), "line", "length")
+    lines = lines_of(docs, row).withColumn("length", F.length("line"))
+    hashed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "at", "line", "length")
     distinct = materialize(hashed.groupBy("h1", "h2").agg(F.min("at").alias("first")))
     # the keys are equal in all rows of a line, so any will do; aggregated before the shuffle, however often a line stands
     joined = hashed.filter(allowed(F.col("length"), min_chars, edits) > 0)
@@ -175,25 +182,24 @@ def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS)
     return distinct, materialize(near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "edits"))
 
 
-def judged_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
-    """(doc_id, line_no, links, goes) of every compared line: how many different lines are near, and whether it goes."""
-    distinct, near = near_lines(docs, min_chars, edits)
+def judged_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS, row: str | None = None) -> DataFrame:
+    """(doc, line_no, links, goes) of every compared line: how many different lines are near, and whether it goes."""
+    distinct, near = near_lines(docs, min_chars, edits, row)
     where = distinct.select(F.struct("h1", "h2").alias("id"), "first")
     ends = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = ends.join(where.select(F.col("id").alias("b"), F.col("first").alias("other")), "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"), F.count("*").alias("links"))
     linked = others.select("id.h1", "id.h2", "other", "links")
     # written, so that both sides of the next join are plain exchanges, of which a very common line's can be split
     known = materialize(distinct.join(linked, ["h1", "h2"], "left").select("h1", "h2", "links", F.least("first", "other").alias("first")))
-    lines = lines_of(docs.filter("doc_id is not null")).filter(F.length("line") > 0)
-    stands = lines.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    return stands.join(known, ["h1", "h2"]).select("doc_id", "line_no", F.coalesce("links", F.lit(0)).alias("links"), (F.struct("doc_id", "line_no") > F.col("first")).alias("goes"))
+    stands = lines_of(docs, row).select("doc", "at", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    return stands.join(known, ["h1", "h2"]).select("doc", "line_no", F.coalesce("links", F.lit(0)).alias("links"), (F.col("at") > F.col("first")).alias("goes"))
 
 
 def line_report(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
     """doc_id, n_lines, n_compared, n_links (near lines of its lines), n_dropped, dropped (their numbers) for every row."""
     number = F.when(F.col("goes"), F.col("line_no"))
     lines = judged_lines(docs, min_chars, edits).distinct()
-    by = lines.groupBy("doc_id").agg(F.count("*").alias("n_compared"), F.sum("links").alias("n_links"), F.count(number).alias("n_dropped"), F.array_join(F.array_sort(F.collect_list(number)), ",").alias("dropped"))
+    by = lines.groupBy(F.col("doc").alias("doc_id")).agg(F.count("*").alias("n_compared"), F.sum("links").alias("n_links"), F.count(number).alias("n_dropped"), F.array_join(F.array_sort(F.collect_list(number)), ",").alias("dropped"))
     n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("bigint")
     out = docs.select("doc_id", n_lines.alias("n_lines")).join(by, "doc_id", "left")
     return out.select("doc_id", "n_lines", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_compared", "n_links", "n_dropped")), F.coalesce("dropped", F.lit("")).alias("dropped"))
@@ -201,8 +207,9 @@ def line_report(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS)
 
 def without_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
     """docs with the lines that go cut out of text; n_chars follows where docs has it. Texts that lose all are left out."""
-    gone = judged_lines(docs, min_chars, edits).filter("goes").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(gone, "doc_id", "left")
+    keyed = with_row_key(docs)
+    gone = judged_lines(keyed, min_chars, edits, ROW).filter("goes").groupBy(F.col("doc").alias(ROW)).agg(F.collect_set("line_no").alias("_gone"))
+    joined = keyed.join(gone, ROW, "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_gone", i)), "\n")
     out = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
     out = out.filter(F.col("_gone").isNull() | (F.trim("text") != ""))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, language, linededup, neardup, pieces
-from .common import table
+from .common import ROW, order_of, table, with_row_key
 from .queries import tokenizer
 
 
@@ -26,15 +26,20 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of near duplicates."""
-    out = neardup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti").select(docs.columns)
+    """Keep one row of each group of near duplicates: that of the smallest doc_id; one without doc_id if all are."""
+    keyed = with_row_key(docs)
+    found = neardup.near_duplicates(keyed.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
+    # the operator keeps the smallest key of a group, which need not be the key of the smallest doc_id
+    grouped = found.join(keyed.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(F.struct(*order_of(ROW))).alias("first"))
+    kept = grouped.select(F.col(f"first.{ROW}").alias(ROW))
+    return keyed.join(kept, ROW, "left_semi").select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a window of a benchmark item. Documents without doc_id stay."""
-    out = decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti").select(docs.columns)
+    """Drop the rows that hold a window of a benchmark item."""
+    keyed = with_row_key(docs)
+    found = decontamination.contamination(keyed.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return keyed.join(found.filter("contaminated").select(F.col("doc_id").alias(ROW)), ROW, "left_anti").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
