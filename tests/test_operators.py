@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from treeloom.functions import rank, text, tokens
 from treeloom.operators import cut, diff, goto, layout, lineops, search, testcode, tree, view
+from treeloom.plans import corpus, trees
 from treeloom.sources import names, occurrences, scan
 from treeloom.streaming import live
 
@@ -164,6 +165,38 @@ def test_goto_prefers_the_named_target(spark):
     assert got == {(1, 2), (2, 1)}
 
 
+def test_all_references_are_asked_and_suppressed(spark):
+    at = "/root/testdata/sf0.001"
+    rows, _ = trees.graph(spark, at)
+    nodes = {r.id: r for r in rows.select("id", "kind", "name", "parent").collect()}
+    found = [(r.ref_id, r.src, r.dst, r.kind, list(r.sites)) for r in trees.refs(spark, at).collect()]
+
+    def above(i):
+        while i is not None:
+            yield i
+            i = nodes[i].parent
+
+    file_of = lambda i: next((a for a in above(i) if nodes[a].kind == "file"), None)
+    on, asks = {}, set()
+    for ref, src, dst, kind, lines in found:
+        for line in lines if file_of(src) is not None else []:
+            on.setdefault((file_of(src), line), []).append((ref, dst))
+            if kind in ("call", "type_ref", "import"):
+                asks.add((src, file_of(src), line, nodes[dst].name))
+    for query, named in ((corpus.goto_named, True), (corpus.goto_alias, False)):
+        expected = {}
+        for src, file, line, token in asks:
+            for ref, dst in on[file, line]:
+                if not named or nodes[dst].name == token:
+                    expected[src, dst] = min(ref, expected.get((src, dst), ref))
+        got = [(r.ask, r.dst, r.first_ref) for r in query(spark, at).collect()]
+        assert any(src % 7 for src, _ in expected) and sorted(got) == sorted((*k, v) for k, v in expected.items())
+    hits = {(src, lines[0] if lines else None, d) for _, src, dst, _, lines in found for d in (dst, nodes[dst].parent)}
+    outer = {(src, line, a) for src, line, dst in hits for a in list(above(dst))[1:]}
+    got = [(r.src, r.line, r.dst) for r in corpus.outer_suppress(spark, at).collect()]
+    assert len(got) == len(set(got)) and set(got) == hits - outer
+
+
 def brute_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -105,7 +105,7 @@ def asked(spark, sf_dir, alias: bool) -> tuple[DataFrame, DataFrame]:
     entities, up = graph(spark, sf_dir)
     refs = all_refs(spark, sf_dir)
     places = goto.sited(entities, up, refs)
-    some = refs.filter("src % 7 = 0 and kind in ('call', 'type_ref', 'import')").select("ref_id", F.col("src").alias("ask"))
+    some = refs.filter("kind in ('call', 'type_ref', 'import')").select("ref_id", F.col("src").alias("ask"))
     rows = some.join(places, "ref_id").select("ask", "file_id", "line", F.col("name").alias("token")).distinct()
     return (rows.withColumn("token", F.lit("alias")).withColumn("text", F.lit("alias here")) if alias else rows.withColumn("text", F.col("token"))), places
 
@@ -174,7 +174,7 @@ def granularity_refs(spark, sf_dir):
     f"hits AS (SELECT DISTINCT src, line, unnest([dst, CASE WHEN dst >= {fx.PART} THEN (SELECT parent FROM entities WHERE id = dst) ELSE dst END]) AS dst FROM refs WHERE ref_id % 2 = 0)"))
 def outer_suppress(spark, sf_dir):
     entities, up = graph(spark, sf_dir)
-    refs = all_refs(spark, sf_dir).filter("ref_id % 2 = 0").select("src", F.col("sites")[0].alias("line"), "dst")
+    refs = all_refs(spark, sf_dir).select("src", F.col("sites")[0].alias("line"), "dst")
     owners = entities.select(F.col("id").alias("dst"), "parent")
     hits_ = refs.unionByName(refs.join(owners, "dst").select("src", "line", F.col("parent").alias("dst"))).distinct()
     return occurrences.without_outer(hits_, up)
