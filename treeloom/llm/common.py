@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,29 +21,70 @@ STEP_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset and all is one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="treeloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+FREES_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What a query within shuffles goes when it ends, not when the driver next collects garbage."""
+    before = spark.conf.get(FREES_SHUFFLES, "false")
+    spark.conf.set(FREES_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREES_SHUFFLES, before)
+
+
+def materialize(df: DataFrame, **options: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, whoever is lost later."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_freed(spark):
+        df.write.options(**options).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables that materialize() gave, once nothing that is still to be computed reads them."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Key of a row within a stage, whatever its doc_id.
 ROW = "_row"
 
 
-def with_row_key(docs: DataFrame) -> DataFrame:
-    """docs, written, with a key that is each row's own."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()))
+def sealed(docs: DataFrame, known: Sequence[str] = ("doc_id", "text", "n_chars")) -> DataFrame:
+    """docs with a key of each row's own, and with all columns but the known ones renamed, so that no name clashes.
+
+    A table read from files has such keys: the file and the row's number in it. Any other is written, with numbers.
+    """
+    names = [c if c in known else f"c{i}" for i, c in enumerate(docs.columns)]
+    if "_metadata" not in docs.columns and docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and docs.inputFiles():
+        key = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+        return docs.select("*", key).toDF(*names, ROW)
+    plain = docs.toDF(*names)
+    return materialize(plain.withColumn(ROW, F.struct(F.lit(0).cast("bigint").alias("file"), F.monotonically_increasing_id().alias("at"))))
+
+
+def unsealed(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, named as they were, of rows that sealed() gave."""
+    return rows.select(*rows.columns[: len(docs.columns)]).toDF(*docs.columns)
 
 
 def order_of(row: str) -> list[Column]:

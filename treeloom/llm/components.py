@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,4 +35,5 @@ def components(edges: DataFrame) -> DataFrame:
         before = mark
         if mark[0] == 0:
             continue
-        at = materialize(_star(_star(at, True), False))
+        at, old = materialize(_star(_star(at, True), False)), at
+        discard(old)

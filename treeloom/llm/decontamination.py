@@ -95,7 +95,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFr
             "positions": common.ragged(position.astype(np.int32), every),
         }
 
-    lists = common.map_batches(docs.select("doc_id", "text"), run, "doc_id bigint, n_words bigint, terms array<bigint>, counts array<int>, positions array<int>")
+    lists = common.map_batches(docs.select("doc_id", "text"), run, common.fields(docs, ["doc_id"], "n_words bigint, terms array<bigint>, counts array<int>, positions array<int>"))
     return common.materialize(lists.select(F.monotonically_increasing_id().alias("row"), "*"))
 
 
@@ -199,11 +199,12 @@ def item_blocks(items: DataFrame) -> list[DataFrame]:
     return [usable.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)] if n > 1 else [usable]
 
 
-SEARCHED = "row bigint, doc_id bigint, n_words bigint, starts array<bigint>, ends array<bigint>, items array<string>"
+SEARCHED = "starts array<bigint>, ends array<bigint>, items array<string>"
+CARRIED = ("row", "doc_id", "n_words")
 
 
 def occurrences(plan: Plan, part) -> dict:
-    """Columns of SEARCHED for a batch of the index."""
+    """Columns of CARRIED and SEARCHED for a batch of the index."""
     terms, places, base = postings(part)
     phrase, start = plan.exact(terms, places)
     doc = np.searchsorted(base, start, side="right") - 1
@@ -211,13 +212,13 @@ def occurrences(plan: Plan, part) -> dict:
     phrase, start, doc = phrase[order], start[order] - base[doc[order]], doc[order]
     bounds = np.searchsorted(doc, np.arange(part.num_rows + 1))
     items = [sorted({x for p in np.unique(phrase[a:b]).tolist() for x in plan.phrases.items[p]}) if b > a else [] for a, b in zip(bounds[:-1], bounds[1:])]
-    kept = {n: part.column(n) for n in ("row", "doc_id", "n_words")}
+    kept = {n: part.column(n) for n in CARRIED}
     return kept | {"starts": common.ragged(start, bounds), "ends": common.ragged(start + plan.phrases.lengths[phrase], bounds), "items": items}
 
 
 def search_block(index: DataFrame, plan: Plan) -> DataFrame:
     """For every row of the index the spans [start, end) of occurrences and the items that they belong to."""
-    return common.map_batches(index, lambda part: occurrences(plan, part), SEARCHED, "positions")
+    return common.map_batches(index, lambda part: occurrences(plan, part), common.fields(index, CARRIED, SEARCHED), "positions")
 
 
 def covered(starts: np.ndarray, ends: np.ndarray) -> int:
@@ -243,11 +244,11 @@ def planned(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, list[Plan]]:
 
 
 def search(index: DataFrame, plans: list[Plan]) -> DataFrame:
-    """SEARCHED, for every row of the index, over all blocks; each block gives one row for each row of the index."""
+    """CARRIED and SEARCHED, for every row of the index, over all blocks; each block gives one row for each row of the index."""
     found = [search_block(index, plan) for plan in plans]
     if len(found) == 1:
         return found[0]
-    merged = reduce(DataFrame.unionByName, found).groupBy("row", "doc_id", "n_words")
+    merged = reduce(DataFrame.unionByName, found).groupBy(*CARRIED)
     return merged.agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends")), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
 
@@ -255,9 +256,9 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs."""
     index, plans = planned(docs, items)
     if len(plans) == 1:  # found and summed up in one step: a task then needs one Python worker
-        return common.map_batches(index, lambda part: digest(occurrences(plans[0], part)), DIGEST, "positions")
+        return common.map_batches(index, lambda part: digest(occurrences(plans[0], part)), common.fields(index, ["doc_id"], DIGEST), "positions")
     found = search(index, plans)
-    return common.map_batches(found, lambda part: digest({n: part.column(n) for n in part.schema.names}), DIGEST, "starts")
+    return common.map_batches(found, lambda part: digest({n: part.column(n) for n in part.schema.names}), common.fields(found, ["doc_id"], DIGEST), "starts")
 
 
 def proximity(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
@@ -272,10 +273,10 @@ def proximity(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
         ids = part.column("doc_id").to_pylist()
         return {"doc_id": [ids[d] for d in doc.tolist()], "items": [plan.phrases.items[p] for p in phrase.tolist()], "position": at - base[doc]}
 
-    return common.map_batches(index, run, "doc_id bigint, items array<string>, position bigint", "positions")
+    return common.map_batches(index, run, common.fields(index, ["doc_id"], "items array<string>, position bigint"), "positions")
 
 
-DIGEST = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+DIGEST = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
 
 
 def digest(found: dict) -> dict:

@@ -12,24 +12,30 @@ number of edits, advanced a character at a time.
 A line goes if an equal line, or a near one, stands earlier (by doc_id, then line number); each line is compared with
 all others, not only with those that stay.
 
-Defined cases: null is an empty text, of one empty line; other columns are ignored. In line_report() documents without
-doc_id are not compared, and rows that repeat a doc_id are one document, whose equal lines of equal number do not
-exclude each other. without_lines() judges each row by itself: rows of one doc_id stand one after the other, those
-without doc_id last.
+Lines that share a key with no other are dropped at once; the letters of the rest are counted, and compared where two
+lines meet, before a pair of them is written or read.
+
+Defined cases: null is an empty text, of one empty line; an empty table gives an empty one; a text of any length is
+split and compared whole; of equal or near lines the earliest stays, and lines at the same place (of rows that repeat
+a doc_id) tie and do not exclude each other; other columns are ignored, whatever their names. In line_report()
+documents without doc_id are not compared, and rows that repeat a doc_id are one document. without_lines() judges each
+row by itself: rows of one doc_id stand one after the other, those without doc_id last.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, materialize, order_of, with_row_key
+from .common import ROW, discard, materialize, order_of, sealed, unsealed
 
 MIN_CHARS, EDITS = 32, 2
 #: Letters that are counted: a pair whose counts are further apart than its edits allow is none.
 LETTERS = " etaonirshdlcm"
 #: Size of the bitmap that keeps lines without a candidate out of a shuffle: 8 MB, whatever the input.
 BITMAP_BITS = 26
+#: Lines with one key that a part of a join takes.
+SALTED = 1 << 14
 
 
 def lines_of(docs: DataFrame, row: str | None = None) -> DataFrame:
@@ -42,12 +48,10 @@ def lines_of(docs: DataFrame, row: str | None = None) -> DataFrame:
     return lines.filter(F.length("line") > 0).select("doc", F.struct("order.*", "line_no").alias("at"), "line_no", "line")
 
 
-def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i (from 0): even, the longer ones last."""
-    n = edits + 1
-    short = F.floor(length / n).cast("int")
-    longer = (length % n).cast("int") - n + i  # how many longer segments stand before this one
-    return short * i + F.greatest(longer, F.lit(0)), short + (longer >= 0).cast("int")
+def hashed(lines: DataFrame) -> DataFrame:
+    """lines with h1 and h2, their 128-bit name, points (their code points, four bytes each) and length."""
+    points = lines.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.encode("line", "UTF-32").alias("points"))
+    return points.withColumn("length", (F.octet_length("points") / 4).cast("int"))
 
 
 def allowed(length: Column, min_chars: int, edits: int) -> Column:
@@ -55,27 +59,42 @@ def allowed(length: Column, min_chars: int, edits: int) -> Column:
     return F.least(F.lit(edits), F.floor(length * edits / min_chars).cast("int"))
 
 
-def segment_keys(line: str, length: str, edits: int) -> tuple[list[tuple[int, Column]], list[tuple[int, Column]]]:
-    """Keys of a line, each with how much shorter what it meets is: of its own edits + 1 segments, of others to look up."""
-    own, other = [], []
+def places(edits: int) -> list[tuple[int, int, int, int]]:
+    """Where a line meets others: (how much shorter they are, segment, shift, least edits that allow it), its own first."""
+    out = []
     for i in range(edits + 1):
         for less in range(edits + 1):
-            start, size = segment(F.col(length) - less, i, edits)
-            for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
-                key = F.xxhash64(F.col(length) - less, F.lit(i), F.substring(F.col(line), start + 1 + shift, size))
-                (other if less or shift else own).append((less, key))
-    return own, other
+            for shift in range(-edits, edits + 1):
+                fits = [e for e in range(max(1, i), edits + 1) if less <= e and max(-i, less - (e - i)) <= shift <= min(i, less + e - i)]
+                out += [(less, i, shift, fits[0])] if fits else []
+    return sorted(out, key=lambda x: bool(x[0] or x[2]))
 
 
-def keys(line: str, length: str, min_chars: int, edits: int) -> Column:
-    """Keys of a line: edits + 1 of its own segments, then of the other substrings to look up; null where it has fewer."""
-    tiers = [(e, *segment_keys(line, length, e)) for e in range(1, edits + 1)]
-    held = lambda e, pair: F.when(allowed(F.col(length) - pair[0], min_chars, edits) == e, pair[1])
-    own = [F.coalesce(*(held(e, mine[i]) for e, mine, _ in tiers if i <= e)) for i in range(edits + 1)]
-    other = [held(e, pair) for e, _, more in tiers for pair in more]
-    every = [key for part in tiers[-1][1:] for _, key in part]
-    # from a length on, all that a line meets allows all edits, and no key needs a condition
-    return F.when(F.col(length) >= min_chars + edits, F.array(*every)).otherwise(F.array(*own, *other))
+def keyed(lines: DataFrame, carried: list[str], min_chars: int, edits: int) -> DataFrame:
+    """The carried columns of hashed lines, their length, and k0, k1, ...: a key for each of places(), whether allowed or not.
+
+    A line that allows e edits has e + 1 even segments, the longer ones last. Bytes of points are cut at once, while a
+    string is walked to its n-th character. What keys share are columns of their own, and held_keys() drops what isn't
+    allowed: the code for a line must stay under 8,000 bytes, beyond which the JVM interprets it.
+    """
+    for less in range(edits + 1):
+        lines = lines.withColumn(f"n{less}", F.expr(f"least({edits}, (length - {less}) * {edits} div {min_chars}) + 1").cast("int"))
+        lines = lines.withColumn(f"short{less}", F.expr(f"(length - {less}) div n{less} * 4").cast("int")).withColumn(f"over{less}", F.expr(f"((length - {less}) % n{less} - n{less}) * 4"))
+    found = places(edits)
+    for less, i in dict.fromkeys((less, i) for less, i, _, _ in found if i):
+        longer = f"over{less} + {4 * i}"  # four for each longer segment before this one
+        lines = lines.withColumn(f"start{less}_{i}", F.expr(f"short{less} * {i} + greatest({longer}, 0)")).withColumn(f"size{less}_{i}", F.expr(f"IF({longer} >= 0, short{less} + 4, short{less})"))
+
+    def key(less: int, i: int, shift: int) -> Column:
+        part = f"substring(points, start{less}_{i} + {4 * shift + 1}, size{less}_{i})" if i else f"substring(points, {4 * shift + 1}, short{less})"
+        return F.expr(f"xxhash64((length - {less}) * {edits + 1} + {i}, {part})")
+
+    return lines.select(*carried, "length", *(key(*place).alias(f"k{i}") for i, (*place, _) in enumerate(found)))
+
+
+def held_keys(min_chars: int, edits: int) -> list[Column]:
+    """The keys of keyed(), null where a line's length doesn't allow one; its own segments come first."""
+    return [F.when(allowed(F.col("length") - less, min_chars, edits) >= least, F.col(f"k{i}")) for i, (less, _, _, least) in enumerate(places(edits))]
 
 
 def letter_counts(line: str, length: str) -> Column:
@@ -99,10 +118,8 @@ def letters_apart(a: Column, b: Column) -> Column:
     return out
 
 
-def may_be_near(a: Column, b: Column, a_letters: Column, b_letters: Column, edits: int) -> Column:
-    """Do the counts allow so few edits? Of two lines of one length, which look each other up, one order only."""
-    same_length = F.shiftrightunsigned(a_letters, 4 * len(LETTERS)) == F.shiftrightunsigned(b_letters, 4 * len(LETTERS))
-    return (a != b) & (~same_length | (a < b)) & (letters_apart(a_letters, b_letters) <= 2 * edits)
+def letters_near(a: Column, b: Column, edits: int) -> Column:
+    return letters_apart(a, b) <= 2 * edits
 
 
 def held_bits(keys: DataFrame, key: str) -> DataFrame:
@@ -157,29 +174,49 @@ def with_distance(pairs: DataFrame, edits: int) -> DataFrame:
     return alike.withColumn("r", F.expr(run)).withColumn("edits", F.expr(found)).filter("edits is not null").drop("r")
 
 
+def crowds(posted: DataFrame, min_chars: int, edits: int) -> DataFrame:
+    """(key, h1, own, parts): lines that share a key with another line, one of which has it as an own segment."""
+    held = F.array(*held_keys(min_chars, edits))
+    rows = posted.select("h1", F.posexplode(held).alias("n", "key")).filter("key is not null").select("h1", "key", (F.col("n") <= edits).alias("own"))
+    of = Window.partitionBy("key")
+    found = rows.select("*", F.min("h1").over(of).alias("low"), F.max("h1").over(of).alias("high"), F.max("own").over(of).alias("owned"), F.count("*").over(of).alias("n"))
+    return found.filter("low <> high and owned").select("key", "h1", "own", F.ceil(F.col("n") / SALTED).cast("int").alias("parts"))
+
+
+def meetings(crowded: DataFrame, letters: DataFrame, edits: int) -> DataFrame:
+    """Pairs (a, b) of the h1 of lines that share a key and whose letters allow it, each once.
+
+    Letters are compared within the join, so that lines of one template are not written out as pairs; where very many
+    lines share a key, each part of those looking up meets a copy of those that have it.
+    """
+    rows = crowded.join(letters, "h1")
+    few = rows.filter("own").select("key", F.col("h1").alias("a"), F.col("letters").alias("a_letters"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    many = rows.select("key", F.col("h1").alias("b"), F.col("letters").alias("b_letters"), F.pmod(F.xxhash64(F.lit(2), "h1"), "parts").cast("int").alias("part"))
+    near = few.join(many, ["key", "part"]).filter((F.col("a") != F.col("b")) & letters_near(F.col("a_letters"), F.col("b_letters"), edits))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Distinct lines (h1, h2, first: where each stands first), and pairs (a, b, edits) of near ones as (h1, h2)."""
-    lines = lines_of(docs, row).withColumn("length", F.length("line"))
-    hashed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "at", "line", "length")
-    distinct = materialize(hashed.groupBy("h1", "h2").agg(F.min("at").alias("first")))
+    lines = hashed(lines_of(docs, row))
+    rows = keyed(lines, ["h1", "h2", "at"], min_chars, edits)
     # the keys are equal in all rows of a line, so any will do; aggregated before the shuffle, however often a line stands
-    joined = hashed.filter(allowed(F.col("length"), min_chars, edits) > 0)
-    posted = joined.select("h1", "h2", letter_counts("line", "length").alias("letters"), keys("line", "length", min_chars, edits).alias("keys"))
-    posted = posted.groupBy("h1", "h2").agg(F.first("letters").alias("letters"), F.first("keys").alias("keys"))
-    index = posted.select(F.col("h1").alias("a"), F.col("letters").alias("a_letters"), F.explode(F.slice("keys", 1, edits + 1)).alias("a_key"))
-    probe = posted.select(F.col("h1").alias("b"), F.col("letters").alias("b_letters"), F.explode("keys").alias("b_key"))
-    # the counts are compared within the join, so that lines that share a segment alone are never written out as pairs
-    meet = index.join(probe, (F.col("a_key") == F.col("b_key")) & may_be_near(*(F.col(c) for c in ("a", "b", "a_letters", "b_letters")), edits))
-    pairs = materialize(meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    needed = materialize(pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct())
-    texts = may_be_held(joined.select("h1", "h2", "line"), "h1", held_bits(needed, "h1")).dropDuplicates(["h1", "h2"])
-    texts = materialize(texts.join(needed, "h1"))  # a semi-join would be moved below the bitmap, and shuffle every line
+    once = rows.groupBy("h1", "h2").agg(F.min("at").alias("first"), *(F.first(c).alias(c) for c in rows.columns[3:]))
+    posted = materialize(once, **{"parquet.enable.dictionary": "false"})
+    crowded = materialize(crowds(posted, min_chars, edits))
+    needed = crowded.select("h1").distinct()
+    texts = may_be_held(lines.select("h1", "h2", "line", "length"), "h1", held_bits(needed, "h1")).dropDuplicates(["h1", "h2"])
+    # a semi-join would be moved below the bitmap, and shuffle every line
+    texts = materialize(texts.join(needed, "h1").select("h1", "h2", "line", letter_counts("line", "length").alias("letters")))
+    pairs = meetings(crowded, texts.select("h1", "letters"), edits)
     side = lambda x: texts.select(F.col("h1").alias(x), F.struct("h1", "h2").alias(f"{x}_id"), F.col("line").alias(f"{x}_line"))
     may = allowed(F.least(F.length("a_line"), F.length("b_line")), min_chars, edits)
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a_id", "b_id", may.alias("may"), differing_parts("a_line", "b_line").alias("parts"))
+    close = pairs.join(side("a"), "a").join(side("b"), "b")
     # written first: the automaton reads its arrays once for each character
-    near = with_distance(materialize(both.select("a_id", "b_id", "may", "parts.x", "parts.y")), edits).filter("edits <= may")
-    return distinct, materialize(near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "edits"))
+    both = materialize(close.select("a_id", "b_id", may.alias("may"), differing_parts("a_line", "b_line").alias("parts")).select("a_id", "b_id", "may", "parts.x", "parts.y"))
+    near = materialize(with_distance(both, edits).filter("edits <= may").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "edits"))
+    discard(crowded, texts, both)
+    return posted.select("h1", "h2", "first"), near
 
 
 def judged_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS, row: str | None = None) -> DataFrame:
@@ -207,7 +244,7 @@ def line_report(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS)
 
 def without_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
     """docs with the lines that go cut out of text; n_chars follows where docs has it. Texts that lose all are left out."""
-    keyed = with_row_key(docs)
+    keyed = sealed(docs)
     gone = judged_lines(keyed, min_chars, edits, ROW).filter("goes").groupBy(F.col("doc").alias(ROW)).agg(F.collect_set("line_no").alias("_gone"))
     joined = keyed.join(gone, ROW, "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("_gone", i)), "\n")
@@ -215,4 +252,4 @@ def without_lines(docs: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDIT
     out = out.filter(F.col("_gone").isNull() | (F.trim("text") != ""))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+    return unsealed(out.select(keyed.columns), docs)

@@ -63,7 +63,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             keys = mix((keys + rows[:, :, j]) * np.uint64(0x9FB21C651E98DF25))
         return {"doc_id": part.column("doc_id"), "n_shingles": [len(s) for s in sets], "class_id": [class_of(d) for d in digests], "bands": keys.view(np.int64)}
 
-    return common.map_batches(docs.select("doc_id", "text"), run, "doc_id bigint, n_shingles bigint, class_id bigint, bands array<bigint>")
+    return common.map_batches(docs.select("doc_id", "text"), run, common.fields(docs, ["doc_id"], "n_shingles bigint, class_id bigint, bands array<bigint>"))
 
 
 def class_of(digest: bytes) -> int | None:

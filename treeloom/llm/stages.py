@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, language, linededup, neardup, pieces
-from .common import ROW, order_of, table, with_row_key
+from .common import ROW, order_of, sealed, table, unsealed
 from .queries import tokenizer
 
 
@@ -27,20 +27,22 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of near duplicates: that of the smallest doc_id; one without doc_id if all are."""
-    keyed = with_row_key(docs)
+    keyed = sealed(docs)
     found = neardup.near_duplicates(keyed.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
     # the operator keeps the smallest key of a group, which need not be the key of the smallest doc_id
     grouped = found.join(keyed.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(F.struct(*order_of(ROW))).alias("first"))
     kept = grouped.select(F.col(f"first.{ROW}").alias(ROW))
-    return keyed.join(kept, ROW, "left_semi").select(docs.columns)
+    return unsealed(keyed.join(kept, ROW, "left_semi").select(keyed.columns), docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the rows that hold a window of a benchmark item."""
-    keyed = with_row_key(docs)
+    keyed = sealed(docs)
     found = decontamination.contamination(keyed.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return keyed.join(found.filter("contaminated").select(F.col("doc_id").alias(ROW)), ROW, "left_anti").select(docs.columns)
+    leaked = found.filter("contaminated").select(F.col("doc_id").alias(ROW))
+    return unsealed(keyed.join(leaked, ROW, "left_anti").select(keyed.columns), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of every document, its text restored from them to be compared with the given one."""
     return pieces.encode(docs, tokenizer())
