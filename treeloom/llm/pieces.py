@@ -3,16 +3,21 @@
 Three parts are compiled from a model file. The normaliser maps a space to U+2581 and puts one in front. The lexicon
 is a trie of pieces, with byte arcs for characters that no piece has. The grammar of a byte-pair model is an
 automaton whose state is the last piece: piece q may follow p only if merging p's and q's characters in the order of
-the merge table ends at p, q; an arc that may not be taken costs infinity and any other costs one (tropical
-semiring). Composed with an input, the shortest path is found position by position. Since merging is deterministic,
-each position is entered by one last piece only, so the path is exact: the library's own segmentation.
+the merge table ends at p, q. Weights are of the tropical semiring: an arc costs one for each piece or byte that it
+writes, and an arc that the grammar forbids costs infinity; along a path costs add, and where paths meet the least is
+kept. Composed with an input, the shortest path is found position by position.
 
-Between two characters that stand side by side in no piece every path has a bound, so texts are cut there, and
-what was cut is looked up in a bounded memo before it is composed. Runs of spaces, which merge last, are compiled
-separately.
+Merging is deterministic, so the prefix of a text has one segmentation that the grammar allows: of the paths that
+meet at a position one at most has a finite cost. The shortest path is therefore the library's own segmentation, and
+ties can't occur.
 
-Defined cases: null and empty texts have no piece; a text of any length is encoded whole; U+2581 in a text counts as
-a space and is decoded as one; repeated rows get equal pieces; other columns are ignored.
+Between two characters that stand side by side in no piece every path has a bound, so texts are cut there, and what
+was cut is looked up in a bounded memo of two generations (its pieces, and the bytes that they stand for) before it
+is composed. Runs of spaces, which merge last, are compiled separately.
+
+Defined cases: null and empty texts have no piece; an empty table gives an empty one; a text of any length is encoded
+whole; U+2581 in a text counts as a space and is decoded as one; repeated rows get equal pieces; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cached_property
 
 import numpy as np
@@ -31,7 +36,8 @@ from . import common
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-MEMO = 200_000
+#: Units of one generation of the memo.
+MEMO = 100_000
 INFINITE = np.int64(1) << 40
 
 
@@ -175,7 +181,9 @@ class Transducer:
         tails = "".join(c for c in "!\"#$%&()*+,./:;<=>?@[\\]^`{|}~" if c not in joined)
         letters = rf" *{letter}+(?=[{re.escape(tails)}])|" if tails else ""
         self.units = re.compile(letters + " *[^ \n]+| +|\n") if not any("\n" in t for t in normal) else re.compile(letters + " *[^ ]+| +")
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.sizes = np.array([len(r) for r in self.raw])
+        self.memo: list[dict[str, bytes]] = [{}, {}]  # of a unit its ids, as 32-bit integers, and the bytes they stand for
+        self.older: list[dict[str, bytes]] = [{}, {}]
 
     def may_follow(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Is p, q what merging their characters ends at? Joins are undone, the latest first; one over the bound that
@@ -194,9 +202,10 @@ class Transducer:
             p, q = np.where(undo, self.right[p], p), np.where(undo, q, self.left[q])
         return out
 
-    def compose(self, units: list[str]) -> list[tuple[int, ...]]:
-        """The shortest path of each of several inputs, which hold no run of spaces."""
-        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
+    def compose(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
+        """The shortest path of each of several inputs, which hold no run of spaces: all pieces, where those of each
+        input begin, and the pieces of inputs with a character that no piece has."""
+        codes = np.frombuffer("".join(units).replace(" ", SPACE).encode("utf-32-le"), np.uint32).astype(np.int64)
         lengths = np.array([len(u) for u in units])
         ends = np.cumsum(lengths)
         first = np.zeros(len(codes) + 1, bool)
@@ -224,15 +233,16 @@ class Transducer:
         order = np.argsort(step, kind="stable")
         start, end, piece = start[order], end[order], piece[order]
         last, back = np.full(len(codes), -1), np.arange(len(codes))
+        cost = np.full(len(codes), INFINITE)  # of the least path up to and with a character
         bounds = np.searchsorted(step[order], np.arange(1, int(step.max(initial=0)) + 2))
         for lo, hi in zip(bounds[:-1], bounds[1:]):
             s, e, p = start[lo:hi], end[lo:hi], piece[lo:hi]
-            taken = offset[s] == 0
-            inner = np.flatnonzero(~taken)
-            before = last[s[inner] - 1]
-            inner, before = inner[before >= 0], before[before >= 0]
-            taken[inner] = self.may_follow(before, p[inner])
-            last[e[taken]], back[e[taken]] = p[taken], s[taken]
+            total = np.where(offset[s] == 0, 0, cost[s - 1]) + 1
+            inner = np.flatnonzero((offset[s] > 0) & (total < INFINITE))
+            total[inner[~self.may_follow(last[s[inner] - 1], p[inner])]] = INFINITE
+            np.minimum.at(cost, e, total)
+            least = (total == cost[e]) & (total < INFINITE)
+            last[e[least]], back[e[least]] = p[least], s[least]
         passed = np.zeros(len(codes), bool)
         front, floor = (ends - 1)[lengths > 0], (ends - lengths)[lengths > 0]
         while len(front):
@@ -241,13 +251,13 @@ class Transducer:
             inside = front >= floor
             front, floor = front[inside], floor[inside]
         places = np.flatnonzero(passed)
-        found = last[places].tolist()
-        bounds = np.searchsorted(places, np.concatenate(([0], ends))).tolist()
-        out = [tuple(found[a:b]) for a, b in zip(bounds, bounds[1:])]
-        for i in np.unique(np.searchsorted(ends, places[last[places] < 0], side="right")).tolist():  # characters that no piece has
-            at = places[bounds[i] : bounds[i + 1]].tolist()
-            out[i] = tuple(x for j in at for x in ([int(last[j])] if last[j] >= 0 else [self.bytes.get(b, self.unknown) for b in chr(codes[j]).encode()]))
-        return out
+        found = last[places]
+        bounds = np.searchsorted(places, np.concatenate(([0], ends)))
+        spelt = {}
+        for i in np.unique(np.searchsorted(ends, places[found < 0], side="right")).tolist():
+            at = range(bounds[i], bounds[i + 1])
+            spelt[i] = [x for j in at for x in ([int(found[j])] if found[j] >= 0 else [self.bytes.get(b, self.unknown) for b in chr(codes[places[j]]).encode()])]
+        return found, bounds, spelt
 
     def run(self, n: int) -> tuple[int, ...]:
         """Pieces of n spaces in a row."""
@@ -260,26 +270,63 @@ class Transducer:
                 self.run_memo[n] = tuple(self.runs[t] for t in fold_run(n, self.run_rank))
         return self.run_memo[n]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        cut = [self.units.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
-        memo = self.memo
-        fresh = list({u for us in cut for u in us if u not in memo})
-        if len(memo) + len(fresh) > MEMO:
-            memo.clear()
-            fresh = list({u for us in cut for u in us})
-        # of several spaces before a word, only the last can join it
-        bare = [u.lstrip(" ") for u in fresh]
-        lead = [len(u) - len(b) for u, b in zip(fresh, bare, strict=True)]
-        some = [i for i, b in enumerate(bare) if b]
-        paths = dict(zip(some, self.compose([SPACE * min(1, lead[i]) + bare[i] for i in some]) if some else [], strict=True))
-        alone = self.runs[SPACE]
-        for i, u in enumerate(fresh):
-            path, n = paths.get(i, ()), lead[i]
-            if path and n > 1:
-                memo[u] = self.run(n) + path[1:] if path[0] == alone else self.run(n - 1) + path
+    def learn(self, units: set[str]) -> None:
+        """Put units into the memo."""
+        if len(self.memo[0]) + len(units) > MEMO:
+            self.memo, self.older = [{}, {}], self.memo
+        ids, stands_for = self.memo
+        fresh = []
+        for u in units:
+            if (known := self.older[0].get(u)) is None:
+                fresh.append(u)
+            else:
+                ids[u], stands_for[u] = known, self.older[1][u]
+        bare = [u for u in fresh if u[:1] != " " or (u[1:2] != " " and len(u) > 1)]
+        self.learn_words(bare, bare)
+        if len(bare) < len(fresh):
+            self.learn_spaced([u for u in fresh if u[:1] == " " and (u[1:2] == " " or len(u) == 1)])
+
+    def learn_words(self, units: list[str], words: list[str]) -> None:
+        """Put units into the memo with the paths of words, which have one space at most."""
+        if not words:
+            return
+        found, bounds, spelt = self.compose(words)
+        flat, raw = found.astype("<i4").tobytes(), b"".join(map(self.raw.__getitem__, found.tolist()))
+        cuts = np.concatenate(([0], np.cumsum(self.sizes[found])))[bounds].tolist()
+        bounds = (4 * bounds).tolist()
+        self.memo[0].update(zip(units, map(flat.__getitem__, map(slice, bounds, bounds[1:])), strict=True))
+        self.memo[1].update(zip(units, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+        for i, path in spelt.items():
+            self.remember(units[i], path)
+
+    def learn_spaced(self, units: list[str]) -> None:
+        """Put units into the memo that begin with several spaces, or have nothing else: only the last can join a word."""
+        words = [u for u in units if u.strip(" ")]
+        self.learn_words(words, [" " + u.lstrip(" ") for u in words])
+        for u in units:
+            n = len(u) - len(u.lstrip(" "))
+            if n == len(u):
+                self.remember(u, self.run(n))
             else:
-                memo[u] = path or self.run(n)
-        return [[i for u in us for i in memo[u]] for us in cut]
+                path = np.frombuffer(self.memo[0][u], "<i4").tolist()
+                self.remember(u, [*self.run(n), *path[1:]] if path[0] == self.runs[SPACE] else [*self.run(n - 1), *path])
+
+    def remember(self, unit: str, path: Sequence[int]) -> None:
+        self.memo[0][unit] = struct.pack(f"<{len(path)}i", *path)
+        self.memo[1][unit] = b"".join([self.raw[i] for i in path])
+
+    def translate(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Of each text its ids, as 32-bit integers, and the bytes that they stand for."""
+        cut = [self.units.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
+        units = set().union(*cut)
+        fresh = units.difference(self.memo[0])
+        # a new generation begins where these don't fit, and then all of them must be in it
+        self.learn(fresh if len(self.memo[0]) + len(fresh) <= MEMO else units)
+        ids, stands_for = (x.__getitem__ for x in self.memo)
+        return [b"".join(map(ids, us)) for us in cut], [b"".join(map(stands_for, us)).removeprefix(b" ") for us in cut]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(x, "<i4").tolist() for x in self.translate(texts)[0]]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")
@@ -334,17 +381,15 @@ def encode(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
 
     def run(part):
         texts = [t or "" for t in part.column(text).to_pylist()]
-        fst = compiled(shipped.value)
-        ids = fst.encode(texts)
-        decoded = [fst.decode(i) for i in ids]
-        offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids])))
-        flat = pa.array(np.fromiter((x for i in ids for x in i), np.int32, int(offsets[-1])))
+        ids, decoded = compiled(shipped.value).translate(texts)
+        offsets = np.concatenate(([0], np.cumsum([len(i) // 4 for i in ids])))
+        flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
         return {
             "doc_id": part.column("doc_id"),
             "n_tokens": np.diff(offsets),
             "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, type=pa.list_(pa.field("element", pa.int32()))),
-            "decoded_sha256": [hashlib.sha256(d.encode()).hexdigest() for d in decoded],
-            "round_trip": [a == b for a, b in zip(texts, decoded, strict=True)],
+            "decoded_sha256": [hashlib.sha256(d).hexdigest() for d in decoded],
+            "round_trip": [a.encode() == b for a, b in zip(texts, decoded, strict=True)],
         }
 
-    return common.map_batches(docs.select(*dict.fromkeys(["doc_id", text])), run, "doc_id bigint, n_tokens bigint, ids array<int>, decoded_sha256 string, round_trip boolean", text)
+    return common.map_batches(docs.select(*dict.fromkeys(["doc_id", text])), run, common.fields(docs, ["doc_id"], "n_tokens bigint, ids array<int>, decoded_sha256 string, round_trip boolean"), text)
