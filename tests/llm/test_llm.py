@@ -91,6 +91,75 @@ def test_fingerprints_share_interiors_and_follow_the_next_row(spark, prose):
             assert got[i].near_next == fingerprints.likeness(*fingerprints.fingerprint([mine, after]))
 
 
+def plain_phrases(text):
+    """The parse of one text, symbol by symbol: names level by level."""
+    mask = 2**64 - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & mask
+        x = ((x ^ (x >> 29)) * 0xA3B195354A39B70D) & mask
+        return x ^ (x >> 32)
+
+    def toss(labels, wide):
+        out = []
+        for i, a in enumerate(labels):
+            b = labels[i - 1] if i else ~a & (mask if wide else 255)
+            k = ((a ^ b) & -(a ^ b)).bit_length() - 1
+            out.append(2 * k + (a >> k & 1))
+        return out
+
+    names, found = [mix(ord(c) + 1) for c in text], []
+    while names and (len(found) < 3 or len(found[-1]) > 1):
+        level = len(found) + 1
+        runs = [(k, len(list(g))) for k, g in itertools.groupby(names)]
+        symbols = [k if n == 1 else mix((k + n * 0x9FB21C651E98DF25) & mask) for k, n in runs]
+        labels = symbols
+        for step in range(4):
+            labels = toss(labels, step == 0)
+        starts = [i for i in range(len(symbols)) if i == 0 or i + 1 < len(symbols) and labels[i - 1] < labels[i] > labels[i + 1]]
+        names = []
+        for a, b in zip(starts, [*starts[1:], len(symbols)]):
+            parts = [mix((symbols[i] + (i - a + 64 * level + 1) * 0x9E3779B97F4A7C15) & mask) for i in range(a, b)]
+            names.append(mix((sum(parts) + level) & mask))
+        found.append(names)
+    return found
+
+
+def plain_fingerprint(text):
+    found = plain_phrases(text)
+    groups = [found[:1], found[1:2], found[2:]]
+    words = [sorted({n >> 32 for names in g for n in names})[:k] for g, k in zip(groups, fingerprints.KEPT, strict=True)]
+    return ".".join("".join(f"{w:08x}" for w in ws) for ws in words)
+
+
+def test_fingerprints_are_those_of_each_text_alone(spark, prose):
+    rng = random.Random(21)
+    texts = [prose(n) for n in (0, 1, 2, 5, 30, 150)] + ["", "a", "aa", "ab", "aaaab", "İß 日本 😀", "x" * 500]
+    texts += ["".join(rng.choice("ab ") for _ in range(rng.randint(1, 60))) for _ in range(150)]
+    expected = [plain_fingerprint(t) for t in texts]
+    assert fingerprints.fingerprint(texts) == expected
+    assert [fingerprints.fingerprint([t])[0] for t in texts] == expected
+    for other in (prose(400), "", "b"):
+        assert [fingerprints.fingerprint([t, other])[0] for t in texts] == [fingerprints.fingerprint([other, t])[1] for t in texts] == expected
+    names = {r.doc_id: r.names for r in fingerprints.phrases(docs(spark, texts), 2).collect()}
+    assert all(names[i] == [n - 2**64 if n >> 63 else n for n in (plain_phrases(t) or [[], []])[1]] for i, t in enumerate(texts))
+
+
+def test_equal_neighbours_are_alike(spark, prose):
+    a, b = prose(40), prose(6)
+    ids = [9, 9, 8, 7, 7, 7, None, None, None, 3]
+    texts = [a, a, a, b, b, b, b, a, a, b]
+    table = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id bigint, text string")
+    for cells in (1, 4, 30):
+        rows = fingerprints.compare_with_next(table, cells).collect()
+        assert len({(r.n_chars, r.fingerprint) for r in rows}) == 2 and len(rows) == 10
+        assert sum(r.near_next == 1 for r in rows) in (6, 8)  # those without id stand as their hashes do: a a b, or b a a
+    many = spark.createDataFrame([(None, f"{a} {i}") for i in range(200)] + [(5, b)], "doc_id bigint, text string")
+    rows = fingerprints.compare_with_next(many, 8).collect()
+    assert len(rows) == 201 and sum(r.doc_id is None for r in rows) == 200
+    assert fingerprints.with_next(many, 8).filter("not follows").groupBy("cell").count().agg(F.max("count")).first()[0] < 60
+
+
 def brute_groups(texts):
     sets = {}
     for i, t in texts.items():
@@ -324,6 +393,21 @@ def test_pieces_are_the_librarys():
     assert all(fst.decode(i) == t for t, i in zip(texts, ours, strict=True) if "▁" not in t)
 
 
+@pytest.mark.skipif(not MODEL.exists(), reason="no tokenizer file")
+def test_pieces_do_not_depend_on_the_memo(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("etaoin") for _ in range(rng.randint(1, 6))) for _ in range(30)) for _ in range(60)]
+    fst = pieces.Transducer(MODEL.read_bytes())
+    expected = fst.encode(texts)
+    monkeypatch.setattr(pieces, "MEMO", 40)  # less than a batch has, so that generations change at each
+    assert [fst.encode(texts[i : i + 7]) for i in range(0, 60, 7)] == [expected[i : i + 7] for i in range(0, 60, 7)]
+    odd = [None, "", "İß 日本 😀", "word " * 30_000, "same", "same"]
+    rows = sorted(pieces.encode(docs(spark, odd).withColumn("round_trip", F.lit(1)), MODEL.read_bytes()).collect(), key=lambda r: r.doc_id)
+    assert [r.n_tokens for r in rows[:2]] == [0, 0] and rows[4][1:] == rows[5][1:] and all(r.round_trip for r in rows)
+    assert [r.decoded_sha256 for r in rows] == [hashlib.sha256((t or "").encode()).hexdigest() for t in odd]
+    assert [r.ids for r in rows] == fst.encode([t or "" for t in odd])
+
+
 def test_shingles_are_those_of_the_words():
     sets, digests = shingles.shingle_sets(["A b\tc d e f", "a B c d e f", "a b", "b a", None])
     assert len(sets[0]) == 2 and np.array_equal(sets[0], sets[1]) and digests[0] == digests[1]
