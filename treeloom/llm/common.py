@@ -153,15 +153,17 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, Iterable
     return df.mapInArrow(run, schema)
 
 
-def bounded_sample(df: DataFrame, by: str, key: str, most: int) -> DataFrame:
-    """Per value of `by` the `most` rows with the smallest hash of `key`: the same rows in every run, at any size.
+def bounded_sample(df: DataFrame, by: str, keys: Sequence[str], most: int) -> DataFrame:
+    """Per value of `by` the `most` distinct rows of `keys` with the smallest hash: the same in every run, at any size.
 
-    Rows are counted first; only those under the hash that about 4 * most rows of a value lie under are then ranked,
-    so that what is shuffled and ranked does not grow with the table. `by` has few values (classes, languages).
+    Distinct hashes are counted first; only rows under the hash that about 4 * most of a value lie under are then made
+    distinct and ranked, so that what is shuffled and ranked does not grow with the table, nor with repeated rows. `by`
+    has few values (classes, languages).
     """
-    hashed = F.xxhash64(key)
-    shares = {r[0]: min(1.0, (4.0 * most + 64) / r[1]) for r in df.groupBy(by).agg(F.count("*")).collect() if r[0] is not None}
+    hashed = F.xxhash64(*keys)
+    shares = {r[0]: min(1.0, (4.0 * most + 64) / max(1, r[1])) for r in df.groupBy(by).agg(F.approx_count_distinct(hashed)).collect() if r[0] is not None}
     share = F.create_map([F.lit(x) for pair in shares.items() for x in pair])[F.col(by)] if shares else F.lit(0.0)
     under = F.pmod(hashed, F.lit(1 << 30)) < share * float(1 << 30)
-    at = Window.partitionBy(by).orderBy(hashed, key)
-    return df.filter(under).withColumn("_rank", F.row_number().over(at)).filter(F.col("_rank") <= most).drop("_rank")
+    at = Window.partitionBy(by).orderBy(hashed, *keys)
+    once = df.filter(under).dropDuplicates([by, *keys])
+    return once.withColumn("_rank", F.row_number().over(at)).filter(F.col("_rank") <= most).drop("_rank")

@@ -101,7 +101,7 @@ def fold_is(doc_id: Column, modulus: int, remainder: int) -> Column:
 def fit(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS) -> tuple[list[str], np.ndarray]:
     """Prototypes from columns (doc_id, text, lang): at most sample_texts a language, each of sample_chars at most."""
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= sample_chars))
-    rows = common.bounded_sample(usable.select("doc_id", "lang", "text"), "lang", "doc_id", sample_texts).select("lang", "text").collect()
+    rows = common.bounded_sample(usable.select("doc_id", "lang", "text"), "lang", ["doc_id", "text"], sample_texts).select("lang", "text").collect()
     by: dict[str, list[str]] = {}
     for lang, text in sorted(rows):
         by.setdefault(lang, []).append(text)

@@ -1,13 +1,14 @@
 """Secret scan: fixed patterns, and probabilistic automata inferred from the credentials that those label.
 
-The values that the patterns find are labelled credentials, by kind; other tokens of the same alphabet are the
-counter-examples. For each label a prefix tree of a bounded sample is folded into a probabilistic automaton by
-merging statistically compatible states (Hoeffding bound, red-blue order). Every long token that holds a digit is
-then a candidate, scored by the log likelihood ratio of the best credential format over the counter-examples; one
-above MARGIN becomes a span of kind `format`, unless it overlaps a base span.
-
-Defined cases: null is an empty text, which has no spans; without labelled credentials no span is added; repeated
-rows get equal spans; ties between formats go to the kind that is listed first; other columns are ignored.
+The values that the patterns find are labelled credentials, by kind; all other tokens of the same alphabet and length
+are the counter-examples, with and without a digit. For each label a prefix tree of a bounded sample is folded into a probabilistic automaton by
+merging statistically compatible states (Hoeffding bound, red-blue order). Every token from the shortest labelled
+length on is a candidate, scored by the log likelihood ratio of the best credential format over the better counter-examples;
+one above MARGIN becomes a span of kind `format`, unless it overlaps a base span.
+
+Defined cases: null is an empty text, which has no spans; an empty table gives an empty one; a text of any length is
+scanned whole, in time in proportion to it; without labelled credentials no span is added; repeated rows get equal
+spans; spans that begin together (ties) stand in the order of KINDS; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,25 +16,34 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 KINDS = ("assign", "access", "hex", "format")
+#: Labels of the counter-examples: tokens without and with a digit.
+OTHER, NUMBERED = "other", "numbered"
+DIGIT = re.compile("[0-9]")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run that is too short holds no longer one
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-DIGIT = re.compile(r"[0-9]")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 #: Bounds of the training sample: distinct values a label, characters a value.
 SAMPLE_VALUES, SAMPLE_CHARS = 400, 128
 #: Confidence of the merge test; log likelihood ratio from which a candidate is reported.
 ALPHA, MARGIN = 0.01, 6.0
-SYMBOLS = 68  # the alphabet, the end and one for what was never seen
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+SYMBOLS = len(ALPHABET) + 2  # the end and one for what was never seen
+#: Tokens known to be none that a worker remembers.
+MEMO = 200_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -44,18 +54,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Tokens that hold a digit and overlap no base span."""
-    out, at = [], 0
-    reach = sorted((s, e) for s, _, e in base)
+def candidates(text: str, base: list[tuple[int, int, int]], wanted: set[str] | None = None) -> Iterator[tuple[int, int]]:
+    """Tokens (of a wanted set, where one is given) that overlap no base span, in order."""
+    taken: list[list[int]] = []  # base spans as disjoint stretches
+    for s, _, e in base:
+        if taken and s < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    at = 0
     for m in CANDIDATE.finditer(text):
-        if not DIGIT.search(text, m.start(), m.end()):
+        if wanted is not None and m[0] not in wanted:
             continue
-        while at < len(reach) and reach[at][1] <= m.start():
+        while at < len(taken) and taken[at][1] <= m.start():
             at += 1
-        if not any(s < m.end() and e > m.start() for s, e in reach[at:]):
-            out.append(m.span())
-    return out
+        if at == len(taken) or taken[at][0] >= m.end():
+            yield m.span()
 
 
 @dataclass
@@ -145,52 +159,126 @@ class Automaton:
             s.to = {c: place[t] for c, t in s.to.items()}
         self.states = kept
 
-    def log_likelihood(self, value: str) -> float:
-        """With each state's chances smoothed by half a visit spread over the alphabet; unseen symbols stay in place."""
-        at, total, states = 0, 0.0, self.states
-        for c in value:
-            s = states[at]
-            total += math.log((s.counts.get(c, 0) + 0.5 / SYMBOLS) / (s.visits + 0.5))
-            at = s.to.get(c, at)
-        s = states[at]
-        return total + math.log((s.stops + 0.5 / SYMBOLS) / (s.visits + 0.5))
+    @cached_property
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each state and symbol the log chance and the next state, and for each state the log chance of ending.
+
+        Chances are smoothed by half a visit spread over the alphabet; a symbol that was not seen stays in place.
+        """
+        unseen = len(ALPHABET)
+        to = np.tile(np.arange(len(self.states))[:, None], (1, unseen + 1))
+        counts = np.zeros((len(self.states), unseen + 1))
+        for i, s in enumerate(self.states):
+            for c, n in s.counts.items():
+                at = ALPHABET.find(c)
+                if at >= 0:
+                    counts[i, at], to[i, at] = n, s.to[c]
+        visits, stops = (np.array([getattr(s, x) for s in self.states], float) for x in ("visits", "stops"))
+        return np.log((counts + 0.5 / SYMBOLS) / (visits[:, None] + 0.5)), to, np.log((stops + 0.5 / SYMBOLS) / (visits + 0.5))
+
+    def log_likelihoods(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Of several values, the longest first: their symbols one value after the other, and their lengths."""
+        chance, to, ends = self.tables
+        starts = np.cumsum(lengths) - lengths
+        total, at = np.zeros(len(lengths)), np.zeros(len(lengths), np.int64)
+        longer = len(lengths) - np.searchsorted(lengths[::-1], np.arange(int(lengths.max(initial=0))), side="right")
+        for t, k in enumerate(longer.tolist()):
+            c = symbols[starts[:k] + t]
+            total[:k] += chance[at[:k], c]
+            at[:k] = to[at[:k], c]
+        return total + ends[at]
 
 
 def fit(docs: DataFrame, text: str = "text", sample_values: int = SAMPLE_VALUES, sample_chars: int = SAMPLE_CHARS) -> dict[str, Automaton]:
-    """An automaton for each label (`other`: the counter-examples) from the sample_values with the smallest hash."""
+    """An automaton for each label from the sample_values with the smallest hash.
+
+    Texts are read once: each task hands on its own smallest ones, of which the smallest are those of all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[str, list[tuple[int, str]]] = {}
+        for batch in batches:
+            for part in common.steps(batch, text):
+                found: dict[str, set[str]] = {}
+                for t in part.column(text).to_pylist():
+                    if not t:
+                        continue
+                    base = base_spans(t)
+                    for s, k, e in base:
+                        found.setdefault(KINDS[k], set()).add(ASSIGN.match(t, s)[2] if k == 0 else t[s:e])
+                    tokens = {t[s:e] for s, e in candidates(t, base)} if base else set(CANDIDATE.findall(t))
+                    numbered = {x for x in tokens if DIGIT.search(x)}
+                    found.setdefault(NUMBERED, set()).update(numbered)
+                    found.setdefault(OTHER, set()).update(tokens - numbered)
+                for label, values in found.items():
+                    held = least.get(label, [])
+                    under = held[-1][0] if len(held) == sample_values else 1 << 32
+                    more = [(h, v) for v in values if len(v) <= sample_chars and (h := zlib.crc32(v.encode())) <= under]
+                    least[label] = sorted({*held, *more})[:sample_values]
+            common.give_back()
+        rows = [(label, v, h) for label, held in least.items() for h, v in held]
+        yield pa.RecordBatch.from_pydict({"label": pa.array([r[0] for r in rows], pa.string()), "value": pa.array([r[1] for r in rows], pa.string()), "hash": pa.array([r[2] for r in rows], pa.int64())})
+
+    found = docs.select(text).mapInArrow(run, "label string, value string, hash bigint")
+    # in groups of tasks first, so that no task ranks what all of them hand on
+    for groups in (64, 1):
+        at = Window.partitionBy("label", F.pmod("hash", F.lit(groups))).orderBy("hash", "value")
+        found = found.distinct().withColumn("rank", F.row_number().over(at)).filter(F.col("rank") <= sample_values).drop("rank")
+    rows = sorted((r.label, r.value) for r in found.collect())
+    return {label: Automaton([v for k, v in rows if k == label]) for label in sorted({k for k, _ in rows})}
 
-    def values(part):
-        out = []
-        for t in part.column(text).to_pylist():
-            if not t:
-                continue
-            base = base_spans(t)
-            out += [(KINDS[k], ASSIGN.match(t, s)[2] if k == 0 else t[s:e]) for s, k, e in base]
-            out += [("other", t[s:e]) for s, e in candidates(t, base)]
-        out = sorted({(k, v) for k, v in out if len(v) <= sample_chars})
-        return {"label": [k for k, _ in out], "value": [v for _, v in out]}
 
-    found = common.map_batches(docs.select(text), values, "label string, value string", text).distinct()
-    rows = sorted((r.label, r.value) for r in common.bounded_sample(found, "label", "value", sample_values).collect())
-    return {label: Automaton([v for k, v in rows if k == label]) for label in sorted({k for k, _ in rows})}
+def ratios(values: list[str], model: dict[str, Automaton]) -> np.ndarray:
+    """Log likelihood of the best credential format over that of the better counter-examples, for each value.
 
+    Without counter-examples every symbol is as likely as any other.
+    """
+    order = sorted(range(len(values)), key=lambda i: -len(values[i]))
+    lengths = np.array([len(values[i]) for i in order], np.int64)
+    place = np.full(128, len(ALPHABET))
+    place[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
+    codes = np.frombuffer("".join(values[i] for i in order).encode("utf-32-le"), np.uint32)
+    symbols = np.where(codes < 128, place[np.minimum(codes, 127)], len(ALPHABET))
+    best = lambda labels: np.max([model[k].log_likelihoods(symbols, lengths) for k in labels if k in model], axis=0, initial=-np.inf)
+    other = best((OTHER, NUMBERED)) if OTHER in model or NUMBERED in model else -(lengths + 1) * math.log(SYMBOLS)
+    found = np.empty(len(values))
+    found[order] = best(KINDS) - other
+    return found
 
-def ratio(value: str, model: dict[str, Automaton]) -> float:
-    """Log likelihood of the best credential format over that of the counter-examples."""
-    other = model["other"].log_likelihood(value) if "other" in model else -(len(value) + 1) * math.log(SYMBOLS)
-    return max((model[k].log_likelihood(value) for k in KINDS if k in model), default=-math.inf) - other
+
+class Judge:
+    """Which tokens are credentials by their format; a bounded number of those that are not is remembered."""
+
+    def __init__(self, model: dict[str, Automaton], margin: float):
+        self.model, self.margin = model, margin
+        self.no: set[str] = set()
+
+    def __call__(self, tokens: set[str]) -> set[str]:
+        fresh = list(tokens.difference(self.no))
+        if not fresh or not any(k in self.model for k in KINDS):
+            return set()
+        yes = {fresh[i] for i in np.flatnonzero(ratios(fresh, self.model) >= self.margin).tolist()}
+        if len(self.no) + len(fresh) > MEMO:
+            self.no.clear()
+        self.no.update(x for x in fresh if x not in yes)
+        return yes
 
 
 def scan(docs: DataFrame, model: dict[str, Automaton], keep: Sequence[str] = ("doc_id",), text: str = "text", margin: float = MARGIN) -> DataFrame:
     """Columns of keep, then n_assign, n_access, n_hex, n_format, base_sha256, spans (kind:start:end, code points)."""
     counts = [f"n_{k}" for k in KINDS]
 
+    judge = Judge(model, margin)
+
     def run(part):
         out = {n: part.column(n) for n in keep} | {c: [] for c in [*counts, "base_sha256", "spans"]}
-        for t in part.column(text).to_pylist():
-            t = t or ""
+        texts = [t or "" for t in part.column(text).to_pylist()]
+        tokens = [CANDIDATE.findall(t) for t in texts]
+        yes = judge(set().union(*tokens))
+        for t, some in zip(texts, tokens, strict=True):
             base = base_spans(t)
-            every = sorted(base + [(s, 3, e) for s, e in candidates(t, base) if ratio(t[s:e], model) >= margin])
+            more = [] if yes.isdisjoint(some) else [(s, 3, e) for s, e in candidates(t, base, yes)]
+            every = sorted(base + more)
             line = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base)
             out["base_sha256"].append(hashlib.sha256(line.encode()).hexdigest())
             out["spans"].append(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in every))

@@ -176,9 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sa
     """Train on a bounded sample: per class the documents with the smallest hash of doc_id, weighted by class size."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     sizes = {r.y: r.n for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    chosen = common.bounded_sample(usable, "y", "doc_id", 2 * max(sample_toxic, sample_clean))  # so few rows at any size
+    chosen = common.bounded_sample(usable, "y", ["doc_id"], 2 * max(sample_toxic, sample_clean))  # so few rows at any size
     joined = docs.filter((F.length("text") <= SAMPLE_CHARS) & (F.length("text") > 0)).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = common.bounded_sample(joined, "y", "doc_id", max(sample_toxic, sample_clean)).collect()
+    rows = common.bounded_sample(joined, "y", ["doc_id", "text"], max(sample_toxic, sample_clean)).collect()
     rows = sorted(((r.doc_id, r.text, r.y) for r in rows), key=lambda r: (r[2], r[0], r[1]))
     rows = [r for y, most in ((1, sample_toxic), (0, sample_clean)) for r in [x for x in rows if x[2] == y][:most]]
     y = np.array([r[2] for r in rows])
