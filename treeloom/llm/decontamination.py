@@ -1,17 +1,20 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index holds, for each training text, the terms it has and the positions of each: postings, cut by document so
-that each lies beside its neighbours, written to the shared folder and read for every block of test items. A test
-item's windows are phrases; a phrase's terms are ordered by their number of postings in the whole corpus, and the
-list of the rarest, shifted by its offset, is intersected with the shifted lists of the others, rarest first. The
-same lists answer proximity queries (all terms within so many positions of the rarest, in any order).
+The index is parted by document: for each training text it holds the terms that it has and the positions of each,
+written to the shared folder and read for every block of test items. Of the terms it keeps those whose place is set in
+a bitmap of all items' terms, of VOCABULARY_BITS bits whatever the number of items. A test item's windows are phrases;
+a phrase's terms are ordered by their number of postings in the whole corpus, and the list of the rarest, shifted by
+its offset, is intersected with the shifted lists of the others, rarest first. The same lists answer proximity queries
+(all terms within so many positions of the rarest, in any order).
 
 Items are searched in blocks of BLOCK_BYTES of text at most (one longer item is a block of its own), which bounds
-what a worker holds; where one block holds all items, only its terms are indexed.
+what a worker holds.
 
-Defined cases: null, empty and wordless texts have no words and no hits; an item under ten words is one window, one
+Defined cases: null, empty and wordless texts have no words and no hits; an empty table gives an empty one, and
+without items nothing is hit; a text of any length is indexed whole; an item under ten words is one window, one
 without words none; items without item_id mark hits but are not listed; rows that repeat an item_id are one item
-with the windows of all; repeated documents get equal rows; other columns are ignored.
+with the windows of all; repeated documents, with or without doc_id, get equal rows; of equally rare terms (ties) the
+first in the phrase is looked up first, which changes no result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from .shingles import split_words
 
 WINDOW = 10
 BLOCK_BYTES = 1 << 20
+#: Bits, as a power of two, of the bitmap of terms that are indexed.
+VOCABULARY_BITS = 24
 #: Candidates that one step of an intersection holds.
 SLICE = 1 << 18
 #: Between the texts of one batch, so that no phrase reaches over their bounds.
@@ -67,20 +72,33 @@ class Phrases:
         return np.unique(self.terms[np.arange(self.terms.shape[1]) < self.lengths[:, None]])
 
 
-def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None) -> DataFrame:
+def bitmap(vocabularies: list[np.ndarray]) -> np.ndarray:
+    """Which terms are to be indexed, by their upper bits."""
+    bits = np.zeros(1 << VOCABULARY_BITS, bool)
+    for terms in vocabularies:
+        bits[place_of(terms)] = True
+    return np.packbits(bits)
+
+
+def place_of(terms: np.ndarray) -> np.ndarray:
+    return (terms.view(np.uint64) >> np.uint64(64 - VOCABULARY_BITS)).astype(np.int64)
+
+
+def build_index(docs: DataFrame, indexed: np.ndarray | None = None) -> DataFrame:
     """row (its number), doc_id, n_words, terms (ascending), counts, positions (of each term in turn), for every row of docs.
 
-    vocabulary: the sorted terms to keep; None keeps all.
+    indexed: a bitmap of the terms to keep; None keeps all.
     """
+    shipped = docs.sparkSession.sparkContext.broadcast(indexed)
 
     def run(part):
         words, n_words = split_words(part.column("text").to_pylist(), SEPARATES)
         terms = words.view(np.int64)
         doc = np.repeat(np.arange(len(n_words)), n_words)
         position = np.arange(len(words)) - np.repeat(np.cumsum(n_words) - n_words, n_words)
-        if vocabulary is not None:
-            place = np.searchsorted(vocabulary, terms)
-            keep = vocabulary[np.minimum(place, len(vocabulary) - 1)] == terms if len(vocabulary) else np.zeros(len(terms), bool)
+        if shipped.value is not None:
+            place = place_of(terms)
+            keep = (shipped.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
             terms, doc, position = terms[keep], doc[keep], position[keep]
         order = np.lexsort((position, terms, doc))
         terms, doc, position = terms[order], doc[order], position[order]
@@ -232,15 +250,10 @@ def covered(starts: np.ndarray, ends: np.ndarray) -> int:
 
 def planned(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, list[Plan]]:
     """The index of docs, and a plan for each block of items."""
-    blocks = item_blocks(items)
-    index, plans = None, []
-    for block in blocks:
-        phrases = Phrases.of(sorted((tuple(r) for r in block.collect()), key=lambda r: (r[0] or "", r[1])))
-        vocabulary = phrases.vocabulary()
-        if index is None:
-            index = build_index(docs, vocabulary if len(blocks) == 1 else None)
-        plans.append(Plan(phrases, vocabulary, corpus_counts(index, vocabulary)))
-    return index, plans
+    blocks = [Phrases.of(sorted((tuple(r) for r in block.collect()), key=lambda r: (r[0] or "", r[1]))) for block in item_blocks(items)]
+    vocabularies = [phrases.vocabulary() for phrases in blocks]
+    index = build_index(docs, bitmap(vocabularies))
+    return index, [Plan(phrases, terms, corpus_counts(index, terms)) for phrases, terms in zip(blocks, vocabularies, strict=True)]
 
 
 def search(index: DataFrame, plans: list[Plan]) -> DataFrame:
@@ -263,6 +276,8 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def proximity(index: DataFrame, phrases: Phrases, slop: int) -> DataFrame:
     """doc_id, items and position of the rarest term, wherever all terms of a phrase lie within slop positions of it."""
+    if not 0 <= slop < GAP:
+        raise ValueError(f"slop must be from 0 to {GAP - 1}")
     vocabulary = phrases.vocabulary()
     plan = Plan(phrases, vocabulary, corpus_counts(index, vocabulary))
 

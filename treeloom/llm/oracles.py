@@ -22,7 +22,7 @@ reach AS (SELECT DISTINCT a AS doc_id, a AS r FROM edges UNION SELECT e.a, reach
 comp AS (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN comp USING (doc_id)"""
 
-SHARDING = """WITH d AS (SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS n_bytes, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key FROM documents),
+SHARDING = """WITH d AS (SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) AS BIGINT) AS n_bytes, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS key FROM documents),
 spread AS (SELECT *, unnest(range(0, 61)) AS depth FROM d),
 placed AS (SELECT *, key >> CAST(60 - depth AS INT) AS prefix FROM spread),
 sizes AS (SELECT depth, prefix, sum(n_bytes) AS bytes, count(*) AS docs, sum(n_bytes) <= {limit} OR min(key) = max(key) AS final FROM placed GROUP BY ALL),
@@ -40,11 +40,12 @@ found AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, '
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN covered USING (r) LEFT JOIN found USING (r)"""
 
 LINE_DEDUP = """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS line_no FROM documents),
-long AS (SELECT * FROM l WHERE length(line) >= {chars}),
+long AS (SELECT * FROM l WHERE line <> ''),
 firsts AS (SELECT line, min((doc_id, line_no)) AS f, length(line) AS n FROM long GROUP BY line),
-near AS (SELECT a.line AS a, b.line AS b, b.f AS other FROM firsts a JOIN firsts b ON b.n BETWEEN a.n - {edits} AND a.n + {edits} AND a.line <> b.line
-  AND (substr(a.line, 1, a.n // 3 - {edits}) = substr(b.line, 1, a.n // 3 - {edits}) OR right(a.line, a.n // 3 - {edits}) = right(b.line, a.n // 3 - {edits}) OR contains(b.line, substr(a.line, a.n // 3 + 1 + {edits}, a.n // 3 - 2 * {edits})))
-  WHERE levenshtein(a.line, b.line) <= {edits}),
+fuzzy AS (SELECT *, n // 4 AS q FROM firsts WHERE n * {edits} >= {chars}),
+near AS (SELECT a.line AS a, b.line AS b, b.f AS other FROM fuzzy a JOIN fuzzy b ON b.n BETWEEN a.n - {edits} AND a.n + {edits} AND a.line <> b.line
+  AND (substr(a.line, 1, a.q) = substr(b.line, 1, a.q) OR right(a.line, a.q) = right(b.line, a.q) OR contains(b.line, substr(a.line, a.n // 3 + 1, a.q + 1)))
+  WHERE levenshtein(a.line, b.line) <= least({edits}, least(a.n, b.n) * {edits} // {chars})),
 judged AS (SELECT long.doc_id, line_no, count(near.b) AS links, (long.doc_id, line_no) > least(firsts.f, coalesce(min(near.other), firsts.f)) AS goes FROM long JOIN firsts USING (line) LEFT JOIN near ON near.a = long.line GROUP BY long.doc_id, line_no, firsts.f),
 docs AS (SELECT doc_id, count(*) AS n_compared, CAST(sum(links) AS BIGINT) AS n_links, count(*) FILTER (WHERE goes) AS n_dropped, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) FILTER (WHERE goes) AS dropped FROM judged GROUP BY doc_id)
 SELECT d.doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n_lines, coalesce(n_compared, 0) AS n_compared, coalesce(n_links, 0) AS n_links, coalesce(n_dropped, 0) AS n_dropped, coalesce(dropped, '') AS dropped FROM documents d LEFT JOIN docs USING (doc_id)"""
