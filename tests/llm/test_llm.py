@@ -54,6 +54,56 @@ def test_every_operator_bears_odd_rows_and_empty_tables(spark):
     assert extraction.extract(pages.limit(0)).count() == 0
 
 
+def plain_ratio(value, model):
+    """The log likelihood ratio, symbol by symbol."""
+    def chance(automaton):
+        at, total, n = 0, 0.0, secrets.SYMBOLS
+        for c in value:
+            s = automaton.states[at]
+            total += np.log((s.counts.get(c, 0) + 0.5 / n) / (s.visits + 0.5))
+            at = s.to.get(c, at)
+        s = automaton.states[at]
+        return total + np.log((s.stops + 0.5 / n) / (s.visits + 0.5))
+
+    return max(chance(model[k]) for k in secrets.KINDS if k in model) - max(chance(model[k]) for k in ("other", "numbered") if k in model)
+
+
+def test_secrets_of_every_length_are_scored_in_linear_time(spark, prose):
+    import time
+
+    rng = random.Random(4)
+    key = lambda n: "".join(rng.choice("ABCDEFGHKMNPQRSTUVWXYZ") for _ in range(n))
+    model = {"assign": secrets.Automaton([key(9) for _ in range(200)]), "other": secrets.Automaton([w for w in prose(900).split() if len(w) >= 6])}
+    bare, text = key(9), prose(30)
+    odd = {0: None, 1: "", 2: f"{text} {bare} {text}", 3: f"{text} {bare} {text}", 4: text, 5: f"token={bare} secret: {'ab' * 12}"}
+    rows = {r.doc_id: r for r in secrets.scan(docs(spark, odd).withColumn("n_hex", F.lit("x")), model).collect()}
+    at = len(text) + 1
+    assert rows[2].spans == rows[3].spans == f"format:{at}:{at + 9}" and rows[2].n_format == 1 and rows[4].spans == ""
+    assert rows[0][1:] == rows[1][1:] == (0, 0, 0, 0, hashlib.sha256(b"").hexdigest(), "")
+    assert rows[5].spans == "assign:0:15,assign:16:48,hex:24:48"
+    took = []
+    for n in (2000, 8000):
+        big, began = f"token={bare} {bare} plainword " * n, time.process_time()
+        assert sum(1 for _ in secrets.candidates(big, secrets.base_spans(big), {bare})) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5
+
+
+def test_secret_samples_are_the_smallest_of_all(spark, prose):
+    texts = [f"token={i:08d}x {prose(20)}" for i in range(300)]
+    some = secrets.fit(docs(spark, texts).repartition(7), sample_values=50)
+    again = secrets.fit(docs(spark, texts + texts).repartition(2), sample_values=50)
+    assert set(some) == {"assign", "other"} and all(some[k].states == again[k].states for k in some)
+
+
+def test_samples_are_distinct_and_full(spark):
+    same = spark.createDataFrame([(7, "x", f"t{i}") for i in range(3000)] + [(8, "y", "one")] * 3000, "doc_id bigint, lang string, text string")
+    for most in (5, 40):
+        got = common.bounded_sample(same, "lang", ["doc_id", "text"], most).groupBy("lang").count().collect()
+        assert {r[0]: r[1] for r in got} == {"x": most, "y": 1}
+    assert common.bounded_sample(same.limit(0), "lang", ["doc_id", "text"], 5).count() == 0
+
+
 def test_base_secrets_and_learned_formats():
     text = 'é password: "abc123" token=tok:abcdef api_KEY = zzzzzz AKIA' + "A1" * 8 + " AKIAshort " + "0af" * 8 + " ſecret=abcdefg"
     got = [(secrets.KINDS[k], text[s:e]) for s, k, e in secrets.base_spans(text)]
@@ -63,8 +113,9 @@ def test_base_secrets_and_learned_formats():
     other = ["-".join(str(rng.randint(1000, 9999)) for _ in range(4)) for _ in range(120)]
     model = {"assign": secrets.Automaton(keys[:100]), "other": secrets.Automaton(other[:100])}
     assert len(model["assign"].states) < 12
-    assert all(secrets.ratio(k, model) > secrets.MARGIN for k in keys[100:])
-    assert all(secrets.ratio(k, model) < 0 for k in other[100:])
+    assert (secrets.ratios(keys[100:], model) > secrets.MARGIN).all() and (secrets.ratios(other[100:], model) < 0).all()
+    mixed = [*keys[100:110], "x", *other[100:110], "unseen~é"]
+    assert np.allclose(secrets.ratios(mixed, model), [plain_ratio(v, model) for v in mixed])
 
 
 def test_secret_spans_in_a_table(spark):
@@ -254,32 +305,42 @@ def test_main_text_of_labelled_layouts():
 
 
 def brute_shards(rows, limit):
-    key = lambda i: int(hashlib.md5(str("" if i is None else i).encode()).hexdigest()[:15], 16)
+    """rows (doc_id, text): the shard of each, by splitting one bucket at a time."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    key = lambda r: int(md5(f"{'' if r[0] is None else r[0]}:{md5(r[1] or '')}")[:15], 16)
 
     def split(members, depth, prefix):
-        keys = {key(i) for i, _ in members}
         if not members:
-            return {}
-        if sum(n for _, n in members) <= limit or len(keys) == 1:
-            return {i: prefix for i, _ in members}
-        out = {}
-        for bit in "01":
-            out |= split([m for m in members if bin(key(m[0]))[2:].zfill(60)[depth] == bit], depth + 1, prefix + bit)
-        return out
+            return []
+        if sum(len((t or "").encode()) for _, t in members) <= limit or len({key(r) for r in members}) == 1:
+            return [(i, len((t or "").encode()), prefix) for i, t in members]
+        return [x for bit in "01" for x in split([m for m in members if bin(key(m))[2:].zfill(60)[depth] == bit], depth + 1, prefix + bit)]
 
-    return split(rows, 0, "")
+    return sorted(split(rows, 0, ""), key=str)
 
 
 def test_shards_agree_with_splitting_one_by_one(spark, monkeypatch):
     rng = random.Random(3)
-    rows = [(i, rng.choice([0, 5, 40, 300])) for i in range(150)]
-    table = docs(spark, {i: "x" * n for i, n in rows})
-    for spare in (6, 0):
+    rows = [(i, rng.choice("xyz") * rng.choice([0, 5, 40, 300])) for i in range(150)]
+    rows += [(None, f"n{i}" * 20) for i in range(8)] + [(7, f"r{i}é" * 20) for i in range(6)] + [(9, "same" * 30)] * 4 + [(None, None), (3, None)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("shard", F.lit("x")).withColumn("a.b", F.lit(1))
+    for spare, rise in ((6, 4), (0, 1), (0, 60)):
         monkeypatch.setattr(sharding, "SPARE", spare)
-        got = {r.doc_id: r.shard for r in sharding.shards(table, 310).collect()}
-        assert got == brute_shards(rows, 310)
+        monkeypatch.setattr(sharding, "RISE", rise)
+        found = sharding.shards(table, 310).collect()
+        assert sorted(((r.doc_id, r.n_bytes, r.shard) for r in found), key=str) == brute_shards(rows, 310)
+    assert {(r.doc_id, r.shard_bytes, r.oversized) for r in found if r.shard_bytes > 310} == {(9, 480, True)}
     over = [r for r in sharding.shards(table, 100).collect() if r.oversized]
-    assert over and all(r.n_bytes == 300 for r in over)
+    assert over and all(r.shard_docs == 1 or r.doc_id == 9 for r in over)
+
+
+def test_shards_are_written(spark, tmp_path):
+    rows = [(i % 40, f"text {i} " * 5) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("shard", F.lit("mine"))
+    column = sharding.write_shards(table, 400, str(tmp_path / "out"))
+    back = spark.read.option("basePath", str(tmp_path / "out")).schema(f"doc_id bigint, text string, shard string, {column} string").parquet(str(tmp_path / "out"))
+    assert column == "shard_" and sorted((r.doc_id, r.text) for r in back.collect()) == sorted(rows) and back.select("shard").distinct().count() == 1
+    assert back.groupBy(column).agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0] <= 400
 
 
 def test_phrases_in_blocks_and_proximity(spark, prose, monkeypatch):
@@ -304,6 +365,14 @@ def test_phrases_in_blocks_and_proximity(spark, prose, monkeypatch):
         monkeypatch.setattr(decontamination, "BLOCK_BYTES", size)
         got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontamination.contamination(table, bench).collect()}
         assert got == expected
+    odd = docs(spark, {1: None, 2: "", 3: "word " * 30_000 + items[0][1], 4: items[0][1], 5: items[0][1]}).withColumn("items", F.lit("x"))
+    for size in (1 << 20, 200):
+        monkeypatch.setattr(decontamination, "BLOCK_BYTES", size)
+        rows = sorted(decontamination.contamination(odd, bench).collect(), key=lambda r: r.doc_id)
+        assert [r.n_hit for r in rows[:2]] == [0, 0] and rows[2].n_hit == len(items[0][1].split()) and rows[3][1:] == rows[4][1:] and rows[2].contaminated
+    assert not any(r.n_hit for r in decontamination.contamination(odd, bench.limit(0)).collect())
+    with pytest.raises(ValueError):
+        decontamination.proximity(odd, decontamination.Phrases.of([("q", "far near")]), 5000)
     phrases = decontamination.Phrases.of([("q", "far near")])
     near = decontamination.proximity(decontamination.build_index(docs(spark, ["near x far", "near x y z far", "far"])), phrases, 2)
     assert {r.doc_id for r in near.collect()} == {0}
