@@ -35,28 +35,63 @@ def leaves(df):
 
 
 @pytest.fixture(scope="module")
-def project(spark):
-    graph = entities(spark, [("folder", "root", None), ("file", "a.rs", 0), ("file", "b.rs", 0), ("function", "fn_a1", 1), ("function", "fn_a2", 1), ("function", "fn_b1", 2), ("function", "fn_b2", 2)])
-    return graph, tree.closure(graph), refs(spark, [(3, 5, "call"), (4, 6, "import"), (3, 4, "call"), (4, 5, "call"), (6, 3, "type_ref")])
+def shop(spark):
+    """Two departments; the references run between rows drawn from a seed."""
+    rows = [("folder", "shop", None), ("folder", "sales", 0), ("folder", "stock", 0), ("file", "till.py", 1), ("file", "offer.py", 1), ("file", "shelf.py", 2)]
+    rows += [("function", f"do{i}", 3 + i % 3) for i in range(9)]
+    rng = random.Random(31)
+    found = sorted({(rng.randint(3, 14), rng.randint(3, 14), rng.choice(["call", "import"])) for _ in range(40)})
+    found = [r for r in found if r[0] != r[1]]
+    graph = entities(spark, rows)
+    return rows, found, graph, tree.closure(graph), refs(spark, found)
 
 
-def edges(df):
-    return [(r.src, r.dst, r.kind, r.refs) for r in sorted(df.collect(), key=lambda r: r.first_ref)]
+def landed(rows, found, at):
+    """What a cut shows, by walking up from both ends of each reference."""
+    parents = [p for _, _, p, *_ in rows]
+    shown = set(at)
+    for leaf in at:
+        while (leaf := parents[leaf]) is not None:
+            shown.add(leaf)
 
+    def site(i):
+        while i is not None and i not in shown:
+            i = parents[i]
+        return i
 
-def test_expansion_shows_references_where_they_land(project):
-    graph, up, all_refs = project
-    at = cut.initial(graph)
-    assert leaves(at) == {0} and edges(cut.coalesce(all_refs, at, up)) == []
-    at = cut.expand(at, graph, 0)
-    assert leaves(at) == {1, 2}
-    assert edges(cut.coalesce(all_refs, at, up)) == [(1, 2, "call", [0, 3]), (1, 2, "import", [1]), (2, 1, "type_ref", [4])]
-    at = cut.expand(at, graph, 1)
-    assert leaves(at) == {2, 3, 4}
-    assert edges(cut.coalesce(all_refs, at, up)) == [(3, 2, "call", [0]), (4, 2, "import", [1]), (3, 4, "call", [2]), (4, 2, "call", [3]), (2, 3, "type_ref", [4])]
-    assert leaves(cut.collapse(at, graph, up, 3)) == {1, 2}
-    assert leaves(cut.expand(at, graph, 5)) == leaves(at)
-    assert leaves(cut.reveal(cut.initial(graph), graph, up, 5)) == {1, 5, 6}
+    out = {}
+    for n, (a, b, kind) in enumerate(found):
+        ends = site(a), site(b)
+        if None not in ends and ends[0] != ends[1]:
+            out.setdefault((*ends, kind), []).append(n)
+    return sorted((*k, v) for k, v in out.items())
+
+
+def test_expansion_shows_references_where_they_land(shop):
+    rows, found, graph, up, all_refs = shop
+    seen = lambda at: sorted((r.src, r.dst, r.kind, r.refs) for r in cut.coalesce(all_refs, at, up).collect())
+    at, expected = cut.initial(graph), {0}
+    for leaf in (0, 2, 1, 4):
+        assert leaves(at) == expected and seen(at) == landed(rows, found, expected)
+        at = cut.expand(at, graph, leaf)
+        expected = expected - {leaf} | {i for i, r in enumerate(rows) if r[2] == leaf}
+    assert leaves(at) == expected and seen(at) == landed(rows, found, expected)
+    assert leaves(cut.collapse(at, graph, up, 3)) == {1, 5}
+    assert leaves(cut.expand(at, graph, 14)) == expected
+    assert leaves(cut.reveal(cut.initial(graph), graph, up, 6)) == {2, 4, 6, 9, 12}
+
+
+def test_closure_of_known_and_unknown_depth(shop):
+    rows, _, graph, up, _ = shop
+    expected = set()
+    for i in range(len(rows)):
+        at, hops = i, 0
+        while at is not None:
+            expected.add((i, at, hops))
+            at, hops = rows[at][2], hops + 1
+    for known in (None, 3, 5):
+        assert {(r.id, r.anc, r.hops) for r in tree.closure(graph, known).collect()} == expected
+    assert {(r.id, r.anc, r.hops) for r in tree.closure(graph, 1).collect()} == {x for x in expected if x[2] < 2}
 
 
 def test_cut_migration_coarsens_what_is_gone(spark):
@@ -145,6 +180,7 @@ def test_search_ranks_limits_suppresses_and_excerpts(spark):
     runs = [(r.first_line, len(r.text), len(r.matched)) for r in search.excerpts(ix, every, 1).orderBy("first_line").collect()]
     assert runs == [(0, 4, 2), (9, 2, 1)]
     assert search.hits(ix, "  ")[0] is None
+    assert {(r.gram, r.doc.line) for r in search.grams(ix.docs["content"].filter("file_id = 1")).collect()} == {(t[i : i + 3], n) for n, t in enumerate(rows[0][3].split("\n")) for i in range(len(t) - 2)}
     short = search.shortlist(ix.docs["content"], search.grams(ix.docs["content"]), "main")
     assert {r.line for r in short.select("line").collect()} == {0, 2, 10}
 
@@ -253,9 +289,17 @@ def test_layers_ranks_and_geometry(spark):
     assert layout.layers(4, [(0, 1), (0, 2), (1, 3), (2, 3), (3, 0)]) == [[0], [1, 2], [3]]
     assert rank.between(None, None) == [1] and rank.between([1], [2]) == [1, 5] and [1] < rank.between([1], [1, 1]) < [1, 1]
     assert rank.nth(0) == [1] and rank.between([3], None) == [4]
+    rng = random.Random(2)
+    for _ in range(300):
+        low, high = sorted([rng.randint(0, 12) for _ in range(rng.randint(1, 4))] + [1] for _ in range(2))
+        if low != high:
+            assert low < rank.between(low, high) < high
     assert layout.settle([7, 8, 9], {7: [1], 9: [2]})[8] == [1, 5]
     apart = layout.separate([[0, 0, 4, 2], [2, 0, 4, 2]], [False, False], [0, 1], (1, 1))
     assert apart[1][0] - apart[0][0] >= 5
+    many = [[rng.randint(0, 20), rng.randint(0, 9), rng.randint(1, 5), rng.randint(1, 3)] for _ in range(12)]
+    clear = layout.separate(many, [i == 0 for i in range(12)], list(range(12)), (1, 1), 2000)
+    assert clear[0] == many[0] and all(a[0] + a[2] + 1 <= b[0] or b[0] + b[2] + 1 <= a[0] or a[1] + a[3] + 1 <= b[1] or b[1] + b[3] + 1 <= a[1] for i, a in enumerate(clear) for b in clear[:i])
     nodes = spark.createDataFrame([(1, 0, 0, 0, 4, 2, False, 1), (2, 0, 10, 0, 4, 2, False, 1), (3, 0, 0, 6, 4, 2, False, 1), (0, None, -2, -2, 30, 20, True, 0)], "id bigint, level bigint, x int, y int, w int, h int, is_box boolean, depth int").withColumn("ord", F.col("id"))
     assert {(r.id, r.next) for r in layout.nearest(nodes, (1, 0)).collect()} >= {(1, 2)}
     assert {(r.id, r.next) for r in layout.nearest(nodes, (0, 1)).collect()} == {(1, 3), (2, 3)}

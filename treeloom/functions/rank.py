@@ -13,17 +13,16 @@ def nth(n: int) -> list[int]:
 
 
 def between(low: list[int] | None, high: list[int] | None) -> list[int]:
-    """A rank after low and before high, either of which may be open."""
+    """A rank after low and before high, either of which may be open.
+
+    Low, padded with zeros, is kept up to the first place with room to its ceiling: high's number there as long as all
+    numbers before are high's own, else STEPS. There the rank goes halfway up.
+    """
     low = low or []
     if high is None:
         return [min((low[0] if low else 0) + 1, LARGEST)]
-    out: list[int] = []
-    bound = True  # is out still a prefix of high?
-    while True:
-        i = len(out)
-        floor = low[i] if i < len(low) else 0
-        ceiling = high[i] if bound and i < len(high) else STEPS
-        if ceiling > floor + 1:
-            return [*out, floor + (ceiling - floor) // 2]
-        out.append(floor)
-        bound = bound and (i >= len(high) or floor == high[i])
+    padded = low + [0] * (len(high) + 1)
+    alike = next((i for i, (x, y) in enumerate(zip(padded, high)) if x != y), len(high))
+    ceilings = [high[i] if i < len(high) and i <= alike else STEPS for i in range(len(padded))]
+    at = next(i for i, (x, y) in enumerate(zip(padded, ceilings)) if y - x > 1)
+    return [*padded[:at], (padded[at] + ceilings[at]) // 2]

@@ -12,25 +12,17 @@ from pyspark.sql.types import StringType
 IDENT = r"\p{IsAlphabetic}\p{N}_"
 
 
-def _word(c: str) -> bool:
-    return c.isalnum() or c == "_"
+WORD = re.compile(r"\w+")
 
 
 def token_at(text: str, column: int) -> str | None:
-    """The identifier at a byte column: the character right of the caret counts, and where a word ends, that left of it."""
-    at = len(text.encode()[: max(column, 0)].decode("utf-8", "ignore"))
-    if len(text[:at].encode()) < column and at < len(text):
-        at += 1  # the caret is inside a character: the next one is to its right
-    if not (at < len(text) and _word(text[at])):
-        at = min(at, len(text)) - 1
-        if at < 0 or not _word(text[at]):
-            return None
-    start = end = at
-    while start and _word(text[start - 1]):
-        start -= 1
-    while end + 1 < len(text) and _word(text[end + 1]):
-        end += 1
-    return text[start : end + 1]
+    """The identifier at a byte column: the character right of the caret counts, and where a word ends, that left of it.
+
+    A caret inside a character stands right of it.
+    """
+    before = text.encode()[: max(column, 0)]
+    at = sum(byte & 0xC0 != 0x80 for byte in before)  # characters that begin left of the caret
+    return next((m[0] for m in WORD.finditer(text) if m.start() <= at <= m.end()), None)
 
 
 @F.pandas_udf(StringType())
@@ -46,4 +38,4 @@ def has_token(text: Column, name: Column) -> Column:
 
 
 def identifiers(text: str) -> list[str]:
-    return re.findall(r"\w+", text)
+    return WORD.findall(text)

@@ -38,10 +38,14 @@ def key_paths(entities: DataFrame, tree: DataFrame) -> DataFrame:
 
 
 def match(old: DataFrame, old_tree: DataFrame, new: DataFrame, new_tree: DataFrame) -> DataFrame:
-    """(old_id, new_id): a full outer join on key paths, so that what hangs under no match matches nothing."""
-    a = key_paths(old, old_tree).select("key", F.col("id").alias("old_id"))
-    b = key_paths(new, new_tree).select("key", F.col("id").alias("new_id"))
-    return a.join(b, "key", "full").select("old_id", "new_id")
+    """(old_id, new_id): a full outer join on key paths, so that what hangs under no match matches nothing.
+
+    Paths are met by 128 bits of hash, so that ids and hashes alone are shuffled.
+    """
+    name = (F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+    a = key_paths(old, old_tree).select(*name, F.col("id").alias("old_id"))
+    b = key_paths(new, new_tree).select(*name, F.col("id").alias("new_id"))
+    return a.join(b, ["h1", "h2"], "full").select("old_id", "new_id")
 
 
 def union(old: DataFrame, old_tree: DataFrame, new: DataFrame, new_tree: DataFrame, matched: DataFrame | None = None) -> DataFrame:
@@ -128,17 +132,28 @@ def attached(lines: DataFrame, starts: DataFrame) -> DataFrame:
     return starts.join(above, ["file_id", "start"], "left").select("file_id", "start", F.coalesce("first", "start").alias("first"))
 
 
+#: Lines of a part in which operations and spans of a file meet.
+PART = 256
+
+
 def churn(ops: DataFrame, spans: DataFrame) -> DataFrame:
     """(id, added, removed): how much of the line operations (file_id, ops) lies in spans (id, file_id, side, first, last).
 
-    Inserts count on the new side and deletes on the old; spans include both ends. Both tables are joined by file.
+    Inserts count on the new side and deletes on the old; spans include both ends. Both are cut at every PART lines and
+    joined by file and part, where their common lines add up, so that a large file is no quadratic join.
     """
     flat = ops.select("file_id", F.explode("ops").alias("op")).select("file_id", "op.*")
-    sides = flat.select("file_id", F.when(F.col("tag") == "insert", "new").when(F.col("tag") == "delete", "old").alias("side"), F.when(F.col("tag") == "insert", F.col("new_start")).otherwise(F.col("old_start")).alias("at"), (F.col("old_len") + F.col("new_len")).alias("len")).filter("side is not null")
-    over = F.greatest(F.lit(0), F.least(F.col("last") + 1, F.col("at") + F.col("len")) - F.greatest(F.col("first"), F.col("at")))
-    hit = spans.join(sides, ["file_id", "side"], "left").withColumn("over", F.when(F.col("at").isNull(), 0).otherwise(over))
-    count = lambda side: F.sum(F.when(F.col("side") == side, F.col("over")).otherwise(0)).cast("bigint")
-    return hit.groupBy("id").agg(count("new").alias("added"), count("old").alias("removed"))
+    sides = flat.select("file_id", F.when(F.col("tag") == "insert", "new").when(F.col("tag") == "delete", "old").alias("side"), F.when(F.col("tag") == "insert", F.col("new_start")).otherwise(F.col("old_start")).alias("at"), (F.col("old_len") + F.col("new_len")).alias("len")).filter("side is not null and len > 0")
+    parts = lambda lo, hi: F.explode(F.sequence(F.floor(lo / PART), F.floor(hi / PART)))
+    cut_ops = sides.withColumn("part", parts(F.col("at"), F.col("at") + F.col("len") - 1))
+    cut_spans = spans.filter("last >= first").withColumn("part", parts(F.col("first"), F.col("last")))
+    hit = cut_spans.join(cut_ops, ["file_id", "side", "part"])
+    end = F.least(F.col("last") + 1, F.col("at") + F.col("len"), (F.col("part") + 1) * PART)
+    over = F.greatest(F.lit(0), end - F.greatest(F.col("first"), F.col("at"), F.col("part") * PART))
+    count = lambda side: F.sum(F.when(F.col("side") == side, over).otherwise(0)).cast("bigint")
+    sums = hit.groupBy("id").agg(count("new").alias("added"), count("old").alias("removed"))
+    none = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    return spans.select("id").distinct().join(sums, "id", "left").select("id", none("added"), none("removed"))
 
 
 def whole_churn(ops: DataFrame) -> DataFrame:

@@ -6,11 +6,15 @@ another kind filters by file, as a semi-join.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import Term, byte_span, fold, lines, tokenize
 from .tree import dense_ids, file_of
@@ -67,10 +71,37 @@ def index(files: DataFrame, entities: DataFrame | None = None, tree: DataFrame |
 
 
 def grams(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(gram, doc): each run of three characters of a folded text, once for each document."""
-    starts = F.when(F.length("folded") >= size, F.sequence(F.lit(1), F.length("folded") - (size - 1))).otherwise(F.array().cast("array<int>"))
-    found = F.array_distinct(F.transform(starts, lambda i: F.substring("folded", i, F.lit(size))))
-    return docs.select(F.explode(found).alias("gram"), "doc")
+    """(gram, doc): each run of `size` characters of a folded text, once for each document.
+
+    Code points of many texts are compared at once, as arrays; a text is a row, so a batch is bounded by its rows.
+    """
+    doc = docs.schema["doc"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                texts = batch.column("folded").to_pylist()
+                codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+                of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+                n = len(codes) - size + 1
+                if n <= 0:
+                    continue
+                within = np.flatnonzero(of[:n] == of[size - 1 :])
+                windows = np.lib.stride_tricks.sliding_window_view(codes, size)[within]
+                name = np.zeros(len(within), np.uint64)
+                for i in range(size):
+                    name = (name << np.uint64(21)) | windows[:, i]
+                order = np.lexsort((name, of[within]))
+                name, owner = name[order], of[within][order]
+                first = np.flatnonzero(np.concatenate(([True], (name[1:] != name[:-1]) | (owner[1:] != owner[:-1])))) if len(order) else order
+                distinct, kind = np.unique(name[first], return_inverse=True)
+                text = ["".join(chr(d >> 21 * i & 0x1FFFFF) for i in reversed(range(size))) for d in distinct.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()).take(pa.array(kind)), batch.column("doc").take(pa.array(owner[first]))], names=["gram", "doc"])
+
+    if not 1 <= size <= 3:
+        raise ValueError("grams have one to three characters")
+    return docs.filter(F.length("folded") >= size).select("doc", "folded").mapInArrow(run, StructType([StructField("gram", StringType()), doc]))
 
 
 def shortlist(docs: DataFrame, postings: DataFrame, needle: str) -> DataFrame:

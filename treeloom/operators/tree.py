@@ -14,18 +14,25 @@ from pyspark.sql import functions as F
 from ..schema import ranged
 
 
+#: Lines of a part of a file in which points and spans meet.
+PART = 64
+
+
 def closure(entities: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """(id, anc, hops). With max_hops, the depth is known and no job runs; else one small job for each level."""
-    parents = entities.select(F.col("id").alias("anc"), F.col("parent").alias("up")).filter("up is not null")
-    out = level = entities.select("id", F.col("id").alias("anc"), F.lit(0).alias("hops"))
-    hops = 0
-    while max_hops is None or hops < max_hops:
-        hops += 1
-        level = level.join(parents, "anc").select("id", F.col("up").alias("anc"), F.lit(hops).alias("hops"))
-        if max_hops is None and level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+    """(id, anc, hops). Ancestors are attached a column at a time, one join for each level, and turned to rows at the end.
+
+    With max_hops, the depth is known and no job runs; else each level is written, and one small job asks if it is the last.
+    """
+    from ..sources.generations import written
+
+    parents = entities.select(F.col("id").alias("at"), F.col("parent").alias("up")).filter("up is not null")
+    wide, hops = entities.select("id", F.col("id").alias("a0"), F.col("parent").alias("a1")), 1
+    while hops < max_hops if max_hops is not None else not wide.filter(f"a{hops} is not null").isEmpty():
+        step = parents.select(F.col("at").alias(f"a{hops}"), F.col("up").alias(f"a{hops + 1}"))
+        wide = wide.join(step, f"a{hops}", "left").select("id", *(f"a{i}" for i in range(hops + 2)))
+        wide, hops = (wide if max_hops is not None else written(wide)), hops + 1
+    kept = hops if max_hops is None else min(hops, max_hops)
+    return wide.select("id", F.posexplode(F.array(*(f"a{i}" for i in range(kept + 1)))).alias("hops", "anc")).filter("anc is not null").select("id", "anc", "hops")
 
 
 def get(entities: DataFrame, entity_id: int) -> DataFrame:
@@ -97,13 +104,15 @@ def innermost(entities: DataFrame, tree: DataFrame, points: DataFrame) -> DataFr
     """(file_id, line, id) for points (file_id, line): the smallest entity in the file whose lines hold the line.
 
     Ranges include both ends; what has none is skipped; where nothing smaller holds the line, the file does. Spans
-    stay inside their file, so the range predicate runs within an equi-join on the file.
+    stay inside their file and are dealt to every PART lines that they touch, so the range predicate runs within an
+    equi-join on file and part, and a large file is no quadratic join.
     """
     order = order_key(entities, tree, last_first=True)
     inside = entities.join(file_of(entities, tree), "id").filter(ranged() & (F.col("id") != F.col("file_id"))).join(order, "id")
     spans = inside.select("file_id", "id", "line_start", "line_end", F.struct((F.col("line_end") - F.col("line_start")).alias("span"), "key").alias("by"))
     asked = points.select("file_id", "line").distinct().join(entities.filter("kind = 'file'").select(F.col("id").alias("file_id")), "file_id")
-    hit = asked.join(spans, "file_id", "left").withColumn("by", F.when((F.col("line") >= F.col("line_start")) & (F.col("line") <= F.col("line_end")), F.col("by")))
+    spans = spans.withColumn("part", F.explode(F.sequence(F.floor(F.col("line_start") / PART), F.floor(F.greatest("line_start", "line_end") / PART))))
+    hit = asked.withColumn("part", F.floor(F.col("line") / PART)).join(spans, ["file_id", "part"], "left").withColumn("by", F.when((F.col("line") >= F.col("line_start")) & (F.col("line") <= F.col("line_end")), F.col("by")))
     return hit.groupBy("file_id", "line").agg(F.min_by("id", "by").alias("found")).select("file_id", "line", F.coalesce("found", "file_id").alias("id"))
 
 

@@ -26,9 +26,15 @@ def query(sql: str | None = None):
     return add
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over all cores, where a table of few row groups would leave most of them idle; a large one stays as it is."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return docs.select(F.col("doc_id").alias("file_id"), name.alias("name"), F.concat_ws("/", "lang", "source", name).alias("path"), "text")
 
 
@@ -98,7 +104,7 @@ def excerpts_merge(spark, sf_dir):
     return out.select("file_id", "first_line", (F.col("first_line") + F.size("text") - 1).alias("last_line"), F.size("matched").cast("bigint").alias("marks"))
 
 
-ASKED = f"asked AS (SELECT DISTINCT r.src // 1 AS ask, f.file_id, r.line, e.name AS token FROM refs r JOIN (SELECT c.id, c.anc AS file_id FROM closure c JOIN entities x ON x.id = c.anc AND x.kind = 'file') f ON f.id = r.src JOIN entities e ON e.id = r.dst WHERE r.src % 7 = 0 AND r.kind IN ('call', 'type_ref', 'import'))"
+ASKED = f"asked AS (SELECT DISTINCT r.src AS ask, f.file_id, r.line, e.name AS token FROM refs r JOIN (SELECT c.id, c.anc AS file_id FROM closure c JOIN entities x ON x.id = c.anc AND x.kind = 'file') f ON f.id = r.src JOIN entities e ON e.id = r.dst WHERE r.kind IN ('call', 'type_ref', 'import'))"
 
 
 def asked(spark, sf_dir, alias: bool) -> tuple[DataFrame, DataFrame]:
@@ -171,7 +177,7 @@ def granularity_refs(spark, sf_dir):
 
 
 @query(oracle("""SELECT h.src, h.line, h.dst FROM hits h WHERE NOT EXISTS (SELECT 1 FROM hits o JOIN closure c ON c.id = o.dst AND c.anc = h.dst AND c.hops > 0 WHERE o.src = h.src AND o.line = h.line)""",
-    f"hits AS (SELECT DISTINCT src, line, unnest([dst, CASE WHEN dst >= {fx.PART} THEN (SELECT parent FROM entities WHERE id = dst) ELSE dst END]) AS dst FROM refs WHERE ref_id % 2 = 0)"))
+    f"hits AS (SELECT DISTINCT src, refs.line, unnest([dst, parent]) AS dst FROM refs JOIN entities ON entities.id = dst)"))
 def outer_suppress(spark, sf_dir):
     entities, up = graph(spark, sf_dir)
     refs = all_refs(spark, sf_dir).select("src", F.col("sites")[0].alias("line"), "dst")

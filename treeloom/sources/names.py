@@ -17,6 +17,8 @@ TRIVIAL = frozenset(
 )
 #: How coarse each kind of node is.
 LEVEL = {"folder": 0, "module": 1, "file": 2, "class": 3, "function": 4, "block": 5, "line": 6}
+#: Places (lines or bytes) of a part of a file in which points and scopes meet.
+PART = 512
 ENTITY = ("folder", "module", "file", "class", "function")
 
 
@@ -38,9 +40,12 @@ def resolve(raw: DataFrame, table: DataFrame) -> DataFrame:
 def innermost_scope(points: DataFrame, scopes: DataFrame) -> DataFrame:
     """points (file_id, at, …) with the smallest half-open range of scopes (file_id, scope, start, end) that holds them.
 
-    Ranges never leave their file, so the range predicate runs inside an equi-join; of equal ranges the first counts.
+    Ranges never leave their file and are dealt to every PART places that they touch, so the range predicate runs inside
+    an equi-join on file and part; of equal ranges the first counts.
     """
-    hit = points.join(scopes, "file_id").filter((F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")))
+    parts = F.sequence(F.floor(F.col("start") / PART), F.floor((F.col("end") - 1) / PART))
+    dealt = scopes.filter(F.col("end") > F.col("start")).withColumn("_part", F.explode(parts))
+    hit = points.withColumn("_part", F.floor(F.col("at") / PART)).join(dealt, ["file_id", "_part"]).filter((F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")))
     return hit.groupBy(*points.columns).agg(F.min_by("scope", F.struct((F.col("end") - F.col("start")).alias("size"), "scope")).alias("scope"))
 
 
