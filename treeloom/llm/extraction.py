@@ -1,17 +1,19 @@
 """Main text of web pages: the maximum-scoring subsequence of words and tags.
 
 A page is read as a sequence of tags and runs of words. Every word scores by what surrounds it: the names, classes,
-ids and roles of its enclosing elements, and whether it is in a link; every tag scores less than nothing. The weights
-are fitted to labelled pages (mainpage.py) by logistic regression for words, and by the odds of standing inside
-content for tags. One scan finds the contiguous region with the largest sum. Within it, words in elements that
-score as surroundings (an advert in the middle of an article, say) do not belong to the text and count as nothing.
+ids and roles of its enclosing elements, whether it is in a link, and whether its box has buttons or fields; every tag
+scores less than nothing. The weights are fitted to labelled pages (mainpage.py; the tables label none) by logistic
+regression for words, and by the odds of standing inside content for tags. One scan finds the contiguous region with
+the largest sum. Within it, words in elements that score as surroundings (an advert in the middle of an article, say)
+do not belong to the text and count as nothing.
 
 Blocks are what block-level elements bound; `br` is white space. Character references are decoded, white space in
 a block becomes one space, and blocks are joined by an empty line.
 
-Defined cases: null and empty pages, and pages without words, have an empty text; of equal regions the first one
-wins; unclosed and stray tags are borne; a page of any length is read whole; repeated rows get equal texts; other
-columns are ignored.
+Defined cases: null and empty pages, and pages without words, have an empty text; an empty table gives an empty one;
+of equal regions (ties) the first one wins; unclosed and stray tags are borne, and a tag with a broken quote ends at
+the next `>`; a page of any length is read whole; repeated rows get equal texts; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -25,21 +27,23 @@ from pyspark.sql import DataFrame
 
 from . import common, mainpage
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|title|iframe)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(?=[^a-zA-Z/!?])|</[^>]*>", re.DOTALL | re.IGNORECASE)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|title|iframe)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z))*+(?=>|\Z)|[^>]*)(?:>|\Z)|<(?=[^a-zA-Z/!?])|</[^>]*>", re.DOTALL | re.IGNORECASE)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 PART = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meta q ruby s samp small span strike strong sub sup time tt u var wbr link input button select option textarea".split())
 CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"])}
-PAGES = 400
+BOXES = frozenset("div section aside dialog li td".split())
+CONTROL = "+control"
+PAGES = 600
 
 
-def features(tag: str, attributes: str) -> tuple[str, ...]:
-    """What an element tells about the words in it."""
+def features(tag: str, attributes: str, inside_article: bool) -> tuple[str, ...]:
+    """What an element tells about the words in it; a header or footer of an article is not that of the page."""
     if tag in ("html", "body", "div", "section", "span", "p", "b", "strong", "em", "i", "h1", "h2", "h3", "h4", "h5", "h6", "table", "tbody", "tr", "td", "th", "pre", "blockquote", "br"):
         out = []
     else:
-        out = [f"<{tag}>"]
+        out = [f"<article {tag}>" if inside_article and tag in ("header", "footer") else f"<{tag}>"]
     if attributes:
         for m in NAMES.finditer(attributes):
             out += [f".{w}" for w in PART.findall((m[1] or m[2] or m[3] or "").lower())]
@@ -47,34 +51,43 @@ def features(tag: str, attributes: str) -> tuple[str, ...]:
 
 
 def read(page: str):
-    """Yields (place, "tag", name, is it a block bound?) and (place, "words", text, features of what encloses them)."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    """Yields (place, "tag", name, is it a block bound?) and (place, "words", text, features of what encloses them).
+
+    Words whose nearest box holds a button or a field, wherever in it, have the feature CONTROL.
+    """
+    stack: list[tuple[str, tuple[str, ...], int]] = []
     around: tuple[str, ...] = ()
-    at = 0
+    events, operated, at, box = [], set(), 0, 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            yield at, "words", page[at : m.start()], around
+            events.append((at, "words", page[at : m.start()], around, box))
         at = m.end()
         name = m[3]
         if name is None:
             if m[0] == "<":  # a sign, not a tag
-                yield m.start(), "words", "<", around
+                events.append((m.start(), "words", "<", around, box))
             elif m[1]:
-                yield m.start(), "tag", m[1].lower(), False
+                events.append((m.start(), "tag", m[1].lower(), False, 0))
             continue
         name = name.lower()
-        yield m.start(), "tag", name, name not in INLINE
+        events.append((m.start(), "tag", name, name not in INLINE, 0))
         if m[2]:
-            if any(t == name for t, _ in stack):
+            if any(t == name for t, _, _ in stack):
                 while stack.pop()[0] != name:
                     pass
-        elif name not in VOID and not m[4].rstrip().endswith("/"):
-            while stack and name in CLOSED_BY.get(stack[-1][0], ()):
-                stack.pop()
-            stack.append((name, features(name, m[4])))
-        around = tuple(f for _, fs in stack for f in fs)
+        else:
+            if name in ("button", "input", "select", "textarea") and box:
+                operated.add(box)
+            if name not in VOID and not m[4].rstrip().endswith("/"):
+                while stack and name in CLOSED_BY.get(stack[-1][0], ()):
+                    stack.pop()
+                stack.append((name, features(name, m[4], any(t == "article" for t, _, _ in stack)), at))
+        around = tuple(f for _, fs, _ in stack for f in fs)
+        box = next((i for t, _, i in reversed(stack) if t in BOXES), 0)
     if at < len(page):
-        yield at, "words", page[at:], around
+        events.append((at, "words", page[at:], around, box))
+    for place, kind, value, more, of in events:
+        yield place, kind, value, (*more, CONTROL) if of in operated else more
 
 
 @cache
@@ -107,6 +120,18 @@ def trained(n: int = PAGES) -> tuple[dict[str, float], float, dict[str, float]]:
     return {f: float(at[i]) for f, i in names.items()}, float(at[-1]), tags
 
 
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """Bounds of the contiguous region with the largest positive sum, the first of several; empty where there is none."""
+    best, lo, hi, total, start = 0.0, 0, 0, 0.0, 0
+    for i, s in enumerate(scores):
+        if total <= 0:
+            total, start = 0.0, i
+        total += s
+        if total > best:
+            best, lo, hi = total, start, i + 1
+    return lo, hi
+
+
 def main_text(page: str) -> str:
     weights, bias, tags = trained()
     tokens, scores, kept = [], [], []
@@ -125,13 +150,7 @@ def main_text(page: str) -> str:
             scores.append(score * len(value.split()))
             kept.append(keep)
         tokens.append((kind, value, more))
-    best, lo, hi, total, start = 0.0, 0, 0, 0.0, 0
-    for i, s in enumerate(scores):
-        if total <= 0:
-            total, start = 0.0, i
-        total += s
-        if total > best:
-            best, lo, hi = total, start, i + 1
+    lo, hi = best_region(scores)
     blocks, block = [], []
     for (kind, value, more), keep in zip(tokens[lo:hi], kept[lo:hi], strict=True):
         if kind == "words":
@@ -153,4 +172,4 @@ def extract(pages: DataFrame) -> DataFrame:
         texts = [main_text(p or "") for p in part.column("html").to_pylist()]
         return {"page_id": part.column("page_id"), "url": part.column("url"), "text": texts, "n_chars": [len(t) for t in texts]}
 
-    return common.map_batches(pages.select("page_id", "url", "html"), run, "page_id bigint, url string, text string, n_chars bigint", "html")
+    return common.map_batches(pages.select("page_id", "url", "html"), run, common.fields(pages, ["page_id", "url"], "text string, n_chars bigint"), "html")

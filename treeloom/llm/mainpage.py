@@ -6,7 +6,7 @@ import random
 
 #: Containers of an article, and of what surrounds one, as (tag, class) pairs that are usual on the web.
 CONTENT = [("article", ""), ("main", ""), ("div", "content"), ("div", "post"), ("div", "entry-content"), ("div", "article-body"), ("section", "main-text"), ("div", "story"), ("article", "post"), ("main", "page"), ("div", ""), ("section", ""), ("td", "")]
-TOP = [("nav", ""), ("nav", "menu"), ("header", ""), ("header", "site-header"), ("div", "nav"), ("div", "breadcrumb"), ("ul", "menu"), ("div", "topbar"), ("div", "cookie-notice"), ("div", "notice"), ("div", "banner"), ("div", "ad"), ("div", "advert"), ("form", "search"), ("div", "popup"), ("div", "consent")]
+TOP = [("nav", ""), ("nav", "menu"), ("header", ""), ("header", "site-header"), ("div", "nav"), ("div", "breadcrumb"), ("ul", "menu"), ("div", "topbar"), ("div", "cookie-notice"), ("div", "notice"), ("div", "banner"), ("div", "ad"), ("div", "advert"), ("form", "search"), ("div", "popup"), ("div", "consent"), ("div", "cookie-bar"), ("div", "cookies"), ("section", "cookie"), ("div", "gdpr"), ("div", "privacy-banner"), ("div", "alert")]
 SIDE = [("aside", ""), ("aside", "sidebar"), ("div", "sidebar"), ("div", "widget"), ("div", "related"), ("div", "ad"), ("div", "ads"), ("div", "promo"), ("div", "sponsored"), ("form", "newsletter"), ("form", ""), ("div", "subscribe"), ("div", "share"), ("div", "social")]
 BOTTOM = [("footer", ""), ("footer", "footer"), ("div", "footer"), ("section", "comments"), ("div", "comments"), ("div", "comment"), ("ol", "comment-list"), ("div", "related"), ("form", "comment-form"), ("div", "copyright"), ("div", "pagination"), ("div", "disqus")]
 
@@ -23,6 +23,8 @@ def pages(n: int, seed: int = 7) -> list[list[tuple[str, bool]]]:
 
     def boiler(where) -> str:
         tag, name = rng.choice(where)
+        if rng.random() < 0.15:  # a notice of a name that no other page has
+            return f'<div class="{words(1, 1)}"><p>{words(4, 25)}</p><button>{words(1, 2)}</button></div>'
         inner = rng.choice([links(), f"<p>{words(6, 40)}</p>", words(3, 15), f'<label>{words(1, 2)}</label><input type="text"><button>{words(1, 2)}</button>', f"<div><p>{words(5, 30)}</p><p>{words(5, 30)}</p></div>"])
         if "comment" in name and rng.random() < 0.5:
             inner = "".join(f'<article class="comment"><p>{words(5, 40)}</p></article>' for _ in range(rng.randint(1, 4)))
@@ -37,7 +39,9 @@ def pages(n: int, seed: int = 7) -> list[list[tuple[str, bool]]]:
         parts = [("<html><body>", False), *((boiler(TOP), False) for _ in range(rng.randint(1, 4)))]
         if rng.random() < 0.3:
             parts += [(boiler(SIDE), False)]
-        parts += [(f"<{tag}{f' class="{name}"' if name else ''}>", True), (f"<h1>{words(3, 9)}</h1>", True)]
+        parts += [(f"<{tag}{f' class="{name}"' if name else ''}>", True)]
+        title = f"<h1>{words(3, 9)}</h1>"
+        parts.append((f"<header>{title}<p>{words(2, 12)}</p></header>" if tag == "article" and rng.random() < 0.5 else title, True))
         for _ in range(rng.randint(2, 8)):
             parts.append((block(), True))
             if rng.random() < 0.1:
