@@ -5,9 +5,10 @@ vectors, each permuted (rolled) by its place, a text's profile is the bundle (su
 a language's prototype is the bundle of its sample texts' unit profiles. A text gets the language whose prototype
 has the largest cosine with its profile.
 
-Defined cases: null, empty and letterless texts get `und` with score 0; equal cosines go to the language that
+Defined cases: null, empty and letterless texts get `und` with score 0; an empty table gives an empty one; a text of
+any length is profiled whole, though only those of SAMPLE_CHARS at most are learned from; equal cosines go to the language that
 sorts first; repeated rows get the same answer; without a single labelled text every answer is `und`; null doc_id
-counts as an empty text in the fold; all other columns are ignored.
+counts as an empty text in the fold; all other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

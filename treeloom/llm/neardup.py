@@ -11,9 +11,10 @@ A bucket of more than BLOCK members (or BLOCK_BYTES of shingles) is checked as p
 No bucket is capped and no pair is left out other than by MISS and by the chance (2e-6 at the threshold, less above)
 that no band agrees.
 
-Defined cases: null, empty and blank texts have no shingle and are linked with nothing; under five words the whole
-sequence is the one shingle; rows of a repeated doc_id are one document that has the links of all its rows; rows
-without doc_id are not compared, get no component and are kept; other columns are ignored.
+Defined cases: null, empty and blank texts have no shingle and are linked with nothing; an empty table gives an empty
+one; under five words the whole sequence is the one shingle; a text of any length has all its shingles compared; of a
+group the smallest doc_id is kept, and all rows that share it (ties) are; rows of a repeated doc_id are one document that has the links of all its rows; rows
+without doc_id are not compared, get no component and are kept; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -84,7 +85,7 @@ class Forest:
 def bucket_links(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that connect what is similar in a bucket; with two sides only pairs across them are compared."""
     n = len(sets)
-    sign = signatures(sets, BATCH * BATCHES)
+    sign = signatures(sets, BATCH * BATCHES, ROWS * BANDS)  # other draws than those that made the bucket
     size = np.array([len(s) for s in sets])
     _, local = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum(size)

@@ -66,14 +66,15 @@ def shingle_sets(texts: list[str | None]) -> tuple[list[np.ndarray], list[bytes]
     return sets, digests
 
 
-def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
-    """MinHash signatures, a row of `size` 32-bit values for each set; a row of an empty set is all ones."""
+def signatures(sets: list[np.ndarray], size: int, first: int = 0) -> np.ndarray:
+    """MinHash signatures, a row of `size` 32-bit values for each set, by the hash functions from number `first` on; a
+    row of an empty set is all ones."""
     out = np.full((len(sets), size), 0xFFFFFFFF, np.uint32)
     some = [i for i, s in enumerate(sets) if len(s)]
     if some:
         flat = np.concatenate([sets[i] for i in some])
         starts = np.cumsum([0] + [len(sets[i]) for i in some[:-1]])
-        keys = mix(np.arange(1, 2 * size + 1, dtype=np.uint64) * ODD)
+        keys = mix(np.arange(2 * first + 1, 2 * (first + size) + 1, dtype=np.uint64) * ODD)
         work = np.empty_like(flat)
         for k in range(size):
             np.bitwise_xor(flat, keys[2 * k], out=work)

@@ -1,4 +1,10 @@
-"""The stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns what goes on."""
+"""The stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns what goes on.
+
+Each judges rows, whatever their doc_id: by the file and number of a row, or by a written number. An empty table gives
+an empty one. Null and empty texts have no letter, no shingle, no word and no piece, and go with the first stage.
+Texts of any length are judged whole. Of repeated rows, which tie, all stay or go in language ID and decontamination;
+line dedup leaves lines to the first of them and near-dedup leaves the first. Other columns pass through under any name.
+"""
 
 from __future__ import annotations
 

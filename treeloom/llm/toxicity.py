@@ -8,8 +8,10 @@ Forward-backward marginals give each token's probability; a logistic model over
 gives the document's score, and tokens of at least one half are the offending spans.
 
 Defined cases: null and empty texts have no token and get the score of an empty document (the prior for no
-evidence); several labels of one document count as their largest; null labels are left out; without labels of both
-kinds every score is 0; repeated rows get equal scores; other columns are ignored.
+evidence); an empty table gives an empty one; a text of any length is scored whole, though only those of SAMPLE_CHARS
+at most are learned from; tokens of one half exactly (ties) are offending, as scores of the threshold are; several labels of one document count as their largest; null labels are left out; without labels of both
+kinds every score is 0; repeated rows get equal scores; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -106,12 +108,10 @@ class Model:
 
 def summary(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Of each text: 1, log(1 + expected toxic tokens), the largest marginal, the square root of their density."""
-    ends = np.cumsum(lengths)
-    sums = np.diff(np.concatenate(([0.0], np.cumsum(p)))[np.concatenate(([0], ends))])
-    top = np.zeros(len(lengths))
-    some = lengths > 0
-    if some.any():
-        top[some] = np.maximum.reduceat(p, (ends - lengths)[some])
+    starts, some = np.cumsum(lengths) - lengths, lengths > 0
+    sums, top = np.zeros(len(lengths)), np.zeros(len(lengths))
+    if some.any():  # text by text, so that what stands beside a text changes no digit of its score
+        sums[some], top[some] = np.add.reduceat(p, starts[some]), np.maximum.reduceat(p, starts[some])
     return np.stack([np.ones(len(lengths)), np.log1p(np.maximum(sums, 0)), top, np.sqrt(np.maximum(sums, 0) / np.maximum(lengths, 1))], axis=1)
 
 
@@ -204,6 +204,6 @@ def score(docs: DataFrame, model: Model | None, keep: Sequence[str] = ("doc_id",
             hot, end = np.flatnonzero(p[end : end + n] >= 0.5), end + n
             found = [m.span() for m in WORD.finditer(t)] if len(hot) else []
             spans.append(",".join(f"{found[i][0]}:{found[i][1]}" for i in hot))
-        return kept | {"score": 1 / (1 + np.exp(-np.clip(about @ model.head, -30, 30))), "n_toxic": np.expm1(about[:, 1]), "spans": spans}
+        return kept | {"score": 1 / (1 + np.exp(-np.clip((about * model.head).sum(axis=1), -30, 30))), "n_toxic": np.expm1(about[:, 1]), "spans": spans}
 
     return common.map_batches(docs.select(*dict.fromkeys([*keep, text])), run, common.fields(docs, keep, "score double, n_toxic double, spans string"), text)
