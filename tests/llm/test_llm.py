@@ -304,6 +304,28 @@ def test_main_text_of_labelled_layouts():
     assert extraction.main_text(page) == "A & b\n\nOne two three\n\n4 < 5"
 
 
+def test_regions_titles_notices_and_broken_quotes(spark):
+    rng = random.Random(5)
+    for _ in range(200):
+        scores = [rng.choice([-2.0, -1.0, 0.5, 1.0]) for _ in range(rng.randint(0, 12))]
+        sums = {(a, b): sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)}
+        lo, hi = extraction.best_region(scores)
+        assert abs(sum(scores[lo:hi]) - max([0.0, *sums.values()])) < 1e-9
+    assert extraction.best_region([1.0, -5.0, 1.0]) == (0, 1)  # of equal regions the first
+    body = "<p>one two three four five six seven eight</p>"
+    kept = "one two three four five six seven eight"
+    assert extraction.main_text(f"<article><header><h1>Title here</h1></header>{body}</article>") == f"Title here\n\n{kept}"
+    for notice in ('<div class="cookie-bar">we use cookies here</div>', '<div class="gdpr">we use cookies here</div>', '<div class="zzz"><p>we use cookies on this site</p><button>fine</button></div>'):
+        assert extraction.main_text(f"<body>{notice}<article>{body}</article></body>") == kept
+    for broken in ('<a href="x>link</a>', '<a href="x>link</a> "said" so', "<a title='x>link</a>"):
+        text = extraction.main_text(f"<article>{body}<p>{broken} and more words to read</p></article>")
+        assert "<" not in text and "href" not in text and "more words to read" in text and text.startswith(kept)
+    long = "<p>" + "word " * 30_000 + "</p>"
+    rows = [(1, "u", f"<article>{long}</article>", 1), (2, "u", f"<main>{body}</main>", 2), (3, None, f"<main>{body}</main>", 3), (4, "u", None, 4)]
+    got = {r.page_id: r for r in extraction.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")).collect()}
+    assert got[1].n_chars == 149_999 and got[2].text == got[3].text == kept and (got[4].text, got[4].n_chars) == ("", 0)
+
+
 def brute_shards(rows, limit):
     """rows (doc_id, text): the shard of each, by splitting one bucket at a time."""
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
@@ -498,6 +520,49 @@ def test_stages_judge_each_row(spark, prose, tmp_path):
     assert sorted("\n".join(t for i, t in got if i is None).split("\n")) == ["new", "own"]
 
 
+def test_stages_bear_empty_tables_and_any_column_name(spark, prose, tmp_path):
+    spark.createDataFrame([(1, prose(12))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    a, names = prose(60), ["doc_id", "text", "lang", "source", "n_chars", "a.b", "_gone", "_row", "c1", "_metadata"]
+    rows = [(1, a, "x", None, 9, 1, 2, 3, 4, 5), (2, f"{a}\nmore", "x", None, 9, 1, 2, 3, 4, 5), (3, None, "x", None, 9, 1, 2, 3, 4, 5), (4, "", None, None, 9, 1, 2, 3, 4, 5)]
+    table = spark.createDataFrame(rows, "a bigint, b string, c string, d string, e bigint, f int, g int, h int, i int, j int").toDF(*names)
+    kept = {"known_language": {1, 2}, "without_repeated_lines": {1, 2, 3, 4}, "one_of_each_group": {1, 3, 4}, "without_benchmark": {1, 2, 3, 4}}
+    for read in (table, common.materialize(table)):
+        for name, ids in kept.items():
+            out = getattr(stages, name)(spark, read, str(tmp_path))
+            assert out.columns == names and {r[0] for r in out.collect()} == ids, name
+            assert all(r[5:] == (1, 2, 3, 4, 5) for r in out.collect())
+            assert getattr(stages, name)(spark, read.limit(0), str(tmp_path)).count() == 0
+    assert stages.tokens(spark, table.limit(0), "").count() == 0
+
+
+def test_scores_of_odd_rows(spark, prose):
+    rng = random.Random(8)
+    clean = [prose(40) for _ in range(60)]
+    texts = dict(enumerate(clean + [f"{c} vileword nastyish" for c in clean[:30]]))
+    labels = spark.createDataFrame([(i, int(i >= 60)) for i in texts] + [(5, None), (None, 1)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs(spark, texts), labels)
+    odd = {0: None, 1: "", 2: "123", 3: "vileword " * 20_000, 4: "vileword", 5: "vileword", None: clean[0]}
+    got = {r.doc_id: r for r in toxicity.score(docs(spark, odd).withColumn("spans", F.lit(1)), model).collect()}
+    assert got[0].score == got[1].score == got[2].score and got[4].score == got[5].score and len(got) == 7
+    assert got[3].spans.count(":") == 20_000 and got[4].spans == "0:8" and got[None].score < 0.3 < got[3].score
+    langs = docs(spark, {i: "".join(rng.choice("aeiou" if i % 2 else "bcdfg") for _ in range(200)) for i in range(20)}).withColumn("lang", F.when(F.col("doc_id") % 2 == 1, "v").otherwise("c"))
+    odd = {0: None, 1: "", 2: "12 !", 3: "aeiou" * 30_000, 4: "bcd", 5: "bcd", None: "aei"}
+    got = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in language.predict(docs(spark, odd).withColumn("lang_pred", F.lit(1)), language.fit(langs)).collect()}
+    assert got[0] == got[1] == got[2] == ("und", 0.0) and got[3][0] == "v" and got[4] == got[5] and got[4][0] == "c" and got[None][0] == "v"
+    same = language.fit(langs.withColumn("lang", F.lit("b")).unionByName(langs.withColumn("lang", F.lit("a"))))
+    assert {r.lang_pred for r in language.predict(docs(spark, ["aei", "bcd"]), same).collect()} == {"a"}  # equal cosines
+
+
+def test_lines_and_groups_of_odd_rows(spark, prose):
+    line, long = prose(9), "\n".join(prose(8) for _ in range(3000))
+    table = spark.createDataFrame([(1, None), (2, ""), (3, f"{line}\n{line}"), (None, line), (4, long), (5, long), (5, long)], "doc_id bigint, text string").withColumn("at", F.lit(1)).withColumn("line", F.lit(2))
+    got = sorted(linededup.line_report(table).collect(), key=lambda r: (r.doc_id is None, r.doc_id))
+    assert [(r.n_lines, r.n_compared, r.n_dropped, r.dropped) for r in got[:3]] == [(1, 0, 0, ""), (1, 0, 0, ""), (2, 2, 1, "1")]
+    assert got[3].n_compared == 3000 and got[4].n_dropped >= 3000 and got[5] == got[4] and got[6].n_compared == 0
+    rows = {(r.doc_id, r.n_shingles > 0, r.component_id, r.kept) for r in neardup.near_duplicates(table).collect()}
+    assert rows == {(1, False, 1, True), (2, False, 2, True), (3, True, 3, True), (None, True, None, True), (4, True, 4, True), (5, True, 4, False)}
+
+
 def test_pipeline_decides_stage_by_stage(spark, prose, tmp_path):
     a, b, item = prose(80), prose(80), prose(12)
     texts = {1: a, 2: "\n".join(["new start of some length, to be kept as it is", a]), 3: b, 4: "123 456", 5: f"{prose(30)} {item} {prose(30)}", 6: prose(3), 7: " ".join([*b.split()[:40], "changed", *b.split()[41:]])}
