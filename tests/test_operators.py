@@ -350,7 +350,7 @@ def test_scan_and_serving(spark, tmp_path):
     files = scan.directory(spark, str(tmp_path))
     assert {(r.path, r.text) for r in files.collect()} == {("src/a.rs", "fn a() {}"), ("b.bin", "")}
     assert scan.read_source(files, "src/a.rs") == "fn a() {}"
-    for path, status in (("../x", 403), ("nope", 404)):
+    for path, status in (("../x", 403), ("nope", 404), ("b.bin", 415)):
         with pytest.raises(scan.SourceError) as e:
             scan.read_source(files, path)
         assert e.value.status == status

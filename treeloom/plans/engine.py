@@ -13,7 +13,7 @@ from ..functions.text import percent_decode, utf16_span
 from ..operators import cut, search, tree
 from ..sources.generations import written
 from ..sources.scan import read_source
-from ..streaming.live import Generations
+from ..streaming.live import Generations, retained
 
 
 @dataclass
@@ -58,7 +58,8 @@ class Engine:
         matches = written(cut.id_map(old.entities, new.entities))
         new.cut = written(cut.migrate(old.cut, old.tree, matches, new.entities, new.tree))
         step = matches.select(F.lit(self.generations.number + 1).alias("generation"), "old_id", "new_id")
-        self.remaps = step if self.remaps is None else self.remaps.unionByName(step)
+        # written, and only as many as clients may lag behind, so that the plan does not grow with the generations
+        self.remaps = written(step if self.remaps is None else retained(self.remaps.unionByName(step)))
         return new
 
     def graph(self, from_generation: int | None = None) -> dict[str, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import lines
 from ..operators import cut, diff, goto, layout, search, testcode
 from ..sources import fixtures as fx
+from ..sources import scanner
 from ..sources.generations import once
 from .corpus import ASKED, PLACES, asked
 from .trees import IS_TEST, NATION_CUT, OWN_TEST, SITES, graph, nation_cut, oracle
@@ -148,3 +149,24 @@ def served_sources(spark, sf_dir):
     pairs, done = work(spark, sf_dir)
     disk = fx.sql(spark, sf_dir, "SELECT doc_id AS file_id, concat(text, ' on disk') AS text FROM {documents} WHERE doc_id % 2 = 0")
     return diff.served(pairs, done, disk).select("file_id", F.md5("text").alias("digest"), "side")
+
+
+#: A source file for each customer: a class with a method that calls a function, and a function.
+SOURCES = """SELECT concat('n', CAST(c_nationkey AS VARCHAR(20)), '/c', CAST(c_custkey AS VARCHAR(20)), '.py') AS path, c_custkey AS k, c_nationkey AS n, concat('class C', CAST(c_custkey AS VARCHAR(20)), ':', chr(10), '    def m', CAST(c_custkey % 5 AS VARCHAR(20)), '(self):', chr(10),
+  '        return f', CAST(c_custkey % 7 AS VARCHAR(20)), '(', CAST(c_custkey AS VARCHAR(20)), ')  # g()', chr(10), chr(10), 'def f', CAST(c_custkey % 11 AS VARCHAR(20)), '():', chr(10), '    pass', chr(10)) AS text FROM {customer}"""
+
+
+@query(fx.duck(f"""WITH s AS ({SOURCES}) SELECT path, 'class' AS kind, 'C' || k AS name, 0 AS line_start, 2 AS line_end, 0 AS depth FROM s
+  UNION ALL SELECT path, 'function', 'm' || k % 5, 1, 2, 1 FROM s UNION ALL SELECT path, 'function', 'f' || k % 11, 4, 5, 0 FROM s"""))
+def scan_constructs(spark, sf_dir):
+    found = scanner.scanned(fx.sql(spark, sf_dir, SOURCES)).select("path", F.explode("constructs").alias("c"))
+    return found.select("path", "c.kind", "c.name", "c.line_start", "c.line_end", "c.depth")
+
+
+@query(fx.duck(f"""WITH s AS ({SOURCES}), firsts AS (SELECT k % 11 AS j, arg_min(path, ('n' || n, path)) AS path FROM s GROUP BY k % 11)
+  SELECT s.path AS src_path, 'm' || s.k % 5 AS src_name, f.path AS dst_path, 'f' || f.j AS dst_name, 'call' AS kind, '2' AS sites FROM s JOIN firsts f ON f.j = s.k % 7"""))
+def scan_project(spark, sf_dir):
+    entities, refs = scanner.project(fx.sql(spark, sf_dir, SOURCES).select("path", "text"), "shop")
+    end = lambda x: entities.select(F.col("id").alias(x), F.col("path").alias(f"{x}_path"), F.col("name").alias(f"{x}_name"))
+    named = refs.join(end("src"), "src").join(end("dst"), "dst")
+    return named.select("src_path", "src_name", "dst_path", "dst_name", "kind", F.array_join(F.transform("sites", lambda x: x.cast("string")), ",").alias("sites"))

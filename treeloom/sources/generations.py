@@ -16,9 +16,12 @@ _WRITTEN: dict[tuple, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where that is unset."""
+    """spark.checkpoint.dir of the session; a temporary folder only where that is unset and all is one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="treeloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -43,13 +43,14 @@ def tree_order(path: Column) -> Column:
 
 
 def directory(spark: SparkSession, root: str) -> DataFrame:
-    """(path, text, size, modified) of the files under a root, paths relative to it; what is not UTF-8 has an empty text."""
+    """(path, text, size, modified, valid) of the files under a root, paths relative to it; what is not UTF-8 is not valid
+    and has an empty text."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.lit(root.split("://", 1)[-1].rstrip("/") + "/")
     whole = F.regexp_replace("path", r"^[a-z]+:(//[^/]*)?", "")
     rel = F.when(F.contains(whole, base), F.substring(whole, F.locate(root.split("://", 1)[-1].rstrip("/") + "/", whole) + F.length(base), F.length(whole))).otherwise(F.element_at(F.split("path", "/"), -1))
-    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.lit(""))
-    return raw.select(rel.alias("path"), text.alias("text"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")).filter(kept_path(F.col("path")))
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    return raw.select(rel.alias("path"), F.coalesce(text, F.lit("")).alias("text"), text.isNotNull().alias("valid"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")).filter(kept_path(F.col("path")))
 
 
 def indexer_for(manifests: DataFrame) -> DataFrame:
@@ -77,11 +78,12 @@ def read_source(files: DataFrame, path: str) -> str:
     """The text of one file, or a SourceError: outside the root, missing, too large, or not text."""
     if not path or path.startswith("/") or any(p in ("", ".", "..") for p in path.split("/")):
         raise SourceError(403, "outside the root")
-    row = files.filter(F.col("path") == path).select("text", "size").first()
+    valid = F.col("valid") if "valid" in files.columns else F.col("text").isNotNull()
+    row = files.filter(F.col("path") == path).select("text", "size", valid.alias("valid")).first()
     if row is None:
         raise SourceError(404, "no such file")
     if row["size"] is not None and row["size"] > MAX_SOURCE_BYTES:
         raise SourceError(413, "too large")
-    if row["text"] is None:
+    if row["text"] is None or not row["valid"]:
         raise SourceError(415, "not text")
     return row["text"]
