@@ -59,10 +59,12 @@ def mixed_edges(spark, sf_dir):
     return cut.coalesce(all_refs(spark, sf_dir), mixed_cut(entities), up), entities, up
 
 
-@query(oracle(f"SELECT src, dst, arg_min(kind, {STRENGTH}) AS kind, CAST(sum(n_refs) AS BIGINT) AS n_refs FROM edges GROUP BY src, dst", MIXED_CUT, SITES, COALESCED))
+@query(oracle(f"""SELECT e.src, e.dst, arg_min(e.kind, {STRENGTH.replace("kind", "e.kind")}) AS kind, md5(string_agg(CAST(m.ref_id AS VARCHAR), ',' ORDER BY e.first_ref, m.ref_id)) AS refs FROM edges e
+  JOIN (SELECT a.site AS src, b.site AS dst, r.kind, r.ref_id FROM refs r JOIN sites a ON r.src = a.id JOIN sites b ON r.dst = b.id) m ON m.src = e.src AND m.dst = e.dst AND m.kind = e.kind GROUP BY e.src, e.dst""", MIXED_CUT, SITES, COALESCED))
 def one_per_pair(spark, sf_dir):
     edges, _, _ = mixed_edges(spark, sf_dir)
-    return view.one_per_pair(edges).select("src", "dst", "kind", F.size("refs").cast("bigint").alias("n_refs"))
+    members = F.array_join(F.transform("refs", lambda r: r.cast("string")), ",")
+    return view.one_per_pair(edges).select("src", "dst", "kind", F.md5(members).alias("refs"))
 
 
 @query(oracle(f"""SELECT src, dst, status, arg_min(kind, {STRENGTH}) AS kind, string_agg(kind || '=' || n, ',' ORDER BY kind) AS kinds, CAST(sum(n) AS BIGINT) AS count
@@ -126,11 +128,28 @@ def bundle_default(spark, sf_dir):
     return view.bundle(edges.select("src", "dst", "kind"), boxes, up)
 
 
-@query()
+#: How far boxes let ends in, for this query: (in, out, inward).
+LEVELS = {fx.REGION + 1: (1, 1, 0), fx.NATION + 14: (2, 0, 1), fx.REGION + 2: (0, 2, 1)}
+
+
+def reach_sql(up: str, i: str, way: int) -> str:
+    of = lambda x, n: f"CASE {x} " + " ".join(f"WHEN {k} THEN {v[n]}" for k, v in LEVELS.items()) + " ELSE 0 END"
+    return f"greatest({of(f'{up}[{i} + 1]', way)}, {of(f'{up}[{i} + 2]', 2)})"
+
+
+def attach_sql(up: str, meet: str, way: int) -> str:
+    places = lambda condition: f"list_filter(range(1, {meet} + 1), lambda i: {reach_sql(up, 'i', way)} {condition})"
+    return f"CASE WHEN len({places('= 2')}) > 0 THEN 0 WHEN len({places('> 0')}) > 0 THEN list_min({places('> 0')}) - 1 ELSE {meet} END"
+
+
+@query(oracle(f"""SELECT src, src_box, dst, dst_box, kind, count(*) AS count FROM (SELECT a.up[ia + 1] AS src, ia > 0 AS src_box, b.up[ib + 1] AS dst, ib > 0 AS dst_box, kind FROM (
+    SELECT m.src, m.dst, m.kind, {attach_sql("a.up", "ka", 1)} AS ia, {attach_sql("b.up", "kb", 0)} AS ib FROM (
+      SELECT e.src, e.dst, e.kind, len(a.up) - {MEET} - 1 AS ka, len(b.up) - {MEET} - 1 AS kb FROM edges e JOIN ups a ON a.id = e.src JOIN ups b ON b.id = e.dst) m
+    JOIN ups a ON a.id = m.src JOIN ups b ON b.id = m.dst WHERE ka >= 0 AND kb >= 0) x JOIN ups a ON a.id = x.src JOIN ups b ON b.id = x.dst) GROUP BY ALL""", MIXED_CUT, SITES, COALESCED, UPCHAINS))
 def bundle_levels(spark, sf_dir):
     edges, entities, up = mixed_edges(spark, sf_dir)
     boxes = view.drawn_tree(mixed_cut(entities), up).filter("is_box").select("id")
-    return view.bundle(edges.select("src", "dst", "kind"), boxes, up, {fx.REGION + 1: (1, 1, 0), fx.NATION + 14: (2, 0, 1), fx.REGION + 2: (0, 2, 1)})
+    return view.bundle(edges.select("src", "dst", "kind"), boxes, up, LEVELS)
 
 
 IN_OUT = f"""SELECT DISTINCT r.ref_id, {{way}} FROM refs r JOIN sites a ON r.src = a.id JOIN sites b ON r.dst = b.id WHERE a.site <> b.site AND {{near}}.site IN (SELECT id FROM closure WHERE anc = {fx.REGION + 1}) AND {{far}}.site NOT IN (SELECT id FROM closure WHERE anc = {fx.REGION + 1})"""
