@@ -12,8 +12,8 @@ meet at a position one at most has a finite cost. The shortest path is therefore
 ties can't occur.
 
 Between two characters that stand side by side in no piece every path has a bound, so texts are cut there, and what
-was cut is looked up in a bounded memo of two generations (its pieces, and the bytes that they stand for) before it
-is composed. Runs of spaces, which merge last, are compiled separately.
+was cut is looked up in a bounded memo of two generations before it is composed. Decoding gathers the bytes that the
+pieces stand for. Runs of spaces, which merge last, are compiled separately.
 
 Defined cases: null and empty texts have no piece; an empty table gives an empty one; a text of any length is encoded
 whole; U+2581 in a text counts as a space and is decoded as one; repeated rows get equal pieces; other columns are
@@ -181,9 +181,11 @@ class Transducer:
         tails = "".join(c for c in "!\"#$%&()*+,./:;<=>?@[\\]^`{|}~" if c not in joined)
         letters = rf" *{letter}+(?=[{re.escape(tails)}])|" if tails else ""
         self.units = re.compile(letters + " *[^ \n]+| +|\n") if not any("\n" in t for t in normal) else re.compile(letters + " *[^ ]+| +")
-        self.sizes = np.array([len(r) for r in self.raw])
-        self.memo: list[dict[str, bytes]] = [{}, {}]  # of a unit its ids, as 32-bit integers, and the bytes they stand for
-        self.older: list[dict[str, bytes]] = [{}, {}]
+        # what each piece stands for: all bytes, and where a piece's begin and how many they are
+        self.letters, self.sizes = np.frombuffer(b"".join(self.raw), np.uint8), np.array([len(r) for r in self.raw])
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.memo: dict[str, bytes] = {}  # of a unit its ids, as 32-bit integers
+        self.older: dict[str, bytes] = {}
 
     def may_follow(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Is p, q what merging their characters ends at? Joins are undone, the latest first; one over the bound that
@@ -272,15 +274,14 @@ class Transducer:
 
     def learn(self, units: set[str]) -> None:
         """Put units into the memo."""
-        if len(self.memo[0]) + len(units) > MEMO:
-            self.memo, self.older = [{}, {}], self.memo
-        ids, stands_for = self.memo
+        if len(self.memo) + len(units) > MEMO:
+            self.memo, self.older = {}, self.memo
         fresh = []
         for u in units:
-            if (known := self.older[0].get(u)) is None:
+            if (known := self.older.get(u)) is None:
                 fresh.append(u)
             else:
-                ids[u], stands_for[u] = known, self.older[1][u]
+                self.memo[u] = known
         bare = [u for u in fresh if u[:1] != " " or (u[1:2] != " " and len(u) > 1)]
         self.learn_words(bare, bare)
         if len(bare) < len(fresh):
@@ -291,11 +292,8 @@ class Transducer:
         if not words:
             return
         found, bounds, spelt = self.compose(words)
-        flat, raw = found.astype("<i4").tobytes(), b"".join(map(self.raw.__getitem__, found.tolist()))
-        cuts = np.concatenate(([0], np.cumsum(self.sizes[found])))[bounds].tolist()
-        bounds = (4 * bounds).tolist()
-        self.memo[0].update(zip(units, map(flat.__getitem__, map(slice, bounds, bounds[1:])), strict=True))
-        self.memo[1].update(zip(units, map(raw.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+        flat, bounds = found.astype("<i4").tobytes(), (4 * bounds).tolist()
+        self.memo.update(zip(units, map(flat.__getitem__, map(slice, bounds, bounds[1:])), strict=True))
         for i, path in spelt.items():
             self.remember(units[i], path)
 
@@ -308,25 +306,33 @@ class Transducer:
             if n == len(u):
                 self.remember(u, self.run(n))
             else:
-                path = np.frombuffer(self.memo[0][u], "<i4").tolist()
+                path = np.frombuffer(self.memo[u], "<i4").tolist()
                 self.remember(u, [*self.run(n), *path[1:]] if path[0] == self.runs[SPACE] else [*self.run(n - 1), *path])
 
     def remember(self, unit: str, path: Sequence[int]) -> None:
-        self.memo[0][unit] = struct.pack(f"<{len(path)}i", *path)
-        self.memo[1][unit] = b"".join([self.raw[i] for i in path])
+        self.memo[unit] = struct.pack(f"<{len(path)}i", *path)
 
-    def translate(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
-        """Of each text its ids, as 32-bit integers, and the bytes that they stand for."""
+    def translate(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where those of each text begin."""
         cut = [self.units.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
         units = set().union(*cut)
-        fresh = units.difference(self.memo[0])
+        fresh = units.difference(self.memo)
         # a new generation begins where these don't fit, and then all of them must be in it
-        self.learn(fresh if len(self.memo[0]) + len(fresh) <= MEMO else units)
-        ids, stands_for = (x.__getitem__ for x in self.memo)
-        return [b"".join(map(ids, us)) for us in cut], [b"".join(map(stands_for, us)).removeprefix(b" ") for us in cut]
+        self.learn(fresh if len(self.memo) + len(fresh) <= MEMO else units)
+        ids = [b"".join(map(self.memo.__getitem__, us)) for us in cut]
+        return np.frombuffer(b"".join(ids), "<i4"), np.concatenate(([0], np.cumsum([len(i) // 4 for i in ids])))
+
+    def restore(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """Of each text the bytes that its ids stand for, without the space in front."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        places = np.arange(int(sizes.sum())) - np.repeat(ends - sizes - self.begins[ids], sizes)
+        data, cuts = self.letters[places].tobytes(), np.concatenate(([0], ends))[bounds].tolist()
+        return [data[a:b].removeprefix(b" ") for a, b in zip(cuts, cuts[1:])]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [np.frombuffer(x, "<i4").tolist() for x in self.translate(texts)[0]]
+        ids, bounds = self.translate(texts)
+        return [x.tolist() for x in np.split(ids, bounds[1:-1])] if texts else []
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")
@@ -381,13 +387,13 @@ def encode(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
 
     def run(part):
         texts = [t or "" for t in part.column(text).to_pylist()]
-        ids, decoded = compiled(shipped.value).translate(texts)
-        offsets = np.concatenate(([0], np.cumsum([len(i) // 4 for i in ids])))
-        flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+        fst = compiled(shipped.value)
+        flat, offsets = fst.translate(texts)
+        decoded = fst.restore(flat, offsets)
         return {
             "doc_id": part.column("doc_id"),
             "n_tokens": np.diff(offsets),
-            "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, type=pa.list_(pa.field("element", pa.int32()))),
+            "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()), type=pa.list_(pa.field("element", pa.int32()))),
             "decoded_sha256": [hashlib.sha256(d).hexdigest() for d in decoded],
             "round_trip": [a.encode() == b for a, b in zip(texts, decoded, strict=True)],
         }
