@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from treeloom.functions import rank, text, tokens
 from treeloom.operators import cut, diff, goto, layout, lineops, search, testcode, tree, view
 from treeloom.plans import corpus, trees
-from treeloom.sources import names, occurrences, scan
+from treeloom.sources import generations, names, occurrences, scan
 from treeloom.streaming import live
 
 COLUMNS = "id bigint, kind string, name string, parent bigint, ord bigint, path string, line_start int, line_end int, is_test boolean"
@@ -73,7 +73,7 @@ def test_expansion_shows_references_where_they_land(shop):
     at, expected = cut.initial(graph), {0}
     for leaf in (0, 2, 1, 4):
         assert leaves(at) == expected and seen(at) == landed(rows, found, expected)
-        at = cut.expand(at, graph, leaf)
+        at = generations.written(cut.expand(at, graph, leaf))
         expected = expected - {leaf} | {i for i, r in enumerate(rows) if r[2] == leaf}
     assert leaves(at) == expected and seen(at) == landed(rows, found, expected)
     assert leaves(cut.collapse(at, graph, up, 3)) == {1, 5}
