@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, extraction, fingerprints, language, linededup, neardup, oracles, pieces, secrets, sharding, toxicity
+from . import decontamination, extraction, fingerprints, language, linededup, mixing, neardup, oracles, periodic, pieces, prefixtrie, secrets, sharding, toxicity
 from .common import table
 
 #: Bytes of a shard's texts.
@@ -67,14 +67,32 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(prefixtrie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(periodic.repeated_tail(table(spark, sf_dir, "documents")))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_secret_scan, op2_document_fingerprints, op3_minhash_near_dedup, op4_toxicity, op5_language_id, op6_html_extraction, op7_sharding, op8_decontamination, op9_line_dedup, op10_sentencepiece)
-}
+    for f in (
+        op1_secret_scan, op2_document_fingerprints, op3_minhash_near_dedup, op4_toxicity, op5_language_id, op6_html_extraction, op7_sharding, op8_decontamination, op9_line_dedup, op10_sentencepiece,
+        op11_prefix_trie, op12_periodic_runs, op13_source_mixing,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op3_minhash_near_dedup": oracles.NEAR_DEDUP,
     "op7_sharding": oracles.SHARDING.format(limit=SHARD_BYTES),
     "op8_decontamination": oracles.DECONTAMINATION,
+    "op11_prefix_trie": oracles.PREFIX_TRIE,
+    "op12_periodic_runs": oracles.PERIODIC_RUNS,
+    "op13_source_mixing": oracles.MIXING.format(block=mixing.BLOCK, repeats=mixing.REPEATS, weights=list(mixing.WEIGHTS), golden=mixing.GOLDEN, range=mixing.RANGE),
     "op9_line_dedup": oracles.LINE_DEDUP.format(chars=linededup.MIN_CHARS, edits=linededup.EDITS),
 }
