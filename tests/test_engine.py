@@ -6,7 +6,10 @@ import json
 
 import pytest
 
-from treeloom.plans.engine import Engine, Snapshot, Unchanged, arguments
+from treeloom.plans import load
+from treeloom.plans.engine import Engine, Snapshot, Unchanged
+from treeloom.plans.load import arguments
+from treeloom.sources.scan import SourceError
 from treeloom.streaming.live import Stale
 
 ENTITIES = "id bigint, kind string, noun string, name string, parent bigint, ord bigint, path string, line_start int, line_end int, is_test boolean"
@@ -42,6 +45,63 @@ def test_requests_and_rebuilds(spark):
     assert {r.leaf for r in engine.live.cut.collect()} == {0}
 
 
+OLD = {"src/lib.rs": "use a::b;\n\n/// Doc.\nfn alpha() {\n    beta();\n}\nfn beta() {}\n", "src/gone.rs": "fn gone() {\n    alpha();\n}\n", "tests/old.rs": "fn t() {}\n", "same.py": "def f(): pass\n"}
+NEW = {"src/lib.rs": "use a::b;\n\n/// Doc, revised.\nfn alpha() {\n    beta();\n}\nfn beta() {}\n", "src/fresh.rs": "fn fresh() {\n    beta();\n}\n", "same.py": "def f(): pass\n"}
+
+
+@pytest.fixture(scope="module")
+def roots(tmp_path_factory):
+    out = {}
+    for name, files in (("base", OLD), ("work", NEW)):
+        out[name] = tmp_path_factory.mktemp(name) / "proj"
+        for path, text in files.items():
+            (out[name] / path).parent.mkdir(parents=True, exist_ok=True)
+            (out[name] / path).write_text(text)
+    return out
+
+
+def test_two_sided_snapshot(spark, roots):
+    engine = Engine(lambda: load.snapshot(spark, str(roots["work"]), str(roots["base"]), "0123abcd"))
+    graph = {part: [json.loads(r.json) for r in rows.collect()] for part, rows in engine.graph().items()}
+    assert graph["diff"] == [{"base": "proj", "base_commit": "0123abcd"}]
+    node = {(n["kind"], n["name"]): n for n in graph["nodes"]}
+    said = {k: (n["status"], n["added"], n["removed"]) for k, n in node.items()}
+    assert said == {
+        ("folder", "proj"): ("modified", 4, 5), ("folder", "src"): ("modified", 4, 4), ("folder", "tests"): ("removed", 0, 1), ("file", "lib.rs"): ("modified", 1, 1), ("function", "alpha"): ("modified", 1, 1),
+        ("function", "beta"): ("same", 0, 0), ("file", "gone.rs"): ("removed", 0, 3), ("function", "gone"): ("removed", 0, 3), ("file", "fresh.rs"): ("added", 3, 0), ("function", "fresh"): ("added", 3, 0),
+        ("file", "old.rs"): ("removed", 0, 1), ("function", "t"): ("same", 0, 0), ("file", "same.py"): ("same", 0, 0), ("function", "f"): ("same", 0, 0),
+    } | {("function", "t"): ("removed", 0, 0)}
+    assert node["file", "old.rs"]["is_test"] and node["function", "t"]["is_test"] and "is_test" not in node["function", "fresh"]
+    assert node["folder", "src"]["loc"] == 7 + 3 and node["file", "gone.rs"]["loc"] == 3  # what is gone counts to itself alone
+    name = {n["id"]: n["name"] for n in graph["nodes"]}
+    assert {(name[r["from"]], name[r["to"]], r["status"]) for r in graph["references"]} == {("alpha", "beta", "same"), ("gone", "alpha", "removed"), ("fresh", "beta", "added")}
+    found = engine.source(node["function", "alpha"]["id"])
+    assert (found["path"], found["text"], found["old_text"]) == ("src/lib.rs", NEW["src/lib.rs"], OLD["src/lib.rs"])
+    assert found["ops"] == [["=", 0, 2, 0, 2], ["-", 2, 1, 2, 0], ["+", 3, 0, 2, 1], ["=", 3, 4, 3, 4]]
+    assert engine.source(node["function", "gone"]["id"])["text"] == "" and "ops" not in engine.source(node["function", "f"]["id"])
+    with pytest.raises(SourceError):
+        engine.source(node["folder", "src"]["id"])
+    hit = lambda q: {(json.loads(r.json)["kind"], json.loads(r.json)["path"]) for r in engine.search(q).collect()}
+    assert ("content", "src/gone.rs") in hit("gone") and hit("revised") == {("content", "src/lib.rs")} and not hit('content:"/// Doc."')
+    engine.zoom_in(node["folder", "proj"]["id"], 1)
+    engine.zoom_in(node["folder", "src"]["id"], 1)
+    assert {(name[e["from"]], name[e["to"]], e["status"]) for e in (json.loads(r.json) for r in engine.coalesced().collect())} == {("gone.rs", "lib.rs", "removed"), ("fresh.rs", "lib.rs", "added")}
+
+
+def test_command_line_and_single_files(spark, roots, capsys):
+    load.main([str(roots["work"]), "--ask", "dump"], spark)
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[0] == "0 folder proj 0..0 <- -" and lines[-1].endswith(" call @4") and len(lines) == 9 + 2
+    load.main([str(roots["work"] / "src/lib.rs"), "--ask", "dump"], spark)
+    assert capsys.readouterr().out.splitlines() == ["0 file lib.rs 0..6 <- -", "1 function alpha 3..5 <- 0", "2 function beta 6..6 <- 0"]
+    load.main([str(roots["work"]), "--diff", str(roots["base"]), "--ask", "search:symbol:fresh"], spark)
+    assert json.loads(capsys.readouterr().out)["text"] == "fresh"
+    load.main([str(roots["work"]), "--ask", "status"], spark)
+    assert json.loads(capsys.readouterr().out)["generation"] == 1
+    with pytest.raises(SystemExit):
+        load.main([str(roots["work"]), "--ask", "nothing"], spark)
+
+
 def test_arguments():
     assert arguments(["--diff", "HEAD", "x"]).diff == "HEAD"
     for bad in (["--scip", "--scip-index", "f", "x"], ["--diff", "HEAD", "--scip-index", "f", "x"]):

@@ -10,31 +10,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import percent_decode, utf16_span
-from ..operators import cut, search, tree
+from ..operators import compare, cut, diff, search, tree
 from ..sources.generations import written
-from ..sources.scan import read_source
+from ..sources.scan import SourceError, read_source
 from ..streaming.live import Generations, retained
 
 
+@dataclass(frozen=True)
+class Base:
+    """What a generation is compared with: its name, its commit, and the comparison."""
+
+    name: str
+    commit: str
+    compared: compare.Compared
+
+
 @dataclass
 class Snapshot:
-    """One generation: entities, refs, files (file_id, name, path, text, size), and what is derived once from them."""
+    """One generation: entities, refs, files (file_id, name, path, text, size), and what is derived once from them.
+
+    With a base, entities and references are those of the union, with their statuses, and a changed file's text is that of
+    the comparison.
+    """
 
     entities: DataFrame
     refs: DataFrame
     files: DataFrame
     max_hops: int | None = None
+    base: Base | None = None
     tree: DataFrame = field(init=False)
     index: search.Index = field(init=False)
     cut: DataFrame = field(init=False)
 
     def __post_init__(self) -> None:
-        self.entities, self.refs = written(self.entities), written(self.refs)
-        self.tree = written(tree.closure(self.entities.select("id", "parent"), self.max_hops))
+        if self.base is None:
+            self.entities, self.refs = written(self.entities), written(self.refs)
+            self.tree = written(tree.closure(self.entities.select("id", "parent"), self.max_hops))
+        else:
+            self.tree = self.base.compared.tree
         self.index = search.index(self.files, self.entities, self.tree)
         self.cut = cut.initial(self.entities)
 
 
+def two_sided(old: tuple[DataFrame, DataFrame, DataFrame], new: tuple[DataFrame, DataFrame, DataFrame], name: str = "base", commit: str = "", max_hops: int | None = None) -> Snapshot:
+    """A generation that holds two versions, each given as entities, references and texts (file_id, text) of its own ids."""
+    found = compare.compare(*old, *new, max_hops=max_hops)
+    files = found.entities.filter("kind = 'file'").select(F.col("id").alias("file_id"), "name", "path")
+    return Snapshot(found.entities, found.refs, files.join(compare.shown_texts(found), "file_id"), max_hops, Base(name, commit, found))
+
+
+#: How operations are written on the wire.
+SIGNS = {"equal": "=", "delete": "-", "insert": "+"}
+
+
 class Unchanged(ValueError):
     """A cut operation that would do nothing."""
 
@@ -65,20 +93,42 @@ class Engine:
     def graph(self, from_generation: int | None = None) -> dict[str, DataFrame]:
         """JSON rows of nodes and references, without empty fields; and how ids of an older generation map to these."""
         s = self.live
-        sizes = tree.loc(s.entities, s.tree)
-        rows = s.entities.join(sizes, "id").select("id", "kind", "noun", "name", "parent", "path", "line_start", "line_end", "loc", F.nullif("is_test", F.lit(False)).alias("is_test"), F.nullif("test_loc", F.lit(0)).alias("test_loc"))
-        out = {"nodes": rows.select("id", F.to_json(F.struct(*rows.columns)).alias("json")), "references": s.refs.select("ref_id", F.to_json(F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), "kind", "sites")).alias("json"))}
+        changed, status = (["status", "added", "removed"], ["status"]) if s.base else ([], [])
+        # a removed child is no part of what its folder holds now
+        sizes = tree.loc(s.entities, s.tree, compare.removed() if s.base else None)
+        rows = s.entities.join(sizes, "id").select("id", "kind", "noun", "name", "parent", "path", "line_start", "line_end", "loc", F.nullif("is_test", F.lit(False)).alias("is_test"), F.nullif("test_loc", F.lit(0)).alias("test_loc"), *changed)
+        out = {"nodes": rows.select("id", F.to_json(F.struct(*rows.columns)).alias("json")), "references": s.refs.select("ref_id", F.to_json(F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), "kind", "sites", *status)).alias("json"))}
+        if s.base:
+            out["diff"] = s.entities.sparkSession.createDataFrame([(s.base.name, s.base.commit)], "base string, base_commit string").select(F.to_json(F.struct("base", "base_commit")).alias("json"))
         if from_generation is not None and self.remaps is not None:
             out["remap"] = cut.compose(self.remaps, from_generation, self.generations.number)
         return out
 
-    def source(self, path: str) -> str:
-        return read_source(self.live.files.withColumn("size", F.octet_length("text")), path)
+    def source(self, of: str | int) -> str | dict:
+        """The text of the file at a path, or of the file that an entity lies in with what the wire has of it: both sides and
+        the operations between them, if the comparison has them."""
+        s = self.live
+        files = s.files.withColumn("size", F.octet_length("text"))
+        if isinstance(of, str):
+            return read_source(files, of)
+        found = tree.file_of(s.entities, s.tree).filter(F.col("id") == of).first()
+        if found is None:
+            raise SourceError(404, f"entity {of} has no source file")
+        path = s.files.filter(F.col("file_id") == found.file_id).select("path").first()
+        out = {"generation": self.generations.number, "id": found.file_id, "path": path.path if path else ""}
+        if s.base:
+            both, done = s.base.compared.pairs, s.base.compared.work.filter("diffable")
+            row = both.join(done, "file_id").filter(F.col("file_id") == found.file_id).first()
+            if row is not None:
+                ops = [[SIGNS[o.tag], o.old_start, o.old_len, o.new_start, o.new_len] for o in row.ops]
+                return out | {"text": row.new_text or "", "old_text": row.old_text or "", "ops": ops}
+        return out | {"text": read_source(files, out["path"])}
 
     def coalesced(self) -> DataFrame:
         s = self.live
         edges = cut.coalesce(s.refs, s.cut, s.tree)
-        return edges.select("first_ref", F.to_json(F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), "kind", "refs")).alias("json"))
+        edges = diff.edge_status(edges, s.refs) if s.base else edges
+        return edges.select("first_ref", F.to_json(F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), "kind", "refs", *(["status"] if s.base else []))).alias("json"))
 
     def search(self, query: str, limits: search.Limits = search.Limits(), encoded: bool = False) -> DataFrame | None:
         """Hits as JSON with spans in UTF-16 units, or None for an empty query."""
@@ -114,22 +164,3 @@ class Engine:
 
     def reload(self) -> bool:
         return self.generations.rebuild()
-
-
-def arguments(argv: list[str] | None = None) -> argparse.Namespace:
-    """Command line: what to load, an index or a base to compare with, and whether to follow changes."""
-    parser = argparse.ArgumentParser(description="Ask a source tree questions.")
-    parser.add_argument("path")
-    index = parser.add_mutually_exclusive_group()
-    index.add_argument("--scip", action="store_true", help="build the graph from an index made on the fly")
-    index.add_argument("--scip-index", metavar="FILE", help="build the graph from an index that exists")
-    parser.add_argument("--diff", metavar="REF", help="compare with a base version")
-    parser.add_argument("--auto-update", action="store_true", help="rebuild when sources change")
-    args = parser.parse_args(argv)
-    if args.diff and args.scip_index:
-        parser.error("--diff needs an index of each side, so it does not go with --scip-index")
-    return args
-
-
-def empty_files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "file_id bigint, name string, path string, text string")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cut, diff, tree
+from ..operators import compare, cut, diff, tree
 from ..sources import fixtures as fx
+from ..sources import scanner
 from ..sources.generations import once
 from .trees import NATION_CUT, SITES, graph, nation_cut, oracle
 from .trees import refs as all_refs
@@ -158,8 +159,58 @@ def churn_overlap(spark, sf_dir):
 @query(oracle("""SELECT u.id, CASE WHEN old_id IS NULL THEN 'added' WHEN new_id IS NULL THEN 'removed' WHEN a.anc IS NOT NULL OR r.anc IS NOT NULL THEN 'modified' ELSE 'same' END AS status
   FROM united u LEFT JOIN (SELECT DISTINCT c.anc FROM united d JOIN closure c ON c.id = d.new_id WHERE d.old_id IS NULL AND c.hops > 0) a ON a.anc = u.new_id
   LEFT JOIN (SELECT DISTINCT c.anc FROM united d JOIN closure c ON c.id = d.old_id WHERE d.new_id IS NULL AND c.hops > 0) r ON r.anc = u.old_id""", SIDES, MATCHED, UNITED))
-def diff_entity_status(spark, sf_dir):
+def diff_presence_status(spark, sf_dir):
+    # a graph that knows neither files nor lines: what is there on which side decides alone
     both = united(spark, sf_dir).withColumn("line_start", F.lit(0)).withColumn("line_end", F.lit(0)).withColumn("kind", F.when(F.col("kind") == "file", "module").otherwise(F.col("kind")))
     none = both.limit(0)
     files = none.select("id", F.lit("").alias("status"), F.lit(0).alias("added"), F.lit(0).alias("removed"))
     return diff.settle(both, tree.closure(both.select("id", "parent"), fx.HOPS), files, files.drop("status")).select("id", "status")
+
+
+#: A source file for each customer in two versions: alike, gone, new, a line more in a body, a comment edited, or one
+#: function in place of another. Lines 2 and 3 belong to the function on lines 4 to 6; another has lines 7 and 8.
+CODE = """SELECT concat('n', CAST(c_nationkey AS VARCHAR(20)), '/c', CAST(c_custkey AS VARCHAR(20)), '.rs') AS path, c_custkey % 6 AS c, c_custkey AS k, c_nationkey AS n,
+  concat('use a::b;', chr(10), chr(10), '/// ', {doc}, chr(10), '#[inline]', chr(10), 'fn alpha', CAST(c_custkey AS VARCHAR(20)), '() {{{{{{{{', chr(10), {more}, '    beta', CAST(c_custkey AS VARCHAR(20)), '(1);', chr(10), '}}}}}}}}', chr(10), {last}) AS text FROM {{customer}}"""
+BETA, GAMMA = (f"concat('fn {name}', CAST(c_custkey AS VARCHAR(20)), '(x: u8) {{{{', chr(10), '}}}}', chr(10))" for name in ("beta", "gamma"))
+CODE_OLD = CODE.format(doc="'Doc.'", more="''", last=BETA)
+CODE_NEW = CODE.format(doc="CASE WHEN c_custkey % 6 = 4 THEN 'Doc, edited.' ELSE 'Doc.' END", more="CASE WHEN c_custkey % 6 = 3 THEN concat('    more();', chr(10)) ELSE '' END", last=f"CASE WHEN c_custkey % 6 = 5 THEN {GAMMA} ELSE {BETA} END")
+
+
+def code_compared(spark, sf_dir) -> compare.Compared:
+    sides = []
+    for text, gone in ((CODE_OLD, 2), (CODE_NEW, 1)):
+        files = fx.sql(spark, sf_dir, f"SELECT path, text FROM ({text}) WHERE c <> {gone}")
+        entities, refs = scanner.project(files, "code")
+        entities = once(spark, ("code side", gone, sf_dir), lambda e=entities: e)
+        texts = files.join(entities.filter("kind = 'file'").select("path", F.col("id").alias("file_id")), "path").select("file_id", "text")
+        sides += [entities, once(spark, ("code refs", gone, sf_dir), lambda r=refs: r), texts]
+    return compare.compare(*sides, max_hops=3)
+
+
+#: What each case makes of a file, its two functions, and a third one: status, lines added, lines removed.
+CASES = [
+    (0, ("same", 0, 0), ("same", 0, 0), ("same", 0, 0), None),
+    (1, ("removed", 0, 9), ("removed", 0, 5), ("removed", 0, 2), None),
+    (2, ("added", 9, 0), ("added", 5, 0), ("added", 2, 0), None),
+    (3, ("modified", 1, 0), ("modified", 1, 0), ("same", 0, 0), None),
+    (4, ("modified", 1, 1), ("modified", 1, 1), ("same", 0, 0), None),
+    (5, ("modified", 1, 1), ("same", 0, 0), ("removed", 0, 1), ("added", 1, 0)),
+]
+CODE_ROWS = "cases(c, what, status, added, removed) AS (VALUES " + ", ".join(f"({c}, '{what}', '{r[0]}', {r[1]}, {r[2]})" for c, *rows in CASES for what, r in zip(("file", "alpha", "beta", "gamma"), rows) if r) + ")"
+NATIONS = "SELECT n, CASE WHEN NOT max(CASE WHEN c <> 2 THEN true ELSE false END) THEN 'added' WHEN NOT max(CASE WHEN c <> 1 THEN true ELSE false END) THEN 'removed' WHEN max(c) > 0 THEN 'modified' ELSE 'same' END AS status, sum(added) AS added, sum(removed) AS removed FROM files GROUP BY n"
+
+
+@query(fx.duck(f"""WITH code AS (SELECT c_custkey % 6 AS c, c_custkey AS k, c_nationkey AS n FROM {{customer}}), {CODE_ROWS}, files AS (SELECT c, n, added, removed FROM code JOIN cases USING (c) WHERE what = 'file'), nations AS ({NATIONS})
+  SELECT 'n' || n || '/c' || k || '.rs' AS path, CASE WHEN what = 'file' THEN 'file' ELSE 'function' END AS kind, CASE WHEN what = 'file' THEN 'c' || k || '.rs' ELSE what || k END AS name, status, CAST(added AS BIGINT) AS added, CAST(removed AS BIGINT) AS removed FROM code JOIN cases USING (c)
+  UNION ALL SELECT 'n' || n, 'folder', 'n' || n, status, CAST(added AS BIGINT), CAST(removed AS BIGINT) FROM nations
+  UNION ALL SELECT '', 'folder', 'code', CASE WHEN max(c) > 0 THEN 'modified' ELSE 'same' END, CAST(sum(added) AS BIGINT), CAST(sum(removed) AS BIGINT) FROM files"""))
+def diff_entity_status(spark, sf_dir):
+    return code_compared(spark, sf_dir).entities.select("path", "kind", "name", "status", "added", "removed")
+
+
+@query(fx.duck("""SELECT 'alpha' || c_custkey AS src, 'beta' || c_custkey AS dst, 'call' AS kind, CASE WHEN c_custkey % 6 IN (1, 5) THEN 'removed' WHEN c_custkey % 6 = 2 THEN 'added' ELSE 'same' END AS status, CASE WHEN c_custkey % 6 = 3 THEN 6 ELSE 5 END AS line FROM {customer}"""))
+def diff_code_refs(spark, sf_dir):
+    found = code_compared(spark, sf_dir)
+    name = lambda end: found.entities.select(F.col("id").alias(f"{end}_id"), F.col("name").alias(end))
+    rows = found.refs.select(F.col("src").alias("src_id"), F.col("dst").alias("dst_id"), "kind", "status", F.element_at("sites", 1).alias("line"))
+    return rows.join(name("src"), "src_id").join(name("dst"), "dst_id").select("src", "dst", "kind", "status", "line")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import fixtures as fx
-from ..sources import scanner
+from ..sources import scanner, scip
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +150,43 @@ def _add(name: str, ext: str, template: str, rows: list) -> None:
 
 for _name, _case in (("scan_rust", RUST), ("scan_javascript", JAVASCRIPT), ("scan_typescript", TYPESCRIPT), ("scan_python", PYTHON), ("scan_sql", SQL)):
     _add(_name, *_case)
+
+#: A document of a symbol index for each customer: a type, a method of it, an import and a use of another customer's type.
+TOOL = "rust-analyzer"
+_OWN = "CAST(c_custkey AS VARCHAR(20))"
+_TO = "CAST(c_custkey % 7 + 1 AS VARCHAR(20))"
+_TYPE = f"concat('rust-analyzer cargo shop 0.1.0 c', {{}}, '/S', {{}}, '#')"
+INDEX = f"""SELECT c_custkey AS doc, concat('n', CAST(c_nationkey AS VARCHAR(20)), '/c', {_OWN}, '.rs') AS relative_path, 'utf8' AS position_encoding, '{TOOL}' AS tool,
+  array(named_struct('symbol', own, 'range', array(0, 11, 12), 'roles', 1, 'enclosing_range', array(0, 0, 1, 1)), named_struct('symbol', method, 'range', array(3, 7, 8), 'roles', 1, 'enclosing_range', array(3, 4, 5, 5)),
+    named_struct('symbol', other, 'range', array(4, 8, 9), 'roles', 0, 'enclosing_range', cast(array() AS array<int>)), named_struct('symbol', other, 'range', array(2, 4, 5), 'roles', 2, 'enclosing_range', cast(array() AS array<int>))) AS occurrences,
+  array(named_struct('symbol', own, 'kind', 'Struct', 'display_name', '', 'enclosing_symbol', ''), named_struct('symbol', method, 'kind', 'Method', 'display_name', '', 'enclosing_symbol', '')) AS symbols
+FROM (SELECT c_custkey, c_nationkey, {_TYPE.format(_OWN, _OWN)} AS own, {_TYPE.format(_TO, _TO)} AS other, concat('rust-analyzer cargo shop 0.1.0 c', {_OWN}, '/impl#[S', {_OWN}, ']m', {_OWN}, '().') AS method FROM {{customer}})"""
+
+
+def index_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    docs = fx.sql(spark, sf_dir, INDEX)
+    text = F.lit("pub struct S {\n}\n\n    fn m() {\n        S\n    }\n")
+    return scip.graph_of(docs, docs.select(F.col("relative_path").alias("path"), text.alias("text")), "shop", TOOL)
+
+
+def index_entities(spark, sf_dir):
+    entities, _ = index_graph(spark, sf_dir)
+    above = entities.select(F.col("id").alias("parent"), F.col("path").alias("parent_path"))
+    return entities.join(above, "parent", "left").select("path", "kind", "noun", "line_start", "line_end", "byte_start", "byte_end", "parent_path")
+
+
+def index_refs(spark, sf_dir):
+    entities, refs = index_graph(spark, sf_dir)
+    end = lambda x: entities.select(F.col("id").alias(x), F.col("path").alias(f"{x}_path"))
+    return refs.join(end("src"), "src").join(end("dst"), "dst").select("src_path", "dst_path", "kind", F.element_at("sites", 1).alias("line"))
+
+
+QUERIES |= {"index_entities": index_entities, "index_refs": index_refs}
+_FILES = "f AS (SELECT c_custkey AS k, 'shop/n' || c_nationkey AS folder, 'shop/n' || c_nationkey || '/c' || c_custkey || '.rs' AS path FROM customer)"
+ORACLES |= {
+    "index_entities": f"""WITH {_FILES} SELECT 'shop' AS path, 'folder' AS kind, CAST(NULL AS VARCHAR) AS noun, 0 AS line_start, 0 AS line_end, 0 AS byte_start, 0 AS byte_end, CAST(NULL AS VARCHAR) AS parent_path
+  UNION ALL SELECT DISTINCT folder, 'folder', NULL, 0, 0, 0, 0, 'shop' FROM f UNION ALL SELECT path, 'file', NULL, 0, 5, 0, 47, folder FROM f
+  UNION ALL SELECT path || '/S' || k, 'class', 'struct', 0, 1, 0, 16, path FROM f UNION ALL SELECT path || '/S' || k || '/m' || k, 'function', 'method', 3, 5, 22, 46, path || '/S' || k FROM f""",
+    "index_refs": f"""WITH {_FILES}, t AS (SELECT a.path, a.k, b.path || '/S' || b.k AS dst_path FROM f a JOIN f b ON b.k = a.k % 7 + 1)
+  SELECT path || '/S' || k || '/m' || k AS src_path, dst_path, 'type_ref' AS kind, 4 AS line FROM t UNION ALL SELECT path, dst_path, 'import', 2 FROM t""",
+}

@@ -123,23 +123,28 @@ def file_status(spark, sf_dir):
     return work(spark, sf_dir)[1].select("file_id", "status", "diffable")
 
 
-COUNTED = "SELECT doc_id AS file_id, text, len(CASE WHEN l[-1] = '' THEN l[1:-2] ELSE l END) AS n FROM (SELECT *, string_split(text, chr(10)) AS l FROM {documents})"
+#: The operations of every document: n lines (the last perhaps without an end), and what each case makes of them.
+OPS = """counted AS (SELECT doc_id AS file_id, doc_id % 5 AS c, text, len(CASE WHEN l[-1] = '' THEN l[1:-2] ELSE l END) AS n, text <> '' AND l[-1] <> '' AS open FROM (SELECT *, string_split(text, chr(10)) AS l FROM {documents})),
+kept AS (SELECT *, n - CASE WHEN open THEN 1 ELSE 0 END AS k FROM counted),
+ops AS (SELECT file_id, 0 AS nth, 'delete' AS tag, 0 AS old_start, n AS old_len, 0 AS new_start, 0 AS new_len FROM kept WHERE c = 1
+  UNION ALL SELECT file_id, 0, 'insert', 0, 0, 0, n FROM kept WHERE c = 3
+  UNION ALL SELECT file_id, 0, 'insert', 0, 0, 0, 1 FROM kept WHERE c = 4 UNION ALL SELECT file_id, 1, 'equal', 0, n, 1, n FROM kept WHERE c = 4 AND n > 0
+  UNION ALL SELECT file_id, 0, 'equal', 0, k, 0, k FROM kept WHERE c = 2 AND k > 0 UNION ALL SELECT file_id, 1, 'delete', k, 1, k, 0 FROM kept WHERE c = 2 AND open UNION ALL SELECT file_id, 2, 'insert', n, 0, k, 2 FROM kept WHERE c = 2)"""
 
 
-@query(fx.duck(f"""SELECT file_id, 'insert' AS tag, 0 AS old_start, 0 AS old_len, 0 AS new_start, 1 AS new_len FROM ({COUNTED}) WHERE file_id % 5 = 4
-  UNION ALL SELECT file_id, 'equal', 0, CAST(n AS INT), 1, CAST(n AS INT) FROM ({COUNTED}) WHERE file_id % 5 = 4 AND n > 0"""))
+@query(fx.duck(f"WITH {OPS} SELECT file_id, tag, CAST(old_start AS INT) AS old_start, CAST(old_len AS INT) AS old_len, CAST(new_start AS INT) AS new_start, CAST(new_len AS INT) AS new_len FROM ops"))
 def line_ops(spark, sf_dir):
-    return work(spark, sf_dir)[1].filter("file_id % 5 = 4").select("file_id", F.explode("ops").alias("op")).select("file_id", "op.*")
+    return work(spark, sf_dir)[1].select("file_id", F.explode("ops").alias("op")).select("file_id", "op.*")
 
 
-@query(fx.duck(f"""WITH c AS (SELECT file_id, n, unnest(range(0, n + 1)) AS pos, string_split(text, chr(10)) AS l FROM ({COUNTED}) WHERE file_id % 5 = 4)
-  SELECT file_id, CAST(pos AS INT) AS pos, CASE WHEN pos > 0 THEN CAST(pos - 1 AS INT) END AS old_line, CAST(pos AS INT) AS new_line, CASE WHEN pos = 0 THEN 'insert' ELSE 'equal' END AS tag,
-  md5(CASE WHEN pos = 0 THEN 'a line in front' ELSE l[pos] END) AS digest FROM c"""))
+@query(fx.duck(f"""WITH {OPS}, sides AS (SELECT file_id, string_split(old_text, chr(10)) AS o, string_split(new_text, chr(10)) AS w FROM ({SIDES})),
+  rows AS (SELECT file_id, nth, tag, unnest(range(0, greatest(old_len, new_len))) AS i, old_start, new_start FROM ops WHERE greatest(old_len, new_len) > 0)
+  SELECT r.file_id, CAST(row_number() OVER (PARTITION BY r.file_id ORDER BY nth, i) - 1 AS INT) AS pos, CASE WHEN tag <> 'insert' THEN CAST(old_start + i AS INT) END AS old_line, CASE WHEN tag <> 'delete' THEN CAST(new_start + i AS INT) END AS new_line, tag,
+  md5(CASE WHEN tag <> 'delete' THEN w[new_start + i + 1] ELSE o[old_start + i + 1] END) AS digest FROM rows r JOIN sides s ON s.file_id = r.file_id"""))
 def diff_listing(spark, sf_dir):
     pairs, done = work(spark, sf_dir)
-    some = pairs.filter("file_id % 5 = 4")
-    side = lambda c: some.select("file_id", F.posexplode(lines(F.col(c))).alias("line", "text"))
-    rows = diff.listing(done.filter("file_id % 5 = 4"), side("old_text"), side("new_text"))
+    side = lambda c: pairs.filter(F.col(c).isNotNull()).select("file_id", F.posexplode(lines(F.col(c))).alias("line", "text"))
+    rows = diff.listing(done, side("old_text"), side("new_text"))
     return rows.select("file_id", F.col("pos").cast("int").alias("pos"), "old_line", "new_line", "tag", F.md5("text").alias("digest"))
 
 

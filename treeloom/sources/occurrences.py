@@ -270,6 +270,19 @@ def contains(outer: str, inner: str) -> Column:
     return (start(a) <= start(b)) & (end(b) <= end(a))
 
 
+#: Lines of a part of a document in which spans and what they hold meet.
+PART = 64
+
+
+def part_of(line: Column) -> Column:
+    return F.floor(line / PART).alias("part")
+
+
+def in_parts(rows: DataFrame, held: str) -> DataFrame:
+    """rows once for every part of their document that their span touches, so that a long document is no quadratic join."""
+    return rows.withColumn("part", F.explode(F.sequence(F.floor(F.col(f"{held}.l0") / PART), F.floor(F.greatest(f"{held}.l0", f"{held}.l1") / PART))))
+
+
 def parents(defs: DataFrame, files: DataFrame) -> DataFrame:
     """(canonical, parent_key): the symbol's own parent, then its enclosing symbol, if defined in the same document, then
     the innermost definition around it, then the file. files: (doc, file_key); keys of definitions are their symbols."""
@@ -277,14 +290,14 @@ def parents(defs: DataFrame, files: DataFrame) -> DataFrame:
     key = defs.join(files, "doc").select("doc", "canonical", F.when(F.col("whole_file"), F.col("file_key")).otherwise(F.col("canonical")).alias("key"))
     by_parent = items.join(key.select("doc", F.col("canonical").alias("parent"), F.col("key").alias("k1")), ["doc", "parent"], "left")
     both = by_parent.join(key.select("doc", F.col("canonical").alias("enclosing_symbol"), F.col("key").alias("k2")), ["doc", "enclosing_symbol"], "left")
-    around = items.select("doc", F.col("canonical").alias("outer"), F.col("span").alias("outer_span"))
-    hit = items.select("doc", "canonical", "span").join(around, "doc").filter((F.col("canonical") != F.col("outer")) & contains("outer_span", "span"))
+    around = in_parts(items.select("doc", F.col("canonical").alias("outer"), F.col("span").alias("outer_span")), "outer_span")
+    hit = items.select("doc", "canonical", "span", part_of(F.col("span.l0"))).join(around, ["doc", "part"]).filter((F.col("canonical") != F.col("outer")) & contains("outer_span", "span"))
     inner = hit.groupBy("canonical").agg(F.max_by("outer", F.struct(F.col("outer_span.l0"), F.col("outer_span.c0"), (-F.col("outer_span.l1")).alias("l1"), (-F.col("outer_span.c1")).alias("c1"))).alias("k3"))
     return both.join(inner, "canonical", "left").join(files, "doc").select("canonical", F.coalesce("k1", "k2", "k3", "file_key").alias("parent_key"))
 
 
 def uses(occurrences: DataFrame, kinds: DataFrame, symbols: DataFrame, defs: DataFrame, files: DataFrame, imports: DataFrame) -> DataFrame:
-    """(src_key, dst_key, kind, line): uses of defined symbols, from the innermost definition around them or the file.
+    """(src_key, dst_key, kind, line, doc, occ): uses of defined symbols, from the innermost definition around them or the file.
 
     The defining occurrence is no use, nor is a repeated definition of what is a whole file. A package is its folder:
     files have (doc, file_key, folder_key). imports: (doc, line) of import lines.
@@ -295,14 +308,14 @@ def uses(occurrences: DataFrame, kinds: DataFrame, symbols: DataFrame, defs: Dat
     rows = named.join(target, "canonical").withColumn("at", span(F.col("range"))).filter("at is not null")
     defines = F.col("roles").bitwiseAND(DEFINITION) != 0
     rows = rows.filter(~((F.col("doc") == F.col("def_doc")) & (F.col("occ") == F.col("def_occ"))) & ~(defines & F.col("whole_file")))
-    around = defs.filter("not whole_file").select("doc", F.col("canonical").alias("outer"), "span")
+    around = in_parts(defs.filter("not whole_file").select("doc", F.col("canonical").alias("outer"), "span"), "span")
     start = F.struct(F.col("at.l0"), F.col("at.c0"))
     holds = (F.struct(F.col("span.l0"), F.col("span.c0")) <= start) & (start < F.struct(F.col("span.l1"), F.col("span.c1")))
-    inner = rows.select("doc", "occ", "at").join(around, "doc").filter(holds).groupBy("doc", "occ").agg(F.max_by("outer", F.struct(F.col("span.l0"), F.col("span.c0"), (-F.col("span.l1")).alias("l1"), (-F.col("span.c1")).alias("c1"))).alias("outer"))
+    inner = rows.select("doc", "occ", "at", part_of(F.col("at.l0"))).join(around, ["doc", "part"]).filter(holds).groupBy("doc", "occ").agg(F.max_by("outer", F.struct(F.col("span.l0"), F.col("span.c0"), (-F.col("span.l1")).alias("l1"), (-F.col("span.c1")).alias("c1"))).alias("outer"))
     rows = rows.join(inner, ["doc", "occ"], "left").join(files, "doc").withColumn("src_key", F.coalesce("outer", "file_key")).filter("src_key <> dst_key")
     marked = imports.select("doc", F.col("line").alias("_line"), F.lit(True).alias("_import"))
     rows = rows.join(marked, (rows["doc"] == marked["doc"]) & (F.col("at.l0") == F.col("_line")), "left").drop(marked["doc"])
-    return rows.select("src_key", "dst_key", reference_kind(F.col("roles"), F.coalesce("_import", F.lit(False)), F.col("target_kind")).alias("kind"), F.col("at.l0").alias("line"))
+    return rows.select("src_key", "dst_key", reference_kind(F.col("roles"), F.coalesce("_import", F.lit(False)), F.col("target_kind")).alias("kind"), F.col("at.l0").alias("line"), rows["doc"], "occ")
 
 
 def reference_kind(roles: Column, on_import_line: Column, target: Column) -> Column:
@@ -337,12 +350,14 @@ def byte_column(line: str, column: int, unit: str) -> int:
 
 
 def byte_columns(line: str, column: str, unit: str) -> Column:
+    """byte_column() of columns; a line of ASCII needs no count."""
     from pyspark.sql.types import IntegerType
 
     def run(lines: pd.Series, columns: pd.Series, units: pd.Series) -> pd.Series:
-        return pd.Series([byte_column(x, int(c), u) for x, c, u in zip(lines, columns, units, strict=True)])
+        return pd.Series([byte_column(x or "", int(c), u) for x, c, u in zip(lines, columns, units, strict=True)])
 
-    return F.pandas_udf(run, IntegerType())(line, column, unit)
+    plain = F.col(line).isNull() | (F.octet_length(line) == F.char_length(line))
+    return F.when(plain, F.least(F.col(column), F.coalesce(F.octet_length(line), F.lit(0)))).otherwise(F.pandas_udf(run, IntegerType())(line, column, unit))
 
 
 def column_unit(encoding: Column, tool: str) -> Column:

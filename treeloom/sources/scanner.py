@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import inclusive_line_count
 from ..operators.tree import closure, dense_ids
 from . import names
 from .generations import written
@@ -629,7 +630,7 @@ def scanned(files: DataFrame, keywords: bool = False) -> DataFrame:
 def spine(files: DataFrame, root: str) -> DataFrame:
     """(key, parent_key, kind, name, order, lines, bytes): the root, all folders once, and the files."""
     parts = F.split("path", "/")
-    whole = files.select("path", parts.alias("p"), F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"), F.greatest(F.size(F.split(F.rtrim(F.coalesce("text", F.lit(""))), "\n", -1)) - 1, F.lit(0)).alias("last"))
+    whole = files.select("path", parts.alias("p"), F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"), F.greatest(inclusive_line_count(F.coalesce("text", F.lit(""))) - 1, F.lit(0)).alias("last"))
     upto = whole.select("p", F.explode(F.sequence(F.lit(0), F.size("p") - 1)).alias("n")).select(F.slice("p", F.lit(1), F.col("n")).alias("q")).distinct()
     join = lambda x: F.array_join(x, "/")
     up = lambda c: F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0)))
