@@ -6,7 +6,7 @@ another kind filters by file, as a semi-join.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -45,6 +45,10 @@ class Index:
     docs: dict[str, DataFrame]
     lines: DataFrame
 
+    def having(self, kind: str, terms: Sequence[Term]) -> DataFrame:
+        """Documents of a kind that hold all terms."""
+        return self.docs[kind].filter(reduce(lambda a, b: a & b, (F.contains("folded", F.lit(t.folded)) for t in terms)))
+
 
 def index(files: DataFrame, entities: DataFrame | None = None, tree: DataFrame | None = None) -> Index:
     """files: (file_id, name, path, text); a null text leaves the file out, an empty path is its name.
@@ -123,12 +127,12 @@ def matches(ix: Index, terms: list[Term], kind: str) -> DataFrame | None:
     own = [t for t in terms if t.tag in (None, kind)]
     if not own or kind not in ix.docs:
         return None
-    out = ix.docs[kind].filter(reduce(lambda a, b: a & b, (F.contains("folded", F.lit(t.folded)) for t in own)))
+    out = ix.having(kind, own)
     for t in terms:
         if t.tag not in (None, kind):
             if t.tag not in ix.docs:
                 return None
-            files = ix.docs[t.tag].filter(F.contains("folded", F.lit(t.folded))).select("file_id")
+            files = ix.having(t.tag, [t]).select("file_id")
             out = out.join(files, "file_id", "left_semi")
     at = find(F.col("folded"), own[0].folded)
     return out.withColumn("start", at).withColumn("end", at + len(own[0].needle))

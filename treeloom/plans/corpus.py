@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import goto, layout, search
+from ..operators import goto, layout, postings, search, tree
 from ..sources import fixtures as fx
-from ..sources import names, occurrences
+from ..sources import names, occurrences, scanner
+from ..sources.fixtures import SOURCES
+from ..sources.generations import once, shared_dir
 from ..streaming import live
 from .trees import graph, oracle
 from .trees import refs as all_refs
@@ -61,11 +65,47 @@ def trigram_df(spark, sf_dir):
 HIT = "CAST(strpos(lower({x}), '{n}') - 1 AS INT) AS start"
 
 
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def stored(spark, sf_dir) -> postings.StoredIndex:
+    """The index of the documents, written on first use by this application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        path = f"{shared_dir(spark)}/{key[0]}-{uuid.uuid4().hex}"
+        postings.store(search.index(files(spark, sf_dir)), path)
+        _STORES[key] = path
+    return postings.open_store(spark, _STORES[key])
+
+
+@query(ORACLES["trigram_df"])
+def postings_df(spark, sf_dir):
+    return stored(spark, sf_dir).frequencies["content"]
+
+
 def hits(spark, sf_dir, text: str, limits: search.Limits) -> DataFrame:
-    found, _ = search.hits(search.index(files(spark, sf_dir)), text, limits)
+    found, _ = search.hits(stored(spark, sf_dir), text, limits)
     return found
 
 
+@query(docs_sql(f"SELECT file_id, line, {HIT.format(x='text', n='keitkeit')} FROM lines WHERE contains(lower(text), 'keitkeit') AND contains(lower(text), 'ung')"))
+def search_rare(spark, sf_dir):
+    return hits(spark, sf_dir, "content:keitkeit content:ung", search.ALL).select("file_id", "line", "start")
+
+
+#: The scanned files, with their classes and functions as symbols.
+@query(fx.duck(f"""WITH s AS ({SOURCES}), symbols AS (SELECT path, 'm' || k % 5 AS name, 1 AS line FROM s UNION ALL SELECT path, 'f' || k % 11, 4 FROM s)
+  SELECT CAST(pos AS INT) AS pos, CAST(greatest(n - 30, 0) AS BIGINT) AS more, path, line, name AS text FROM (SELECT *, row_number() OVER (ORDER BY length(name), path, line) AS pos, count(*) OVER () AS n FROM symbols WHERE contains(name, 'f1')) WHERE pos <= 30"""))
+def search_symbols(spark, sf_dir):
+    sources = fx.sql(spark, sf_dir, SOURCES).select("path", "text")
+    entities, _ = scanner.project(sources, "shop")
+    entities = once(spark, ("shop", sf_dir), lambda: entities)
+    own = entities.filter("kind = 'file'").select(F.col("id").alias("file_id"), "name", "path").join(sources, "path")
+    ix = search.index(own, entities, tree.closure(entities.select("id", "parent"), 4))
+    found, _ = search.hits(ix, "symbol:F1", search.Limits())
+    return found.select(F.col("pos").cast("int").alias("pos"), "more", "path", "line", "text")
+
+
 @query(docs_sql(f"SELECT file_id, line, {HIT.format(x='text', n='the')} FROM lines WHERE contains(lower(text), 'the')"))
 def search_content(spark, sf_dir):
     return hits(spark, sf_dir, "content:The", search.ALL).select("file_id", "line", "start")

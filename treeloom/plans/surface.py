@@ -9,6 +9,7 @@ from ..functions.text import lines
 from ..operators import cut, diff, goto, layout, search, testcode
 from ..sources import fixtures as fx
 from ..sources import scanner
+from ..sources.fixtures import SOURCES
 from ..sources.generations import once
 from .corpus import ASKED, PLACES, asked
 from .trees import IS_TEST, NATION_CUT, OWN_TEST, SITES, graph, nation_cut, oracle
@@ -156,11 +157,6 @@ def served_sources(spark, sf_dir):
     return diff.served(pairs, done, disk).select("file_id", F.md5("text").alias("digest"), "side")
 
 
-#: A source file for each customer: a class with a method that calls a function, and a function.
-SOURCES = """SELECT concat('n', CAST(c_nationkey AS VARCHAR(20)), '/c', CAST(c_custkey AS VARCHAR(20)), '.py') AS path, c_custkey AS k, c_nationkey AS n, concat('class C', CAST(c_custkey AS VARCHAR(20)), ':', chr(10), '    def m', CAST(c_custkey % 5 AS VARCHAR(20)), '(self):', chr(10),
-  '        return f', CAST(c_custkey % 7 AS VARCHAR(20)), '(', CAST(c_custkey AS VARCHAR(20)), ')  # g()', chr(10), chr(10), 'def f', CAST(c_custkey % 11 AS VARCHAR(20)), '():', chr(10), '    pass', chr(10)) AS text FROM {customer}"""
-
-
 @query(fx.duck(f"""WITH s AS ({SOURCES}) SELECT path, 'class' AS kind, 'C' || k AS name, 0 AS line_start, 2 AS line_end, 0 AS depth FROM s
   UNION ALL SELECT path, 'function', 'm' || k % 5, 1, 2, 1 FROM s UNION ALL SELECT path, 'function', 'f' || k % 11, 4, 5, 0 FROM s"""))
 def scan_constructs(spark, sf_dir):
