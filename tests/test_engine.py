@@ -121,3 +121,54 @@ def test_sessions_agree_between_stream_and_table(spark, tmp_path):
     # in append mode the last batch is still open: a later event may belong to it
     closed = {(r.first, r.n) for r in spark.table("closed").collect()}
     assert closed < table and len(table) - len(closed) <= 4 and closed
+
+
+def test_changes_between_listings(tmp_path):
+    from treeloom.sources import changes
+
+    (tmp_path / "target").mkdir()
+    for name in ("a.rs", "b.rs", ".hidden", "target/x"):
+        (tmp_path / name).write_text("1")
+    before = changes.listing(str(tmp_path))
+    assert sorted(before) == ["a.rs", "b.rs"] and changes.changes(before, before) == []
+    (tmp_path / "a.rs").write_text("longer")
+    (tmp_path / "b.rs").unlink()
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub/c.rs").write_text("1")
+    assert [x[:2] for x in changes.changes(before, changes.listing(str(tmp_path)))] == [("a.rs", "modified"), ("b.rs", "removed"), ("sub/c.rs", "added")]
+
+
+def test_a_burst_of_changes_is_one_rebuild_and_so_is_the_last(spark, tmp_path):
+    import time
+
+    from treeloom.streaming import live
+
+    root = tmp_path / "tree"
+    root.mkdir()
+    (root / "old.rs").write_text("fn old() {}")
+    seen = []
+    generations = live.Generations(lambda: seen.append(sorted(p.name for p in root.iterdir())) or seen[-1])
+    query = live.follow(live.watch(spark, str(root)), generations, str(tmp_path / "cp"), gap_ms=1500)
+    try:
+        def settled(n):
+            until = time.time() + 90
+            while len(seen) < n and time.time() < until and query.isActive:
+                time.sleep(0.2)
+            assert len(seen) == n, (seen, query.exception())
+
+        until = time.time() + 90
+        while query.lastProgress is None and time.time() < until:
+            time.sleep(0.2)
+        for i in range(4):
+            (root / f"f{i}.rs").write_text(str(i))
+            time.sleep(0.2)
+        settled(1)
+        assert seen[0] == ["f0.rs", "f1.rs", "f2.rs", "f3.rs", "old.rs"]
+        (root / "old.rs").write_text("fn old() { changed() }")
+        (root / ".ignored").write_text("x")
+        (root / "f0.rs").unlink()
+        settled(2)  # no later event closes it
+        time.sleep(3)
+        assert len(seen) == 2 and generations.number == 2 and not generations.dirty
+    finally:
+        query.stop()

@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 from ..functions.text import Term
 from .search import Index, grams
@@ -87,7 +87,7 @@ def store(ix: Index, path: str, buckets: int = BUCKETS) -> StoredIndex:
         dealt.write.partitionBy("bucket").options(**{"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#no": "false"}).parquet(f"{path}/{kind}/postings")
         written = spark.read.schema("gram string, no bigint, bucket int").parquet(f"{path}/{kind}/postings")
         written.groupBy("gram").agg(F.count("*").alias("df")).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/{kind}/frequencies")
-        schemas.append((kind, buckets, kept.schema.add("part", "int").json()))
+        schemas.append((kind, buckets, kept.schema.add("part", IntegerType()).json()))
     spark.createDataFrame(schemas, KINDS).coalesce(1).write.json(f"{path}/kinds")
     return open_store(spark, path)
 

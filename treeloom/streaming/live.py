@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from threading import Lock
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..operators.cut import WINDOW
+from ..sources.changes import FolderChanges
 from ..sources.scan import kept_path
 
 DEBOUNCE = "300 milliseconds"
@@ -65,7 +67,7 @@ class Generations:
 
     def changed(self, frame: DataFrame | None = None, epoch: int = 0) -> bool:
         """A batch of events has closed (for foreachBatch): rebuild, or remember that one is due."""
-        if frame is not None and frame.isEmpty():
+        if frame is not None and frame.count() == 0:  # all of it: a look at some partitions would leave others' state behind
             return False
         self.dirty = True
         return self.rebuild() if self.automatic else False
@@ -93,10 +95,62 @@ class Generations:
         return {"generation": self.number, "mode": "auto" if self.automatic else "static", "dirty": self.dirty, "error": self.error}
 
 
-def follow(events: DataFrame, generations: Generations, checkpoint: str, gap: str = DEBOUNCE, lateness: str = "1 second"):
-    """Start a query over a stream of events (ts, path) that rebuilds once for each closed batch."""
-    closed = sessions(source_events(events), gap, lateness)
-    return closed.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(generations.changed).start()
+class Debounce(StatefulProcessor):
+    """One open batch of events; it closes when no event has come for a gap, by the clock and not by a later event."""
+
+    def __init__(self, gap_ms: int):
+        self.gap_ms = gap_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "first bigint, last bigint, n bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.open.get() if self.open.exists() else None
+        first, last, n = held if held is not None else (None, None, 0)
+        for row in rows:
+            first = row.micros if first is None else min(first, row.micros)
+            last = row.micros if last is None else max(last, row.micros)
+            n += 1
+        self.open.update((first, last, n))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.gap_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        first, last, n = self.open.get()
+        self.open.clear()
+        yield Row(first=first, last=last, n=n)
+
+    def close(self) -> None:
+        pass
+
+
+#: Timers need this state store.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def debounced(events: DataFrame, gap_ms: int = 300) -> DataFrame:
+    """(first, last, n) of each batch of a stream of events (ts): a batch ends `gap_ms` after its last event."""
+    events.sparkSession.conf.set(*STORE)
+    keyed = events.select(F.unix_micros("ts").alias("micros"), F.when(F.col("ts").isNotNull(), 0).alias("all"))  # a constant would be taken out of the plan
+    closed = keyed.groupBy("all").transformWithState(statefulProcessor=Debounce(gap_ms), outputStructType="first bigint, last bigint, n bigint", outputMode="Append", timeMode="ProcessingTime")
+    return closed.select(F.timestamp_micros("first").alias("first"), F.timestamp_micros("last").alias("last"), "n")
+
+
+def watch(spark: SparkSession, root: str) -> DataFrame:
+    """A stream of the changes under a root, as (ts, path, change); changes before it starts are none."""
+    spark.dataSource.register(FolderChanges)
+    return spark.readStream.format("folder_changes").option("path", root).load()
+
+
+def follow(events: DataFrame, generations: Generations, checkpoint: str, gap_ms: int = 300, every_ms: int = 100):
+    """Start a query over a stream of events (ts, path) that rebuilds once for each batch, the last one too. Events that come
+    while a generation is built are the next batch's."""
+    closed = debounced(source_events(events), gap_ms)
+    stream = closed.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    return stream.trigger(processingTime=f"{every_ms} milliseconds").foreachBatch(generations.changed).start()
 
 
 def by_position(rows: DataFrame, gap_seconds: float, *keys: str) -> DataFrame:
