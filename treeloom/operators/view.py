@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import strength
+from ..sources.generations import written
 from .tree import depth, lineage
 
 
@@ -192,40 +193,45 @@ def edge_refs(refs: DataFrame, tree: DataFrame, src: int, dst: int, kinds: list[
     return out.join(ends(src, "src"), "src", "left_semi").join(ends(dst, "dst"), "dst", "left_semi")
 
 
+def group_paths(pairs: DataFrame, tree: DataFrame, point: int) -> DataFrame:
+    """pairs (group_id, …) with `path`: the way to the group from where it parts with a reference point."""
+    chains = lineage(tree)
+    fixed = chains.filter(F.col("id") == point).select(F.col("chain").alias("point"))
+    rows = pairs.join(chains.withColumnRenamed("id", "group_id"), "group_id").crossJoin(F.broadcast(fixed))
+    split = common_prefix(F.col("chain"), F.col("point"))
+    return rows.select(*pairs.columns, F.slice("chain", split + 1, F.greatest(F.size("chain") - split, F.lit(0))).alias("path"))
+
+
 def group_counts(pairs: DataFrame, tree: DataFrame, point: int) -> DataFrame:
     """(path, id, count): pairs (group_id, …) counted along the path from where each parts with a reference point.
 
     Every node of the path counts; the empty path has all.
     """
-    chains = lineage(tree)
-    fixed = chains.filter(F.col("id") == point).select(F.col("chain").alias("point"))
-    rows = pairs.join(chains.withColumnRenamed("id", "group_id"), "group_id").crossJoin(F.broadcast(fixed))
-    split = common_prefix(F.col("chain"), F.col("point"))
-    rows = rows.withColumn("path", F.slice("chain", split + 1, F.greatest(F.size("chain") - split, F.lit(0))))
+    rows = group_paths(pairs.groupBy("group_id").agg(F.count("*").alias("n")), tree, point)
     prefixes = F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", F.lit(1), n))
-    return rows.select(F.explode(prefixes).alias("path")).groupBy("path").agg(F.count("*").alias("count")).select("path", F.get("path", F.size("path") - 1).alias("id"), "count")
+    return rows.select(F.explode(prefixes).alias("path"), "n").groupBy("path").agg(F.sum("n").alias("count")).select("path", F.get("path", F.size("path") - 1).alias("id"), "count")
 
 
-def compress(groups: list[tuple[tuple[int, ...], int]], leaves: set[tuple[int, ...]]) -> list[tuple[tuple[int, ...], tuple[int, ...], int]]:
-    """(path of the group, ids its label joins, count): runs of single children that hold no references become one label.
+def compress(groups: DataFrame, held: DataFrame) -> DataFrame:
+    """(path, label, count) of groups (path, count): runs of single children that hold no references become one label, the ids
+    along the run. held: (path) of the groups that hold references themselves.
 
-    For the groups of one panel, on the driver.
+    Each group points at the one that its run goes on with, or at itself; pointers jump twice as far in every round, so that
+    a run of any length ends after as many rounds as its length has bits.
     """
-    counts = dict(groups)
-    kids: dict[tuple[int, ...], list[tuple[int, ...]]] = {}
-    for path in counts:
-        if path:
-            kids.setdefault(path[:-1], []).append(path)
-    out, todo = [], sorted(kids.get((), []), reverse=True)
-    while todo:
-        at = todo.pop()
-        label = at[-1:]
-        while at not in leaves and len(kids.get(at, [])) == 1:
-            at = kids[at][0]
-            label += at[-1:]
-        out.append((at, label, counts[at]))
-        todo += sorted(kids.get(at, []), reverse=True)
-    return out
+    key = lambda p: F.array_join(F.transform(p, lambda x: x.cast("string")), "/")
+    nodes = written(groups.filter(F.size("path") > 0).select(key(F.col("path")).alias("key"), key(F.slice("path", F.lit(1), F.size("path") - 1)).alias("up"), "path", "count"))
+    only = nodes.groupBy(F.col("up").alias("key")).agg(F.count("*").alias("n"), F.min("key").alias("next")).filter("n = 1").select("key", "next")
+    goes_on = only.join(held.select(key(F.col("path")).alias("key")).distinct(), "key", "left_anti")
+    ends = written(nodes.select("key").join(goes_on, "key", "left").select("key", F.coalesce("next", "key").alias("next")))
+    inner = ends.filter("key <> next").select(F.col("next").alias("key"))
+    longest = nodes.agg(F.max(F.size("path"))).first()[0] or 1
+    for _ in range((longest - 1).bit_length()):
+        jump = ends.select(F.col("key").alias("next"), F.col("next").alias("then"))
+        ends = written(ends.join(jump, "next").select("key", F.col("then").alias("next")))
+    heads = nodes.join(inner, "key", "left_anti").select("key", F.size("path").alias("depth"))
+    last = nodes.select(F.col("key").alias("next"), "path", "count")
+    return heads.join(ends, "key").join(last, "next").select("path", F.slice("path", F.col("depth"), F.size("path") - F.col("depth") + 1).alias("label"), "count")
 
 
 def row_summary(rows: DataFrame) -> DataFrame:

@@ -176,6 +176,24 @@ def group_tree_counts(spark, sf_dir):
     return groups.select(F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"), "count")
 
 
+#: Groups of references by their source: orders of one item, and customers of one order, are runs.
+GROUPS = f"""own AS (SELECT DISTINCT refs.src, chain[len(list_filter(range(1, least(len(chain), len(point)) + 1), lambda i: chain[1:i] = point[1:i])) + 1:] AS p FROM refs JOIN chains c ON c.id = refs.src, (SELECT chain AS point FROM chains WHERE id = {fx.NATION + 3})),
+  counted AS (SELECT src, count(*) AS n FROM refs GROUP BY src), groups AS (SELECT path, sum(n) AS count FROM (SELECT src, unnest([p[1:n] for n in range(1, len(p) + 1)]) AS path FROM own) JOIN counted USING (src) GROUP BY path),
+  kids AS (SELECT path[1:len(path) - 1] AS path, count(*) AS n, min(path) AS next FROM groups GROUP BY 1), runs AS (SELECT k.path, k.next FROM kids k WHERE n = 1 AND k.path NOT IN (SELECT p FROM own) AND len(k.path) > 0),
+  walk AS (SELECT path AS head, path FROM groups WHERE path NOT IN (SELECT next FROM runs) UNION ALL SELECT head, next FROM walk JOIN runs USING (path))"""
+
+
+@query(oracle("""SELECT array_to_string(w.path, '/') AS path, array_to_string(w.path[len(w.head):], '/') AS label, CAST(g.count AS BIGINT) AS count
+  FROM (SELECT head, max(path) AS path FROM walk GROUP BY head) w JOIN groups g ON g.path = w.path""", CHAINS, GROUPS))
+def group_tree_labels(spark, sf_dir):
+    _, up = graph(spark, sf_dir)
+    pairs = all_refs(spark, sf_dir).select(F.col("src").alias("group_id"))
+    groups = view.group_counts(pairs, up, fx.NATION + 3)
+    held = view.group_paths(pairs.distinct(), up, fx.NATION + 3)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "/").alias(c)
+    return view.compress(groups, held).select(text("path"), text("label"), "count")
+
+
 @query(oracle("""SELECT k.row, k.kinds, s.statuses, n.n_sites FROM (SELECT row, string_agg(kind || '=' || n, ',' ORDER BY kind) AS kinds FROM (SELECT dst AS row, kind, count(*) AS n FROM refs GROUP BY ALL) GROUP BY row) k
   JOIN (SELECT dst AS row, coalesce(string_agg(DISTINCT CASE WHEN ref_id % 5 = 0 THEN 'added' END, ','), '') AS statuses FROM refs GROUP BY dst) s USING (row) JOIN (SELECT dst AS row, count(DISTINCT (src, line)) AS n_sites FROM refs GROUP BY dst) n USING (row)"""))
 def site_summary(spark, sf_dir):
