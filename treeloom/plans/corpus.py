@@ -236,8 +236,10 @@ def import_block(spark, sf_dir):
     return occurrences.block_imports(lines, opens, head.startswith("An"), head.startswith("The")).select("file_id", "line", "import")
 
 
-@query(oracle("""SELECT g.gap, count(*) AS crossing FROM (SELECT least(a.d, b.d) AS lo, greatest(a.d, b.d) AS hi FROM refs r JOIN deep a ON a.id = r.src JOIN deep b ON b.id = r.dst) e JOIN (SELECT unnest(range(0, 6)) AS gap) g ON g.gap >= lo AND g.gap < hi GROUP BY g.gap""",
-    "deep AS (SELECT id, max(hops) AS d FROM closure GROUP BY id)"))
+DEEP = "deep AS (SELECT id, max(hops) AS d FROM closure GROUP BY id)"
+
+
+@query(oracle("""SELECT g.gap, count(*) AS crossing FROM (SELECT least(a.d, b.d) AS lo, greatest(a.d, b.d) AS hi FROM refs r JOIN deep a ON a.id = r.src JOIN deep b ON b.id = r.dst) e JOIN (SELECT unnest(range(0, 6)) AS gap) g ON g.gap >= lo AND g.gap < hi GROUP BY g.gap""", DEEP))
 def gap_crossings(spark, sf_dir):
     _, up = graph(spark, sf_dir)
     deep = up.groupBy("id").agg(F.max("hops").alias("rank"))

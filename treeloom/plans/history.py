@@ -59,7 +59,7 @@ def id_map(spark, sf_dir):
     return cut.id_map(named_paths(*side(spark, sf_dir, False)), named_paths(*side(spark, sf_dir, True)))
 
 
-OLD_CUT = f"oldcut AS (SELECT id AS leaf FROM olds WHERE id >= {fx.ORDER} AND id < {fx.ITEM} AND id % 40 = 0 UNION ALL SELECT {fx.ITEM} + 1 + 64 * 26)"
+OLD_CUT = f"oldcut AS (SELECT id AS leaf FROM olds WHERE id >= {fx.ORDER} AND id < {fx.ITEM})"
 
 
 @query(oracle("""SELECT id AS leaf FROM news WHERE (parent IS NULL OR parent IN (SELECT a FROM opened)) AND id NOT IN (SELECT a FROM opened)""", SIDES, ID_MAP, OLD_CUT, """
@@ -67,17 +67,31 @@ OLD_CUT = f"oldcut AS (SELECT id AS leaf FROM olds WHERE id >= {fx.ORDER} AND id
   opened AS (SELECT DISTINCT c.anc AS a FROM targets JOIN closure c ON c.id = t AND c.hops > 0)"""))
 def migrate_cut(spark, sf_dir):
     (old, old_up), (new, new_up) = side(spark, sf_dir, False), side(spark, sf_dir, True)
-    some = old.filter(f"(id >= {fx.ORDER} and id < {fx.ITEM} and id % 40 = 0) or id = {fx.ITEM + 1 + 64 * 26}")
+    orders = old.filter(f"id >= {fx.ORDER} and id < {fx.ITEM}")
     matches = cut.id_map(named_paths(old, old_up), named_paths(new, new_up))
-    return cut.migrate(some.select(F.col("id").alias("leaf"), F.col("id").alias("pos")), old_up, matches, new, new_up).select("leaf")
+    return cut.migrate(orders.select(F.col("id").alias("leaf"), F.col("id").alias("pos")), old_up, matches, new, new_up).select("leaf")
 
 
-@query(oracle("SELECT a.id AS old_id, CASE WHEN (a.id + 7) % 5 <> 0 AND (a.id + 7) % 3 <> 0 THEN a.id + 7 + 3 END AS new_id FROM (SELECT id FROM entities WHERE id % 5 <> 0 OR true) a".replace("CASE WHEN (a.id + 7) % 5 <> 0 AND (a.id + 7) % 3 <> 0 THEN a.id + 7 + 3 END", "CASE WHEN a.id % 5 <> 0 AND a.id % 3 <> 0 THEN a.id + 2 END")))
+COARSE = """coarse AS (SELECT c.id AS old_id, arg_min(m.new_id, c.hops) AS new_id FROM olds o JOIN closure c ON c.id = o.id JOIN idmap m ON m.old_id = c.anc WHERE m.new_id IS NOT NULL GROUP BY c.id)"""
+
+
+@query(oracle("SELECT c.old_id, c.new_id AS coarse, m.new_id AS exact FROM coarse c LEFT JOIN idmap m ON m.old_id = c.old_id", SIDES, ID_MAP, COARSE))
+def migrate_ids(spark, sf_dir):
+    (old, old_up), new = side(spark, sf_dir, False), side(spark, sf_dir, True)
+    matches = cut.id_map(named_paths(old, old_up), named_paths(*new))
+    exact = cut.migrate_ids(old, old_up, matches, False).withColumnRenamed("new_id", "exact")
+    return cut.migrate_ids(old, old_up, matches, True).withColumnRenamed("new_id", "coarse").join(exact, "old_id", "left")
+
+
+BACK = ID_MAP.replace("idmap AS (SELECT a.id AS old_id, b.id AS new_id", "backmap AS (SELECT a.id AS old_id, b.id AS new_id").replace("FROM olds", "FROM x").replace("FROM news", "FROM olds").replace("FROM x", "FROM news").replace("JOIN oldp", "JOIN y").replace("JOIN newp", "JOIN oldp").replace("JOIN y", "JOIN newp")
+
+
+@query(oracle("SELECT m.old_id, b.new_id FROM idmap m LEFT JOIN backmap b ON b.old_id = m.new_id", SIDES, ID_MAP, BACK))
 def remap_compose(spark, sf_dir):
-    entities, _ = graph(spark, sf_dir)
-    first = entities.select(F.lit(4).alias("generation"), F.col("id").alias("old_id"), F.when(F.col("id") % 5 != 0, F.col("id") + 1).alias("new_id"))
-    second = entities.select(F.lit(5).alias("generation"), (F.col("id") + 1).alias("old_id"), F.when(F.col("id") % 3 != 0, F.col("id") + 2).alias("new_id"))
-    return cut.compose(first.unionByName(second), 3, 5)
+    # a generation, the next, and the first one again
+    old, new = named_paths(*side(spark, sf_dir, False)), named_paths(*side(spark, sf_dir, True))
+    steps = cut.id_map(old, new).withColumn("generation", F.lit(4)).unionByName(cut.id_map(new, old).withColumn("generation", F.lit(5)))
+    return cut.compose(steps.unionByName(steps.withColumn("generation", F.col("generation") - 20)), 3, 5)
 
 
 KEYS = """{k} AS (SELECT c.id, string_agg(e.name || '|' || e.kind || '|' || e.nth, '/' ORDER BY c.hops DESC) FILTER (WHERE e.parent IS NOT NULL) AS key FROM closure c JOIN {side} s ON s.id = c.id

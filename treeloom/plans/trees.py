@@ -192,13 +192,16 @@ def cut_expand(spark, sf_dir):
     return cut.expand(at, entities, fx.REGION + 1).select("leaf")
 
 
-@query(oracle(f"SELECT leaf FROM cut WHERE leaf NOT IN (SELECT id FROM closure WHERE anc = {fx.REGION} + 2) UNION ALL SELECT {fx.REGION} + 2", MIXED_CUT))
+#: The first leaf of the cut below a region, and what it is shut into.
+PICKED = f"picked AS (SELECT parent FROM entities WHERE id = (SELECT min(leaf) FROM cut JOIN closure c ON c.id = cut.leaf AND c.anc = {fx.REGION} + 2))"
+
+
+@query(oracle("SELECT leaf FROM cut WHERE leaf NOT IN (SELECT id FROM closure JOIN picked ON anc = parent) UNION ALL SELECT parent FROM picked", MIXED_CUT, PICKED))
 def cut_collapse(spark, sf_dir):
     entities, up = graph(spark, sf_dir)
     at = mixed_cut(entities)
-    leaf = fx.sql(spark, sf_dir, f"SELECT min({fx.NATION} + n_nationkey) AS id FROM {{nation}} WHERE n_regionkey = 2").first().id
-    inside = entities.filter((F.col("id") == leaf) & (F.col("id") < fx.NATION + 12)).count()
-    return cut.collapse(at, entities, up, leaf).select("leaf") if inside else cut.collapse_box(at, up, fx.REGION + 2).select("leaf")
+    leaf = at.join(tree.holds(up, fx.REGION + 2).withColumnRenamed("id", "leaf"), "leaf").agg(F.min("leaf")).first()[0]
+    return cut.collapse(at, entities, up, leaf).select("leaf")
 
 
 @query(oracle(f"SELECT leaf FROM cut WHERE leaf NOT IN (SELECT id FROM closure WHERE anc = {fx.REGION} + 3) UNION ALL SELECT {fx.REGION} + 3", MIXED_CUT))
