@@ -326,6 +326,69 @@ def test_regions_titles_notices_and_broken_quotes(spark):
     assert got[1].n_chars == 149_999 and got[2].text == got[3].text == kept and (got[4].text, got[4].n_chars) == ("", 0)
 
 
+def plain_regions(scores, first=0):
+    """The region with the largest sum, and the same of what is left and right of it."""
+    sums = [(sum(scores[a:b]), a - b, -a, a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
+    best = max(sums, default=(0,))
+    if best[0] <= 1e-12:
+        return []
+    a, b = best[3:]
+    return [*plain_regions(scores[:a], first), (first + a, first + b), *plain_regions(scores[b:], first + b)]
+
+
+def test_all_regions_in_one_scan():
+    rng = random.Random(6)
+    for _ in range(400):
+        scores = [rng.uniform(-2, 1.5) for _ in range(rng.randint(0, 14))]
+        found = plain_regions(scores)
+        assert extraction.best_regions(scores, 0.0) == found
+        most = max((sum(scores[a:b]) for a, b in found), default=0)
+        assert extraction.best_regions(scores) == [(a, b) for a, b in found if sum(scores[a:b]) >= 0.2 * most]
+
+
+WORDS = "Some long sentence of plain words that reads like an article and goes on for a while. "
+LONG = " ".join((WORDS * 4).split())
+#: Pages in the layouts of the web, with names that are in no list that the model learns from; text outside of `{}` goes.
+LAYOUTS = {
+    f'<div class="post"><p>{{}}</p></div><div class="ad">{"buy this now " * 30}</div><div class="post"><p>{{}}</p></div>': 2,
+    '<div class="ad-free-article"><p>{}</p></div>': 1,
+    '<div class="navigation-main"><ul><li><a href="/">Home</a></li><li><a href="/b">About us</a></li></ul></div><article><p>{}</p></article>': 1,
+    '<nav class="zq"><a href="/">Start</a></nav><main class="qz"><p>{}</p><p>{}</p></main><footer>All rights kept by us</footer>': 2,
+    '<div class="navbar">Home Blog About</div><div id="qq"><p>{}</p></div>': 1,
+    '<header class="masthead"><h1>The Daily</h1></header><div class="story-text"><p>{}</p></div>': 1,
+    '<article><p>{}</p></article><section class="discussion"><p>I do not agree with this at all</p></section>': 1,
+    '<article><p>{}</p></article><section id="responses"><article class="comment"><p>So true, I say</p></article></section>': 1,
+    '<article><p>{}</p></article><div class="site-info">Made by us in 1999</div>': 1,
+    '<article><p>{}</p><button>Copy</button><p>{}</p></article>': 2,
+    '<article><p>{}</p><form><label>Mail</label><input><button>Send</button></form></article>': 1,
+    '<table><tr><td class="menu"><a href="/">Home</a></td><td class="content"><p>{}</p></td></tr></table>': 1,
+    '<article><p>{}<p>{}<ul><li>{}<li>{}</ul></article>': 4,
+    '<aside class="related"><a href="/1">Next story</a></aside><div class="entryContent"><p>{}</p></div>': 1,
+    '<div class="cookie-consent"><p>We use cookies to count you</p><button>Fine</button></div><article><p>{}</p></article>': 1,
+    '<article><script>var a = "<p>no</p>"</script><style>p {{color: red}}</style><p>{}</p></article>': 1,
+    '<article><!-- <p>no</p> --><p>{}</p></article>': 1,
+    '<article><p>{}</p><div class="share-buttons"><a href="#">Share this</a></div></article>': 1,
+    '<main><h2>{}</h2><blockquote>{}</blockquote><pre>{}</pre></main>': 3,
+    '<div class="sidebar-left">Links and more links</div><div class="blogPost"><p>{}</p></div><div class="sidebar-right">Other links</div>': 1,
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_pages_written_by_hand(layout):
+    parts = [f"Part {'abcd'[i]}. {LONG}" for i in range(LAYOUTS[layout])]
+    assert extraction.main_text("<html><body>" + layout.format(*parts) + "</body></html>") == "\n\n".join(parts)
+
+
+def test_inline_words_stay_and_depth_costs_no_square():
+    import time
+
+    assert extraction.main_text(f'<article><p>{WORDS}See <a class="button share">the original paper</a> for more.</p></article>').endswith("See the original paper for more.")
+    for page in ("<div class='x y-z'>" * 30000 + "word", "".join(f"<div class='q{i}'>" for i in range(30000)) + "</p>" * 30000):
+        began = time.process_time()
+        extraction.main_text(page)
+        assert time.process_time() - began < 10
+
+
 def brute_shards(rows, limit):
     """rows (doc_id, text): the shard of each, by splitting one bucket at a time."""
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()

@@ -5,10 +5,14 @@ from __future__ import annotations
 import random
 
 #: Containers of an article, and of what surrounds one, as (tag, class) pairs that are usual on the web.
-CONTENT = [("article", ""), ("main", ""), ("div", "content"), ("div", "post"), ("div", "entry-content"), ("div", "article-body"), ("section", "main-text"), ("div", "story"), ("article", "post"), ("main", "page"), ("div", ""), ("section", ""), ("td", "")]
-TOP = [("nav", ""), ("nav", "menu"), ("header", ""), ("header", "site-header"), ("div", "nav"), ("div", "breadcrumb"), ("ul", "menu"), ("div", "topbar"), ("div", "cookie-notice"), ("div", "notice"), ("div", "banner"), ("div", "ad"), ("div", "advert"), ("form", "search"), ("div", "popup"), ("div", "consent"), ("div", "cookie-bar"), ("div", "cookies"), ("section", "cookie"), ("div", "gdpr"), ("div", "privacy-banner"), ("div", "alert")]
+CONTENT = [("article", ""), ("main", ""), ("div", "content"), ("div", "post"), ("div", "entry-content"), ("div", "article-body"), ("section", "main-text"), ("div", "story"), ("article", "post"), ("main", "page"), ("div", ""), ("section", ""), ("td", ""), ("div", "article"), ("div", "blog-article")]
+TOP = [("nav", ""), ("nav", "menu"), ("header", ""), ("header", "site-header"), ("div", "nav"), ("div", "breadcrumb"), ("ul", "menu"), ("div", "topbar"), ("div", "cookie-notice"), ("div", "notice"), ("div", "banner"), ("div", "ad"), ("div", "advert"), ("form", "search"), ("div", "popup"), ("div", "consent"), ("div", "cookie-bar"), ("div", "cookies"), ("section", "cookie"), ("div", "gdpr"), ("div", "privacy-banner"), ("div", "alert"), ("div", "navbar"), ("div", "masthead"), ("nav", "breadcrumbs"), ("ul", "nav"), ("div", "navigation")]
 SIDE = [("aside", ""), ("aside", "sidebar"), ("div", "sidebar"), ("div", "widget"), ("div", "related"), ("div", "ad"), ("div", "ads"), ("div", "promo"), ("div", "sponsored"), ("form", "newsletter"), ("form", ""), ("div", "subscribe"), ("div", "share"), ("div", "social")]
-BOTTOM = [("footer", ""), ("footer", "footer"), ("div", "footer"), ("section", "comments"), ("div", "comments"), ("div", "comment"), ("ol", "comment-list"), ("div", "related"), ("form", "comment-form"), ("div", "copyright"), ("div", "pagination"), ("div", "disqus")]
+BOTTOM = [("footer", ""), ("footer", "footer"), ("div", "footer"), ("section", "comments"), ("div", "comments"), ("div", "comment"), ("ol", "comment-list"), ("div", "related"), ("form", "comment-form"), ("div", "copyright"), ("div", "pagination"), ("div", "disqus"), ("section", "discussion"), ("section", "responses"), ("div", "replies"), ("div", "site-info")]
+
+
+#: What is added to names to say where or how a thing stands; it tells nothing of what it is.
+PLACES = "left right top bottom main wrap wrapper box area list links buttons block inner outer section one two".split()
 
 
 def pages(n: int, seed: int = 7) -> list[list[tuple[str, bool]]]:
@@ -21,8 +25,12 @@ def pages(n: int, seed: int = 7) -> list[list[tuple[str, bool]]]:
     def links() -> str:
         return "<ul>" + "".join(f'<li><a href="/{i}">{words(1, 3)}</a></li>' for i in range(rng.randint(3, 7))) + "</ul>"
 
+    def placed(name: str) -> str:
+        return f"{name}-{rng.choice(PLACES)}" if name and rng.random() < 0.3 else name
+
     def boiler(where) -> str:
         tag, name = rng.choice(where)
+        name = placed(name)
         if rng.random() < 0.15:  # a notice of a name that no other page has
             return f'<div class="{words(1, 1)}"><p>{words(4, 25)}</p><button>{words(1, 2)}</button></div>'
         inner = rng.choice([links(), f"<p>{words(6, 40)}</p>", words(3, 15), f'<label>{words(1, 2)}</label><input type="text"><button>{words(1, 2)}</button>', f"<div><p>{words(5, 30)}</p><p>{words(5, 30)}</p></div>"])
@@ -36,6 +44,7 @@ def pages(n: int, seed: int = 7) -> list[list[tuple[str, bool]]]:
     out = []
     for _ in range(n):
         tag, name = rng.choice(CONTENT)
+        name = placed(name)
         parts = [("<html><body>", False), *((boiler(TOP), False) for _ in range(rng.randint(1, 4)))]
         if rng.random() < 0.3:
             parts += [(boiler(SIDE), False)]
