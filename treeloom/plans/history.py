@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import compare, cut, diff, tree
 from ..sources import fixtures as fx
 from ..sources import scanner
-from ..sources.generations import once
+from ..sources.generations import once, written
 from .trees import NATION_CUT, SITES, graph, nation_cut, oracle
 from .trees import refs as all_refs
 
@@ -190,14 +190,25 @@ CODE_OLD = CODE.format(doc="'Doc.'", more="''", last=BETA)
 CODE_NEW = CODE.format(doc="CASE WHEN c_custkey % 6 = 4 THEN 'Doc, edited.' ELSE 'Doc.' END", more="CASE WHEN c_custkey % 6 = 3 THEN concat('    more();', chr(10)) ELSE '' END", last=f"CASE WHEN c_custkey % 6 = 5 THEN {GAMMA} ELSE {BETA} END")
 
 
+_COMPARED: dict[tuple[str, str], compare.Compared] = {}
+
+
 def code_compared(spark, sf_dir) -> compare.Compared:
+    """The comparison of both versions, made on first use by this application; its tables are written ones."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _COMPARED:
+        _COMPARED[key] = _compare_code(spark, sf_dir)
+    return _COMPARED[key]
+
+
+def _compare_code(spark, sf_dir) -> compare.Compared:
     sides = []
     for text, gone in ((CODE_OLD, 2), (CODE_NEW, 1)):
         files = fx.sql(spark, sf_dir, f"SELECT path, text FROM ({text}) WHERE c <> {gone}")
         entities, refs = scanner.project(files, "code")
-        entities = once(spark, ("code side", gone, sf_dir), lambda e=entities: e)
+        entities, refs = written(entities), written(refs)
         texts = files.join(entities.filter("kind = 'file'").select("path", F.col("id").alias("file_id")), "path").select("file_id", "text")
-        sides += [entities, once(spark, ("code refs", gone, sf_dir), lambda r=refs: r), texts]
+        sides += [entities, refs, texts]
     return compare.compare(*sides, max_hops=3)
 
 
