@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from treeloom.plans import scanning
 from treeloom.sources import scanner
 
 
@@ -100,3 +101,11 @@ def test_a_tree_of_files_becomes_a_graph(spark):
     assert [(r.id, r.kind, r.name, r.parent) for r in rows] == [(0, "folder", "demo", None), (1, "folder", "zeta", 0), (2, "file", "geo.rs", 1), (3, "function", "area", 2), (4, "function", "shape", 2), (5, "file", "app.py", 0), (6, "function", "main", 5), (7, "function", "helper", 5), (8, "file", "notes.txt", 0)]
     got = {(r.src, r.dst, r.kind, tuple(r.sites)) for r in refs.collect()}
     assert got == {(3, 4, "call", (0,)), (5, 3, "import", (0,)), (6, 3, "call", (3, 4)), (6, 7, "call", (5,))}
+
+
+def test_a_scan_query_reads_each_text_once_and_on_all_cores(spark, tmp_path):
+    spark.range(40).selectExpr("id AS c_custkey", "CAST(id % 25 AS INT) AS c_nationkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    found = scanning.QUERIES["scan_rust"](spark, str(tmp_path))
+    assert found.count() == 40 * len(scanning.RUST[2])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

@@ -11,7 +11,7 @@ from ..operators import goto, layout, postings, search, tree
 from ..sources import fixtures as fx
 from ..sources import names, occurrences, scanner
 from ..sources.fixtures import SOURCES
-from ..sources.generations import once, shared_dir
+from ..sources.generations import once, shared_dir, spread
 from ..streaming import live
 from .trees import graph, oracle
 from .trees import refs as all_refs
@@ -30,12 +30,6 @@ def query(sql: str | None = None):
     return add
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """docs over all cores, where a table of few row groups would leave most of them idle; a large one stays as it is."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
-
-
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))

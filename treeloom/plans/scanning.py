@@ -134,9 +134,11 @@ def scanned_sources(spark, sf_dir, ext: str, template: str) -> DataFrame:
     files = fx.sql(spark, sf_dir, f"SELECT concat('c', CAST(c_custkey AS VARCHAR(20)), '.{ext}') AS path, {text_sql(template)} AS text FROM {{customer}}")
     found = scanner.scanned(files)
     name = lambda at: F.coalesce(F.get(F.col("constructs"), at)["name"], F.lit(""))
-    constructs = found.select("path", "constructs", F.explode("constructs").alias("c")).select("path", "c.kind", "c.noun", "c.name", "c.line_start", "c.line_end", name(F.col("c.parent")).alias("of"))
-    refs = found.select("path", "constructs", F.explode("refs").alias("r")).select("path", "r.kind", F.lit("").alias("noun"), "r.name", F.col("r.line").alias("line_start"), F.col("r.line").alias("line_end"), name(F.col("r.src")).alias("of"))
-    return constructs.unionByName(refs)
+    row = lambda c, noun, first, last, of: F.struct(c["kind"].alias("kind"), noun.alias("noun"), c["name"].alias("name"), c[first].alias("line_start"), c[last].alias("line_end"), name(c[of]).alias("of"))
+    constructs = F.transform("constructs", lambda c: row(c, c["noun"], "line_start", "line_end", "parent"))
+    refs = F.transform("refs", lambda r: row(r, F.lit(""), "line", "line", "src"))
+    # both at once, so that each text is scanned once
+    return found.select("path", F.explode(F.concat(constructs, refs)).alias("row")).select("path", "row.*")
 
 
 def _add(name: str, ext: str, template: str, rows: list) -> None:

@@ -27,6 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores, where a table of few row groups would leave most of them idle; a large one stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table of its own: later plans neither repeat nor contain what made it."""
     spark = df.sparkSession
