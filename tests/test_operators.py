@@ -325,6 +325,12 @@ def test_points_of_one_place_and_equal_rectangles_meet_once(spark, monkeypatch):
     assert all(n <= 120 and p <= 301 for n, p in met) and len(met) == 2
 
 
+def test_ids_of_a_written_table_are_not_broadcast_by_the_size_of_their_file(spark):
+    ids = generations.written(spark.range(1_000_000))
+    joined = spark.range(2_000_000).join(ids, "id")
+    assert "Broadcast" not in joined._jdf.queryExecution().sparkPlan().toString() and joined.count() == 1_000_000
+
+
 def test_names_resolve_to_the_first_and_lift(spark):
     nodes = spark.createDataFrame([(0, None, "folder", "p"), (1, 0, "file", "mod.rs"), (2, 1, "module", "geo"), (3, 0, "file", "m.rs"), (4, 3, "function", "main"), (5, 4, "block", "b"), (6, 3, "function", "compute"), (7, 0, "file", "n.rs"), (8, 7, "function", "compute")], "node_id bigint, parent bigint, kind string, name string")
     raw = spark.createDataFrame([(5, "compute", "call", 3), (5, "compute", "call", 1), (4, "len", "call", 1), (6, "compute", "call", 9)], "src bigint, name string, kind string, line int")

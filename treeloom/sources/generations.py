@@ -14,6 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: dict[tuple, str] = {}
 
+#: How much larger rows are in a join's hash table than in the columns of a written file: ids there are mostly runs.
+IN_MEMORY = 32
+_FACTOR = "spark.sql.sources.fileCompressionFactor"
+
+
+def _honest(spark: SparkSession) -> None:
+    """Sizes of files are guessed as they are in memory, else millions of ids pass for a table to broadcast by the driver."""
+    if float(spark.conf.get(_FACTOR, "1.0")) < IN_MEMORY:
+        spark.conf.set(_FACTOR, f"{IN_MEMORY}.0")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a temporary folder only where that is unset and all is one process."""
@@ -37,6 +47,7 @@ def written(df: DataFrame) -> DataFrame:
     """df as a table of its own: later plans neither repeat nor contain what made it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    _honest(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -44,6 +55,7 @@ def written(df: DataFrame) -> DataFrame:
 def once(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
     """The table of a key, made on first use by this application."""
     key = (spark.sparkContext.applicationId, *key)
+    _honest(spark)
     if key not in _WRITTEN:
         df = make()
         path = f"{shared_dir(spark)}/{key[0]}-{uuid.uuid4().hex}"
