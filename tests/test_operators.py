@@ -331,6 +331,17 @@ def test_ids_of_a_written_table_are_not_broadcast_by_the_size_of_their_file(spar
     assert "Broadcast" not in joined._jdf.queryExecution().sparkPlan().toString() and joined.count() == 1_000_000
 
 
+def test_walks_hand_down_without_a_shuffle_for_each_ancestor(spark, shop):
+    rows, _, graph, up, _ = shop
+    chain = lambda i: [] if i is None else [*chain(rows[i][2]), i]
+    found = tree.with_paths(graph, up)
+    assert {r.id: r.path for r in found.collect()} == {i: "/".join(rows[j][1] for j in chain(i)) for i in range(len(rows))}
+    assert {r.id: r.key for r in tree.order_key(graph, up).collect()} == {i: chain(i) for i in range(len(rows))}
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    old, new = (spark.createDataFrame(x, "id bigint, kind string, path string") for x in ([(1, "file", "a"), (2, "file", "a"), (3, None, "a")], [(7, "file", "a"), (8, None, "a")]))
+    assert {tuple(r) for r in cut.id_map(old, new).collect()} == {(1, 7), (2, None), (3, None)}
+
+
 def test_names_resolve_to_the_first_and_lift(spark):
     nodes = spark.createDataFrame([(0, None, "folder", "p"), (1, 0, "file", "mod.rs"), (2, 1, "module", "geo"), (3, 0, "file", "m.rs"), (4, 3, "function", "main"), (5, 4, "block", "b"), (6, 3, "function", "compute"), (7, 0, "file", "n.rs"), (8, 7, "function", "compute")], "node_id bigint, parent bigint, kind string, name string")
     raw = spark.createDataFrame([(5, "compute", "call", 3), (5, "compute", "call", 1), (4, "len", "call", 1), (6, "compute", "call", 9)], "src bigint, name string, kind string, line int")

@@ -10,7 +10,7 @@ from ..functions.text import inclusive_line_count
 from ..schema import ranged
 from .lineops import line_ops
 from .testcode import is_continuation
-from .tree import dense_ids, order_key
+from .tree import append, dense_ids, handed_down, order_key
 
 #: Sides larger than this get a status and churn, but no line operations.
 MAX_DIFF_BYTES = 1 << 20
@@ -30,11 +30,16 @@ def check_roots(old: DataFrame, new: DataFrame) -> None:
 
 
 def key_paths(entities: DataFrame, tree: DataFrame) -> DataFrame:
-    """(id, key): from below the root down (name, kind, ordinal among siblings of that name and kind)."""
+    """(id, h1, h2): 128 bits of hash of the steps from below the root down (name, kind, ordinal among siblings of that name and kind)."""
     nth = F.row_number().over(Window.partitionBy("parent", "name", "kind").orderBy(F.coalesce("ord", "id"), "id"))
-    own = entities.select(F.col("id").alias("anc"), F.col("parent").isNull().alias("root"), F.struct("name", "kind", nth.alias("nth")).alias("step"))
-    pairs = F.array_sort(F.collect_list(F.when(~F.col("root"), F.struct((-F.col("hops")).alias("at"), "step"))))
-    return tree.join(own, "anc").groupBy("id").agg(F.transform(pairs, lambda p: p["step"]).alias("key"))
+    own = F.struct("name", "kind", nth.alias("nth"))
+
+    def step(above: Column | None, own: Column) -> Column:
+        # seeds of the root; a null has no weight in a hash, so it is told apart by a flag
+        at = (F.lit(0).cast("bigint"), F.lit(1).cast("bigint")) if above is None else tuple(F.xxhash64(above[h], own["name"], own["name"].isNull(), own["kind"], own["nth"]) for h in ("h1", "h2"))
+        return F.struct(at[0].alias("h1"), at[1].alias("h2"))
+
+    return handed_down(entities.select("id", "parent", own.alias("own")), tree, step, "key").select("id", "key.*")
 
 
 def match(old: DataFrame, old_tree: DataFrame, new: DataFrame, new_tree: DataFrame) -> DataFrame:
@@ -42,9 +47,8 @@ def match(old: DataFrame, old_tree: DataFrame, new: DataFrame, new_tree: DataFra
 
     Paths are met by 128 bits of hash, so that ids and hashes alone are shuffled.
     """
-    name = (F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
-    a = key_paths(old, old_tree).select(*name, F.col("id").alias("old_id"))
-    b = key_paths(new, new_tree).select(*name, F.col("id").alias("new_id"))
+    a = key_paths(old, old_tree).withColumnRenamed("id", "old_id")
+    b = key_paths(new, new_tree).withColumnRenamed("id", "new_id")
     return a.join(b, ["h1", "h2"], "full").select("old_id", "new_id")
 
 
@@ -63,10 +67,8 @@ def union(old: DataFrame, old_tree: DataFrame, new: DataFrame, new_tree: DataFra
     old_ords = old.select(F.col("id").alias("old_id"), F.coalesce("ord", "id").cast("bigint").alias("old_ord"))
     new_ords = new.select(F.col("id").alias("new_id"), F.coalesce("ord", "id").cast("bigint").alias("new_ord"))
     steps = matched.filter("old_id is not null").join(old_ords, "old_id").join(new_ords, "new_id", "left")
-    steps = steps.select(F.col("old_id").alias("anc"), F.struct(F.col("new_id").isNull().cast("int").alias("side"), F.coalesce("new_ord", "old_ord").alias("ord")).alias("step"))
-    gone = matched.filter("new_id is null").select(F.col("old_id").alias("id"))
-    pairs = F.array_sort(F.collect_list(F.struct((-F.col("hops")).alias("hop"), "step")))
-    old_order = old_tree.join(gone, "id").join(steps, "anc").groupBy("id").agg(F.transform(pairs, lambda p: p["step"]).alias("old_at")).withColumnRenamed("id", "old_id")
+    steps = steps.select(F.col("old_id").alias("id"), F.col("new_id").isNull().alias("gone"), F.struct(F.col("new_id").isNull().cast("int").alias("side"), F.coalesce("new_ord", "old_ord").alias("ord")).alias("own"))
+    old_order = handed_down(old.select("id", "parent").join(steps, "id"), old_tree, append, "old_at").filter("gone").select(F.col("id").alias("old_id"), "old_at")
     placed = both.join(new_order, "new_id", "left").join(old_order, "old_id", "left").withColumn("at", F.coalesce("at", "old_at")).drop("old_at")
     numbered = dense_ids(placed, "at").drop("at")
     of_new = numbered.select(F.col("new_id").alias("new_id_parent"), F.col("id").alias("by_new")).filter("new_id_parent is not null")

@@ -49,6 +49,37 @@ def depth(tree: DataFrame) -> DataFrame:
     return tree.groupBy("id").agg(F.max("hops").alias("depth"))
 
 
+def handed_down(nodes: DataFrame, tree: DataFrame, step: Callable[[Column | None, Column], Column], name: str) -> DataFrame:
+    """nodes (id, parent, own, …) with a column of a name instead of `own`: step(the parent's, own), None above a root.
+
+    Nodes take it from their parents by height, those with much below them first, so that a node is shuffled when it and
+    when its children get theirs, and not once for each of its ancestors as in a join with the closure.
+    """
+    from ..sources.generations import written
+
+    heights = tree.groupBy(F.col("anc").alias("id")).agg(F.max("hops").alias("_height"))
+    rows = written(nodes.join(heights, "id"))
+    kept = [F.col(c) for c in nodes.columns if c != "own"]
+    top = rows.agg(F.max("_height")).first()[0] or 0
+    out = rows.filter(F.col("_height") >= top).select(*kept, step(None, F.col("own")).alias(name))
+    for height in range(top - 1, -1, -1):
+        above = out.select(F.col("id").alias("parent"), F.col(name).alias("_above"), F.lit(True).alias("_under"))
+        level = rows.filter(F.col("_height") >= height).join(above, "parent", "left")
+        value = F.when(F.col("_under"), step(F.col("_above"), F.col("own"))).otherwise(step(None, F.col("own")))
+        out = level.select(*kept, value.alias(name))
+    return out
+
+
+def append(above: Column | None, own: Column) -> Column:
+    """A step of handed_down: all from the root down."""
+    return F.array(own) if above is None else F.concat(above, F.array(own))
+
+
+def nearest(above: Column | None, own: Column) -> Column:
+    """A step of handed_down: the last that is not null."""
+    return own if above is None else F.coalesce(own, above)
+
+
 def lineage(tree: DataFrame) -> DataFrame:
     """(id, chain): from the root down to the entity."""
     pairs = F.array_sort(F.collect_list(F.struct((-F.col("hops")).alias("at"), F.col("anc").alias("anc"))))
@@ -61,8 +92,8 @@ def root_name(entities: DataFrame) -> DataFrame:
 
 def file_of(entities: DataFrame, tree: DataFrame) -> DataFrame:
     """(id, file_id): the nearest file at or above; entities above every file have no row."""
-    files = entities.filter("kind = 'file'").select(F.col("id").alias("anc"))
-    return tree.join(files, "anc").groupBy("id").agg(F.min_by("anc", "hops").alias("file_id"))
+    own = entities.select("id", "parent", F.when(F.col("kind") == "file", F.col("id")).alias("own"))
+    return handed_down(own, tree, nearest, "file_id").filter("file_id is not null").select("id", "file_id")
 
 
 def relative(path: Column) -> Column:
@@ -77,10 +108,8 @@ def file_at_path(entities: DataFrame, path: str) -> DataFrame:
 
 def order_key(entities: DataFrame, tree: DataFrame, last_first: bool = False) -> DataFrame:
     """(id, key): sibling ordinals from the root down; sorted by it, entities stand in pre-order."""
-    ords = entities.select(F.col("id").alias("anc"), F.coalesce("ord", "id").alias("ord"))
     sign = -1 if last_first else 1
-    pairs = F.array_sort(F.collect_list(F.struct((-F.col("hops")).alias("at"), (sign * F.col("ord")).alias("ord"))))
-    return tree.join(ords, "anc").groupBy("id").agg(F.transform(pairs, lambda p: p["ord"]).alias("key"))
+    return handed_down(entities.select("id", "parent", (sign * F.coalesce("ord", "id")).alias("own")), tree, append, "key").select("id", "key")
 
 
 def dense_ids(rows: DataFrame, *order: str | Column, name: str = "id", start: int = 0) -> DataFrame:
@@ -88,9 +117,11 @@ def dense_ids(rows: DataFrame, *order: str | Column, name: str = "id", start: in
 
     Only the number of rows of each partition comes to the driver.
     """
+    from ..sources.generations import written
+
     keyed = rows.select(F.struct(*order).alias("_key"), F.struct("*").alias("_row"))
     parts = keyed.repartitionByRange("_key").sortWithinPartitions("_key").withColumn("_part", F.spark_partition_id())
-    parts = parts.withColumn("_mono", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("bigint"), 33)).persist()
+    parts = written(parts.select("_row", "_part", (F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("bigint"), 33)).alias("_mono")))
     sizes = sorted(parts.groupBy("_part").agg(F.count("*").alias("n")).collect(), key=lambda r: r["_part"])
     offsets, total = {}, start
     for r in sizes:
@@ -107,9 +138,14 @@ def innermost(entities: DataFrame, tree: DataFrame, points: DataFrame) -> DataFr
     stay inside their file and are dealt to every PART lines that they touch, so the range predicate runs within an
     equi-join on file and part, and a large file is no quadratic join.
     """
-    order = order_key(entities, tree, last_first=True)
-    inside = entities.join(file_of(entities, tree), "id").filter(ranged() & (F.col("id") != F.col("file_id"))).join(order, "id")
-    spans = inside.select("file_id", "id", "line_start", "line_end", F.struct((F.col("line_end") - F.col("line_start")).alias("span"), "key").alias("by"))
+    own = F.struct((-F.coalesce("ord", "id")).alias("ord"), F.when(F.col("kind") == "file", F.col("id")).alias("file_id"))
+
+    def step(above: Column | None, own: Column) -> Column:
+        key, file = (None, None) if above is None else (above["key"], above["file_id"])
+        return F.struct(append(key, own["ord"]).alias("key"), nearest(file, own["file_id"]).alias("file_id"))
+
+    inside = handed_down(entities.select("id", "parent", "line_start", "line_end", own.alias("own")), tree, step, "at").filter(ranged() & (F.col("id") != F.col("at.file_id")))
+    spans = inside.select("at.file_id", "id", "line_start", "line_end", F.struct((F.col("line_end") - F.col("line_start")).alias("span"), F.col("at.key").alias("key")).alias("by"))
     asked = points.select("file_id", "line").distinct().join(entities.filter("kind = 'file'").select(F.col("id").alias("file_id")), "file_id")
     spans = spans.withColumn("part", F.explode(F.sequence(F.floor(F.col("line_start") / PART), F.floor(F.greatest("line_start", "line_end") / PART))))
     hit = asked.withColumn("part", F.floor(F.col("line") / PART)).join(spans, ["file_id", "part"], "left").withColumn("by", F.when((F.col("line") >= F.col("line_start")) & (F.col("line") <= F.col("line_end")), F.col("by")))
@@ -141,9 +177,13 @@ def loc(entities: DataFrame, tree: DataFrame, skip: Column | None = None) -> Dat
 
 def display_paths(entities: DataFrame, tree: DataFrame) -> DataFrame:
     """(id, path): names from the root down, joined by slashes."""
-    names = entities.select(F.col("id").alias("anc"), "name")
-    pairs = F.array_sort(F.collect_list(F.struct((-F.col("hops")).alias("at"), "name")))
-    return tree.join(names, "anc").groupBy("id").agg(F.array_join(F.transform(pairs, lambda p: p["name"]), "/").alias("path"))
+    return with_paths(entities.select("id", "parent", "name"), tree).select("id", "path")
+
+
+def with_paths(entities: DataFrame, tree: DataFrame) -> DataFrame:
+    """entities with their display paths."""
+    named = handed_down(entities.drop("path").withColumn("own", F.col("name")), tree, append, "path")
+    return named.withColumn("path", F.array_join("path", "/"))
 
 
 def violations(entities: DataFrame, refs: DataFrame, tree: DataFrame) -> DataFrame:
