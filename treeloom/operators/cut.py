@@ -89,12 +89,16 @@ def coalesce_counts(refs: DataFrame, cut: DataFrame, tree: DataFrame) -> DataFra
 
 
 def id_map(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(old_id, new_id): equal kind and path; of several, the i-th by id matches the i-th. No match: null."""
+    """(old_id, new_id): equal kind and path; of several, the i-th by id matches the i-th. No match: null.
+
+    Kinds and paths are met by 128 bits of hash, so that ids and hashes alone are shuffled; a null meets nothing.
+    """
     def keyed(side: DataFrame, name: str) -> DataFrame:
-        at = F.row_number().over(Window.partitionBy("kind", "path").orderBy("id"))
-        return side.select("kind", "path", F.col("id").alias(name), at.alias("nth"))
+        known = F.col("kind").isNotNull() & F.col("path").isNotNull()
+        hashed = side.select(F.when(known, F.xxhash64("kind", "path")).alias("h1"), F.when(known, F.xxhash64(F.lit(1), "kind", "path")).alias("h2"), F.col("id").alias(name))
+        return hashed.withColumn("nth", F.row_number().over(Window.partitionBy("h1", "h2").orderBy(name)))
 
-    return keyed(old, "old_id").join(keyed(new, "new_id"), ["kind", "path", "nth"], "left").select("old_id", "new_id")
+    return keyed(old, "old_id").join(keyed(new, "new_id"), ["h1", "h2", "nth"], "left").select("old_id", "new_id")
 
 
 def compose(remaps: DataFrame, since: int, current: int) -> DataFrame:
