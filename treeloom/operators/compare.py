@@ -69,7 +69,7 @@ def compare(old: DataFrame, old_refs: DataFrame, old_texts: DataFrame, new: Data
     ranges = diff.churn(work, widened(united, up, pairs, {"old": old, "new": new}))
     files = work.select(F.col("file_id").alias("id"), "status").join(diff.whole_churn(work).withColumnRenamed("file_id", "id"), "id")
     settled = diff.settle(united, up, files, ranges)
-    marked = united.drop("is_test").join(testcode.inherit(united.select("id", F.coalesce("is_test", F.lit(False)).alias("own")), up), "id") if "is_test" in united.columns else united
+    marked = testcode.inherit(united.withColumn("own", F.coalesce("is_test", F.lit(False))).drop("is_test")) if "is_test" in united.columns else united
     return Compared(written(marked.join(settled, "id")), written(diff.union_refs(united, old_refs, new_refs)), up, pairs, work)
 
 

@@ -10,6 +10,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.generations import FEW, few, written
+from .tree import handed_down, nearest, parents
+
 #: Generations that a client may lag behind.
 WINDOW = 16
 
@@ -65,12 +68,19 @@ def reveal(cut: DataFrame, entities: DataFrame, tree: DataFrame, target: int) ->
 
 def shown(cut: DataFrame, tree: DataFrame) -> DataFrame:
     """(anc): the leaves and all above them."""
-    return cut.select(F.col("leaf").alias("id")).join(tree, "id").select("anc").distinct()
+    return tree.join(few(cut.select(F.col("leaf").alias("id"))), "id").select("anc").distinct()
 
 
 def sites(tree: DataFrame, drawn: DataFrame) -> DataFrame:
-    """(id, site): the nearest drawn (anc) at or above each entity; those without one have no row."""
-    return tree.join(drawn, "anc").groupBy("id").agg(F.min_by("anc", "hops").alias("site"))
+    """(id, site): the nearest drawn (anc) at or above each entity; those without one have no row.
+
+    Where more is drawn than the driver may hand out, it comes down the tree, as all else would meet under the root.
+    """
+    nodes = few(drawn.select("anc"))
+    if nodes.count() <= FEW:
+        return tree.join(nodes, "anc").groupBy("id").agg(F.min_by("anc", "hops").alias("site"))
+    own = parents(tree).join(nodes.select(F.col("anc").alias("id"), F.col("anc").alias("own")), "id", "left")
+    return handed_down(written(own), nearest, "site").filter("site is not null").select("id", "site")
 
 
 def coalesce(refs: DataFrame, cut: DataFrame, tree: DataFrame) -> DataFrame:
@@ -120,9 +130,17 @@ def migrate(cut: DataFrame, old_tree: DataFrame, matches: DataFrame, entities: D
     What is above a target is open; the new leaves are the roots and the children of what is open, as far as those
     are not open themselves.
     """
-    known = matches.filter("new_id is not null").select(F.col("old_id").alias("anc"), "new_id")
-    targets = cut.select(F.col("leaf").alias("id")).join(old_tree, "id").join(known, "anc").groupBy("id").agg(F.min_by("new_id", "hops").alias("target"))
-    opened = targets.select(F.col("target").alias("id")).join(tree.filter("hops > 0"), "id").select(F.col("anc").alias("open")).distinct()
+    at = migrate_ids(cut.select(F.col("leaf").alias("id")), old_tree, matches, True).select(F.col("new_id").alias("id")).distinct()
+    # each round asks for the parents of what the last one opened: far fewer than all ancestors of all leaves
+    up, opened = entities.select("id", "parent"), None
+    while True:
+        at = few(up.join(at, "id", "left_semi").filter("parent is not null").select(F.col("parent").alias("id")).distinct())
+        if at.isEmpty():
+            break
+        opened = at if opened is None else opened.unionByName(at)
+    if opened is None:
+        return initial(entities)
+    opened = opened.distinct().withColumnRenamed("id", "open")
     kids = entities.select(F.col("id").alias("leaf"), F.col("parent").alias("open"), F.coalesce("ord", "id").alias("pos")).join(opened, "open").select("leaf", "pos")
     return initial(entities).unionByName(kids).join(opened.select(F.col("open").alias("leaf")), "leaf", "left_anti")
 
@@ -130,5 +148,8 @@ def migrate(cut: DataFrame, old_tree: DataFrame, matches: DataFrame, entities: D
 def migrate_ids(ids: DataFrame, old_tree: DataFrame, matches: DataFrame, coarsen: bool) -> DataFrame:
     """(old_id, new_id) for client state (id): exact, or, to coarsen, at the nearest ancestor that survives."""
     known = matches.filter("new_id is not null").select(F.col("old_id").alias("anc"), "new_id")
-    walk = ids.select("id").join(old_tree if coarsen else old_tree.filter("hops = 0"), "id").join(known, "anc")
-    return walk.groupBy(F.col("id").alias("old_id")).agg(F.min_by("new_id", "hops").alias("new_id"))
+    if not coarsen:
+        return ids.select(F.col("id").alias("old_id")).join(known.withColumnRenamed("anc", "old_id"), "old_id")
+    nodes = parents(old_tree).join(known.select(F.col("anc").alias("id"), F.col("new_id").alias("own")), "id", "left")
+    found = handed_down(written(nodes), nearest, "new_id").filter("new_id is not null")
+    return found.join(ids.select("id"), "id", "left_semi").select(F.col("id").alias("old_id"), "new_id")

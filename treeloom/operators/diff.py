@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import inclusive_line_count
 from ..schema import ranged
+from ..sources.generations import written
 from .lineops import line_ops
 from .testcode import is_continuation
 from .tree import append, dense_ids, handed_down, order_key
@@ -29,7 +30,7 @@ def check_roots(old: DataFrame, new: DataFrame) -> None:
         raise ValueError(f"the two trees have different root names ({names[0]} and {names[1]})")
 
 
-def key_paths(entities: DataFrame, tree: DataFrame) -> DataFrame:
+def key_paths(entities: DataFrame) -> DataFrame:
     """(id, h1, h2): 128 bits of hash of the steps from below the root down (name, kind, ordinal among siblings of that name and kind)."""
     nth = F.row_number().over(Window.partitionBy("parent", "name", "kind").orderBy(F.coalesce("ord", "id"), "id"))
     own = F.struct("name", "kind", nth.alias("nth"))
@@ -39,20 +40,20 @@ def key_paths(entities: DataFrame, tree: DataFrame) -> DataFrame:
         at = (F.lit(0).cast("bigint"), F.lit(1).cast("bigint")) if above is None else tuple(F.xxhash64(above[h], own["name"], own["name"].isNull(), own["kind"], own["nth"]) for h in ("h1", "h2"))
         return F.struct(at[0].alias("h1"), at[1].alias("h2"))
 
-    return handed_down(entities.select("id", "parent", own.alias("own")), tree, step, "key").select("id", "key.*")
+    return handed_down(written(entities.select("id", "parent", own.alias("own"))), step, "key").select("id", "key.*")
 
 
-def match(old: DataFrame, old_tree: DataFrame, new: DataFrame, new_tree: DataFrame) -> DataFrame:
+def match(old: DataFrame, old_tree: DataFrame | None, new: DataFrame, new_tree: DataFrame | None) -> DataFrame:
     """(old_id, new_id): a full outer join on key paths, so that what hangs under no match matches nothing.
 
     Paths are met by 128 bits of hash, so that ids and hashes alone are shuffled.
     """
-    a = key_paths(old, old_tree).withColumnRenamed("id", "old_id")
-    b = key_paths(new, new_tree).withColumnRenamed("id", "new_id")
+    a = key_paths(old).withColumnRenamed("id", "old_id")
+    b = key_paths(new).withColumnRenamed("id", "new_id")
     return a.join(b, ["h1", "h2"], "full").select("old_id", "new_id")
 
 
-def union(old: DataFrame, old_tree: DataFrame, new: DataFrame, new_tree: DataFrame, matched: DataFrame | None = None) -> DataFrame:
+def union(old: DataFrame, old_tree: DataFrame | None, new: DataFrame, new_tree: DataFrame | None, matched: DataFrame | None = None) -> DataFrame:
     """Entities of both sides once, with old_id and new_id, dense ids in pre-order, and the new side's attributes first.
 
     A parent's new children stand in the new order, then its old ones without match in the old order.
@@ -68,7 +69,7 @@ def union(old: DataFrame, old_tree: DataFrame, new: DataFrame, new_tree: DataFra
     new_ords = new.select(F.col("id").alias("new_id"), F.coalesce("ord", "id").cast("bigint").alias("new_ord"))
     steps = matched.filter("old_id is not null").join(old_ords, "old_id").join(new_ords, "new_id", "left")
     steps = steps.select(F.col("old_id").alias("id"), F.col("new_id").isNull().alias("gone"), F.struct(F.col("new_id").isNull().cast("int").alias("side"), F.coalesce("new_ord", "old_ord").alias("ord")).alias("own"))
-    old_order = handed_down(old.select("id", "parent").join(steps, "id"), old_tree, append, "old_at").filter("gone").select(F.col("id").alias("old_id"), "old_at")
+    old_order = handed_down(written(old.select("id", "parent").join(steps, "id")), append, "old_at").filter("gone").select(F.col("id").alias("old_id"), "old_at")
     placed = both.join(new_order, "new_id", "left").join(old_order, "old_id", "left").withColumn("at", F.coalesce("at", "old_at")).drop("old_at")
     numbered = dense_ids(placed, "at").drop("at")
     of_new = numbered.select(F.col("new_id").alias("new_id_parent"), F.col("id").alias("by_new")).filter("new_id_parent is not null")

@@ -10,7 +10,7 @@ from .cut import sites
 from .tree import file_of
 
 
-def sited(entities: DataFrame, tree: DataFrame, refs: DataFrame) -> DataFrame:
+def sited(entities: DataFrame, tree: DataFrame | None, refs: DataFrame) -> DataFrame:
     """(file_id, line, ref_id, dst, name): references by the file and line of their sites."""
     files = file_of(entities, tree).select(F.col("id").alias("src"), "file_id")
     names = entities.select(F.col("id").alias("dst"), "name")

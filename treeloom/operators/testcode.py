@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import ranged
-from .tree import file_of
+from ..sources.generations import written
+from .tree import handed_down, nearest
 
 IDENT = r"\p{IsAlphabetic}\p{N}_"
 
@@ -63,10 +64,15 @@ def attribute_runs(lines: DataFrame) -> DataFrame:
     return run.select("file_id", "line", hit.alias("marked"))
 
 
-def own_marks(entities: DataFrame, tree: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+def own_marks(entities: DataFrame, tree: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
     """(id, own): is the entity test code by itself? lines: (file_id, line, text), read for what names leave open."""
-    names = entities.filter("kind = 'file'").select(F.col("id").alias("file_id"), F.col("name").alias("file_name"))
-    rows = entities.join(file_of(entities, tree).join(names, "file_id"), "id", "left")
+    return _own_marks(entities, lines).select("id", "own")
+
+
+def _own_marks(entities: DataFrame, lines: DataFrame | None) -> DataFrame:
+    """entities with `own`; a file hands its id and name down to what it holds."""
+    file = F.when(F.col("kind") == "file", F.struct(F.col("id").alias("file_id"), F.col("name").alias("file_name")))
+    rows = handed_down(entities.withColumn("own", file), nearest, "file").select(*entities.columns, "file.file_id", "file.file_name")
     rows = rows.withColumn("own", named_test(F.col("kind"), F.col("name"), F.col("file_name")))
     if lines is not None:
         runs = attribute_runs(lines)
@@ -78,14 +84,24 @@ def own_marks(entities: DataFrame, tree: DataFrame, lines: DataFrame | None = No
         rows = rows.join(here, (rows["file_id"] == here["file_id"]) & (F.col("_start") == F.col("_here")), "left").drop(here["file_id"])
         rows = rows.join(before, (rows["file_id"] == before["file_id"]) & (F.col("_start") == F.col("_before")), "left").drop(before["file_id"])
         rows = rows.withColumn("own", F.col("own") | F.coalesce("marked_here", "marked_before", F.lit(False)))
-    return rows.select("id", "own")
+    return rows.select(*entities.columns, "own")
 
 
-def inherit(own: DataFrame, tree: DataFrame) -> DataFrame:
-    """(id, is_test): whatever is under test code is test code."""
-    return tree.join(own.select(F.col("id").alias("anc"), "own"), "anc").groupBy("id").agg(F.max("own").alias("is_test"))
+def inherit(own: DataFrame) -> DataFrame:
+    """own (id, parent, own, …) with is_test instead of `own`: whatever is under test code is test code."""
+    return handed_down(own, lambda above, own: own if above is None else F.greatest(above, own), "is_test")
 
 
-def mark(entities: DataFrame, tree: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+def mark(entities: DataFrame, tree: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
     """entities with is_test set."""
-    return entities.drop("is_test").join(inherit(own_marks(entities, tree, lines), tree), "id").select(entities.columns)
+    nodes = entities.drop("is_test")
+    if lines is not None:
+        return inherit(written(_own_marks(nodes, lines))).select(entities.columns)
+    own = F.struct("kind", "name", F.when(F.col("kind") == "file", F.col("name")).alias("file"))
+
+    def step(above: Column | None, own: Column) -> Column:
+        file = own["file"] if above is None else nearest(above["file"], own["file"])
+        named = named_test(own["kind"], own["name"], file)
+        return F.struct(file.alias("file"), (named if above is None else F.greatest(above["is_test"], named)).alias("is_test"))
+
+    return handed_down(nodes.withColumn("own", own), step, "walk").withColumn("is_test", F.col("walk.is_test")).select(entities.columns)

@@ -18,21 +18,37 @@ from ..schema import ranged
 PART = 64
 
 
-def closure(entities: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """(id, anc, hops). Ancestors are attached a column at a time, one join for each level, and turned to rows at the end.
+def inner(nodes: DataFrame) -> list[DataFrame]:
+    """nodes (id, parent, …) that are parents, then those that are parents of such, and so on; each is written.
 
-    With max_hops, the depth is known and no job runs; else each level is written, and one small job asks if it is the last.
+    Most of a tree is leaves, so these are a fraction of it, and what comes down from above is joined to the leaves once.
     """
     from ..sources.generations import written
 
-    parents = entities.select(F.col("id").alias("at"), F.col("parent").alias("up")).filter("up is not null")
-    wide, hops = entities.select("id", F.col("id").alias("a0"), F.col("parent").alias("a1")), 1
-    while hops < max_hops if max_hops is not None else not wide.filter(f"a{hops} is not null").isEmpty():
-        step = parents.select(F.col("at").alias(f"a{hops}"), F.col("up").alias(f"a{hops + 1}"))
-        wide = wide.join(step, f"a{hops}", "left").select("id", *(f"a{i}" for i in range(hops + 2)))
-        wide, hops = (wide if max_hops is not None else written(wide)), hops + 1
-    kept = hops if max_hops is None else min(hops, max_hops)
-    return wide.select("id", F.posexplode(F.array(*(f"a{i}" for i in range(kept + 1)))).alias("hops", "anc")).filter("anc is not null").select("id", "anc", "hops")
+    levels, rows, last = [], nodes, None
+    while True:
+        parents = rows.filter("parent is not null").select(F.col("parent").alias("id")).distinct()
+        rows = written(rows.join(parents, "id", "left_semi"))
+        n = rows.count()
+        if n == 0:
+            return levels
+        if n == last:
+            raise ValueError("the tree has a cycle")
+        levels, last = [*levels, rows], n
+
+
+def closure(entities: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(id, anc, hops), as far as max_hops where given. An entity takes its ancestors from its parent, once that has its own."""
+    nodes, chain = entities.select("id", "parent"), None
+    for rows in reversed([nodes, *inner(nodes)]):
+        alone = F.when(F.col("parent").isNull(), F.array("id")).otherwise(F.array("id", "parent"))
+        if chain is None:
+            chain = rows.select("id", alone.alias("chain"))
+            continue
+        above = chain.select(F.col("id").alias("parent"), F.col("chain").alias("above"))
+        chain = rows.join(above, "parent", "left").select("id", F.when(F.col("above").isNull(), alone).otherwise(F.concat(F.array("id"), "above")).alias("chain"))
+    kept = chain if max_hops is None else chain.select("id", F.slice("chain", 1, max_hops + 1).alias("chain"))
+    return kept.select("id", F.posexplode("chain").alias("hops", "anc")).select("id", "anc", "hops")
 
 
 def get(entities: DataFrame, entity_id: int) -> DataFrame:
@@ -49,27 +65,33 @@ def depth(tree: DataFrame) -> DataFrame:
     return tree.groupBy("id").agg(F.max("hops").alias("depth"))
 
 
-def handed_down(nodes: DataFrame, tree: DataFrame, step: Callable[[Column | None, Column], Column], name: str) -> DataFrame:
+def handed_down(nodes: DataFrame, step: Callable[[Column | None, Column], Column], name: str) -> DataFrame:
     """nodes (id, parent, own, …) with a column of a name instead of `own`: step(the parent's, own), None above a root.
 
-    Nodes take it from their parents by height, those with much below them first, so that a node is shuffled when it and
-    when its children get theirs, and not once for each of its ancestors as in a join with the closure.
+    Nodes take it from their parents, those with much below them first: a leaf meets its parent's once.
     """
-    from ..sources.generations import written
-
-    heights = tree.groupBy(F.col("anc").alias("id")).agg(F.max("hops").alias("_height"))
-    rows = written(nodes.join(heights, "id"))
-    kept = [F.col(c) for c in nodes.columns if c != "own"]
-    top = rows.agg(F.max("_height")).first()[0] or 0
-    out = rows.filter(F.col("_height") >= top).select(*kept, step(None, F.col("own")).alias(name))
-    for height in range(top - 1, -1, -1):
+    kept, out = [F.col(c) for c in nodes.columns if c != "own"], None
+    for rows in reversed([nodes, *inner(nodes)]):
+        if out is None:
+            out = rows.select(*kept, step(None, F.col("own")).alias(name))
+            continue
         above = out.select(F.col("id").alias("parent"), F.col(name).alias("_above"), F.lit(True).alias("_under"))
-        level = rows.filter(F.col("_height") >= height).join(above, "parent", "left")
         value = F.when(F.col("_under"), step(F.col("_above"), F.col("own"))).otherwise(step(None, F.col("own")))
-        out = level.select(*kept, value.alias(name))
+        out = rows.join(above, "parent", "left").select(*kept, value.alias(name))
     return out
 
 
+def steps(entities: DataFrame) -> DataFrame:
+    """As closure, as far as parents alone: no join."""
+    links = F.array(F.struct(F.col("id").alias("anc"), F.lit(0).alias("hops")), F.struct(F.col("parent").alias("anc"), F.lit(1).alias("hops")))
+    return entities.select("id", F.inline(links)).filter("anc is not null")
+
+
+def parents(tree: DataFrame) -> DataFrame:
+    """(id, parent) of a closure."""
+    return tree.filter("hops <= 1").groupBy("id").agg(F.max(F.when(F.col("hops") == 1, F.col("anc"))).alias("parent"))
+
+
 def append(above: Column | None, own: Column) -> Column:
     """A step of handed_down: all from the root down."""
     return F.array(own) if above is None else F.concat(above, F.array(own))
@@ -90,10 +112,10 @@ def root_name(entities: DataFrame) -> DataFrame:
     return entities.filter("parent is null").agg(F.min_by("name", "id").alias("name"))
 
 
-def file_of(entities: DataFrame, tree: DataFrame) -> DataFrame:
+def file_of(entities: DataFrame, tree: DataFrame | None = None) -> DataFrame:
     """(id, file_id): the nearest file at or above; entities above every file have no row."""
     own = entities.select("id", "parent", F.when(F.col("kind") == "file", F.col("id")).alias("own"))
-    return handed_down(own, tree, nearest, "file_id").filter("file_id is not null").select("id", "file_id")
+    return handed_down(own, nearest, "file_id").filter("file_id is not null").select("id", "file_id")
 
 
 def relative(path: Column) -> Column:
@@ -106,10 +128,10 @@ def file_at_path(entities: DataFrame, path: str) -> DataFrame:
     return entities.filter((F.col("kind") == "file") & (relative(F.col("path")) == path)).agg(F.min("id").alias("id")).filter("id is not null")
 
 
-def order_key(entities: DataFrame, tree: DataFrame, last_first: bool = False) -> DataFrame:
+def order_key(entities: DataFrame, tree: DataFrame | None = None, last_first: bool = False) -> DataFrame:
     """(id, key): sibling ordinals from the root down; sorted by it, entities stand in pre-order."""
     sign = -1 if last_first else 1
-    return handed_down(entities.select("id", "parent", (sign * F.coalesce("ord", "id")).alias("own")), tree, append, "key").select("id", "key")
+    return handed_down(entities.select("id", "parent", (sign * F.coalesce("ord", "id")).alias("own")), append, "key").select("id", "key")
 
 
 def dense_ids(rows: DataFrame, *order: str | Column, name: str = "id", start: int = 0) -> DataFrame:
@@ -131,7 +153,7 @@ def dense_ids(rows: DataFrame, *order: str | Column, name: str = "id", start: in
     return parts.select("_row.*", (lookup[F.col("_part")] + F.col("_mono")).cast("bigint").alias(name))
 
 
-def innermost(entities: DataFrame, tree: DataFrame, points: DataFrame) -> DataFrame:
+def innermost(entities: DataFrame, tree: DataFrame | None, points: DataFrame) -> DataFrame:
     """(file_id, line, id) for points (file_id, line): the smallest entity in the file whose lines hold the line.
 
     Ranges include both ends; what has none is skipped; where nothing smaller holds the line, the file does. Spans
@@ -144,7 +166,7 @@ def innermost(entities: DataFrame, tree: DataFrame, points: DataFrame) -> DataFr
         key, file = (None, None) if above is None else (above["key"], above["file_id"])
         return F.struct(append(key, own["ord"]).alias("key"), nearest(file, own["file_id"]).alias("file_id"))
 
-    inside = handed_down(entities.select("id", "parent", "line_start", "line_end", own.alias("own")), tree, step, "at").filter(ranged() & (F.col("id") != F.col("at.file_id")))
+    inside = handed_down(entities.select("id", "parent", "line_start", "line_end", own.alias("own")), step, "at").filter(ranged() & (F.col("id") != F.col("at.file_id")))
     spans = inside.select("at.file_id", "id", "line_start", "line_end", F.struct((F.col("line_end") - F.col("line_start")).alias("span"), F.col("at.key").alias("key")).alias("by"))
     asked = points.select("file_id", "line").distinct().join(entities.filter("kind = 'file'").select(F.col("id").alias("file_id")), "file_id")
     spans = spans.withColumn("part", F.explode(F.sequence(F.floor(F.col("line_start") / PART), F.floor(F.greatest("line_start", "line_end") / PART))))
@@ -175,17 +197,27 @@ def loc(entities: DataFrame, tree: DataFrame, skip: Column | None = None) -> Dat
     return sized.join(parts, "id", "left").select("id", "loc", F.coalesce("test_loc", F.lit(0)).alias("test_loc"))
 
 
-def display_paths(entities: DataFrame, tree: DataFrame) -> DataFrame:
+def display_paths(entities: DataFrame, tree: DataFrame | None = None) -> DataFrame:
     """(id, path): names from the root down, joined by slashes."""
-    return with_paths(entities.select("id", "parent", "name"), tree).select("id", "path")
+    return with_paths(entities.select("id", "parent", "name")).select("id", "path")
 
 
-def with_paths(entities: DataFrame, tree: DataFrame) -> DataFrame:
+def with_paths(entities: DataFrame, tree: DataFrame | None = None) -> DataFrame:
     """entities with their display paths."""
-    named = handed_down(entities.drop("path").withColumn("own", F.col("name")), tree, append, "path")
+    named = handed_down(entities.drop("path").withColumn("own", F.col("name")), append, "path")
     return named.withColumn("path", F.array_join("path", "/"))
 
 
+def file_paths(entities: DataFrame) -> DataFrame:
+    """Files and what holds them, with their display paths: what lies inside files, most of a tree, has no part in these.
+
+    Where a file hangs under what is neither file nor folder nor module, everything gets its path.
+    """
+    places = entities.filter("kind in ('file', 'folder', 'module')")
+    outside = places.filter("parent is not null").join(places.select(F.col("id").alias("parent")), "parent", "left_anti")
+    return with_paths(places if outside.isEmpty() else entities)
+
+
 def violations(entities: DataFrame, refs: DataFrame, tree: DataFrame) -> DataFrame:
     """(rule, n) for each rule of a graph that is broken n times; no rows for a sound graph."""
     rows: list[tuple[str, Callable[[], DataFrame]]] = [

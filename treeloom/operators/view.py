@@ -120,10 +120,13 @@ def visible_refs(edges: DataFrame, refs: DataFrame, dropped: DataFrame) -> DataF
     return members.groupBy("src", "dst", "kind").agg(F.array_sort(F.collect_list("ref_id")).alias("refs"), F.count("*").alias("n_refs"), F.min("ref_id").alias("first_ref"))
 
 
-def raw_model(entities: DataFrame, refs: DataFrame, dropped: DataFrame, unchanged: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, containment (parent, child) and references of the uncut picture, without what is dropped or unchanged."""
-    kept = entities.join(dropped.select("id"), "id", "left_anti")
-    kept = kept if unchanged is None else kept.join(unchanged.select("id"), "id", "left_anti")
+def raw_model(entities: DataFrame, refs: DataFrame, dropped: DataFrame | Column, unchanged: DataFrame | Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, containment (parent, child) and references of the uncut picture, without what is dropped or unchanged: ids, or
+    what is true of such entities."""
+    kept = entities
+    for gone in (dropped, unchanged):
+        if gone is not None:
+            kept = kept.filter(~F.coalesce(gone, F.lit(False))) if isinstance(gone, Column) else kept.join(gone.select("id"), "id", "left_anti")
     ids = kept.select("id")
     contain = kept.filter("parent is not null").join(ids.withColumnRenamed("id", "parent"), "parent", "left_semi").select("parent", F.col("id").alias("child"))
     edges = refs.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")

@@ -13,7 +13,7 @@ from ..sources import names, occurrences, scanner
 from ..sources.fixtures import SOURCES
 from ..sources.generations import once, shared_dir, spread
 from ..streaming import live
-from .trees import graph, oracle
+from .trees import graph, oracle, tree_of
 from .trees import refs as all_refs
 
 QUERIES: dict = {}
@@ -142,9 +142,8 @@ ASKED = f"asked AS (SELECT DISTINCT r.src AS ask, f.file_id, r.line, e.name AS t
 
 
 def asked(spark, sf_dir, alias: bool) -> tuple[DataFrame, DataFrame]:
-    entities, up = graph(spark, sf_dir)
     refs = all_refs(spark, sf_dir)
-    places = goto.sited(entities, up, refs)
+    places = once(spark, ("places", sf_dir), lambda: goto.sited(tree_of(spark, sf_dir), None, refs))
     some = refs.filter("kind in ('call', 'type_ref', 'import')").select("ref_id", F.col("src").alias("ask"))
     rows = some.join(places, "ref_id").select("ask", "file_id", "line", F.col("name").alias("token")).distinct()
     return (rows.withColumn("token", F.lit("alias")).withColumn("text", F.lit("alias here")) if alias else rows.withColumn("text", F.col("token"))), places

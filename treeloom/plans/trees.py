@@ -19,9 +19,13 @@ def oracle(body: str, *ctes: str) -> str:
     return fx.duck("WITH RECURSIVE " + ", ".join([fx.GRAPH, CLOSURE, *ctes]) + " " + body)
 
 
+def tree_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, ("entities", sf_dir), lambda: fx.entities(spark, sf_dir))
+
+
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Entities and their closure, written once for each input: all else is asked of these two."""
-    entities = once(spark, ("entities", sf_dir), lambda: fx.entities(spark, sf_dir))
+    """Entities and their closure, written once for each input; what walks down the tree asks entities alone."""
+    entities = tree_of(spark, sf_dir)
     return entities, once(spark, ("closure", sf_dir), lambda: tree.closure(entities.select("id", "parent"), fx.HOPS))
 
 
@@ -51,7 +55,7 @@ def closure_sizes(spark, sf_dir):
 
 @query(oracle("SELECT c.id, arg_min(c.anc, c.hops) AS file_id FROM closure c JOIN entities f ON c.anc = f.id WHERE f.kind = 'file' GROUP BY c.id"))
 def file_of(spark, sf_dir):
-    return tree.file_of(*graph(spark, sf_dir))
+    return tree.file_of(tree_of(spark, sf_dir))
 
 
 POINTS = f"points AS (SELECT {fx.CUSTOMER} + c_custkey AS file_id, c_custkey % 97 AS line FROM {{customer}} UNION SELECT {fx.CUSTOMER} + c_custkey, (c_custkey * 7) % 401 FROM {{customer}})"
@@ -62,9 +66,8 @@ UNDER = "inside AS (SELECT c.id, c.anc AS file_id FROM closure c JOIN entities f
   FROM points p LEFT JOIN (SELECT e.*, i.file_id FROM entities e JOIN inside i ON e.id = i.id) e
     ON e.file_id = p.file_id AND p.line BETWEEN e.line_start AND e.line_end AND NOT (e.line_start = 0 AND e.line_end = 0) GROUP BY p.file_id, p.line""", POINTS, UNDER))
 def innermost_at(spark, sf_dir):
-    entities, up = graph(spark, sf_dir)
     points = fx.sql(spark, sf_dir, f"WITH {POINTS} SELECT file_id, CAST(line AS INT) AS line FROM points")
-    return tree.innermost(entities, up, points)
+    return tree.innermost(tree_of(spark, sf_dir), None, points)
 
 
 @query(oracle("SELECT depth, count(*) AS n FROM (SELECT id, CAST(max(hops) AS INT) AS depth FROM closure GROUP BY id) GROUP BY depth"))
@@ -81,13 +84,12 @@ def lineage(spark, sf_dir):
 
 @query(oracle("SELECT c.id, string_agg(e.name, '/' ORDER BY c.hops DESC) AS path FROM closure c JOIN entities e ON c.anc = e.id GROUP BY c.id"))
 def display_paths(spark, sf_dir):
-    return tree.display_paths(*graph(spark, sf_dir))
+    return tree.display_paths(tree_of(spark, sf_dir))
 
 
 @query(oracle("SELECT id, row_number() OVER (ORDER BY key) - 1 AS pos FROM (SELECT c.id, list(e.ord ORDER BY c.hops DESC) AS key FROM closure c JOIN entities e ON c.anc = e.id GROUP BY c.id)"))
 def preorder_ids(spark, sf_dir):
-    entities, up = graph(spark, sf_dir)
-    return tree.dense_ids(tree.order_key(entities, up), "key", name="pos").select("id", "pos")
+    return tree.dense_ids(tree.order_key(tree_of(spark, sf_dir)), "key", name="pos").select("id", "pos")
 
 
 @query(oracle(f"SELECT id FROM closure WHERE anc = {fx.NATION} + 7"))
@@ -128,13 +130,12 @@ IS_TEST = "tested AS (SELECT c.id, bool_or(m.own) AS is_test FROM closure c JOIN
 
 @query(oracle("SELECT id, own FROM marks", OWN_TEST))
 def test_names(spark, sf_dir):
-    return testcode.own_marks(*graph(spark, sf_dir))
+    return testcode.own_marks(tree_of(spark, sf_dir))
 
 
 @query(oracle("SELECT id, is_test FROM tested", OWN_TEST, IS_TEST))
 def test_inherit(spark, sf_dir):
-    entities, up = graph(spark, sf_dir)
-    return testcode.mark(entities, up).select("id", "is_test")
+    return testcode.mark(tree_of(spark, sf_dir)).select("id", "is_test")
 
 
 @query(oracle(f"""SELECT e.id, CAST(coalesce(sum(t.loc), 0) AS BIGINT) AS test_loc FROM entities e LEFT JOIN (

@@ -61,13 +61,27 @@ def duck(text: str) -> str:
     return text
 
 
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of GRAPH, written once: entities and references are made of them, and each would number them again."""
+    from .generations import once
+
+    return once(spark, ("items", sf_dir), lambda: sql(spark, sf_dir, f"WITH {GRAPH[:GRAPH.index('spans AS')].rstrip().rstrip(',')} SELECT id, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag, l_linestatus, o_custkey, qty, nth, upto FROM items"))
+
+
+def of_items(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of GRAPH, from the items on."""
+    text = f"WITH items AS (SELECT * FROM {{items}}), {GRAPH[GRAPH.index('spans AS'):]} SELECT * FROM {name}"
+    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in text}
+    return spark.sql(text, **used, items=items(spark, sf_dir))
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    out = sql(spark, sf_dir, f"WITH {GRAPH} SELECT * FROM entities")
+    out = of_items(spark, sf_dir, "entities")
     none = lambda kind: F.lit(None).cast(kind)
     return out.select("id", "kind", none("string").alias("noun"), "name", "parent", "ord", none("string").alias("path"), none("bigint").alias("byte_start"), none("bigint").alias("byte_end"), "line_start", "line_end", F.lit(False).alias("is_test"))
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sql(spark, sf_dir, f"WITH {GRAPH} SELECT ref_id, src, dst, kind, array(line) AS sites FROM refs")
+    return of_items(spark, sf_dir, "refs").selectExpr("ref_id", "src", "dst", "kind", "array(line) AS sites")

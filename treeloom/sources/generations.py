@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _WRITTEN: dict[tuple, str] = {}
 
@@ -43,6 +44,16 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
+#: Rows of a few columns that the driver can hand to all executors, whatever the size of the input.
+FEW = 50_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, written, and marked for a broadcast where it has few rows: what it meets is then not shuffled."""
+    rows = written(df)
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table of its own: later plans neither repeat nor contain what made it."""
     spark = df.sparkSession
