@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import cut, testcode, view
 from ..sources import fixtures as fx
+from ..sources.generations import few, written
 from .trees import COALESCED, IS_TEST, MIXED_CUT, NATION_CUT, OWN_TEST, SITES, graph, mixed_cut, nation_cut, oracle
 from .trees import refs as all_refs
 
@@ -120,12 +121,21 @@ UPCHAINS = f"""ups AS (SELECT id, list(anc ORDER BY hops) AS up FROM closure GRO
 MEET = "len(list_filter(range(1, least(len(a.up), len(b.up)) + 1), lambda i: list_reverse(a.up)[1:i] = list_reverse(b.up)[1:i]))"
 
 
+def mixed_bundle(spark, sf_dir):
+    """Edges, drawn boxes, and the closure of what is drawn: whatever an edge ends at, and all above it."""
+    entities, up = graph(spark, sf_dir)
+    at = mixed_cut(entities)
+    drawn = written(cut.shown(at, up))
+    ends = written(up.join(few(drawn.withColumnRenamed("anc", "id")), "id", "left_semi"))
+    boxes = written(view.drawn_tree(at, ends).filter("is_box").select("id"))
+    edges = cut.coalesce_counts(all_refs(spark, sf_dir), at, up).select("src", "dst", "kind")
+    return edges, boxes, ends
+
+
 @query(oracle(f"""SELECT src, src_box, dst, dst_box, kind, count(*) AS count FROM (SELECT a.up[ka] AS src, ka > 1 AS src_box, b.up[kb] AS dst, kb > 1 AS dst_box, kind FROM (
     SELECT e.*, len(a.up) - {MEET} AS ka, len(b.up) - {MEET} AS kb FROM edges e JOIN ups a ON a.id = e.src JOIN ups b ON b.id = e.dst) e JOIN ups a ON a.id = e.src JOIN ups b ON b.id = e.dst WHERE ka > 0 AND kb > 0) GROUP BY ALL""", MIXED_CUT, SITES, COALESCED, UPCHAINS))
 def bundle_default(spark, sf_dir):
-    edges, entities, up = mixed_edges(spark, sf_dir)
-    boxes = view.drawn_tree(mixed_cut(entities), up).filter("is_box").select("id")
-    return view.bundle(edges.select("src", "dst", "kind"), boxes, up)
+    return view.bundle(*mixed_bundle(spark, sf_dir))
 
 
 #: How far boxes let ends in, for this query: (in, out, inward).
@@ -147,9 +157,8 @@ def attach_sql(up: str, meet: str, way: int) -> str:
       SELECT e.src, e.dst, e.kind, len(a.up) - {MEET} - 1 AS ka, len(b.up) - {MEET} - 1 AS kb FROM edges e JOIN ups a ON a.id = e.src JOIN ups b ON b.id = e.dst) m
     JOIN ups a ON a.id = m.src JOIN ups b ON b.id = m.dst WHERE ka >= 0 AND kb >= 0) x JOIN ups a ON a.id = x.src JOIN ups b ON b.id = x.dst) GROUP BY ALL""", MIXED_CUT, SITES, COALESCED, UPCHAINS))
 def bundle_levels(spark, sf_dir):
-    edges, entities, up = mixed_edges(spark, sf_dir)
-    boxes = view.drawn_tree(mixed_cut(entities), up).filter("is_box").select("id")
-    return view.bundle(edges.select("src", "dst", "kind"), boxes, up, LEVELS)
+    edges, boxes, up = mixed_bundle(spark, sf_dir)
+    return view.bundle(edges, boxes, up, LEVELS)
 
 
 IN_OUT = f"""SELECT DISTINCT r.ref_id, {{way}} FROM refs r JOIN sites a ON r.src = a.id JOIN sites b ON r.dst = b.id WHERE a.site <> b.site AND {{near}}.site IN (SELECT id FROM closure WHERE anc = {fx.REGION + 1}) AND {{far}}.site NOT IN (SELECT id FROM closure WHERE anc = {fx.REGION + 1})"""
