@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from treeloom.operators import postings, search, tree
@@ -52,3 +53,18 @@ def test_an_empty_index(spark, tmp_path):
     files = spark.createDataFrame([], "file_id bigint, name string, path string, text string")
     stored = postings.store(search.index(files), str(tmp_path / "none"))
     assert search.hits(stored, "anything")[0].count() == 0
+
+
+def test_a_block_has_one_posting_for_each_gram(spark, tmp_path):
+    files = spark.createDataFrame([(i, f"f{i}", f"d/f{i}", "the same line\n" * 50) for i in range(40)], "file_id bigint, name string, path string, text string").coalesce(1)
+    stored = postings.store(search.index(files), str(tmp_path / "many"), 4)
+    assert {r.df for r in stored.frequencies["content"].collect()} == {2000}
+    assert stored.postings["content"].count() <= 11 * 4  # not a row for each gram of each line
+
+
+def test_blocks_of_many_letters_and_of_gaps():
+    numbers = [5, 6, 7, 20, 21]
+    assert list(postings._cuts(np.array(numbers), [1] * 5)) == [(0, 3), (3, 5)]
+    texts = ["".join(chr(c) for c in range(at, at + 60_000) if not 0xD800 <= c < 0xE000) for at in (0x100, 0x20000, 0x40000, 0x60000, 0x80000)]
+    got = {(g, first + a) for b in postings._block(texts, 7) for g, first, at in zip(*(b.column(c).to_pylist() for c in ("gram", "first", "at"))) for a in at}
+    assert got == {(t[i : i + 3], 7 + n) for n, t in enumerate(texts) for i in range(len(t) - 2)}
