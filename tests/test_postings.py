@@ -68,3 +68,11 @@ def test_blocks_of_many_letters_and_of_gaps():
     texts = ["".join(chr(c) for c in range(at, at + 60_000) if not 0xD800 <= c < 0xE000) for at in (0x100, 0x20000, 0x40000, 0x60000, 0x80000)]
     got = {(g, first + a) for b in postings._block(texts, 7) for g, first, at in zip(*(b.column(c).to_pylist() for c in ("gram", "first", "at"))) for a in at}
     assert got == {(t[i : i + 3], 7 + n) for n, t in enumerate(texts) for i in range(len(t) - 2)}
+
+
+def test_names_and_paths_filter_without_a_join(indexes):
+    for ix in indexes:
+        found = search.matches(ix, search.tokenize("content:a path:d1 file:needle")[0], "content")
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() > 0
+        rows, _ = search.hits(ix, "needle", search.ALL, ("path",))
+        assert {r.kind for r in rows.collect()} <= {"path"}

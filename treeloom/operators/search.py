@@ -1,7 +1,7 @@
 """Search over file names, paths, lines and symbols, with tagged terms, ranking, limits and excerpts.
 
 The index is four tables of documents; a query's terms become predicates on their folded texts. A term tagged for
-another kind filters by file, as a semi-join.
+another kind filters by file: each document has its file's name and path, the other kinds are met by a semi-join.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from .tree import dense_ids, file_of
 MAX_CONTEXT = 50
 #: Order of the kinds in a result.
 ORDER = ("symbol", "file", "path", "content")
+#: Kinds with one document for each file, and the column in which every document has its text.
+OF_FILE = {"file": "name", "path": "path"}
 
 
 @dataclass(frozen=True)
@@ -129,7 +131,9 @@ def matches(ix: Index, terms: list[Term], kind: str) -> DataFrame | None:
         return None
     out = ix.having(kind, own)
     for t in terms:
-        if t.tag not in (None, kind):
+        if t.tag in OF_FILE and t.tag != kind:
+            out = out.filter(F.contains(fold(F.col(OF_FILE[t.tag])), F.lit(t.folded)))
+        elif t.tag not in (None, kind):
             if t.tag not in ix.docs:
                 return None
             files = ix.having(t.tag, [t]).select("file_id")
@@ -147,8 +151,8 @@ def ranking(kind: str) -> list[Column]:
     }[kind]
 
 
-def hits(ix: Index, query: str, limits: Limits = Limits()) -> tuple[DataFrame | None, int | None]:
-    """(kind, pos, more, file_id, path, line, text, start, end) and the context the query asks for.
+def hits(ix: Index, query: str, limits: Limits = Limits(), kinds: Sequence[str] = ORDER) -> tuple[DataFrame | None, int | None]:
+    """(kind, pos, more, file_id, path, line, text, start, end) of the kinds asked for, and the context the query asks for.
 
     pos: rank within the kind; more: how many of the kind the limit cut. A path hit in the file name of a file that is
     also a file hit shows the same place twice, and goes before the limit.
@@ -156,13 +160,16 @@ def hits(ix: Index, query: str, limits: Limits = Limits()) -> tuple[DataFrame |
     terms, context = tokenize(query.strip())
     if not terms:
         return None, context
-    found = {k: m for k in ORDER if (m := matches(ix, terms, k)) is not None}
+    also = {"file"} if "path" in kinds else set()  # a path hit may show the same place as a file hit
+    found = {k: m for k in ORDER if k in {*kinds, *also} and (m := matches(ix, terms, k)) is not None}
     if "path" in found and "file" in found:
         named = found["file"].select("file_id").withColumn("_named", F.lit(True))
         in_name = F.col("start") >= F.greatest(F.length("path") - F.length("name"), F.lit(0))
         found["path"] = found["path"].join(named, "file_id", "left").filter(F.col("_named").isNull() | ~in_name).drop("_named")
     parts = []
     for kind, rows in found.items():
+        if kind not in kinds:
+            continue
         limit = getattr(limits, kind)
         rows = rows.select("file_id", "path", "line", "text", "start", "end", "doc")
         if limit is None:  # every hit, numbered without one task for all

@@ -77,8 +77,8 @@ def postings_df(spark, sf_dir):
     return stored(spark, sf_dir).frequencies["content"]
 
 
-def hits(spark, sf_dir, text: str, limits: search.Limits) -> DataFrame:
-    found, _ = search.hits(stored(spark, sf_dir), text, limits)
+def hits(spark, sf_dir, text: str, limits: search.Limits, kinds: tuple[str, ...] = search.ORDER) -> DataFrame:
+    found, _ = search.hits(stored(spark, sf_dir), text, limits, kinds)
     return found
 
 
@@ -112,7 +112,7 @@ def search_multi_term(spark, sf_dir):
 
 @query(docs_sql(f"SELECT file_id, line, {HIT.format(x='text', n='la')} FROM lines WHERE contains(lower(text), 'la') AND contains(path, 'fr/') AND contains(name, '7')"))
 def search_tag_filter(spark, sf_dir):
-    return hits(spark, sf_dir, "content:la path:fr/ file:7", search.ALL).filter("kind = 'content'").select("file_id", "line", "start")
+    return hits(spark, sf_dir, "content:la path:fr/ file:7", search.ALL, ("content",)).select("file_id", "line", "start")
 
 
 @query(docs_sql("""SELECT kind, CAST(pos AS INT) AS pos, CAST(greatest(n - k, 0) AS BIGINT) AS more, file_id FROM (
