@@ -57,3 +57,14 @@ def test_slots_of_ends_of_one_edge_stand_still(spark):
     for given in (rows, rows[::-1]):
         got = layout.port_slots(spark.createDataFrame(given, "edge long, end string, node long, side int, far int").coalesce(1))
         assert {(r.end, r.slot) for r in got.collect()} == {("dst", 0), ("src", 1)}
+
+
+def test_groups_of_a_tree_are_compressed_by_id(nodes):
+    up = generations.written(tree.closure(nodes.filter("id < 8")))
+    pairs = nodes.filter("id in (3, 5, 7)").select(F.col("id").alias("group_id")).unionByName(nodes.filter("id = 5").select(F.col("id").alias("group_id")))
+    rows = lambda df: {(tuple(r.path), tuple(r.label), r["count"]) for r in df.collect()}
+    for point in (6, 1, 4):
+        groups, held = view.tree_groups(pairs, up, point)
+        assert rows(view.compress_tree(groups, held, up, point)) == rows(view.compress(view.group_counts(pairs, up, point), view.group_paths(pairs.distinct(), up, point)))
+    got = view.compress_tree(*view.tree_groups(pairs, up, 6), up, 6)
+    assert rows(got) == {((2, 3), (2, 3), 4), ((2, 3, 4, 5), (4, 5), 2), ((2, 3, 7), (7,), 1)}

@@ -237,6 +237,34 @@ def compress(groups: DataFrame, held: DataFrame) -> DataFrame:
     return heads.join(ends, "key").join(last, "next").select("path", F.slice("path", F.col("depth"), F.size("path") - F.col("depth") + 1).alias("label"), "count")
 
 
+def tree_groups(pairs: DataFrame, tree: DataFrame, point: int) -> tuple[DataFrame, DataFrame]:
+    """(id, up, count) and (id): what group_counts counts along paths, and the groups that hold pairs (group_id) themselves.
+
+    A path is what a chain has below where it parts with the reference point's, so its last id tells it: nothing but ids
+    is moved. up is null at the top of a path.
+    """
+    fixed = tree.filter(F.col("id") == point).select("anc")
+    counted = written(pairs.groupBy("group_id").agg(F.count("*").alias("n")))
+    ways = counted.join(tree.select(F.col("id").alias("group_id"), "anc"), "group_id").join(F.broadcast(fixed), "anc", "left_anti")
+    counts = ways.groupBy(F.col("anc").alias("id")).agg(F.sum("n").alias("count"))
+    ups = tree.filter("hops = 1").join(F.broadcast(fixed), "anc", "left_anti").select("id", F.col("anc").alias("up"))
+    return written(counts.join(ups, "id", "left").select("id", "up", "count")), counted.select(F.col("group_id").alias("id"))
+
+
+def compress_tree(nodes: DataFrame, held: DataFrame, tree: DataFrame, point: int) -> DataFrame:
+    """As compress, for groups by id as tree_groups gives them. Pointers jump for those nodes alone that a run goes on from."""
+    only = nodes.filter("up is not null").groupBy("up").agg(F.count("*").alias("n"), F.min("id").alias("next")).filter("n = 1")
+    runs = written(only.select(F.col("up").alias("id"), "next").join(held.select("id"), "id", "left_anti"))
+    inner, longest = runs.select(F.col("next").alias("id")), tree.agg(F.max("hops")).first()[0] or 0
+    for _ in range(longest.bit_length()):
+        jump = runs.select(F.col("id").alias("next"), F.col("next").alias("then"))
+        runs = written(runs.join(jump, "next", "left").select("id", F.coalesce("then", "next").alias("next")))
+    heads = nodes.select("id").join(inner, "id", "left_anti").join(runs, "id", "left").select(F.col("id").alias("head"), F.coalesce("next", "id").alias("id"))
+    below = tree.join(F.broadcast(tree.filter(F.col("id") == point).select("anc")), "anc", "left_anti")
+    rows = heads.join(nodes.select("id", "count"), "id").join(lineage(below).withColumnRenamed("chain", "path"), "id")
+    return rows.select("path", F.slice("path", F.array_position("path", F.col("head")).cast("int"), F.size("path")).alias("label"), "count")
+
+
 def row_summary(rows: DataFrame) -> DataFrame:
     """(row, kinds, statuses, n_sites) for rows (row, src, kind, status, sites): a line that two references share counts
     once, and `same` is no status to show."""

@@ -197,10 +197,9 @@ GROUPS = f"""own AS (SELECT DISTINCT refs.src, chain[len(list_filter(range(1, le
 def group_tree_labels(spark, sf_dir):
     _, up = graph(spark, sf_dir)
     pairs = all_refs(spark, sf_dir).select(F.col("src").alias("group_id"))
-    groups = view.group_counts(pairs, up, fx.NATION + 3)
-    held = view.group_paths(pairs.distinct(), up, fx.NATION + 3)
+    nodes, held = view.tree_groups(pairs, up, fx.NATION + 3)
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "/").alias(c)
-    return view.compress(groups, held).select(text("path"), text("label"), "count")
+    return view.compress_tree(nodes, held, up, fx.NATION + 3).select(text("path"), text("label"), "count")
 
 
 @query(oracle("""SELECT k.row, k.kinds, s.statuses, n.n_sites FROM (SELECT row, string_agg(kind || '=' || n, ',' ORDER BY kind) AS kinds FROM (SELECT dst AS row, kind, count(*) AS n FROM refs GROUP BY ALL) GROUP BY row) k
