@@ -109,3 +109,13 @@ def test_a_scan_query_reads_each_text_once_and_on_all_cores(spark, tmp_path):
     assert found.count() == 40 * len(scanning.RUST[2])
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_references_are_lifted_from_written_walks(spark, monkeypatch):
+    from treeloom.sources import names
+
+    seen, lift = [], names.lift_refs
+    monkeypatch.setattr(names, "lift_refs", lambda found, up, kept, dropped: seen.extend([up, kept]) or lift(found, up, kept, dropped))
+    files = spark.createDataFrame([("a/x.py", "def one():\n    two()\n\ndef two():\n    pass\n")], "path string, text string")
+    scanner.project(files, "r")
+    assert len(seen) == 2 and all("Join" not in df._jdf.queryExecution().optimizedPlan().toString() for df in seen)

@@ -61,8 +61,7 @@ def widened(united: DataFrame, up: DataFrame, pairs: DataFrame, sides: dict[str,
 def compare(old: DataFrame, old_refs: DataFrame, old_texts: DataFrame, new: DataFrame, new_refs: DataFrame, new_texts: DataFrame, max_hops: int | None = None) -> Compared:
     """Both sides need one root each, of one name."""
     diff.check_roots(old, new)
-    trees = [written(tree.closure(side.select("id", "parent"), max_hops)) for side in (old, new)]
-    united = written(diff.union(old, trees[0], new, trees[1]))
+    united = written(diff.union(old, None, new, None))
     up = written(tree.closure(united.select("id", "parent"), max_hops))
     pairs = written(text_pairs(united, old_texts, new_texts))
     work = written(diff.file_work(pairs))
