@@ -11,7 +11,7 @@ from ..schema import ranged
 from ..sources.generations import written
 from .lineops import line_ops
 from .testcode import is_continuation
-from .tree import append, dense_ids, handed_down, order_key
+from .tree import dense_ids, handed_down
 
 #: Sides larger than this get a status and churn, but no line operations.
 MAX_DIFF_BYTES = 1 << 20
@@ -30,17 +30,25 @@ def check_roots(old: DataFrame, new: DataFrame) -> None:
         raise ValueError(f"the two trees have different root names ({names[0]} and {names[1]})")
 
 
-def key_paths(entities: DataFrame) -> DataFrame:
-    """(id, h1, h2): 128 bits of hash of the steps from below the root down (name, kind, ordinal among siblings of that name and kind)."""
+def place(side: int, ord: Column) -> Column:
+    """9 bytes of a step in pre-order: what the new side lacks stands last; places from the root down sort as bytes do."""
+    return F.unhex(F.concat(F.lit(f"{side:02d}"), F.lpad(F.hex(ord.cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")))
+
+
+def key_paths(entities: DataFrame, placed: bool = False) -> DataFrame:
+    """(id, parent, ord, h1, h2): 128 bits of hash of the steps from below the root down (name, kind, ordinal among siblings of
+    that name and kind). placed: with `at`, the places of the same steps, from the same walk."""
     nth = F.row_number().over(Window.partitionBy("parent", "name", "kind").orderBy(F.coalesce("ord", "id"), "id"))
-    own = F.struct("name", "kind", nth.alias("nth"))
+    ord = F.coalesce("ord", "id").cast("bigint")
+    own = F.struct("name", "kind", nth.alias("nth"), *([place(0, ord).alias("at")] if placed else []))
 
     def step(above: Column | None, own: Column) -> Column:
         # seeds of the root; a null has no weight in a hash, so it is told apart by a flag
-        at = (F.lit(0).cast("bigint"), F.lit(1).cast("bigint")) if above is None else tuple(F.xxhash64(above[h], own["name"], own["name"].isNull(), own["kind"], own["nth"]) for h in ("h1", "h2"))
-        return F.struct(at[0].alias("h1"), at[1].alias("h2"))
+        key = (F.lit(0).cast("bigint"), F.lit(1).cast("bigint")) if above is None else tuple(F.xxhash64(above[h], own["name"], own["name"].isNull(), own["kind"], own["nth"]) for h in ("h1", "h2"))
+        at = [(own["at"] if above is None else F.concat(above["at"], own["at"])).alias("at")] if placed else []
+        return F.struct(key[0].alias("h1"), key[1].alias("h2"), *at)
 
-    return handed_down(written(entities.select("id", "parent", own.alias("own"))), step, "key").select("id", "key.*")
+    return handed_down(written(entities.select("id", "parent", ord.alias("ord"), own.alias("own"))), step, "key").select("id", "parent", "ord", "key.*")
 
 
 def match(old: DataFrame, old_tree: DataFrame | None, new: DataFrame, new_tree: DataFrame | None) -> DataFrame:
@@ -48,33 +56,47 @@ def match(old: DataFrame, old_tree: DataFrame | None, new: DataFrame, new_tree:
 
     Paths are met by 128 bits of hash, so that ids and hashes alone are shuffled.
     """
-    a = key_paths(old).withColumnRenamed("id", "old_id")
-    b = key_paths(new).withColumnRenamed("id", "new_id")
-    return a.join(b, ["h1", "h2"], "full").select("old_id", "new_id")
+    key = lambda side, name: key_paths(side).select(F.col("id").alias(name), "h1", "h2")
+    return key(old, "old_id").join(key(new, "new_id"), ["h1", "h2"], "full").select("old_id", "new_id")
 
 
-def union(old: DataFrame, old_tree: DataFrame | None, new: DataFrame, new_tree: DataFrame | None, matched: DataFrame | None = None) -> DataFrame:
-    """Entities of both sides once, with old_id and new_id, dense ids in pre-order, and the new side's attributes first.
+def union_ids(old: DataFrame, new: DataFrame, matched: DataFrame | None = None) -> DataFrame:
+    """(id, old_id, new_id): entities of both sides once, with dense ids in pre-order.
 
-    A parent's new children stand in the new order, then its old ones without match in the old order.
+    A parent's new children stand in the new order, then its old ones without match in the old order. The new side's walk
+    gives hashes and places at once, and what is gone walks down from the places of what is not.
     """
-    matched = match(old, old_tree, new, new_tree) if matched is None else matched
+    a = key_paths(old).select(F.col("id").alias("old_id"), F.col("parent").alias("old_parent"), F.col("ord").alias("old_ord"), "h1", "h2")
+    b = key_paths(new, True).select(F.col("id").alias("new_id"), "h1", "h2", "at")
+    rows = a.join(b, ["h1", "h2"], "full") if matched is None else matched.join(a, "old_id", "left").join(b.drop("h1", "h2"), "new_id", "left")
+    rows = written(rows.select("old_id", "new_id", "at", "old_parent", "old_ord"))
+    kept = rows.filter("new_id is not null")
+    above = kept.filter("old_id is not null").select(F.col("old_id").alias("parent"), F.col("at").alias("top"))
+    gone = rows.filter("new_id is null").select(F.col("old_id").alias("id"), F.col("old_parent").alias("parent"), place(1, F.col("old_ord")).alias("at"))
+    nodes = written(gone.join(above, "parent", "left").select("id", "parent", F.struct("top", "at").alias("own")))
+
+    def step(over: Column | None, own: Column) -> Column:
+        from_top = F.concat(own["top"], own["at"])
+        return F.coalesce(from_top, own["at"]) if over is None else F.coalesce(from_top, F.concat(over, own["at"]))
+
+    lost = handed_down(nodes, step, "at").select(F.col("id").alias("old_id"), F.lit(None).cast("bigint").alias("new_id"), "at")
+    return dense_ids(kept.select("old_id", "new_id", "at").unionByName(lost), "at", drop=("at",)).select("id", "old_id", "new_id")
+
+
+def union(old: DataFrame, old_tree: DataFrame | None, new: DataFrame, new_tree: DataFrame | None, matched: DataFrame | None = None) -> DataFrame:
+    """union_ids with parents in the union and the new side's attributes first."""
+    return attributed(union_ids(old, new, matched), old, new)
+
+
+def attributed(ids: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """(id, old_id, new_id, parent, …) for the ids of a union."""
     attributes = [c for c in new.columns if c not in ("id", "parent")]
     pick = lambda side, key: side.select(F.col("id").alias(key), *(F.col(c).alias(f"{key}_{c}") for c in attributes), F.col("parent").alias(f"{key}_parent"))
-    rows = matched.join(pick(old, "old_id"), "old_id", "left").join(pick(new, "new_id"), "new_id", "left")
-    both = rows.select("old_id", "new_id", "old_id_parent", "new_id_parent", *(F.when(F.col("new_id").isNotNull(), F.col(f"new_id_{c}")).otherwise(F.col(f"old_id_{c}")).alias(c) for c in attributes))
-    # an old entity's ancestors that match stand where the new side puts them
-    new_order = order_key(new, new_tree).select(F.col("id").alias("new_id"), F.transform("key", lambda o: F.struct(F.lit(0).alias("side"), o.cast("bigint").alias("ord"))).alias("at"))
-    old_ords = old.select(F.col("id").alias("old_id"), F.coalesce("ord", "id").cast("bigint").alias("old_ord"))
-    new_ords = new.select(F.col("id").alias("new_id"), F.coalesce("ord", "id").cast("bigint").alias("new_ord"))
-    steps = matched.filter("old_id is not null").join(old_ords, "old_id").join(new_ords, "new_id", "left")
-    steps = steps.select(F.col("old_id").alias("id"), F.col("new_id").isNull().alias("gone"), F.struct(F.col("new_id").isNull().cast("int").alias("side"), F.coalesce("new_ord", "old_ord").alias("ord")).alias("own"))
-    old_order = handed_down(written(old.select("id", "parent").join(steps, "id")), append, "old_at").filter("gone").select(F.col("id").alias("old_id"), "old_at")
-    placed = both.join(new_order, "new_id", "left").join(old_order, "old_id", "left").withColumn("at", F.coalesce("at", "old_at")).drop("old_at")
-    numbered = dense_ids(placed, "at").drop("at")
-    of_new = numbered.select(F.col("new_id").alias("new_id_parent"), F.col("id").alias("by_new")).filter("new_id_parent is not null")
-    of_old = numbered.select(F.col("old_id").alias("old_id_parent"), F.col("id").alias("by_old")).filter("old_id_parent is not null")
-    out = numbered.join(of_new, "new_id_parent", "left").join(of_old, "old_id_parent", "left")
+    rows = ids.join(pick(old, "old_id"), "old_id", "left").join(pick(new, "new_id"), "new_id", "left")
+    both = rows.select("id", "old_id", "new_id", "old_id_parent", "new_id_parent", *(F.when(F.col("new_id").isNotNull(), F.col(f"new_id_{c}")).otherwise(F.col(f"old_id_{c}")).alias(c) for c in attributes))
+    of_new = ids.select(F.col("new_id").alias("new_id_parent"), F.col("id").alias("by_new")).filter("new_id_parent is not null")
+    of_old = ids.select(F.col("old_id").alias("old_id_parent"), F.col("id").alias("by_old")).filter("old_id_parent is not null")
+    out = both.join(of_new, "new_id_parent", "left").join(of_old, "old_id_parent", "left")
     parent = F.when(F.col("new_id").isNotNull(), F.col("by_new")).otherwise(F.col("by_old"))
     return out.select("id", "old_id", "new_id", parent.alias("parent"), *attributes)
 
@@ -84,17 +106,23 @@ def presence(old: str = "old_id", new: str = "new_id") -> Column:
     return F.when(F.col(old).isNull(), "added").when(F.col(new).isNull(), "removed")
 
 
-def union_refs(united: DataFrame, old_refs: DataFrame, new_refs: DataFrame) -> DataFrame:
-    """(ref_id, src, dst, kind, sites, status): the new side's first, then what only the old has; sites of the new side
-    where both have the reference."""
+def ref_statuses(united: DataFrame, old_refs: DataFrame, new_refs: DataFrame) -> DataFrame:
+    """(src, dst, kind, sites, status, late, was) by ids of the union: sites and id (was) of the new side where both have the
+    reference; late: only the old has it. References with an end that their side lacks are left out."""
     def mapped(refs: DataFrame, side: str) -> DataFrame:
         ids = united.filter(F.col(side).isNotNull()).select(F.col(side).alias("was"), "id")
         ends = refs.join(ids.select(F.col("was").alias("src"), F.col("id").alias("s")), "src").join(ids.select(F.col("was").alias("dst"), F.col("id").alias("d")), "dst")
-        return ends.select(F.col("s").alias("src"), F.col("d").alias("dst"), "kind", F.col("ref_id").alias(f"{side}_ref"), F.col("sites").alias(f"{side}_sites"))
+        return ends.select(F.col("s").alias("src"), F.col("d").alias("dst"), "kind", F.lit(True).alias(f"{side}_there"), F.col("ref_id").alias(f"{side}_ref"), F.col("sites").alias(f"{side}_sites"))
 
     rows = mapped(new_refs, "new_id").join(mapped(old_refs, "old_id"), ["src", "dst", "kind"], "full")
-    status = F.coalesce(F.when(F.col("old_id_ref").isNull(), "added").when(F.col("new_id_ref").isNull(), "removed"), F.lit("same"))
-    rows = rows.select("src", "dst", "kind", F.coalesce("new_id_sites", "old_id_sites").alias("sites"), status.alias("status"), F.col("new_id_ref").isNull().alias("late"), F.coalesce("new_id_ref", "old_id_ref").alias("was"))
+    status = F.coalesce(F.when(F.col("old_id_there").isNull(), "added").when(F.col("new_id_there").isNull(), "removed"), F.lit("same"))
+    return rows.select("src", "dst", "kind", F.coalesce("new_id_sites", "old_id_sites").alias("sites"), status.alias("status"), F.col("new_id_there").isNull().alias("late"), F.coalesce("new_id_ref", "old_id_ref").alias("was"))
+
+
+def union_refs(united: DataFrame, old_refs: DataFrame, new_refs: DataFrame) -> DataFrame:
+    """(ref_id, src, dst, kind, sites, status): the new side's first, then what only the old has; sites of the new side
+    where both have the reference."""
+    rows = ref_statuses(united, old_refs, new_refs)
     return dense_ids(rows, "late", "was", "src", "dst", "kind", name="ref_id").select("ref_id", "src", "dst", "kind", "sites", "status")
 
 

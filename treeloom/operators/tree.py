@@ -134,23 +134,24 @@ def order_key(entities: DataFrame, tree: DataFrame | None = None, last_first: bo
     return handed_down(entities.select("id", "parent", (sign * F.coalesce("ord", "id")).alias("own")), append, "key").select("id", "key")
 
 
-def dense_ids(rows: DataFrame, *order: str | Column, name: str = "id", start: int = 0) -> DataFrame:
+def dense_ids(rows: DataFrame, *order: str | Column, name: str = "id", start: int = 0, drop: tuple[str, ...] = ()) -> DataFrame:
     """rows numbered 0..n-1 in an order, without one task for all: partitions by range, then an offset for each.
 
-    Only the number of rows of each partition comes to the driver.
+    Only the number of rows of each partition comes to the driver. drop: columns that serve the order alone.
     """
     from ..sources.generations import written
 
-    keyed = rows.select(F.struct(*order).alias("_key"), F.struct("*").alias("_row"))
-    parts = keyed.repartitionByRange("_key").sortWithinPartitions("_key").withColumn("_part", F.spark_partition_id())
-    parts = written(parts.select("_row", "_part", (F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("bigint"), 33)).alias("_mono")))
+    kept = [c for c in rows.columns if c not in drop]
+    keys = {o if isinstance(o, str) else f"_key{i}": F.col(o) if isinstance(o, str) else o for i, o in enumerate(order)}
+    parts = rows.withColumns(keys).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
+    parts = written(parts.select(*kept, "_part", (F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("bigint"), 33)).alias("_mono")))
     sizes = sorted(parts.groupBy("_part").agg(F.count("*").alias("n")).collect(), key=lambda r: r["_part"])
     offsets, total = {}, start
     for r in sizes:
         offsets[r["_part"]] = total
         total += r["n"]
     lookup = F.create_map([F.lit(x) for kv in (offsets or {0: start}).items() for x in kv])
-    return parts.select("_row.*", (lookup[F.col("_part")] + F.col("_mono")).cast("bigint").alias(name))
+    return parts.select(*kept, (lookup[F.col("_part")] + F.col("_mono")).cast("bigint").alias(name))
 
 
 def innermost(entities: DataFrame, tree: DataFrame | None, points: DataFrame) -> DataFrame:

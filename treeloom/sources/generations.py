@@ -18,12 +18,21 @@ _WRITTEN: dict[tuple, str] = {}
 #: How much larger rows are in a join's hash table than in the columns of a written file: ids there are mostly runs.
 IN_MEMORY = 32
 _FACTOR = "spark.sql.sources.fileCompressionFactor"
+#: What a join may broadcast on the sizes that its shuffles had. Both sides are shuffled by then, so little is won, and the
+#: driver makes a hash table some times larger than the rows.
+_SHUFFLED, MOST_SHUFFLED = "spark.sql.adaptive.autoBroadcastJoinThreshold", "1m"
+_PLANNED, _DEFAULT = "spark.sql.autoBroadcastJoinThreshold", "10485760b"
 
 
 def _honest(spark: SparkSession) -> None:
-    """Sizes of files are guessed as they are in memory, else millions of ids pass for a table to broadcast by the driver."""
+    """Sizes of files are guessed as they are in memory, else millions of ids pass for a table to broadcast by the driver.
+
+    A threshold that the session has set itself stays.
+    """
     if float(spark.conf.get(_FACTOR, "1.0")) < IN_MEMORY:
         spark.conf.set(_FACTOR, f"{IN_MEMORY}.0")
+    if spark.conf.get(_SHUFFLED, None) is None and spark.conf.get(_PLANNED) == _DEFAULT:
+        spark.conf.set(_SHUFFLED, MOST_SHUFFLED)
 
 
 def shared_dir(spark: SparkSession) -> str:
