@@ -10,8 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.generations import FEW, few, written
-from .tree import handed_down, nearest, parents
+from ..sources.generations import FEW, alone, few, written
+from .tree import above, handed_down, nearest, parents
 
 #: Generations that a client may lag behind.
 WINDOW = 16
@@ -66,20 +66,28 @@ def reveal(cut: DataFrame, entities: DataFrame, tree: DataFrame, target: int) ->
     return cut.unionByName(kids).join(opened.select(F.col("open").alias("leaf")), "leaf", "left_anti")
 
 
+def _parents(tree: DataFrame) -> DataFrame:
+    """(id, parent) of a closure, or of entities."""
+    return tree.select("id", "parent") if "parent" in tree.columns else parents(tree)
+
+
 def shown(cut: DataFrame, tree: DataFrame) -> DataFrame:
-    """(anc): the leaves and all above them."""
+    """(anc): the leaves and all above them. tree: a closure, or entities."""
+    if "parent" in tree.columns:
+        return above(tree, cut.select(F.col("leaf").alias("id"))).select("anc").distinct()
     return tree.join(few(cut.select(F.col("leaf").alias("id"))), "id").select("anc").distinct()
 
 
 def sites(tree: DataFrame, drawn: DataFrame) -> DataFrame:
     """(id, site): the nearest drawn (anc) at or above each entity; those without one have no row.
 
-    Where more is drawn than the driver may hand out, it comes down the tree, as all else would meet under the root.
+    Where more is drawn than the driver may hand out, it comes down the tree, as all else would meet under the root; so it does
+    in entities, given in place of a closure.
     """
     nodes = few(drawn.select("anc"))
-    if nodes.count() <= FEW:
+    if "parent" not in tree.columns and nodes.count() <= FEW:
         return tree.join(nodes, "anc").groupBy("id").agg(F.min_by("anc", "hops").alias("site"))
-    own = parents(tree).join(nodes.select(F.col("anc").alias("id"), F.col("anc").alias("own")), "id", "left")
+    own = _parents(tree).join(nodes.select(F.col("anc").alias("id"), F.col("anc").alias("own")), "id", "left")
     return handed_down(written(own), nearest, "site").filter("site is not null").select("id", "site")
 
 
@@ -92,8 +100,11 @@ def coalesce(refs: DataFrame, cut: DataFrame, tree: DataFrame) -> DataFrame:
 
 
 def coalesce_counts(refs: DataFrame, cut: DataFrame, tree: DataFrame) -> DataFrame:
-    """As coalesce, without the list of references: pairs are summed up before they are shuffled."""
+    """As coalesce, without the list of references: pairs are summed up before they are shuffled. tree: a closure, or entities."""
     at = sites(tree, shown(cut, tree))
+    if "parent" in tree.columns:
+        made = at
+        at = alone(lambda: made)  # both ends ask for it
     ends = refs.select("ref_id", "src", "dst", "kind").join(at.select(F.col("id").alias("src"), F.col("site").alias("s")), "src").join(at.select(F.col("id").alias("dst"), F.col("site").alias("d")), "dst")
     return ends.filter("s <> d").groupBy(F.col("s").alias("src"), F.col("d").alias("dst"), "kind").agg(F.count("*").alias("n_refs"), F.min("ref_id").alias("first_ref"))
 
@@ -111,6 +122,11 @@ def id_map(old: DataFrame, new: DataFrame) -> DataFrame:
     return keyed(old, "old_id").join(keyed(new, "new_id"), ["h1", "h2", "nth"], "left").select("old_id", "new_id")
 
 
+def way_back(matches: DataFrame) -> DataFrame:
+    """The id map the other way, as far as it leads: the i-th of a kind and path matches the i-th, whichever side asks."""
+    return matches.filter("new_id is not null").select(F.col("new_id").alias("old_id"), F.col("old_id").alias("new_id"))
+
+
 def compose(remaps: DataFrame, since: int, current: int) -> DataFrame:
     """(old_id, new_id) over remaps (generation, old_id, new_id) from a generation to the current one.
 
@@ -150,6 +166,14 @@ def migrate_ids(ids: DataFrame, old_tree: DataFrame, matches: DataFrame, coarsen
     known = matches.filter("new_id is not null").select(F.col("old_id").alias("anc"), "new_id")
     if not coarsen:
         return ids.select(F.col("id").alias("old_id")).join(known.withColumnRenamed("anc", "old_id"), "old_id")
-    nodes = parents(old_tree).join(known.select(F.col("anc").alias("id"), F.col("new_id").alias("own")), "id", "left")
-    found = handed_down(written(nodes), nearest, "new_id").filter("new_id is not null")
-    return found.join(ids.select("id"), "id", "left_semi").select(F.col("id").alias("old_id"), "new_id")
+    # what is asked for and lost climbs a step at a time, as far as something is known: most is known at once
+    up = _parents(old_tree).filter("parent is not null").select(F.col("id").alias("anc"), "parent")
+    at, found = ids.select(F.col("id").alias("old_id"), F.col("id").alias("anc")).distinct(), None
+    while True:
+        asked = written(at.join(known, "anc", "left"))
+        here = asked.filter("new_id is not null").select("old_id", "new_id")
+        found = here if found is None else found.unionByName(here)
+        lost = asked.filter("new_id is null")
+        if lost.isEmpty():
+            return found
+        at = lost.select("old_id", "anc").join(up, "anc").select("old_id", F.col("parent").alias("anc"))

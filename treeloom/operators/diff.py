@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import inclusive_line_count
 from ..schema import ranged
-from ..sources.generations import written
+from ..sources.generations import alone, written
 from .lineops import line_ops
 from .testcode import is_continuation
-from .tree import dense_ids, handed_down
+from .tree import dense_ids, handed_down, inner
 
 #: Sides larger than this get a status and churn, but no line operations.
 MAX_DIFF_BYTES = 1 << 20
@@ -35,9 +35,9 @@ def place(side: int, ord: Column) -> Column:
     return F.unhex(F.concat(F.lit(f"{side:02d}"), F.lpad(F.hex(ord.cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")))
 
 
-def key_paths(entities: DataFrame, placed: bool = False) -> DataFrame:
+def key_paths(entities: DataFrame, placed: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
     """(id, parent, ord, h1, h2): 128 bits of hash of the steps from below the root down (name, kind, ordinal among siblings of
-    that name and kind). placed: with `at`, the places of the same steps, from the same walk."""
+    that name and kind). placed: with `at`, the places of the same steps, from the same walk. also: columns to keep."""
     nth = F.row_number().over(Window.partitionBy("parent", "name", "kind").orderBy(F.coalesce("ord", "id"), "id"))
     ord = F.coalesce("ord", "id").cast("bigint")
     own = F.struct("name", "kind", nth.alias("nth"), *([place(0, ord).alias("at")] if placed else []))
@@ -48,7 +48,8 @@ def key_paths(entities: DataFrame, placed: bool = False) -> DataFrame:
         at = [(own["at"] if above is None else F.concat(above["at"], own["at"])).alias("at")] if placed else []
         return F.struct(key[0].alias("h1"), key[1].alias("h2"), *at)
 
-    return handed_down(written(entities.select("id", "parent", ord.alias("ord"), own.alias("own"))), step, "key").select("id", "parent", "ord", "key.*")
+    nodes = written(entities.select("id", "parent", ord.alias("ord"), own.alias("own"), *also))
+    return handed_down(nodes, step, "key").select("id", "parent", "ord", "key.*", *also)
 
 
 def match(old: DataFrame, old_tree: DataFrame | None, new: DataFrame, new_tree: DataFrame | None) -> DataFrame:
@@ -60,27 +61,57 @@ def match(old: DataFrame, old_tree: DataFrame | None, new: DataFrame, new_tree:
     return key(old, "old_id").join(key(new, "new_id"), ["h1", "h2"], "full").select("old_id", "new_id")
 
 
-def union_ids(old: DataFrame, new: DataFrame, matched: DataFrame | None = None) -> DataFrame:
-    """(id, old_id, new_id): entities of both sides once, with dense ids in pre-order.
+def union_ids(old: DataFrame, new: DataFrame, matched: DataFrame | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """(id, old_id, new_id): entities of both sides once, with dense ids in pre-order. also: attributes, the new side's first.
 
     A parent's new children stand in the new order, then its old ones without match in the old order. The new side's walk
-    gives hashes and places at once, and what is gone walks down from the places of what is not.
+    gives hashes and places at once, and what is gone walks down from the places of what is not. Attributes go along, as
+    meeting them afterwards would shuffle all ids again.
     """
-    a = key_paths(old).select(F.col("id").alias("old_id"), F.col("parent").alias("old_parent"), F.col("ord").alias("old_ord"), "h1", "h2")
-    b = key_paths(new, True).select(F.col("id").alias("new_id"), "h1", "h2", "at")
-    rows = a.join(b, ["h1", "h2"], "full") if matched is None else matched.join(a, "old_id", "left").join(b.drop("h1", "h2"), "new_id", "left")
-    rows = written(rows.select("old_id", "new_id", "at", "old_parent", "old_ord"))
+    def meet() -> DataFrame:
+        b = alone(lambda: key_paths(new, True, also).select(F.col("id").alias("new_id"), "h1", "h2", "at", *also))
+        if matched is not None:
+            return matched.select("old_id", "new_id").join(b.drop("h1", "h2"), "new_id", "left")
+        return alone(lambda: key_paths(old).select(F.col("id").alias("old_id"), "h1", "h2")).join(b, ["h1", "h2"], "full")
+
+    rows = alone(lambda: meet().select("old_id", "new_id", "at", *also))
     kept = rows.filter("new_id is not null")
-    above = kept.filter("old_id is not null").select(F.col("old_id").alias("parent"), F.col("at").alias("top"))
-    gone = rows.filter("new_id is null").select(F.col("old_id").alias("id"), F.col("old_parent").alias("parent"), place(1, F.col("old_ord")).alias("at"))
-    nodes = written(gone.join(above, "parent", "left").select("id", "parent", F.struct("top", "at").alias("own")))
+    # only what is gone is asked for its old place
+    places = old.select("id", "parent", place(1, F.coalesce("ord", "id")).alias("at"), *also)
+    gone = written(rows.filter("new_id is null").select(F.col("old_id").alias("id")).join(places, "id"))
+    above = kept.filter("old_id is not null").join(gone.select(F.col("parent").alias("old_id")).distinct(), "old_id", "left_semi").select(F.col("old_id").alias("parent"), F.col("at").alias("top"))
+    nodes = written(gone.join(above, "parent", "left").select("id", "parent", F.struct("top", "at").alias("own"), *also))
 
     def step(over: Column | None, own: Column) -> Column:
         from_top = F.concat(own["top"], own["at"])
         return F.coalesce(from_top, own["at"]) if over is None else F.coalesce(from_top, F.concat(over, own["at"]))
 
-    lost = handed_down(nodes, step, "at").select(F.col("id").alias("old_id"), F.lit(None).cast("bigint").alias("new_id"), "at")
-    return dense_ids(kept.select("old_id", "new_id", "at").unionByName(lost), "at", drop=("at",)).select("id", "old_id", "new_id")
+    lost = handed_down(nodes, step, "at").select(F.col("id").alias("old_id"), F.lit(None).cast("bigint").alias("new_id"), "at", *also)
+    return dense_ids(kept.select("old_id", "new_id", "at", *also).unionByName(lost), "at", drop=("at",)).select("id", "old_id", "new_id", *also)
+
+
+def presence_statuses(united: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """united (id, old_id, new_id, parent) as (id, status), where presence on the sides decides alone: added, removed, modified
+    where anything below is one of both, else the same. parent: of the new side, or else of the old one.
+
+    What holds a change is found from below, on each side among what has children; no other ancestors are listed.
+    """
+    def holding(side: DataFrame, changed: DataFrame, name: str) -> DataFrame:
+        at, found = changed.filter("parent is not null").select(F.col("parent").alias(name)), None
+        holders = inner(side.select("id", "parent"))
+        while holders:
+            at = written(at.distinct())
+            if at.isEmpty():
+                break
+            found = at if found is None else found.unionByName(at)
+            at = holders[0].join(at.withColumnRenamed(name, "id"), "id", "left_semi").filter("parent is not null").select(F.col("parent").alias(name))
+        return alone(lambda: (at.limit(0) if found is None else found).distinct()).withColumn(f"{name}_holds", F.lit(True))
+
+    of_new = holding(new, united.filter("old_id is null"), "new_id")
+    of_old = holding(old, united.filter("new_id is null"), "old_id")
+    rows = united.select("id", "old_id", "new_id").join(of_new, "new_id", "left").join(of_old, "old_id", "left")
+    held = F.when(F.col("new_id_holds") | F.col("old_id_holds"), "modified")
+    return rows.select("id", F.coalesce(presence(), held, F.lit("same")).alias("status"))
 
 
 def union(old: DataFrame, old_tree: DataFrame | None, new: DataFrame, new_tree: DataFrame | None, matched: DataFrame | None = None) -> DataFrame:
@@ -114,7 +145,8 @@ def ref_statuses(united: DataFrame, old_refs: DataFrame, new_refs: DataFrame) ->
         ends = refs.join(ids.select(F.col("was").alias("src"), F.col("id").alias("s")), "src").join(ids.select(F.col("was").alias("dst"), F.col("id").alias("d")), "dst")
         return ends.select(F.col("s").alias("src"), F.col("d").alias("dst"), "kind", F.lit(True).alias(f"{side}_there"), F.col("ref_id").alias(f"{side}_ref"), F.col("sites").alias(f"{side}_sites"))
 
-    rows = mapped(new_refs, "new_id").join(mapped(old_refs, "old_id"), ["src", "dst", "kind"], "full")
+    # each side's joins end before the next side's begin, so that their shuffled rows never lie on disk together
+    rows = written(mapped(new_refs, "new_id")).join(written(mapped(old_refs, "old_id")), ["src", "dst", "kind"], "full")
     status = F.coalesce(F.when(F.col("old_id_there").isNull(), "added").when(F.col("new_id_there").isNull(), "removed"), F.lit("same"))
     return rows.select("src", "dst", "kind", F.coalesce("new_id_sites", "old_id_sites").alias("sites"), status.alias("status"), F.col("new_id_there").isNull().alias("late"), F.coalesce("new_id_ref", "old_id_ref").alias("was"))
 

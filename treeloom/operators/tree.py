@@ -51,6 +51,21 @@ def closure(entities: DataFrame, max_hops: int | None = None) -> DataFrame:
     return kept.select("id", F.posexplode("chain").alias("hops", "anc")).select("id", "anc", "hops")
 
 
+def above(entities: DataFrame, ids: DataFrame) -> DataFrame:
+    """As closure, of some ids (id) alone: they climb a step at a time, and what they share is asked for its parent once."""
+    from ..sources.generations import few, written
+
+    nodes = entities.select(F.col("id").alias("anc"), "parent")
+    at, out, hops = written(ids.select("id", F.col("id").alias("anc")).distinct().join(nodes.select("anc"), "anc", "left_semi").select("id", "anc")), None, 0
+    while not at.isEmpty():
+        here = at.select("id", "anc", F.lit(hops).alias("hops"))
+        out = here if out is None else out.unionByName(here)
+        asked = few(at.select("anc").distinct())
+        over = few(nodes.join(asked, "anc", "left_semi").filter("parent is not null"))
+        at, hops = written(at.join(over, "anc").select("id", F.col("parent").alias("anc"))), hops + 1
+    return at.select("id", "anc", F.lit(0).alias("hops")) if out is None else out
+
+
 def get(entities: DataFrame, entity_id: int) -> DataFrame:
     return entities.filter(F.col("id") == entity_id)
 
@@ -70,8 +85,9 @@ def handed_down(nodes: DataFrame, step: Callable[[Column | None, Column], Column
 
     Nodes take it from their parents, those with much below them first: a leaf meets its parent's once.
     """
-    kept, out = [F.col(c) for c in nodes.columns if c != "own"], None
-    for rows in reversed([nodes, *inner(nodes)]):
+    out = None
+    for rows in reversed([nodes, *inner(nodes.select("id", "parent", "own"))]):
+        kept = [F.col(c) for c in rows.columns if c != "own"]
         if out is None:
             out = rows.select(*kept, step(None, F.col("own")).alias(name))
             continue
