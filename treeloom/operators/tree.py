@@ -191,27 +191,39 @@ def innermost(entities: DataFrame, tree: DataFrame | None, points: DataFrame) ->
     return hit.groupBy("file_id", "line").agg(F.min_by("id", "by").alias("found")).select("file_id", "line", F.coalesce("found", "file_id").alias("id"))
 
 
-def loc(entities: DataFrame, tree: DataFrame, skip: Column | None = None) -> DataFrame:
+def sums_below(nodes: DataFrame) -> DataFrame:
+    """(id, n) for nodes (id, parent, own, skip) without own: the sum over their children of own, or of what is below those.
+    A skipped child does not count to a parent that is not skipped itself.
+
+    Sums climb from parent to parent until none is left that takes any; each round has a row for each such parent.
+    """
+    from ..sources.generations import few, written
+
+    takes, found = nodes.filter("own is null").select("id", "parent", F.col("skip").alias("takes_skip")), None
+    at = nodes.filter("own is not null").select("parent", "skip", F.col("own").alias("n"))
+    while True:
+        given = few(at.filter("parent is not null").groupBy(F.col("parent").alias("id"), "skip").agg(F.sum("n").alias("n")))
+        passed = ~F.coalesce(F.col("skip") & ~F.col("takes_skip"), F.lit(False))
+        here = written(given.join(takes, "id").filter(passed).groupBy("id", "parent", "takes_skip").agg(F.sum("n").alias("n")))
+        if here.isEmpty():
+            return (here if found is None else found).groupBy("id").agg(F.sum("n").alias("n"))
+        found = here.select("id", "n") if found is None else found.unionByName(here.select("id", "n"))
+        at = here.select("parent", F.col("takes_skip").alias("skip"), "n")
+
+
+def loc(entities: DataFrame, tree: DataFrame | None = None, skip: Column | None = None) -> DataFrame:
     """(id, loc, test_loc): own lines, or for what has no range the sum of its children; and the test part of that.
 
-    skip (over entities' columns): a skipped child does not count to a parent that is not skipped itself. Each ranged
-    entity adds to every ancestor that has no range, as far as the next one that has; each topmost test entity adds
-    its lines to every ancestor that is no test.
+    skip (over entities' columns): a skipped child does not count to a parent that is not skipped itself. The topmost test
+    entities add their lines to what is above them. Neither asks for the ancestors of everything.
     """
-    about = entities.select(F.col("id").alias("anc"), ranged().alias("ranged"), F.coalesce("is_test", F.lit(False)).alias("is_test"), (skip if skip is not None else F.lit(False)).alias("skip"), (F.col("line_end") - F.col("line_start") + 1).cast("bigint").alias("own"))
-    path = Window.partitionBy("id").orderBy("hops")
-    between = path.rowsBetween(Window.unboundedPreceding, -1)
-    walk = tree.join(about, "anc")
-    walk = walk.withColumn("cut", F.max(F.lag("skip").over(path) & ~F.col("skip")).over(path)).withColumn("cut", F.coalesce("cut", F.lit(False)))
-    up = walk.withColumn("blocked", F.coalesce(F.max(F.col("ranged") & (F.col("hops") > 0)).over(between), F.lit(False)))
-    up = up.withColumn("from_own", F.first(F.when(F.col("ranged"), F.col("own"))).over(path)).filter("from_own is not null")
-    adds = up.filter("hops = 0 or (not ranged and not blocked and not cut)")
-    totals = adds.groupBy("anc").agg(F.sum("from_own").alias("loc")).withColumnRenamed("anc", "id")
-    sized = entities.select("id", F.coalesce("is_test", F.lit(False)).alias("is_test")).join(totals, "id", "left").select("id", "is_test", F.coalesce("loc", F.lit(0)).alias("loc"))
-    tests = walk.withColumn("above", F.coalesce(F.max(F.col("is_test") & (F.col("hops") > 0)).over(between), F.lit(False)))
-    tests = tests.withColumn("from_test", F.first("is_test").over(path)).filter("from_test and (hops = 0 or (not is_test and not above and not cut))")
-    parts = tests.select("id", "anc").join(sized.select("id", "loc"), "id").groupBy("anc").agg(F.sum("loc").alias("test_loc")).withColumnRenamed("anc", "id")
-    return sized.join(parts, "id", "left").select("id", "loc", F.coalesce("test_loc", F.lit(0)).alias("test_loc"))
+    from ..sources.generations import written
+
+    lines = (F.col("line_end") - F.col("line_start") + 1).cast("bigint")
+    nodes = written(entities.select("id", "parent", F.coalesce("is_test", F.lit(False)).alias("is_test"), (skip if skip is not None else F.lit(False)).alias("skip"), F.when(ranged(), lines).alias("own")))
+    sized = nodes.join(sums_below(nodes), "id", "left").select("id", "parent", "is_test", "skip", F.coalesce("own", "n", F.lit(0)).cast("bigint").alias("loc"))
+    tests = sums_below(written(sized.select("id", "parent", "skip", F.when(F.col("is_test"), F.col("loc")).alias("own"))))
+    return sized.join(tests, "id", "left").select("id", "loc", F.when(F.col("is_test"), F.col("loc")).otherwise(F.coalesce("n", F.lit(0))).cast("bigint").alias("test_loc"))
 
 
 def display_paths(entities: DataFrame, tree: DataFrame | None = None) -> DataFrame:

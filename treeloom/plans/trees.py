@@ -111,7 +111,7 @@ def size_sql(cut_cte: str) -> str:
 
 @query(size_sql("cuts AS (SELECT CAST(NULL AS BIGINT) AS id, CAST(NULL AS INT) AS at)"))
 def loc_rollup(spark, sf_dir):
-    return tree.loc(*graph(spark, sf_dir)).select("id", "loc")
+    return tree.loc(tree_of(spark, sf_dir)).select("id", "loc")
 
 
 SKIPPED = "id % 11 = 5"
@@ -119,8 +119,7 @@ SKIPPED = "id % 11 = 5"
 
 @query(size_sql(f"cuts AS (SELECT c.id, min(c.hops) AS at FROM closure c JOIN closure b ON b.id = c.id AND b.hops = c.hops - 1 WHERE b.anc % 11 = 5 AND c.anc % 11 <> 5 GROUP BY c.id)"))
 def loc_rollup_skip(spark, sf_dir):
-    entities, up = graph(spark, sf_dir)
-    return tree.loc(entities, up, F.expr(SKIPPED)).select("id", "loc")
+    return tree.loc(tree_of(spark, sf_dir), None, F.expr(SKIPPED)).select("id", "loc")
 
 
 OWN_TEST = """marks AS (SELECT id, kind, CASE WHEN kind = 'folder' THEN name IN ('tests', 'test', '__tests__') WHEN kind = 'file' THEN
@@ -145,8 +144,8 @@ def test_inherit(spark, sf_dir):
     SELECT e.id, coalesce(sum(d.own), 0) AS loc FROM own e LEFT JOIN (SELECT c.anc, d.own FROM closure c JOIN own d ON c.id = d.id AND d.ranged JOIN own x ON c.anc = x.id LEFT JOIN stops s ON s.id = c.id
       WHERE c.hops = 0 OR (NOT x.ranged AND (s.stop IS NULL OR c.hops < s.stop))) d ON d.anc = e.id GROUP BY e.id)"""))
 def test_loc_rollup(spark, sf_dir):
-    entities, up = graph(spark, sf_dir)
-    return tree.loc(testcode.mark(entities, up), up).select("id", "test_loc")
+    entities = tree_of(spark, sf_dir).select("id", "parent", "kind", "name", "line_start", "line_end", "is_test")
+    return tree.loc(testcode.mark(entities)).select("id", "test_loc")
 
 
 def nation_cut(entities: DataFrame) -> DataFrame:
