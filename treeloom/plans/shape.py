@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import cut, testcode, view
+from ..operators import cut, testcode, tree, view
 from ..sources import fixtures as fx
-from ..sources.generations import few, written
-from .trees import COALESCED, IS_TEST, MIXED_CUT, NATION_CUT, OWN_TEST, SITES, graph, mixed_cut, nation_cut, oracle
+from ..sources.generations import alone, written
+from .trees import COALESCED, IS_TEST, MIXED_CUT, NATION_CUT, OWN_TEST, SITES, graph, mixed_cut, nation_cut, oracle, tree_of
 from .trees import refs as all_refs
 
 QUERIES: dict = {}
@@ -123,12 +123,12 @@ MEET = "len(list_filter(range(1, least(len(a.up), len(b.up)) + 1), lambda i: lis
 
 def mixed_bundle(spark, sf_dir):
     """Edges, drawn boxes, and the closure of what is drawn: whatever an edge ends at, and all above it."""
-    entities, up = graph(spark, sf_dir)
+    entities = tree_of(spark, sf_dir)
     at = mixed_cut(entities)
-    drawn = written(cut.shown(at, up))
-    ends = written(up.join(few(drawn.withColumnRenamed("anc", "id")), "id", "left_semi"))
+    drawn = written(cut.shown(at, entities))
+    ends = alone(lambda: tree.above(entities, drawn.withColumnRenamed("anc", "id")))
     boxes = written(view.drawn_tree(at, ends).filter("is_box").select("id"))
-    edges = cut.coalesce_counts(all_refs(spark, sf_dir), at, up).select("src", "dst", "kind")
+    edges = alone(lambda: cut.coalesce_counts(all_refs(spark, sf_dir), at, entities).select("src", "dst", "kind"))
     return edges, boxes, ends
 
 
