@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import has_token
+from ..sources.generations import FEW, few, written
 from .cut import sites
-from .tree import file_of
+from .tree import above, file_of
 
 
-def sited(entities: DataFrame, tree: DataFrame | None, refs: DataFrame) -> DataFrame:
-    """(file_id, line, ref_id, dst, name): references by the file and line of their sites."""
+def sited(entities: DataFrame, tree: DataFrame | None, refs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """(file_id, line, ref_id, dst, name): references by the file and line of their sites. also: more of their columns."""
     files = file_of(entities, tree).select(F.col("id").alias("src"), "file_id")
     names = entities.select(F.col("id").alias("dst"), "name")
-    return refs.select("ref_id", "src", "dst", F.explode("sites").alias("line")).join(files, "src").join(names, "dst").select("file_id", "line", "ref_id", "dst", "name")
+    return refs.select(*dict.fromkeys(("ref_id", "src", "dst", *also)), F.explode("sites").alias("line")).join(files, "src").join(names, "dst").select("file_id", "line", "ref_id", "dst", "name", *also)
 
 
 def targets(asked: DataFrame, places: DataFrame) -> DataFrame:
@@ -49,8 +50,14 @@ def diff_targets(asked: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def drawn_target(found: DataFrame, tree: DataFrame, drawn: DataFrame) -> DataFrame:
-    """(ask, site): the one drawn node that shows all targets; asks whose targets are shown by several, or none, go."""
-    at = sites(tree, drawn).select(F.col("id").alias("dst"), "site")
+    """(ask, site): the one drawn node that shows all targets; asks whose targets are shown by several, or none, go.
+
+    tree: a closure, or entities, of which only the targets climb.
+    """
+    found, nodes = written(found.select("ask", "dst")), few(drawn.select("anc"))
+    if "parent" in tree.columns and nodes.count() <= FEW:
+        tree = above(tree, found.select(F.col("dst").alias("id")).distinct())
+    at = sites(tree, nodes).select(F.col("id").alias("dst"), "site")
     return found.join(at, "dst").groupBy("ask").agg(F.min("site").alias("site"), F.count_distinct("site").alias("n")).filter("n = 1").select("ask", "site")
 
 

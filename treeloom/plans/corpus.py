@@ -11,7 +11,7 @@ from ..operators import goto, layout, postings, search, tree
 from ..sources import fixtures as fx
 from ..sources import names, occurrences, scanner
 from ..sources.fixtures import SOURCES
-from ..sources.generations import once, shared_dir, spread
+from ..sources.generations import few, once, shared_dir, spread
 from ..streaming import live
 from .trees import graph, oracle, tree_of
 from .trees import refs as all_refs
@@ -143,9 +143,9 @@ ASKED = f"asked AS (SELECT DISTINCT r.src AS ask, f.file_id, r.line, e.name AS t
 
 def asked(spark, sf_dir, alias: bool) -> tuple[DataFrame, DataFrame]:
     refs = all_refs(spark, sf_dir)
-    places = once(spark, ("places", sf_dir), lambda: goto.sited(tree_of(spark, sf_dir), None, refs))
-    some = refs.filter("kind in ('call', 'type_ref', 'import')").select("ref_id", F.col("src").alias("ask"))
-    rows = some.join(places, "ref_id").select("ask", "file_id", "line", F.col("name").alias("token")).distinct()
+    places = once(spark, ("places", sf_dir), lambda: goto.sited(tree_of(spark, sf_dir), None, refs, ("src", "kind")))
+    rows = places.filter("kind in ('call', 'type_ref', 'import')").select(F.col("src").alias("ask"), "file_id", "line", F.col("name").alias("token")).distinct()
+    places = places.drop("src", "kind")
     return (rows.withColumn("token", F.lit("alias")).withColumn("text", F.lit("alias here")) if alias else rows.withColumn("text", F.col("token"))), places
 
 
@@ -212,11 +212,11 @@ def granularity_refs(spark, sf_dir):
 @query(oracle("""SELECT h.src, h.line, h.dst FROM hits h WHERE NOT EXISTS (SELECT 1 FROM hits o JOIN closure c ON c.id = o.dst AND c.anc = h.dst AND c.hops > 0 WHERE o.src = h.src AND o.line = h.line)""",
     f"hits AS (SELECT DISTINCT src, refs.line, unnest([dst, parent]) AS dst FROM refs JOIN entities ON entities.id = dst)"))
 def outer_suppress(spark, sf_dir):
-    entities, up = graph(spark, sf_dir)
+    entities = tree_of(spark, sf_dir)
     refs = all_refs(spark, sf_dir).select("src", F.col("sites")[0].alias("line"), "dst")
-    owners = entities.select(F.col("id").alias("dst"), "parent")
-    hits_ = refs.unionByName(refs.join(owners, "dst").select("src", "line", F.col("parent").alias("dst"))).distinct()
-    return occurrences.without_outer(hits_, up)
+    owners = few(entities.select(F.col("id").alias("dst"), "parent").join(refs.select("dst").distinct(), "dst", "left_semi"))
+    hits_ = refs.join(owners, "dst").select("src", "line", F.explode(F.array("dst", "parent")).alias("dst"))
+    return occurrences.without_outer(hits_, entities)
 
 
 @query(docs_sql("""SELECT file_id, line, CASE WHEN inside THEN true ELSE starts_with(t, 'The') END AS import FROM (SELECT file_id, line, ltrim(text) AS t,

@@ -12,7 +12,7 @@ from ..sources import scanner
 from ..sources.fixtures import SOURCES
 from ..sources.generations import once
 from .corpus import ASKED, PLACES, asked
-from .trees import IS_TEST, NATION_CUT, OWN_TEST, SITES, graph, nation_cut, oracle
+from .trees import IS_TEST, NATION_CUT, OWN_TEST, SITES, graph, nation_cut, oracle, tree_of
 from .trees import refs as all_refs
 
 QUERIES: dict = {}
@@ -93,8 +93,8 @@ def layers(spark, sf_dir):
 @query(oracle("""SELECT ask, min(site) AS site FROM (SELECT DISTINCT t.ask, s.site FROM (SELECT DISTINCT a.ask, p.dst FROM asked a JOIN places p ON a.file_id = p.file_id AND a.line = p.line AND p.name = a.token) t JOIN sites s ON s.id = t.dst)
   GROUP BY ask HAVING count(*) = 1""", ASKED, PLACES, NATION_CUT, SITES))
 def drawn_target(spark, sf_dir):
-    entities, up = graph(spark, sf_dir)
-    return goto.drawn_target(goto.targets(*asked(spark, sf_dir, False)), up, cut.shown(nation_cut(entities), up))
+    entities = tree_of(spark, sf_dir)
+    return goto.drawn_target(goto.targets(*asked(spark, sf_dir, False)), entities, cut.shown(nation_cut(entities), entities))
 
 
 @query(oracle(f"""SELECT id AS file_id FROM tested WHERE NOT is_test AND id IN (SELECT id FROM entities WHERE kind = 'file')

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .generations import few, written
 from .scan import inside
 
 DEFINITION, IMPORT = 1, 2
@@ -323,9 +324,22 @@ def reference_kind(roles: Column, on_import_line: Column, target: Column) -> Col
 
 
 def without_outer(hits: DataFrame, tree: DataFrame) -> DataFrame:
-    """hits (src, line, dst, …) without those whose target holds another target of the same line: a path names its prefixes."""
-    inner = hits.select("src", "line", F.col("dst").alias("id")).distinct().join(tree.filter("hops > 0"), "id")
-    return hits.join(inner.select("src", "line", F.col("anc").alias("dst")).distinct(), ["src", "line", "dst"], "left_anti")
+    """hits (src, line, dst, …) without those whose target holds another target of the same line: a path names its prefixes.
+
+    tree: a closure, or entities. Only targets are asked for what holds them. Hits of these three columns come once each: they
+    and what they rule out meet in one grouping.
+    """
+    from ..operators.tree import above
+
+    hits = written(hits)
+    targets = written(hits.select(F.col("dst").alias("id")).distinct())
+    up = above(tree, targets) if "parent" in tree.columns else tree.join(targets, "id", "left_semi")
+    holds = few(up.filter("hops > 0").select(F.col("id").alias("dst"), "anc").join(targets.withColumnRenamed("id", "anc"), "anc", "left_semi"))
+    outer = hits.filter("src is not null and line is not null").select("src", "line", "dst").join(holds, "dst").select("src", "line", F.col("anc").alias("dst"))
+    if set(hits.columns) != {"src", "line", "dst"}:
+        return hits.join(outer.distinct(), ["src", "line", "dst"], "left_anti")
+    both = hits.select("src", "line", "dst", F.lit(False).alias("outer")).unionByName(outer.withColumn("outer", F.lit(True)))
+    return both.groupBy("src", "line", "dst").agg(F.max("outer").alias("outer")).filter("not outer").select("src", "line", "dst")
 
 
 def file_spine(docs: DataFrame, root: str) -> DataFrame:
