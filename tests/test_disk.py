@@ -6,6 +6,7 @@ import os
 
 import pytest
 
+from treeloom.catalog import QUERIES
 from treeloom.operators import diff
 from treeloom.plans import history
 from treeloom.sources import generations
@@ -40,3 +41,19 @@ def test_attributes_go_along_with_a_union(spark):
     for matched in (None, diff.match(old, None, new, None)):
         got = diff.union_ids(old, new, matched, also=("name",))
         assert [(r.old_id, r.new_id, r.name) for r in got.orderBy("id").collect()] == [(1, 21, "r"), (None, 22, None), (3, 23, "b"), (4, 25, "c"), (5, 26, "d"), (None, 24, "new"), (2, None, "a"), (6, None, "gone"), (7, None, "below")]
+
+
+def test_presence_is_settled_without_ancestors(spark):
+    old, new = rows(spark, OLD), rows(spark, NEW)
+    united = diff.attributed(diff.union_ids(old, new), old, new)
+    parents = {i: p for nodes in (OLD, NEW) for i, (p, _) in nodes.items()}
+    given = spark.createDataFrame([(r.id, r.old_id, r.new_id, parents[r.new_id or r.old_id]) for r in united.collect()], "id long, old_id long, new_id long, parent long")
+    got = {(r.old_id, r.new_id): r.status for r in diff.presence_statuses(given, old, new).join(given.drop("parent"), "id").collect()}
+    assert got == {(1, 21): "modified", (2, 22): "modified", (3, 23): "modified", (4, 25): "same", (5, 26): "modified", (None, 24): "added", (6, None): "removed", (7, None): "removed"}
+
+
+@pytest.mark.parametrize("query", ["test_loc_rollup", "outer_suppress", "drawn_target", "bundle_default", "migrate_cut", "remap_compose", "diff_presence_status"])
+def test_no_table_of_all_ancestors_or_paths(spark, fresh, query):
+    QUERIES[query](spark, SMALL).count()
+    assert not any("path" in columns and "kind" in columns and "line_end" not in columns for columns in fresh())
+    assert not any(key[1] in ("closure", "side", "paths") for key in generations._WRITTEN)
